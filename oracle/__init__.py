@@ -8,3 +8,7 @@ from .models import SQL as _MODELS
 
 SQL: dict[str, str] = {}
 SQL.update(_MODELS)
+
+from .dashboards import SQL as _DASH  # noqa: E402
+
+SQL.update(_DASH)

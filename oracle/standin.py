@@ -42,7 +42,10 @@ select c_custkey as stop_id, c_name as stop_name, n_name as barangay, r_name as
        case c_custkey % 6 when 0 then 'terminal' when 1 then 'market' when 2 then 'school'
             when 3 then 'hospital' when 4 then 'mall' else 'residential' end as stop_type,
        c_acctbal >= 0 as has_shelter, (c_custkey * 37) % 500 as avg_daily_boardings,
-       c_nationkey as route_id
+       c_nationkey as route_id,
+       cast(6.8 + (c_custkey % 700) * 0.001 as decimal(9,6)) as latitude,
+       cast(125 + (c_custkey % 997) * 0.001 as decimal(9,6)) as longitude,
+       cast(c_nationkey as varchar) || ',' || cast((c_nationkey + 1) % 25 as varchar) as routes_served
 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "survey": """
 select c_custkey as passenger_id,

@@ -37,3 +37,63 @@ REGISTRY.update({
     "route_efficiency": _ents(A.route_efficiency),
     "cluster_profile": _ents(A.cluster_profile),
 })
+
+
+# -- dashboard queries ---------------------------------------------------------
+from .plans import dashboards as D  # noqa: E402
+from .plans import staging as S  # noqa: E402
+
+
+def _q(build):
+    """Wrap ``build(E)`` as a registered query."""
+    return lambda spark, sf_dir: build(Entities(spark, sf_dir))
+
+
+_summary = M.mart_route_summary
+_district = M.mart_district_ridership
+_clusters = M.mart_commuter_clusters
+_ab = M.mart_ab_test_results
+
+REGISTRY.update({
+    "route_summary_recent": _q(lambda E: D.recent(_summary(E))),
+    "district_ridership_recent": _q(lambda E: D.recent(_district(E))),
+    "home_kpis": _q(lambda E: D.home_kpis(_clusters(E))),
+    "top_routes_by_riders": _q(lambda E: D.top_routes(D.recent(_summary(E)), 12)),
+    "top5_route_series": _q(lambda E: D.top_route_series(D.recent(_summary(E)), 5)),
+    "boardings_by_district": _q(lambda E: D.boardings_by_district(D.recent(_district(E)))),
+    "cluster_kpis": _q(lambda E: D.cluster_kpis(_clusters(E), purposes=["daily_commute", "occasional"])),
+    "cluster_counts": _q(lambda E: D.cluster_counts(_clusters(E))),
+    "cluster_comparison": _q(lambda E: D.cluster_comparison(_clusters(E), 0, 3)),
+    "cluster_cards": _q(lambda E: D.cluster_cards(_clusters(E))),
+    "cluster_top_districts": _q(lambda E: D.cluster_top_districts(_clusters(E), 5)),
+    "cluster_deviation": _q(lambda E: D.cluster_deviation(_clusters(E))),
+    "cluster_radar": _q(lambda E: D.cluster_radar(_clusters(E))),
+    "trend_kpis": _q(lambda E: D.trend_kpis(_summary(E))),
+    "route_rolling_series": _q(lambda E: D.route_rolling_series(_summary(E), 3)),
+    "revenue_series": _q(lambda E: D.revenue_series(_summary(E), 3)),
+    "route_weekday_heatmap": _q(lambda E: D.route_weekday_heatmap(_summary(E))),
+    "district_series": _q(lambda E: D.district_series(_district(E))),
+    "top_bottom_routes": _q(lambda E: D.top_bottom_routes(_summary(E), 5)),
+    "district_satisfaction_map": _q(lambda E: D.district_satisfaction_map(
+        S.stg_passenger_survey(E), S.stg_stops(E))),
+    "route_stop_stats": _q(lambda E: D.route_stop_stats(S.stg_stops(E), S.stg_routes(E))),
+    "stop_table": _q(lambda E: D.stop_table(S.stg_stops(E))),
+    "bi_daily_riders_by_route": _q(lambda E: D.bi_daily_riders_by_route(_summary(E))),
+    "bi_load_by_route": _q(lambda E: D.bi_mean_by_route(_summary(E), "avg_load_factor", 3, "avg_load_factor")),
+    "bi_revenue_per_km_by_route": _q(lambda E: D.bi_mean_by_route(
+        I.int_daily_ridership(E), "revenue_per_km_php", 2, "avg_revenue_per_km")),
+    "bi_weekly_on_time": _q(lambda E: D.bi_weekly_on_time(_summary(E))),
+    "bi_peak_offpeak": _q(lambda E: D.bi_peak_offpeak(I.int_daily_ridership(E))),
+    "bi_rain_delay_box": _q(lambda E: D.bi_rain_delay_box(_summary(E))),
+    "bi_district_daily": _q(lambda E: D.bi_district_daily(_district(E))),
+    "bi_district_weekday": _q(lambda E: D.bi_district_weekday(_district(E))),
+    "bi_district_service": _q(lambda E: D.bi_district_service(_district(E))),
+    "bi_monthly_transfers": _q(lambda E: D.bi_monthly_transfers(S.stg_passenger_survey(E))),
+    "bi_ab_group_means": _q(lambda E: D.bi_ab_group_means(_ab(E))),
+    "bi_ab_reuse_counts": _q(lambda E: D.bi_ab_reuse_counts(_ab(E))),
+    "bi_ab_weekly_score": _q(lambda E: D.bi_ab_weekly_score(_ab(E))),
+    "filter_options_district": _q(lambda E: D.option_counts(_clusters(E), "origin_district")),
+    "bounds_trip_date": _q(lambda E: D.bounds(_summary(E), "trip_date")),
+    "bounds_test_week": _q(lambda E: D.bounds(_ab(E), "test_week")),
+    "fleet_per_route": _q(lambda E: D.fleet_per_route(S.stg_vehicles(E))),
+})

@@ -129,6 +129,10 @@ class Entities:
             (F.col("c_acctbal") >= 0).alias("has_shelter"),
             ((k * 37) % 500).alias("avg_daily_boardings"),
             F.col("c_nationkey").alias("route_id"),
+            F.expr("cast(6.8 + (c_custkey % 700) * 0.001 as decimal(9,6))").alias("latitude"),
+            F.expr("cast(125 + (c_custkey % 997) * 0.001 as decimal(9,6))").alias("longitude"),
+            F.concat_ws(",", F.col("c_nationkey").cast("string"),
+                        ((F.col("c_nationkey") + 1) % 25).cast("string")).alias("routes_served"),
         )
 
     def survey(self) -> DataFrame:
