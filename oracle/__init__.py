@@ -12,3 +12,7 @@ SQL.update(_MODELS)
 from .dashboards import SQL as _DASH  # noqa: E402
 
 SQL.update(_DASH)
+
+from .experiment import SQL as _EXP  # noqa: E402
+
+SQL.update(_EXP)

@@ -97,3 +97,24 @@ REGISTRY.update({
     "bounds_test_week": _q(lambda E: D.bounds(_ab(E), "test_week")),
     "fleet_per_route": _q(lambda E: D.fleet_per_route(S.stg_vehicles(E))),
 })
+
+
+# -- experiment statistics ---------------------------------------------------
+from .plans import experiment as X  # noqa: E402
+
+
+def _exp(E):
+    return X.experiment_data(E)
+
+
+REGISTRY.update({
+    "ab_split_balance": _q(lambda E: X.split_balance(_exp(E))),
+    "ab_ttest_moments": _q(lambda E: X.ttest_moments(_exp(E)).drop("_t", "_df")),
+    "ab_chi_square_counts": _q(lambda E: X.chi_square_counts(_exp(E)).drop("_x")),
+    "ab_test_statistics": _q(lambda E: X.statistics_table(_exp(E))),
+    "ab_weekly_band": _q(lambda E: X.weekly_band(_exp(E))),
+    "ab_lift_by_origin": _q(lambda E: X.lift_by(_ab(E), "origin_district")),
+    "ab_retention": _q(lambda E: X.retention(_exp(E))),
+    "ab_verdict": _q(lambda E: X.verdict(X.statistics_table(_exp(E)))),
+    "ab_assignment": _q(lambda E: X.assign_groups(S.stg_passenger_survey(E).filter("cluster_id = 3"))),
+})
