@@ -16,3 +16,7 @@ SQL.update(_DASH)
 from .experiment import SQL as _EXP  # noqa: E402
 
 SQL.update(_EXP)
+
+from .quality import SQL as _DQ  # noqa: E402
+
+SQL.update(_DQ)

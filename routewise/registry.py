@@ -118,3 +118,17 @@ REGISTRY.update({
     "ab_verdict": _q(lambda E: X.verdict(X.statistics_table(_exp(E)))),
     "ab_assignment": _q(lambda E: X.assign_groups(S.stg_passenger_survey(E).filter("cluster_id = 3"))),
 })
+
+
+# -- data quality --------------------------------------------------------------
+from .plans import quality_suite as Q  # noqa: E402
+
+REGISTRY.update({
+    "dq_staging_tests": _q(Q.staging_tests),
+    "dq_mart_tests": _q(Q.mart_tests),
+    "dq_business_rules": _q(Q.business_rules),
+    "staging_row_counts": _q(Q.staging_row_counts),
+    "mart_row_counts": _q(Q.mart_row_counts),
+    "route_coverage": _q(Q.route_coverage),
+    "survey_null_profile": _q(Q.survey_null_profile),
+})
