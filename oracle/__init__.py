@@ -20,3 +20,7 @@ SQL.update(_EXP)
 from .quality import SQL as _DQ  # noqa: E402
 
 SQL.update(_DQ)
+
+from .landing import SQL as _LAND  # noqa: E402
+
+SQL.update(_LAND)

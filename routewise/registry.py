@@ -132,3 +132,45 @@ REGISTRY.update({
     "route_coverage": _q(Q.route_coverage),
     "survey_null_profile": _q(Q.survey_null_profile),
 })
+
+
+# -- landing ingest --------------------------------------------------------------
+from .operators import quality as QO  # noqa: E402
+from .operators import validation as V  # noqa: E402
+from .sources import landing as L  # noqa: E402
+
+
+def _landed(E):
+    return L.clean_trips(L.drop_full_duplicates(L.landing_trips(E)))
+
+
+def _rerun(E, cutoff="1997-01-01"):
+    landing = L.landing_trips(E)
+    first, _ = L.ingest_trips(landing.filter(F.col("_date") < F.lit(cutoff).cast("date")))
+    new, _ = L.ingest_trips(landing, target=first)
+    return new
+
+
+def _range_checks(E):
+    sv = S.stg_passenger_survey(E).agg(QO.out_of_range(S.stg_passenger_survey(E), "satisfaction_score", 1, 5)
+                                       .alias("failures")).select(F.lit("satisfaction_score").alias("check"), "failures")
+    lt = _landed(E).agg(QO.out_of_range(_landed(E), "load_factor", 0, 1.5).alias("failures")).select(
+        F.lit("load_factor").alias("check"), "failures")
+    return sv.unionByName(lt)
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+REGISTRY.update({
+    "landing_trip_validation": _q(lambda E: V.rule_failures(_landed(E), V.trip_rules())),
+    "ingest_trips": _q(lambda E: L.ingest_trips(L.landing_trips(E))[0]),
+    "ingest_trips_rerun": _q(_rerun),
+    "landing_receipt": _q(lambda E: L.ingest_receipt(L.landing_trips(E), "trips")),
+    "experiment_orphans": _q(lambda E: L.orphan_report(
+        S.stg_ab_experiment(E), "passenger_id", S.stg_passenger_survey(E), "passenger_id", 10)),
+    "experiment_fk_filtered": _q(lambda E: L.drop_fk_orphans(
+        S.stg_ab_experiment(E).select("experiment_record_id", "passenger_id", "group"),
+        "passenger_id", S.stg_passenger_survey(E), "passenger_id")),
+    "landing_null_profile": _q(lambda E: QO.null_profile(_landed(E))),
+    "ingest_range_checks": _q(_range_checks),
+})
