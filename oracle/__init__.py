@@ -24,3 +24,7 @@ SQL.update(_DQ)
 from .landing import SQL as _LAND  # noqa: E402
 
 SQL.update(_LAND)
+
+from .segmentation import SQL as _SEG  # noqa: E402
+
+SQL.update(_SEG)

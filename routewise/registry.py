@@ -174,3 +174,47 @@ REGISTRY.update({
     "landing_null_profile": _q(lambda E: QO.null_profile(_landed(E))),
     "ingest_range_checks": _q(_range_checks),
 })
+
+
+# -- segmentation --------------------------------------------------------------
+from .plans import segmentation as G  # noqa: E402
+
+_SEGMENTATIONS: dict = {}
+
+
+def _seg(E) -> "G.Segmentation":
+    """One fitted segmentation per (session, input), reused across queries
+    the way a persisted model artefact (S21) is."""
+    key = (id(E.spark), E.sf_dir)
+    if key not in _SEGMENTATIONS:
+        _SEGMENTATIONS[key] = G.Segmentation(E)
+    return _SEGMENTATIONS[key]
+
+
+def _feature_matrix_view(E):
+    fm = G.feature_matrix(E)
+    return fm.withColumns({c: F.round(c, 6) for c in G.SCALED})
+
+
+def _given_label_centroids(E):
+    fm = G.feature_matrix(E, None).join(
+        S.stg_passenger_survey(E).select("passenger_id", "cluster_id"), "passenger_id")
+    c = G.centroids(fm, "cluster_id").withColumns(G.prototype_score_columns())
+    return c.select("cluster_id", "n", *[F.round(x, 6).alias(x) for x in G.SCALED],
+                    *[F.round(f"score_{i}", 6).alias(f"score_{i}") for i in range(5)])
+
+
+def _segmented_survey(E):
+    return G.write_back(E.survey(), _seg(E).assignments())
+
+
+REGISTRY.update({
+    "passenger_feature_matrix": _q(_feature_matrix_view),
+    "given_label_centroids": _q(_given_label_centroids),
+    "kmeans_elbow": _q(lambda E: _seg(E).elbow()),
+    "kmeans_silhouette": _q(lambda E: _seg(E).silhouette()),
+    "kmeans_assignments": _q(lambda E: _seg(E).assignments()),
+    "segment_distribution": _q(lambda E: G.distribution(_seg(E).assignments())),
+    "segmented_cluster_profile": _q(lambda E: A.cluster_profile(
+        E, M.mart_commuter_clusters(E, features=I.int_passenger_features(E, _segmented_survey(E))))),
+})
