@@ -87,6 +87,13 @@ def write_landing(df: DataFrame, root: str, entity: str, mode: str = "append") -
     if df.isEmpty():
         raise ValueError(f"refusing to land an empty {entity} batch")
     path = f"{root.rstrip('/')}/{entity}"
+    # Range-partition on (day, chunk, key) before the partitioned write: each
+    # task covers a contiguous run of days, so a day lands in ~one file
+    # instead of one file per task, and a hot day is split across several
+    # balanced tasks (the key makes its rows divisible) rather than one.
+    key = [c for c in df.columns if not c.startswith("_")][0]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartitionByRange(n, "_date", "_chunk", key)
     (df.withColumnRenamed("_date", "date").write.mode(mode)
        .option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
        .partitionBy("date").parquet(path))
