@@ -67,10 +67,10 @@ def compile_suite(suite):
 
 
 def _rules():
-    from routewise.operators.quality import Test
+    from routewise.operators.quality import DataTest
     by = {}
     for m, name, pred in BUSINESS_RULES:
-        by.setdefault(m, []).append(Test("expression", "", predicate=pred, name=name))
+        by.setdefault(m, []).append(DataTest("expression", "", predicate=pred, name=name))
     return by
 
 

@@ -128,6 +128,21 @@ def optional_isin(c, values) -> Column:
     return F.lit(True) if not values else col(c).isin(list(values))
 
 
+def zero_pad(prefix: str, num, width: int) -> Column:
+    """``prefix + printf('%0<width>d', num)`` for non-negative integers with
+    codegen'd string functions (``format_string`` is interpreted).  Longer
+    numbers are kept whole (lpad alone would truncate them)."""
+    s = col(num).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0")))
+
+
+def weekday_name(d) -> Column:
+    """Full English weekday name of a date/timestamp (``EEEE``) via an array
+    lookup on ``dayofweek`` (1 = Sunday)."""
+    names = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.dayofweek(col(d)))
+
+
 def score_color(score) -> Column:
     """Linear map of a 1-5 score to a red->green hex colour."""
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (col(score) - 1) / 4.0))

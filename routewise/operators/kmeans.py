@@ -1,0 +1,158 @@
+"""Batched K-Means: many (k, seed) runs advanced together, one Spark job
+per Lloyd iteration for all of them.
+
+MLlib fits one model at a time, so a K sweep with restarts (9 K x 10 seeds,
+then 20 seeds) pays the per-job latency of every iteration of every run.
+Here every iteration is a single pass: each task assigns its points to the
+nearest centre of every active run (numpy over an Arrow batch) and emits
+per-(run, cluster) partial sums; a small aggregation reduces them and the
+new centres (sum_k k x runs rows, bounded by the parameters, not the data)
+are broadcast for the next pass - the same partial-sum design as MLlib's
+Lloyd step, vectorised across runs.
+
+Initialisation: k-means++ on a seeded sample of bounded size (as k-means||
+finishes with local k-means++ on its bounded candidate set).  Convergence per
+run: squared centre shift <= tol x mean feature variance (as scikit-learn).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .ranking import seeded_sample
+
+
+@dataclass
+class Run:
+    k: int
+    seed: int
+    centers: np.ndarray
+    cost: float = float("inf")
+    n_iter: int = 0
+    converged: bool = False
+
+
+def _kmeanspp(X: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    n = len(X)
+    idx = [int(rng.integers(n))]
+    d2 = ((X - X[idx[0]]) ** 2).sum(1)
+    for _ in range(1, k):
+        tot = d2.sum()
+        j = int(rng.choice(n, p=d2 / tot)) if tot > 0 else int(rng.integers(n))
+        idx.append(j)
+        d2 = np.minimum(d2, ((X - X[j]) ** 2).sum(1))
+    return X[idx].copy()
+
+
+def _partial_sums_fn(cols, bc):
+    d = len(cols)
+
+    def fn(it):
+        runs = bc.value  # list of (run_idx, centers)
+        for pdf in it:
+            X = pdf[cols].to_numpy(float)
+            if len(X) == 0:
+                continue
+            out = []
+            x2 = (X ** 2).sum(1)
+            for r, C in runs:
+                D = x2[:, None] - 2 * X @ C.T + (C ** 2).sum(1)[None, :]
+                lab = D.argmin(1)
+                mind = np.maximum(D[np.arange(len(X)), lab], 0.0)
+                k = len(C)
+                cnt = np.bincount(lab, minlength=k)
+                sums = np.stack([np.bincount(lab, weights=X[:, j], minlength=k) for j in range(d)], 1)
+                cost = np.bincount(lab, weights=mind, minlength=k)
+                for c in range(k):
+                    if cnt[c]:
+                        out.append((r, c, int(cnt[c]), float(cost[c]), *sums[c].tolist()))
+            yield pd.DataFrame(out, columns=["run", "cluster", "n", "cost"] + [f"s{j}" for j in range(d)])
+
+    return fn
+
+
+def fit(df: DataFrame, cols: list[str], key: str, runs: list[tuple[int, int]],
+        max_iter: int = 300, tol: float = 1e-4, init_sample: int = 4096,
+        rows_per_partition: int = 200_000) -> list[Run]:
+    """Fit every (k, seed) run; returns them with final centres and cost."""
+    spark = df.sparkSession
+    # The passes re-read only the feature columns: cache that projection,
+    # partitioned by volume (~rows_per_partition rows per task), so a small
+    # survey runs one Python task per pass and a large one fans out.
+    n = df.count()
+    parts = max(1, -(-n // rows_per_partition))
+    X = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).repartition(parts).persist()
+    var = X.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
+    tol_abs = tol * float(np.mean([v or 0.0 for v in var]))
+    base = seeded_sample(df, init_sample, key, 0).select(*cols).toPandas().to_numpy(float)  # bounded
+    state = [Run(k, s, _kmeanspp(base, k, np.random.default_rng(s))) for k, s in runs]
+    d = len(cols)
+    sch = T.StructType([T.StructField("run", T.IntegerType()), T.StructField("cluster", T.IntegerType()),
+                        T.StructField("n", T.LongType()), T.StructField("cost", T.DoubleType())]
+                       + [T.StructField(f"s{j}", T.DoubleType()) for j in range(d)])
+
+    def step(active: list[int]):
+        bc = spark.sparkContext.broadcast([(i, state[i].centers) for i in active])
+        part = X.mapInPandas(_partial_sums_fn(cols, bc), sch)
+        agg = part.groupBy("run", "cluster").agg(
+            F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
+        rows = agg.collect()  # <= sum(k) x runs rows
+        bc.unpersist()
+        return rows
+
+    active = list(range(len(state)))
+    for _ in range(max_iter):
+        if not active:
+            break
+        rows = step(active)
+        by_run: dict[int, list] = {}
+        for r in rows:
+            by_run.setdefault(r["run"], []).append(r)
+        still = []
+        for i in active:
+            run = state[i]
+            new = run.centers.copy()
+            cost = 0.0
+            for r in by_run.get(i, []):
+                new[r["cluster"]] = np.array([r[f"s{j}"] for j in range(d)]) / r["n"]
+                cost += r["cost"]
+            run.cost = cost                  # inertia of the assignment to the previous centres
+            shift = float(((new - run.centers) ** 2).sum())
+            run.centers, run.n_iter = new, run.n_iter + 1
+            if shift <= tol_abs:
+                run.converged = True
+            else:
+                still.append(i)
+        active = still
+    # final inertia for the final centres (one more pass, all runs)
+    rows = step(list(range(len(state))))
+    for i, run in enumerate(state):
+        run.cost = float(sum(r["cost"] for r in rows if r["run"] == i))
+    X.unpersist()
+    return state
+
+
+def best(state: list[Run], k: int) -> Run:
+    """Lowest inertia among the runs of one k (lowest seed on ties)."""
+    return sorted((r for r in state if r.k == k), key=lambda r: (r.cost, r.seed))[0]
+
+
+def predict(df: DataFrame, cols: list[str], centers: np.ndarray, out: str = "raw_cluster") -> DataFrame:
+    """Nearest-centre label for every row (centres broadcast, numpy per batch)."""
+    bc = df.sparkSession.sparkContext.broadcast(centers)
+    fields = df.schema.fields + [T.StructField(out, T.IntegerType())]
+
+    def fn(it):
+        C = bc.value
+        for pdf in it:
+            X = pdf[cols].to_numpy(float)
+            D = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
+            yield pdf.assign(**{out: D.argmin(1).astype("int32")})
+
+    return df.mapInPandas(fn, T.StructType(fields))

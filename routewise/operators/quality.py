@@ -20,7 +20,7 @@ ROW_KINDS = {"not_null", "accepted_values", "accepted_range", "positive", "expre
 
 
 @dataclass(frozen=True)
-class Test:
+class DataTest:
     kind: str                 # not_null | unique | accepted_values | relationships |
     column: str               # accepted_range | unique_combination | positive | expression
     values: tuple = ()        # accepted values
@@ -38,7 +38,7 @@ class Test:
         return self.name or self.kind
 
 
-def violation(t: Test) -> Column:
+def violation(t: DataTest) -> Column:
     """Row-level violation predicate (NULL never counts, as in SQL tests)."""
     c = F.col(t.column) if t.column and t.kind != "expression" else None
     if t.kind == "not_null":
@@ -60,7 +60,7 @@ def violation(t: Test) -> Column:
     raise ValueError(t.kind)
 
 
-def violations(df: DataFrame, t: Test, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+def violations(df: DataFrame, t: DataTest, parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """The failing rows of one test."""
     if t.kind in ROW_KINDS:
         return df.filter(F.coalesce(violation(t), F.lit(False)))
@@ -76,7 +76,7 @@ def violations(df: DataFrame, t: Test, parents: dict[str, DataFrame] | None = No
     raise ValueError(t.kind)
 
 
-def run_tests(model: str, df: DataFrame, tests: list[Test],
+def run_tests(model: str, df: DataFrame, tests: list[DataTest],
               parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """Summary of a suite: one row per test with its failure count."""
     parts = []

@@ -5,6 +5,8 @@ instead of rejecting a whole request.  A NULL rule result counts as failed
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,17 +61,24 @@ def ab_rules() -> list[tuple[str, Column]]:
 
 
 def failed_rules(rules) -> Column:
-    """Array of the names of the rules a row fails."""
-    names = F.array(*[F.when(~F.coalesce(pred, F.lit(False)), F.lit(n)) for n, pred in rules])
-    return F.filter(names, lambda x: x.isNotNull())
+    """Array of the names of the rules a row fails (``array_compact`` drops
+    the passes; no lambda, so it stays inside generated code)."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(pred, F.lit(False)), F.lit(n))
+                                     for n, pred in rules]))
+
+
+def all_valid(rules) -> Column:
+    """Row passes every rule (a NULL rule result fails)."""
+    return reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for _, p in rules], F.lit(True))
 
 
 def split_valid(df: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows + ``failed_rules``).  Both sides derive
-    from one tagged frame; callers that use both should persist it."""
-    tagged = df.withColumn("failed_rules", failed_rules(rules))
-    valid = tagged.filter(F.size("failed_rules") == 0).drop("failed_rules")
-    rejected = tagged.filter(F.size("failed_rules") > 0)
+    """(valid rows, rejected rows + ``failed_rules``).  The valid side is one
+    conjunctive filter (codegen'd, pushed below later operators); the
+    failed-rule names are only built for the rejected rows."""
+    ok = all_valid(rules)
+    valid = df.filter(ok)
+    rejected = df.filter(~ok).withColumn("failed_rules", failed_rules(rules))
     return valid, rejected
 
 

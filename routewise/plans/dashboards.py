@@ -192,7 +192,7 @@ def revenue_series(summary: DataFrame, smooth: int = 3, **flt) -> DataFrame:
 
 def route_weekday_heatmap(summary: DataFrame, **flt) -> DataFrame:
     """Route x weekday mean riders, weekday columns in calendar order."""
-    f = filter_routes(summary, **flt).withColumn("day_of_week", F.date_format("trip_date", "EEEE"))
+    f = filter_routes(summary, **flt).withColumn("day_of_week", C.weekday_name("trip_date"))
     return X.pivot_mean(f, ["route_id"], "day_of_week", K.WEEKDAYS, "total_passengers", 4)
 
 
@@ -290,7 +290,7 @@ def bi_district_daily(district: DataFrame) -> DataFrame:
 
 def bi_district_weekday(district: DataFrame) -> DataFrame:
     """District x weekday heat map (weekday derived from the date)."""
-    d = district.withColumn("day_of_week", F.date_format("trip_date", "EEEE"))
+    d = district.withColumn("day_of_week", C.weekday_name("trip_date"))
     return X.pivot_mean(d, ["district"], "day_of_week", K.WEEKDAYS, "total_boardings", 4)
 
 

@@ -76,7 +76,7 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
             K.write_table(G.feature_matrix(E), f"{out}/science/passenger_features", ["passenger_id"])
             K.write_table(s.assignments(), f"{out}/science/cluster_assignments", ["passenger_id"])
             K.write_table(s.elbow(), f"{out}/science/elbow_scores")
-            K.save_model(s.final_model(), f"{out}/models/kmeans")
+            K.write_table(s.centers_frame(), f"{out}/models/kmeans_centers")
             K.write_table(G.write_back(E.survey(), rd(f"{out}/science/cluster_assignments")),
                           f"{out}/raw/survey_v2", ["passenger_id"])
         step("segmentation", seg)

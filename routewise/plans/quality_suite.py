@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators.quality import Test, row_counts, run_tests
+from ..operators.quality import DataTest, row_counts, run_tests
 from ..sources.standin import Entities
 from . import intermediate as I
 from . import marts as M
 from . import staging as S
 
-T = Test
+T = DataTest
 
-STAGING_TESTS: dict[str, list[Test]] = {
+STAGING_TESTS: dict[str, list[DataTest]] = {
     "stg_routes": [
         T("not_null", "route_id"), T("unique", "route_id"), T("not_null", "route_name"),
         T("not_null", "district_covered"),
@@ -66,7 +66,7 @@ STAGING_TESTS: dict[str, list[Test]] = {
     ],
 }
 
-MART_TESTS: dict[str, list[Test]] = {
+MART_TESTS: dict[str, list[DataTest]] = {
     "mart_route_summary": [
         T("not_null", "route_id"), T("not_null", "trip_date"),
         T("unique_combination", "", columns=("route_id", "trip_date")),
@@ -146,9 +146,9 @@ def mart_tests(E: Entities) -> DataFrame:
 
 def business_rules(E: Entities) -> DataFrame:
     models = {**staging_models(E), **mart_models(E)}
-    by_model: dict[str, list[Test]] = {}
+    by_model: dict[str, list[DataTest]] = {}
     for m, name, pred in BUSINESS_RULES:
-        by_model.setdefault(m, []).append(Test("expression", "", predicate=pred, name=name))
+        by_model.setdefault(m, []).append(DataTest("expression", "", predicate=pred, name=name))
     return _union([run_tests(m, models[m], ts) for m, ts in by_model.items()])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import clustering as CL
+from ..operators import kmeans as KM
 from ..operators.ranking import seeded_sample
 from ..sources.standin import Entities
 from . import intermediate as I
@@ -65,31 +66,31 @@ def centroids(labelled: DataFrame, label: str = "raw_cluster") -> DataFrame:
 
 class Segmentation:
     """Fitted segmentation: elbow/silhouette diagnostics, final model,
-    semantic remap; ``assignments`` is the labelled passenger frame."""
+    semantic remap; ``assignments`` is the labelled passenger frame.
+    All restarts of a sweep advance together (operators.kmeans)."""
 
     def __init__(self, E: Entities, survey: DataFrame | None = None,
                  k_range=K.K_RANGE, diag_restarts: int = K.DIAG_RESTARTS,
                  final_restarts: int = K.FINAL_RESTARTS, seed: int = K.RANDOM_STATE):
         self.E = E
-        fm = feature_matrix(E, survey)
-        self.X = CL.assemble(fm, SCALED).persist()
+        self.X = feature_matrix(E, survey).persist()
         self.k_range, self.seed = list(k_range), seed
         self.diag_restarts, self.final_restarts = diag_restarts, final_restarts
         self._diag = None
         self._final = None
 
     # Elbow ---------------------------------------------------------------
-    def diagnostics_models(self):
+    def diagnostics_runs(self):
         if self._diag is None:
             runs = [(k, self.seed + r) for k in self.k_range for r in range(self.diag_restarts)]
-            self._diag = CL.fit_runs(self.X, runs)
+            self._diag = KM.fit(self.X, SCALED, "passenger_id", runs)
         return self._diag
 
     def elbow(self) -> DataFrame:
         rows = []
         for k in self.k_range:
-            s, m = CL.best_of(self.diagnostics_models(), k)
-            rows.append((k, float(m.summary.trainingCost), s))
+            b = KM.best(self.diagnostics_runs(), k)
+            rows.append((k, float(b.cost), b.seed))
         return self.X.sparkSession.createDataFrame(rows, "k int, wss double, seed int")
 
     # Silhouette ----------------------------------------------------------
@@ -98,8 +99,8 @@ class Segmentation:
         sample = sample.withColumn("_sid", F.col("passenger_id").cast("long"))
         lab_cols = []
         for k in self.k_range:
-            _, m = CL.best_of(self.diagnostics_models(), k)
-            sample = m.transform(sample).withColumnRenamed("raw_cluster", f"k{k}")
+            b = KM.best(self.diagnostics_runs(), k)
+            sample = KM.predict(sample, SCALED, b.centers, f"k{k}")
             lab_cols.append(f"k{k}")
         s = CL.silhouette_on_sample(sample, SCALED, lab_cols)
         return (s.groupBy("labeling").agg(F.avg("s").alias("silhouette_score"))
@@ -111,24 +112,32 @@ class Segmentation:
         return rows[0].k
 
     # K04-K08 ----------------------------------------------------------------------
-    def final_model(self):
+    def final_model(self) -> KM.Run:
         if self._final is None:
             runs = [(K.OPTIMAL_K, self.seed + r) for r in range(self.final_restarts)]
-            models = CL.fit_runs(self.X, runs, max_iter=K.FINAL_MAX_ITER)
-            self._final = CL.best_of(models, K.OPTIMAL_K)[1]
+            state = KM.fit(self.X, SCALED, "passenger_id", runs, max_iter=K.FINAL_MAX_ITER)
+            self._final = KM.best(state, K.OPTIMAL_K)
         return self._final
 
+    def raw_labels(self) -> DataFrame:
+        return KM.predict(self.X, SCALED, self.final_model().centers)
+
     def mapping(self) -> dict[int, int]:
-        raw = self.final_model().transform(self.X)
-        cents = {r["raw_cluster"]: r.asDict() for r in centroids(raw).collect()}  # <= k rows
+        cents = {r["raw_cluster"]: r.asDict() for r in centroids(self.raw_labels()).collect()}  # <= k rows
         return CL.remap_clusters(cents, prototype_scores, K.REMAP_ORDER, K.OPTIMAL_K)
 
+    def centers_frame(self) -> DataFrame:
+        """S21 (re-aimed): the fitted centres as a small table."""
+        C = self.final_model().centers
+        rows = [(i, *[float(x) for x in C[i]]) for i in range(len(C))]
+        return self.X.sparkSession.createDataFrame(
+            rows, "raw_cluster int, " + ", ".join(f"{c} double" for c in SCALED))
+
     def assignments(self) -> DataFrame:
         """S15 shape: passenger_id, cluster_id, cluster_label."""
-        raw = self.final_model().transform(self.X)
         mp = self.X.sparkSession.createDataFrame(list(self.mapping().items()),
                                                  "raw_cluster int, cluster_id int")
-        out = raw.join(F.broadcast(mp), "raw_cluster")
+        out = self.raw_labels().join(F.broadcast(mp), "raw_cluster")
         return out.select("passenger_id", "cluster_id", C.cluster_label("cluster_id").alias("cluster_label"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import columns as C
 from ..operators.dims import bounded_broadcast
 from .standin import Entities
 
@@ -60,12 +61,12 @@ def landing_trips(E: Entities) -> DataFrame:
     period = (F.when(rf == "A", " AM_peak").when((rf == "N") & (ls == "O"), "PM_peak ")
               .when(rf == "N", "off_peak").otherwise("midday"))
     return li.join(s, li.l_suppkey == s.s_suppkey).select(
-        F.format_string("TRP-%07d", F.col("l_orderkey") * 10 + ln).alias("trip_id"),
-        F.format_string("R%02d", F.col("s_nationkey")).alias("route_id"),
-        F.format_string("VHC-%03d", F.col("l_suppkey")).alias("vehicle_id"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("trip_date"),
+        C.zero_pad("TRP-", F.col("l_orderkey") * 10 + ln, 7).alias("trip_id"),
+        C.zero_pad("R", F.col("s_nationkey"), 2).alias("route_id"),
+        C.zero_pad("VHC-", F.col("l_suppkey"), 3).alias("vehicle_id"),
+        F.to_date("l_shipdate").cast("string").alias("trip_date"),
         period.alias("time_period"),
-        F.date_format("l_shipdate", "EEEE").alias("day_of_week"),
+        C.weekday_name("l_shipdate").alias("day_of_week"),
         F.col("l_quantity").cast("int").alias("passengers_boarded"),
         F.col("l_extendedprice").alias("revenue_php"),
         (F.lit(30) + 2 * ln).alias("travel_time_min"),

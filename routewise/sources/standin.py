@@ -103,7 +103,7 @@ class Entities:
             F.col("l_suppkey").alias("vehicle_id"),
             F.to_date(F.date_trunc("month", F.col("l_shipdate"))).alias("trip_date"),
             period.alias("time_period"),
-            F.date_format(F.col("l_shipdate"), "EEEE").alias("day_of_week"),
+            C.weekday_name("l_shipdate").alias("day_of_week"),
             F.col("l_quantity").cast("int").alias("passengers_boarded"),
             F.col("l_extendedprice").cast("decimal(12,2)").alias("revenue_php"),
             (F.lit(30) + 2 * ln).alias("travel_time_min"),
