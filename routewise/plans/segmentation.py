@@ -156,3 +156,16 @@ def write_back(survey: DataFrame, assign: DataFrame) -> DataFrame:
                   .withColumn("cluster_id", F.coalesce("_new_id", "cluster_id"))
                   .withColumn("cluster_label", F.coalesce("_new_label", "cluster_label"))
                   .drop("_new_id", "_new_label"))
+
+
+def dbscan_labels(E: Entities, survey: DataFrame | None = None) -> DataFrame:
+    """DBSCAN (eps 1.2, min 15, self included) on the scaled features."""
+    from ..operators.dbscan import dbscan
+    fm = feature_matrix(E, survey)
+    return dbscan(fm, "passenger_id", SCALED, K.DBSCAN_EPS, K.DBSCAN_MIN_SAMPLES)
+
+
+def dbscan_validation(E: Entities, survey: DataFrame | None = None) -> DataFrame:
+    """K09 summary: cluster count, noise count and share."""
+    from ..operators.dbscan import summary
+    return summary(dbscan_labels(E, survey))

@@ -218,3 +218,7 @@ REGISTRY.update({
     "segmented_cluster_profile": _q(lambda E: A.cluster_profile(
         E, M.mart_commuter_clusters(E, features=I.int_passenger_features(E, _segmented_survey(E))))),
 })
+
+REGISTRY.update({
+    "dbscan_validation": _q(G.dbscan_validation),
+})
