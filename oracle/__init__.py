@@ -28,3 +28,7 @@ SQL.update(_LAND)
 from .segmentation import SQL as _SEG  # noqa: E402
 
 SQL.update(_SEG)
+
+from .audits import SQL as _AUD  # noqa: E402
+
+SQL.update(_AUD)

@@ -113,11 +113,13 @@ from s""",
         + _pivot("hm", "route_id", "total_passengers"),
     "district_series": DISTRICT + "select trip_date, district, total_boardings from mart_district_ridership",
     "top_bottom_routes": SUMMARY + """
-, a as (select route_id, route_name, cast(sum(total_passengers) as bigint) as total_passengers
-        from mart_route_summary group by route_id, route_name)
-(select *, 'top' as rank_group from a order by total_passengers desc, route_id limit 5)
-union all
-(select *, 'bottom' as rank_group from a order by total_passengers asc, route_id limit 5)""",
+, a as (select route_id, cast(sum(total_passengers) as bigint) as total_passengers
+        from mart_route_summary group by route_id),
+tb as ((select *, 'top' as rank_group from a order by total_passengers desc, route_id limit 5)
+       union all
+       (select *, 'bottom' as rank_group from a order by total_passengers asc, route_id limit 5))
+select tb.*, cast(tb.route_id as varchar) || ' - ' || coalesce(r.route_name, cast(tb.route_id as varchar)) as route_label
+from tb left join routes r on tb.route_id = r.route_id""",
     "district_satisfaction_map": with_clause("stops", "stg_survey") + f"""
 , sv as (select origin_district as district, {rmean('satisfaction_score', 2)} as avg_satisfaction,
        {rmean('wait_time_min', 1)} as avg_wait_min, count(*) as respondents

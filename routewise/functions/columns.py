@@ -143,6 +143,11 @@ def weekday_name(d) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), F.dayofweek(col(d)))
 
 
+def local_timestamp(tz: str = "Asia/Manila") -> Column:
+    """P20 variant: the current time expressed in a local zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.current_timestamp().cast("timestamp_ntz"))
+
+
 def score_color(score) -> Column:
     """Linear map of a 1-5 score to a red->green hex colour."""
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (col(score) - 1) / 4.0))

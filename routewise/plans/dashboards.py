@@ -206,11 +206,21 @@ def district_series(district: DataFrame, start=None, end=None) -> DataFrame:
     return district.filter(C.conj(cond)).select("trip_date", "district", "total_boardings")
 
 
-def top_bottom_routes(summary: DataFrame, k: int = 5, **flt) -> DataFrame:
+def top_bottom_routes(summary: DataFrame, routes: DataFrame, k: int = 5, **flt) -> DataFrame:
     """Top and bottom k routes by riders, with route names."""
     f = filter_routes(summary, **flt)
-    agg = f.groupBy("route_id", "route_name").agg(F.sum("total_passengers").alias("total_passengers"))
-    return R.top_and_bottom(agg, k, "total_passengers", ["route_id"])
+    agg = f.groupBy("route_id").agg(F.sum("total_passengers").alias("total_passengers"))
+    return with_route_label(R.top_and_bottom(agg, k, "total_passengers", ["route_id"]), routes)
+
+
+def with_route_label(df: DataFrame, routes: DataFrame) -> DataFrame:
+    """J12: "id - name" display label from the (fixed-size) route dimension;
+    a route missing from the lookup shows its id."""
+    names = routes.select("route_id", "route_name")
+    j = df.join(F.broadcast(names), "route_id", "left")
+    label = F.concat_ws(" - ", F.col("route_id").cast("string"),
+                        F.coalesce(F.col("route_name"), F.col("route_id").cast("string")))
+    return j.withColumn("route_label", label).drop("route_name")
 
 
 # -- Route map ---------------------------------------------------------------

@@ -73,7 +73,7 @@ REGISTRY.update({
     "revenue_series": _q(lambda E: D.revenue_series(_summary(E), 3)),
     "route_weekday_heatmap": _q(lambda E: D.route_weekday_heatmap(_summary(E))),
     "district_series": _q(lambda E: D.district_series(_district(E))),
-    "top_bottom_routes": _q(lambda E: D.top_bottom_routes(_summary(E), 5)),
+    "top_bottom_routes": _q(lambda E: D.top_bottom_routes(_summary(E), S.stg_routes(E), 5)),
     "district_satisfaction_map": _q(lambda E: D.district_satisfaction_map(
         S.stg_passenger_survey(E), S.stg_stops(E))),
     "route_stop_stats": _q(lambda E: D.route_stop_stats(S.stg_stops(E), S.stg_routes(E))),
@@ -222,3 +222,23 @@ REGISTRY.update({
 REGISTRY.update({
     "dbscan_validation": _q(G.dbscan_validation),
 })
+
+
+# -- audits, pages, histograms ---------------------------------------------------
+from .operators import ranking as R  # noqa: E402
+from .plans import audits as AU  # noqa: E402
+
+REGISTRY.update({
+    "trip_audit": _q(AU.trip_audit),
+    "events_by_period": _q(AU.events_by_period),
+    "survey_validation": _q(AU.survey_validation),
+    "ab_validation": _q(AU.ab_validation),
+    "ab_results_page": _q(lambda E: AU.ab_results_page(_ab(E), (2, 6), ["control", "treatment"], 500)),
+    "route_preview": _q(lambda E: AU.route_preview(_summary(E), 500)),
+    "ab_score_histogram": _q(lambda E: AU.score_histogram(_ab(E))),
+    "ab_transfer_histogram": _q(lambda E: AU.transfer_histogram(_ab(E))),
+    "ab_reuse_crosstab": _q(lambda E: AU.reuse_crosstab(_exp(E))),
+    "ab_ci_table": _q(lambda E: X.ci_table(X.statistics_table(_exp(E)))),
+    "cluster_sample": _q(lambda E: R.seeded_sample(_clusters(E), 2000, "passenger_id", 42)),
+    "recommended_k": _q(lambda E: R.argmax(_seg(E).silhouette(), "k", "silhouette_score")),
+})
