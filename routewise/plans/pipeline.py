@@ -6,6 +6,7 @@ executor loss."""
 
 from __future__ import annotations
 
+import logging
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from . import marts as M
 from . import quality_suite as Q
 from . import segmentation as G
 
+log = logging.getLogger(__name__)
+
 
 def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         timings: dict | None = None) -> dict[str, str]:
@@ -42,6 +45,8 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
     def land():
         L.write_landing(L.landing_trips(E), f"{out}/landing", "trips", mode="overwrite")
         landing = L.read_landing(spark, f"{out}/landing", "trips", L.TRIP_SCHEMA)
+        if landing.isEmpty():  # C07: continue without files, as the original does
+            log.warning("no landed trips under %s", f"{out}/landing")
         rows, rejected = L.ingest_trips(landing)
         K.write_table(rows, f"{out}/raw/trips", ["trip_id"])
         K.write_table(rejected, f"{out}/quarantine/trips")
@@ -76,6 +81,7 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
             K.write_table(G.feature_matrix(E), f"{out}/science/passenger_features", ["passenger_id"])
             K.write_table(s.assignments(), f"{out}/science/cluster_assignments", ["passenger_id"])
             K.write_table(s.elbow(), f"{out}/science/elbow_scores")
+            K.write_table(s.silhouette(), f"{out}/science/silhouette_scores")
             K.write_table(s.centers_frame(), f"{out}/models/kmeans_centers")
             K.write_table(G.write_back(E.survey(), rd(f"{out}/science/cluster_assignments")),
                           f"{out}/raw/survey_v2", ["passenger_id"])
@@ -116,5 +122,16 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         for n in names:
             paths[f"export_{n}"] = f"{ex}/{n}"
         K.write_manifest(spark, f"{ex}/manifest", {n: f"{ex}/{n}" for n in names})
+        # CSV of a filtered frame (the underserved segment)
+        K.export_csv(rd(paths["mart_commuter_clusters"]).filter("cluster_id = 3"), f"{ex}/underserved_csv")
+        # Inventory of every output, written next to the exports
+        K.write_table(K.inventory(spark, {k: v for k, v in paths.items()}), f"{ex}/inventory")
     step("exports", exports)
+
+    # Catalog entries with table comments for the marts
+    for name, comment in [("mart_route_summary", "daily route performance KPIs, one row per route per day"),
+                          ("mart_district_ridership", "daily ridership and service quality by district"),
+                          ("mart_commuter_clusters", "passengers with segment assignments"),
+                          ("mart_ab_test_results", "experiment rows of the underserved segment")]:
+        K.register_table(spark, name, paths[name], comment)
     return paths

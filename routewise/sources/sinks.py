@@ -94,3 +94,11 @@ def save_model(model, path: str) -> str:
     """Persist a fitted MLlib model."""
     model.write().overwrite().save(path)
     return path
+
+
+def register_table(spark: SparkSession, name: str, path: str, comment: str) -> None:
+    """Expose a written table in the session catalog with a comment
+    (external table: dropping the entry never deletes the data)."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    safe = comment.replace("'", "''")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}' COMMENT '{safe}'")
