@@ -67,3 +67,13 @@ def test_kmeans_assignment_invariants(spark):
     wss = [r.wss for r in seg.elbow().orderBy("k").collect()]
     assert wss[0] >= wss[-1]
     assert set(seg.mapping().values()) == set(range(5))
+
+
+def test_exact_quantile_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    vals = rng.normal(size=1001).round(3)
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double").repartition(7)
+    for q in (0.5, 0.25, 0.9):
+        assert CL.exact_quantile(df, "x", q) == pytest.approx(float(np.quantile(vals, q)))
+    even = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (9.0,)], "x double")
+    assert CL.exact_quantile(even, "x") == 3.0
