@@ -12,7 +12,7 @@ select printf('TRP-%07d', l_orderkey * 10 + l_linenumber) as trip_id,
        l_extendedprice as revenue_php, 30 + 2 * l_linenumber as travel_time_min,
        30 as scheduled_time_min, 2 * l_linenumber as delay_min, 2 * l_linenumber <= 5 as is_on_time,
        l_linestatus = 'F' as is_rainy_day, round(l_quantity * 0.03, 4) as load_factor,
-       l_linenumber as _chunk, cast(l_shipdate as date) as _date
+       l_linenumber as _chunk, cast(date_trunc('month', l_shipdate) as date) as _date
 from lineitem join supplier on l_suppkey = s_suppkey"""
 
 DATA = ["trip_id", "route_id", "vehicle_id", "trip_date", "time_period", "day_of_week",

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 
 def _nodes(df: DataFrame, id_col: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     nodes = df.groupBy(*cols).agg(F.min(id_col).alias("node"), F.count(F.lit(1)).alias("w"))
@@ -99,6 +101,7 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float, min_samples:
            checkpoint_every: int = 4, max_rounds: int = 1000) -> DataFrame:
     """Label every row: ``dbscan_label`` (-1 = noise) and ``is_core``.
     ``id_col`` gives the row order used for numbering (smallest first)."""
+    ensure_checkpoint_dir(df.sparkSession)
     nodes, members = _nodes(df, id_col, cols)
     nodes = nodes.checkpoint()
     blocks = _blocks(nodes, cols, eps, grid_dims, block).checkpoint()

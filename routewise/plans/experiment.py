@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import constants as K
 from ..functions.stats import chi2_pvalue, t_pvalue
+from ..session import ensure_checkpoint_dir
 from ..sources.standin import Entities
 from . import intermediate as I
 from . import staging as S
@@ -201,6 +202,7 @@ def assign_groups(passengers: DataFrame, key: str = "passenger_id", seed: int =
     partition numbers its rows locally; partition offsets are a prefix sum of
     per-partition counts (one row per partition reaches the driver).  The
     first floor(n/2) positions of the global hash order are treatment."""
+    ensure_checkpoint_dir(passengers.sparkSession)
     ids = passengers.select(key).distinct().withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
     n_parts = partitions or int(passengers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (ids.repartitionByRange(n_parts, "_h", key).sortWithinPartitions("_h", key)

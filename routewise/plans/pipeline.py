@@ -43,7 +43,8 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
 
     # 1. landing files (S02) and ingest (S01, C*, V*, S05)
     def land():
-        L.write_landing(L.landing_trips(E), f"{out}/landing", "trips", mode="overwrite")
+        L.write_landing(L.landing_trips(E), f"{out}/landing", "trips", mode="overwrite",
+                        replace_days_only=False)
         landing = L.read_landing(spark, f"{out}/landing", "trips", L.TRIP_SCHEMA)
         if landing.isEmpty():  # C07: continue without files, as the original does
             log.warning("no landed trips under %s", f"{out}/landing")

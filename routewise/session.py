@@ -54,12 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting names shared storage and is always honoured.
     Only when it is unset (local tests) do we create a private folder.
     """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():          # set from the conf at startup, or earlier
+        return sc.getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="routewise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001  (core conf may be read-only at runtime)
+            pass
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -51,8 +51,8 @@ TRIP_ORDER = ["time_period", "day_of_week", "passengers_boarded", "revenue_php",
 # -- landing payloads derived from the driver tables ---------------------------
 def landing_trips(E: Entities) -> DataFrame:
     """Trip payloads as they land: string codes, ISO date strings, padded
-    text; chunk = line number (lineitem split by ``l_linenumber``), day =
-    ship date.  Duplicate (order, line) pairs in lineitem become duplicate
+    text; chunk = line number (lineitem split by ``l_linenumber``), landing
+    partition = month of the ship date (the batch that delivered the trip).  Duplicate (order, line) pairs in lineitem become duplicate
     trip keys, which the key rule must resolve."""
     li = E.t("lineitem")
     s = bounded_broadcast(E.t("supplier").select("s_suppkey", "s_nationkey"))
@@ -76,15 +76,19 @@ def landing_trips(E: Entities) -> DataFrame:
         (ls == "F").alias("is_rainy_day"),
         F.round(F.col("l_quantity") * 0.03, 4).alias("load_factor"),
         ln.alias("_chunk"),
-        F.to_date("l_shipdate").alias("_date"),
+        # landing partition = delivery month of the trips (one batch per month)
+        F.to_date(F.date_trunc("month", "l_shipdate")).alias("_date"),
     )
 
 
 # -- S01/S02/S03: landing files ------------------------------------------------
-def write_landing(df: DataFrame, root: str, entity: str, mode: str = "append") -> str:
+def write_landing(df: DataFrame, root: str, entity: str, mode: str = "append",
+                  replace_days_only: bool = True) -> str:
     """Write a batch under ``root/entity/date=.../`` (snappy).  With
     ``mode='overwrite'`` and dynamic partition overwrite only the days in the
-    batch are replaced, so a rerun leaves no stale chunk files."""
+    batch are replaced, so a rerun leaves no stale chunk files.  A full
+    reload (``replace_days_only=False``) overwrites statically: no per-day
+    staging and rename, which dominates when thousands of days are written."""
     if df.isEmpty():
         raise ValueError(f"refusing to land an empty {entity} batch")
     path = f"{root.rstrip('/')}/{entity}"
@@ -96,7 +100,8 @@ def write_landing(df: DataFrame, root: str, entity: str, mode: str = "append") -
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = df.repartitionByRange(n, "_date", "_chunk", key)
     (df.withColumnRenamed("_date", "date").write.mode(mode)
-       .option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
+       .option("partitionOverwriteMode", "dynamic" if replace_days_only else "static")
+       .option("compression", "snappy")
        .partitionBy("date").parquet(path))
     return path
 
