@@ -55,32 +55,38 @@ def _partial_sums_fn(cols, bc):
 
     def fn(it):
         runs = bc.value  # list of (run_idx, centers)
+        ids = [r for r, _ in runs]
+        ks = [len(C) for _, C in runs]
+        allC = np.vstack([C for _, C in runs])          # sum(k) x d, bounded by parameters
+        c2 = (allC ** 2).sum(1)
+        bounds = np.cumsum([0] + ks)
         for pdf in it:
             X = pdf[cols].to_numpy(float)
             if len(X) == 0:
                 continue
-            out = []
             x2 = (X ** 2).sum(1)
-            for r, C in runs:
-                D = x2[:, None] - 2 * X @ C.T + (C ** 2).sum(1)[None, :]
-                lab = D.argmin(1)
-                mind = np.maximum(D[np.arange(len(X)), lab], 0.0)
-                k = len(C)
+            D = x2[:, None] - 2 * X @ allC.T + c2[None, :]  # one product for every run
+            out = []
+            for j, r in enumerate(ids):
+                Dj = D[:, bounds[j]:bounds[j + 1]]
+                lab = Dj.argmin(1)
+                mind = np.maximum(Dj[np.arange(len(X)), lab], 0.0)
+                k = ks[j]
                 cnt = np.bincount(lab, minlength=k)
-                sums = np.stack([np.bincount(lab, weights=X[:, j], minlength=k) for j in range(d)], 1)
+                sums = np.stack([np.bincount(lab, weights=X[:, q], minlength=k) for q in range(d)], 1)
                 cost = np.bincount(lab, weights=mind, minlength=k)
-                for c in range(k):
-                    if cnt[c]:
-                        out.append((r, c, int(cnt[c]), float(cost[c]), *sums[c].tolist()))
-            yield pd.DataFrame(out, columns=["run", "cluster", "n", "cost"] + [f"s{j}" for j in range(d)])
+                for c in np.nonzero(cnt)[0]:
+                    out.append((r, int(c), int(cnt[c]), float(cost[c]), *sums[c].tolist()))
+            yield pd.DataFrame(out, columns=["run", "cluster", "n", "cost"] + [f"s{q}" for q in range(d)])
 
     return fn
 
 
-def fit(df: DataFrame, cols: list[str], key: str, runs: list[tuple[int, int]],
+def fit(df: DataFrame, cols: list[str], key: str, runs: list[tuple],
         max_iter: int = 300, tol: float = 1e-4, init_sample: int = 4096,
         rows_per_partition: int = 200_000) -> list[Run]:
-    """Fit every (k, seed) run; returns them with final centres and cost."""
+    """Fit every (k, seed) or (k, seed, max_iter) run together; returns them
+    with final centres and inertia."""
     spark = df.sparkSession
     # The passes re-read only the feature columns: cache that projection,
     # partitioned by volume (~rows_per_partition rows per task), so a small
@@ -91,7 +97,8 @@ def fit(df: DataFrame, cols: list[str], key: str, runs: list[tuple[int, int]],
     var = X.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
     tol_abs = tol * float(np.mean([v or 0.0 for v in var]))
     base = seeded_sample(df, init_sample, key, 0).select(*cols).toPandas().to_numpy(float)  # bounded
-    state = [Run(k, s, _kmeanspp(base, k, np.random.default_rng(s))) for k, s in runs]
+    state = [Run(r[0], r[1], _kmeanspp(base, r[0], np.random.default_rng(r[1]))) for r in runs]
+    caps = [r[2] if len(r) > 2 else max_iter for r in runs]
     d = len(cols)
     sch = T.StructType([T.StructField("run", T.IntegerType()), T.StructField("cluster", T.IntegerType()),
                         T.StructField("n", T.LongType()), T.StructField("cost", T.DoubleType())]
@@ -107,7 +114,8 @@ def fit(df: DataFrame, cols: list[str], key: str, runs: list[tuple[int, int]],
         return rows
 
     active = list(range(len(state)))
-    for _ in range(max_iter):
+    for _ in range(max(caps)):
+        active = [i for i in active if state[i].n_iter < caps[i]]
         if not active:
             break
         rows = step(active)

@@ -79,13 +79,18 @@ class Segmentation:
         self._diag = None
         self._final = None
 
-    # Elbow ---------------------------------------------------------------
-    def diagnostics_runs(self):
+    # Every restart of the sweep and of the final fit, one batch ------
+    def _runs(self):
         if self._diag is None:
-            runs = [(k, self.seed + r) for k in self.k_range for r in range(self.diag_restarts)]
-            self._diag = KM.fit(self.X, SCALED, "passenger_id", runs)
+            diag = [(k, self.seed + r, 300) for k in self.k_range for r in range(self.diag_restarts)]
+            final = [(K.OPTIMAL_K, 1000 + self.seed + r, K.FINAL_MAX_ITER) for r in range(self.final_restarts)]
+            state = KM.fit(self.X, SCALED, "passenger_id", diag + final)
+            self._diag, self._final_runs = state[:len(diag)], state[len(diag):]
         return self._diag
 
+    def diagnostics_runs(self):
+        return self._runs()
+
     def elbow(self) -> DataFrame:
         rows = []
         for k in self.k_range:
@@ -114,9 +119,8 @@ class Segmentation:
     # K04-K08 ----------------------------------------------------------------------
     def final_model(self) -> KM.Run:
         if self._final is None:
-            runs = [(K.OPTIMAL_K, self.seed + r) for r in range(self.final_restarts)]
-            state = KM.fit(self.X, SCALED, "passenger_id", runs, max_iter=K.FINAL_MAX_ITER)
-            self._final = KM.best(state, K.OPTIMAL_K)
+            self._runs()
+            self._final = KM.best(self._final_runs, K.OPTIMAL_K)
         return self._final
 
     def raw_labels(self) -> DataFrame:
