@@ -64,3 +64,11 @@ select cast(would_use_again as integer) as reuse, count(*) filter (where "group"
        count(*) filter (where "group" = 'treatment') as treatment
 from exp group by 1""",
 }
+
+SQL.update({
+    "sql_parquet_route_volume": """
+select s_nationkey as route_id, cast(year(l_shipdate) as integer) as ship_year, count(*) as trips,
+       cast(sum(l_quantity) as bigint) as riders
+from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2""",
+    "sql_parquet_regions": "select * from region where r_regionkey >= 0",
+})

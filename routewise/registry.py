@@ -242,3 +242,25 @@ REGISTRY.update({
     "cluster_sample": _q(lambda E: R.seeded_sample(_clusters(E), 2000, "passenger_id", 42)),
     "recommended_k": _q(lambda E: R.argmax(_seg(E).silhouette(), "k", "silhouette_score")),
 })
+
+
+# -- S22: SQL over a parquet path ----------------------------------------------
+from .sources.tables import query_parquet  # noqa: E402
+
+
+def _sql_route_volume(spark, sf_dir):
+    """The SQL API straight over parquet files: trips per supplier
+    nation (route) and ship year, no view registration needed."""
+    return spark.sql(f"""
+        SELECT s.s_nationkey AS route_id, year(l.l_shipdate) AS ship_year,
+               count(*) AS trips, CAST(sum(l.l_quantity) AS BIGINT) AS riders
+        FROM parquet.`{sf_dir.rstrip('/')}/lineitem.parquet` l
+        JOIN parquet.`{sf_dir.rstrip('/')}/supplier.parquet` s ON l.l_suppkey = s.s_suppkey
+        GROUP BY s.s_nationkey, year(l.l_shipdate)""")
+
+
+REGISTRY.update({
+    "sql_parquet_route_volume": _sql_route_volume,
+    "sql_parquet_regions": lambda spark, sf_dir: query_parquet(
+        spark, f"{sf_dir.rstrip('/')}/region.parquet", "r_regionkey >= 0"),
+})
