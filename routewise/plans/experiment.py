@@ -43,28 +43,24 @@ def split_balance(ab: DataFrame) -> DataFrame:
     return g.withColumn("is_balanced", (F.col("pct") >= lo) & (F.col("pct") <= hi))
 
 
-def _moments(ab: DataFrame, metrics: list[str]) -> DataFrame:
-    """(metric, group) -> n, mean, sample variance in one pass."""
+def _arms(ab: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row per metric with both arms' n, mean and sample variance, from
+    a single aggregation over the unpivoted rows (no join of the arms)."""
     long = ab.select("group", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))
         .alias("mv")).select("group", "mv.metric", "mv.v").filter(F.col("v").isNotNull())
-    return long.groupBy("metric", "group").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"))
-
-
-def _arms(mom: DataFrame) -> DataFrame:
-    c = mom.filter(F.col("group") == "control").select(
-        "metric", F.col("n").alias("n_c"), F.col("mean").alias("m_c"), F.col("var").alias("v_c"))
-    t = mom.filter(F.col("group") == "treatment").select(
-        "metric", F.col("n").alias("n_t"), F.col("mean").alias("m_t"), F.col("var").alias("v_t"))
-    return c.join(t, "metric")
+    aggs = []
+    for g, sfx in (("control", "c"), ("treatment", "t")):
+        v = F.when(F.col("group") == g, F.col("v"))
+        aggs += [F.count(v).alias(f"n_{sfx}"), F.avg(v).alias(f"m_{sfx}"), F.var_samp(v).alias(f"v_{sfx}")]
+    return long.groupBy("metric").agg(*aggs)
 
 
 def ttest_moments(ab: DataFrame, metrics: list[str] = T_METRICS) -> DataFrame:
     """T03-T06 without the p-value: Welch t (control - treatment),
     Welch-Satterthwaite df, Cohen's d (treatment - control, pooled
     sqrt((s1^2+s2^2)/2), zero -> 0) and the 1.96 CI of the difference."""
-    a = _arms(_moments(ab, metrics))
+    a = _arms(ab, metrics)
     se2 = F.col("v_c") / F.col("n_c") + F.col("v_t") / F.col("n_t")
     se = F.sqrt(se2)
     diff = F.col("m_t") - F.col("m_c")
@@ -95,38 +91,38 @@ def ttests(ab: DataFrame, metrics: list[str] = T_METRICS) -> DataFrame:
 
 
 def chi_square_counts(ab: DataFrame, metric: str = CHI_METRIC) -> DataFrame:
-    """T07 without the p-value: value x group crosstab (A14) -> expected
-    counts -> Yates-corrected statistic (dof 1); a table with a single
-    observed value is 1x2: dof 0, statistic 0."""
+    """T07 without the p-value, from one aggregation: the 2x2 crosstab
+    (A14) of value x group as four conditional counts; margins, expected
+    counts and the Yates-corrected statistic are column expressions.  Like a
+    crosstab, only values and groups that occur form the table, so a single
+    observed value gives a 1x2 table: dof 0, statistic 0."""
     v = F.col(metric).cast("int")
-    cells = ab.filter(F.col(metric).isNotNull()).groupBy(v.alias("val"), "group").agg(
-        F.count(F.lit(1)).alias("o"))
-    w_all, w_row, w_col = Window.partitionBy(), Window.partitionBy("val"), Window.partitionBy("group")
-    cells = (cells.withColumn("N", F.sum("o").over(w_all))
-                  .withColumn("r", F.sum("o").over(w_row))
-                  .withColumn("c", F.sum("o").over(w_col))
-                  .withColumn("e", F.col("r") * F.col("c") / F.col("N")))
-    d = F.abs(F.col("o") - F.col("e"))
     is_c, is_t = F.col("group") == "control", F.col("group") == "treatment"
-    # Statistic, table shape, yes-rates and arm sizes all come from the
-    # (<= 4) crosstab cells in one aggregation.
-    tab = cells.agg(
-        F.countDistinct("val").alias("n_vals"), F.countDistinct("group").alias("n_groups"),
-        F.sum(F.pow(F.greatest(d - 0.5, F.lit(0.0)), 2) / F.col("e")).alias("chi_yates"),
-        F.sum(F.pow(d, 2) / F.col("e")).alias("chi_plain"),
-        F.sum(F.when(is_c, F.col("o") * F.col("val"))).alias("yes_c"),
-        F.sum(F.when(is_t, F.col("o") * F.col("val"))).alias("yes_t"),
-        F.coalesce(F.sum(F.when(is_c, F.col("o"))), F.lit(0)).alias("n_control"),
-        F.coalesce(F.sum(F.when(is_t, F.col("o"))), F.lit(0)).alias("n_treatment"))
-    dof = (F.col("n_vals") - 1) * (F.col("n_groups") - 1)
-    stat = (F.when(dof == 0, F.lit(0.0)).when(dof == 1, F.col("chi_yates"))
-            .otherwise(F.col("chi_plain")))
-    return tab.select(
+    nn = F.col(metric).isNotNull()
+    cells = {"c0": is_c & (v == 0), "c1": is_c & (v == 1), "t0": is_t & (v == 0), "t1": is_t & (v == 1)}
+    a = ab.agg(*[C.count_if(cond & nn).alias(k) for k, cond in cells.items()])
+    o = {k: F.col(k).cast("double") for k in cells}
+    row0, row1 = o["c0"] + o["t0"], o["c1"] + o["t1"]
+    colc, colt = o["c0"] + o["c1"], o["t0"] + o["t1"]
+    n = row0 + row1
+    n_vals = (row0 > 0).cast("int") + (row1 > 0).cast("int")
+    n_groups = (colc > 0).cast("int") + (colt > 0).cast("int")
+    dof = (n_vals - 1) * (n_groups - 1)
+
+    def term(obs, r, c):
+        e = r * c / n
+        return F.pow(F.greatest(F.abs(obs - e) - 0.5, F.lit(0.0)), 2) / e
+
+    yates = (term(o["c0"], row0, colc) + term(o["t0"], row0, colt)
+             + term(o["c1"], row1, colc) + term(o["t1"], row1, colt))
+    stat = F.when(dof == 1, yates).otherwise(F.lit(0.0))
+    return a.select(
         F.lit(metric).alias("metric"), F.round(stat, 6).alias("chi2_statistic"),
         dof.cast("int").alias("dof"),
-        F.round(F.col("yes_c") / F.col("n_control"), 4).alias("control_pct_yes"),
-        F.round(F.col("yes_t") / F.col("n_treatment"), 4).alias("treatment_pct_yes"),
-        "n_control", "n_treatment", stat.alias("_x"))
+        F.round(o["c1"] / colc, 4).alias("control_pct_yes"),
+        F.round(o["t1"] / colt, 4).alias("treatment_pct_yes"),
+        (F.col("c0") + F.col("c1")).alias("n_control"), (F.col("t0") + F.col("t1")).alias("n_treatment"),
+        stat.alias("_x"))
 
 
 def chi_square(ab: DataFrame, metric: str = CHI_METRIC) -> DataFrame:
