@@ -1,6 +1,8 @@
 """Landing ingest: dedupe, cleaning, orphan rules, first writer wins,
 insert-if-absent, partition overwrite, streaming equals batch."""
 
+import contextlib
+import io
 import tempfile
 
 from pyspark.sql import functions as F
@@ -69,3 +71,24 @@ def test_streaming_ingest_equals_batch(spark):
     # a second run with no new files loads nothing new
     again = run_trip_ingest(spark, root, f"{root}/_target", f"{root}/_ckpt")
     assert again.count() == batch.count()
+
+
+def test_hot_key_dedupe_is_an_aggregate(spark):
+    """A key holding a third of all rows: first writer wins is computed by a
+    partially-aggregated min_by (no window over the hot key)."""
+    n = 3000
+    rows = [("HOT" if i % 3 == 0 else f"K{i}", f"v{i}", i % 7, "2024-01-01", i % 5) for i in range(n)]
+    df = (spark.createDataFrame(rows, "trip_id string, time_period string, v int, d string, _chunk int")
+               .withColumn("_date", F.to_date("d")).drop("d").repartition(8))
+    out = L.first_writer_wins(df, "trip_id", ["v", "time_period"])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    plan = buf.getvalue()
+    # partial aggregation before the shuffle, no window over the key
+    assert "partial_min_by" in plan and "Window" not in plan
+    hot = out.filter("trip_id = 'HOT'").first()
+    # earliest chunk, then smallest v, then smallest time_period among HOT rows
+    cands = sorted((r[4], r[2], r[1]) for r in rows if r[0] == "HOT")
+    assert (hot._chunk, hot.v, hot.time_period) == cands[0]
+    assert out.count() == 1 + (n - n // 3)
