@@ -15,14 +15,14 @@ select s_suppkey as vehicle_id, s_name as plate_number,
        case when s_suppkey % 8 = 0 then 'electric' when s_suppkey % 8 = 4 then 'euro4_diesel'
             else 'diesel' end as fuel_type,
        2000 + s_suppkey % 25 as year_manufactured,
-       s_nationkey as route_assigned, s_suppkey % 30 as operator_id,
+       s_nationkey as route_assigned, s_suppkey // 3 as operator_id,
        cast(abs(s_acctbal) as decimal(12,2)) as avg_fuel_cost_daily_php,
        s_suppkey % 10 <> 0 as is_active
 from supplier""",
     "operators": """
 select c_custkey as operator_id, c_name as operator_name, c_mktsegment as franchise_type,
        c_custkey % 20 + 1 as num_units, c_acctbal > 0 as is_compliant_puv
-from customer where c_custkey < 30""",
+from customer""",
     "trips": """
 select l_orderkey * 10 + l_linenumber as trip_id, s_nationkey as route_id, l_suppkey as vehicle_id,
        cast(date_trunc('month', l_shipdate) as date) as trip_date,
