@@ -29,7 +29,7 @@ def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str = "feature
 
 
 def five_number(df: DataFrame, group: list[str], measure: str, exact: bool = True,
-                accuracy: int = 10000) -> DataFrame:
+                accuracy: int = 10000, scale: int = 6) -> DataFrame:
     """Min, q1, median, q3, max per group.
 
     ``exact`` uses ``percentile`` (linear interpolation; its buffer holds the
@@ -38,7 +38,7 @@ def five_number(df: DataFrame, group: list[str], measure: str, exact: bool = Tru
     sketch per group and merges partial sketches map-side."""
     m = F.col(measure)
     if exact:
-        q = lambda p: F.percentile(m, p)
+        q = lambda p: F.round(F.percentile(m, p), scale)  # noqa: E731  (interpolation noise)
     else:
         q = lambda p: F.percentile_approx(m, p, accuracy).cast("double")
     return df.groupBy(*group).agg(
