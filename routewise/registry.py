@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import quality as QO
+from .operators import ranking as R
+from .operators import validation as V
 from .plans import analyses as A
+from .plans import audits as AU
+from .plans import dashboards as D
+from .plans import experiment as X
 from .plans import intermediate as I
 from .plans import marts as M
+from .plans import quality_suite as Q
+from .plans import segmentation as G
+from .plans import staging as S
+from .sources import landing as L
 from .sources.standin import Entities
+from .sources.tables import query_parquet
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -40,8 +53,6 @@ REGISTRY.update({
 
 
 # -- dashboard queries ---------------------------------------------------------
-from .plans import dashboards as D  # noqa: E402
-from .plans import staging as S  # noqa: E402
 
 
 def _q(build):
@@ -100,7 +111,6 @@ REGISTRY.update({
 
 
 # -- experiment statistics ---------------------------------------------------
-from .plans import experiment as X  # noqa: E402
 
 
 def _exp(E):
@@ -121,7 +131,6 @@ REGISTRY.update({
 
 
 # -- data quality --------------------------------------------------------------
-from .plans import quality_suite as Q  # noqa: E402
 
 REGISTRY.update({
     "dq_staging_tests": _q(Q.staging_tests),
@@ -135,9 +144,6 @@ REGISTRY.update({
 
 
 # -- landing ingest --------------------------------------------------------------
-from .operators import quality as QO  # noqa: E402
-from .operators import validation as V  # noqa: E402
-from .sources import landing as L  # noqa: E402
 
 
 def _landed(E):
@@ -159,8 +165,6 @@ def _range_checks(E):
     return sv.unionByName(lt)
 
 
-from pyspark.sql import functions as F  # noqa: E402
-
 REGISTRY.update({
     "landing_trip_validation": _q(lambda E: V.rule_failures(_landed(E), V.trip_rules())),
     "ingest_trips": _q(lambda E: L.ingest_trips(L.landing_trips(E))[0]),
@@ -177,7 +181,6 @@ REGISTRY.update({
 
 
 # -- segmentation --------------------------------------------------------------
-from .plans import segmentation as G  # noqa: E402
 
 _SEGMENTATIONS: dict = {}
 
@@ -225,8 +228,6 @@ REGISTRY.update({
 
 
 # -- audits, pages, histograms ---------------------------------------------------
-from .operators import ranking as R  # noqa: E402
-from .plans import audits as AU  # noqa: E402
 
 REGISTRY.update({
     "trip_audit": _q(AU.trip_audit),
@@ -245,7 +246,6 @@ REGISTRY.update({
 
 
 # -- S22: SQL over a parquet path ----------------------------------------------
-from .sources.tables import query_parquet  # noqa: E402
 
 
 def _sql_route_volume(spark, sf_dir):

@@ -92,3 +92,19 @@ def test_hot_key_dedupe_is_an_aggregate(spark):
     cands = sorted((r[4], r[2], r[1]) for r in rows if r[0] == "HOT")
     assert (hot._chunk, hot.v, hot.time_period) == cands[0]
     assert out.count() == 1 + (n - n // 3)
+
+
+def test_streaming_multi_trigger_loads_each_key_once(spark):
+    """Files arrive in several micro-batches: later batches skip keys that
+    earlier epochs loaded (first writer wins across batches)."""
+    E = Entities(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="rw-stream2-")
+    L.write_landing(L.landing_trips(E), root, "trips", mode="overwrite")
+    landing = L.read_landing(spark, root, "trips", L.TRIP_SCHEMA).drop("_file")
+    batch, _ = L.ingest_trips(landing)
+    streamed = run_trip_ingest(spark, root, f"{root}/_target", f"{root}/_ckpt", max_files=20)
+    assert spark.read.parquet(f"{root}/_target").select("epoch").distinct().count() > 1
+    assert streamed.count() == streamed.select("trip_id").distinct().count()
+    keys = streamed.select("trip_id")
+    assert keys.exceptAll(batch.select("trip_id")).count() == 0
+    assert batch.select("trip_id").exceptAll(keys).count() == 0

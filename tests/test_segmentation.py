@@ -77,3 +77,10 @@ def test_exact_quantile_matches_numpy(spark):
         assert CL.exact_quantile(df, "x", q) == pytest.approx(float(np.quantile(vals, q)))
     even = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (9.0,)], "x double")
     assert CL.exact_quantile(even, "x") == 3.0
+
+
+def test_exact_quantile_with_hot_value(spark):
+    vals = [5.0] * 400 + [float(i) for i in range(800)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
+    for q in (0.25, 0.5, 0.75):
+        assert CL.exact_quantile(df, "x", q) == pytest.approx(float(np.quantile(vals, q)))
