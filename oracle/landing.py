@@ -94,3 +94,85 @@ select 'satisfaction_score' as "check", count(*) filter (where not coalesce(sati
 union all
 select 'load_factor', count(*) filter (where not coalesce(load_factor between 0 and 1.5, false)) from cleaned""",
 }
+
+
+def _pad(prefix, expr, width):
+    s = f"cast({expr} as varchar)"
+    return f"'{prefix}' || case when length({s}) >= {width} then {s} else lpad({s}, {width}, '0') end"
+
+
+LANDING_PAX = f"""
+select {_pad('PAX-', 'passenger_id', 4)} as passenger_id, cast(survey_date as varchar) as survey_date,
+       origin_barangay, ' ' || origin_district as origin_district, destination_type, trip_purpose,
+       {_pad('R', 'primary_route_used', 2)} as primary_route_used,
+       cast(trips_per_week as integer) as trips_per_week, cast(avg_fare_paid_php as double) as avg_fare_paid_php,
+       cast(transfers_required as integer) as transfers_required, cast(wait_time_min as integer) as wait_time_min,
+       cast(travel_time_min as integer) as travel_time_min, cast(satisfaction_score as integer) as satisfaction_score,
+       income_bracket, prefers_aircon, cast(passenger_id % 4 as integer) as _chunk,
+       cast(date_trunc('month', survey_date) as date) as _date
+from survey"""
+PAX_DATA = ["passenger_id", "survey_date", "origin_barangay", "origin_district", "destination_type",
+            "trip_purpose", "primary_route_used", "trips_per_week", "avg_fare_paid_php",
+            "transfers_required", "wait_time_min", "travel_time_min", "satisfaction_score",
+            "income_bracket", "prefers_aircon"]
+PAX_STR = ["passenger_id", "origin_barangay", "origin_district", "destination_type", "trip_purpose",
+           "primary_route_used", "income_bracket"]
+_pax_clean = ", ".join([f"nullif(trim({c}), '') as {c}" for c in PAX_STR]
+                       + ["try_cast(nullif(trim(survey_date), '') as date) as survey_date"]
+                       + [c for c in PAX_DATA if c not in PAX_STR + ["survey_date", "avg_fare_paid_php"]]
+                       + ["case when isnan(avg_fare_paid_php) then null else avg_fare_paid_php end as avg_fare_paid_php",
+                          "_date", "_chunk"])
+PAX_RULES = [r"regexp_matches(passenger_id, '^PAX-\d{4}$')", "satisfaction_score between 1 and 5",
+             "trips_per_week between 0 and 14", "transfers_required between 0 and 3", "wait_time_min >= 0",
+             "travel_time_min > 0", "income_bracket in ('low', 'middle', 'high')",
+             "destination_type in ('work', 'school', 'market', 'hospital', 'mall')",
+             "trip_purpose in ('daily_commute', 'occasional', 'weekend_only')"]
+
+LANDING_AB = f"""
+select {_pad('ABR-', 'event_id', 7)} as experiment_record_id, 'EXP-001' as experiment_id,
+       {_pad('PAX-', 'user_id', 4)} as passenger_id,
+       case when user_id % 2 <> 0 then 'treatment' else 'control' end as "group",
+       case when user_id % 2 <> 0 then 'B_express' else 'A_current' end as route_variant,
+       cast(1 + event_id % 8 as integer) as test_week, value as simulated_travel_time_min,
+       cast(1 + event_id % 5 as integer) as satisfaction_score, cast(event_id % 4 as integer) as transfers_needed,
+       event_type in ('purchase', 'click') as would_use_again,
+       cast(1 + event_id % 8 as integer) as _chunk, cast(date_trunc('month', ts) as date) as _date
+from events"""
+AB_DATA = ["experiment_record_id", "experiment_id", "passenger_id", '"group"', "route_variant", "test_week",
+           "simulated_travel_time_min", "satisfaction_score", "transfers_needed", "would_use_again"]
+AB_STR = ["experiment_record_id", "experiment_id", "passenger_id", '"group"', "route_variant"]
+_ab_clean = ", ".join([f"nullif(trim({c}), '') as {c}" for c in AB_STR]
+                      + [c for c in AB_DATA if c not in AB_STR + ["simulated_travel_time_min"]]
+                      + ["case when isnan(simulated_travel_time_min) then null else simulated_travel_time_min end "
+                         "as simulated_travel_time_min", "_date", "_chunk"])
+AB_RULES_SQL = [r"regexp_matches(experiment_record_id, '^ABR-\d{7}$')", r"regexp_matches(passenger_id, '^PAX-\d{4}$')",
+                "\"group\" in ('control', 'treatment')", "test_week between 1 and 8",
+                "satisfaction_score between 1 and 5", "transfers_needed between 0 and 3",
+                "(\"group\" = 'control' and route_variant = 'A_current') or (\"group\" = 'treatment' and route_variant = 'B_express')"]
+
+
+def _ok(rules):
+    return " and ".join(f"coalesce({r}, false)" for r in rules)
+
+
+ORDERED = with_clause("survey", extra=[
+    ("lp", LANDING_PAX),
+    ("lp_dedup", f"select {', '.join(PAX_DATA)}, min(_date) as _date, min(_chunk) as _chunk from lp group by all"),
+    ("lp_clean", f"select {_pax_clean} from lp_dedup"),
+    ("lp_valid", f"select * from lp_clean where {_ok(PAX_RULES)}"),
+    ("passengers", "select * exclude (rn) from (select *, row_number() over (partition by passenger_id "
+                   "order by _date, _chunk, survey_date, origin_district, satisfaction_score) as rn from lp_valid) where rn = 1"),
+    ("le", LANDING_AB),
+    ("le_dedup", f"select {', '.join(AB_DATA)}, min(_date) as _date, min(_chunk) as _chunk from le group by all"),
+    ("le_clean", f"select {_ab_clean} from le_dedup"),
+    ("le_valid", f"select * from le_clean v where {_ok(AB_RULES_SQL)} "
+                 "and exists (select 1 from passengers p where p.passenger_id = v.passenger_id)"),
+    ("experiment", "select * exclude (rn) from (select *, row_number() over (partition by experiment_record_id "
+                   "order by _date, _chunk, test_week, satisfaction_score, simulated_travel_time_min) as rn "
+                   "from le_valid) where rn = 1"),
+])
+
+SQL.update({
+    "ingest_passengers": ORDERED + "select * from passengers",
+    "ingest_experiment": ORDERED + "select * from experiment",
+})

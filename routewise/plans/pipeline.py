@@ -51,8 +51,21 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         rows, rejected = L.ingest_trips(landing)
         K.write_table(rows, f"{out}/raw/trips", ["trip_id"])
         K.write_table(rejected, f"{out}/quarantine/trips")
+        # C11: parents before children; the experiment's orphan filter reads
+        # the passengers table just written
+        loaded = L.ingest_ordered(E)
+        K.write_table(loaded["passengers"], f"{out}/raw/passengers", ["passenger_id"])
+        pax = rd(f"{out}/raw/passengers")
+        from ..operators.validation import ab_rules
+        ab_all = [("record_id_pattern", F.col("experiment_record_id").rlike(r"^ABR-\d{7}$")),
+                  ("passenger_id_pattern", F.col("passenger_id").rlike(r"^PAX-\d{4}$"))] + ab_rules()
+        exp_rows, _ = L.ingest_entity(L.landing_experiment(E), "experiment_record_id", L.EXPERIMENT_ORDER,
+                                      ab_all, parent=("passenger_id", pax, "passenger_id"))
+        K.write_table(exp_rows, f"{out}/raw/ab_experiment", ["experiment_record_id"])
     step("ingest", land)
     paths["raw_trips"] = f"{out}/raw/trips"
+    paths["raw_passengers"] = f"{out}/raw/passengers"
+    paths["raw_ab_experiment"] = f"{out}/raw/ab_experiment"
 
     # 2. marts from the entity views; intermediate M01/M02 feed two marts
     def marts():

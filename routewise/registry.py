@@ -264,3 +264,9 @@ REGISTRY.update({
     "sql_parquet_regions": lambda spark, sf_dir: query_parquet(
         spark, f"{sf_dir.rstrip('/')}/region.parquet", "r_regionkey >= 0"),
 })
+
+
+REGISTRY.update({
+    "ingest_passengers": _q(lambda E: L.ingest_ordered(E)["passengers"]),
+    "ingest_experiment": _q(lambda E: L.ingest_ordered(E)["experiment"]),
+})

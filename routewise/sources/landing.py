@@ -208,3 +208,82 @@ def ingest_receipt(landing: DataFrame, entity: str) -> DataFrame:
     """Rows landed per partition date (entity, date, rows)."""
     return landing.groupBy(F.col("_date").alias("partition_date")).agg(
         F.count(F.lit(1)).alias("rows_written")).select(F.lit(entity).alias("entity"), "*")
+
+
+# -- other entities: passengers (parent) and experiment rows (child) -----------
+PASSENGER_ORDER = ["survey_date", "origin_district", "satisfaction_score"]
+EXPERIMENT_ORDER = ["test_week", "satisfaction_score", "simulated_travel_time_min"]
+
+
+def landing_passengers(E: Entities) -> DataFrame:
+    """Survey payloads: PAX codes (4 digits by contract; longer ids fail the
+    pattern rule and are quarantined), ISO dates, padded district names;
+    chunk = id mod 4, landing partition = survey month."""
+    s = E.survey()
+    return s.select(
+        C.zero_pad("PAX-", F.col("passenger_id"), 4).alias("passenger_id"),
+        F.col("survey_date").cast("string").alias("survey_date"),
+        "origin_barangay",
+        F.concat(F.lit(" "), F.col("origin_district")).alias("origin_district"),
+        "destination_type", "trip_purpose",
+        C.zero_pad("R", F.col("primary_route_used"), 2).alias("primary_route_used"),
+        F.col("trips_per_week").cast("int").alias("trips_per_week"),
+        F.col("avg_fare_paid_php").cast("double").alias("avg_fare_paid_php"),
+        F.col("transfers_required").cast("int").alias("transfers_required"),
+        F.col("wait_time_min").cast("int").alias("wait_time_min"),
+        F.col("travel_time_min").cast("int").alias("travel_time_min"),
+        F.col("satisfaction_score").cast("int").alias("satisfaction_score"),
+        "income_bracket", "prefers_aircon",
+        (F.col("passenger_id") % 4).cast("int").alias("_chunk"),
+        F.to_date(F.date_trunc("month", F.col("survey_date"))).alias("_date"),
+    )
+
+
+def landing_experiment(E: Entities) -> DataFrame:
+    """Experiment payloads from the events: record and passenger codes,
+    chunk = week, landing partition = event month."""
+    e = E.t("events")
+    treat = F.col("user_id") % 2 != 0
+    return e.select(
+        C.zero_pad("ABR-", F.col("event_id"), 7).alias("experiment_record_id"),
+        F.lit("EXP-001").alias("experiment_id"),
+        C.zero_pad("PAX-", F.col("user_id"), 4).alias("passenger_id"),
+        F.when(treat, "treatment").otherwise("control").alias("group"),
+        F.when(treat, "B_express").otherwise("A_current").alias("route_variant"),
+        (F.lit(1) + F.col("event_id") % 8).cast("int").alias("test_week"),
+        F.col("value").alias("simulated_travel_time_min"),
+        (F.lit(1) + F.col("event_id") % 5).cast("int").alias("satisfaction_score"),
+        (F.col("event_id") % 4).cast("int").alias("transfers_needed"),
+        F.col("event_type").isin("purchase", "click").alias("would_use_again"),
+        (F.lit(1) + F.col("event_id") % 8).cast("int").alias("_chunk"),
+        F.to_date(F.date_trunc("month", F.col("ts"))).alias("_date"),
+    )
+
+
+def ingest_entity(landing: DataFrame, key: str, order: list[str], rules,
+                  target: DataFrame | None = None, dates=(),
+                  parent: tuple[str, DataFrame, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """C12 for any entity: dedupe, clean, validate (quarantine), optional
+    orphan filter against an already-loaded parent (C06), first writer per
+    key, minus keys already in the target (S05)."""
+    from ..operators.validation import split_valid
+    cleaned = nan_to_null(coerce(clean_strings(drop_full_duplicates(landing)), dates=list(dates)))
+    valid, rejected = split_valid(cleaned, rules)
+    if parent is not None:
+        fk, parent_df, pk = parent
+        valid = drop_fk_orphans(valid, fk, parent_df, pk)
+    return insert_if_absent(valid, target, key, order), rejected
+
+
+def ingest_ordered(E: Entities) -> dict[str, DataFrame]:
+    """C11: parents first, the experiment in a second phase whose orphan
+    filter reads the passengers just loaded."""
+    from ..operators.validation import ab_rules, survey_rules
+    pax_rules = [("passenger_id_pattern", F.col("passenger_id").rlike(r"^PAX-\d{4}$"))] + survey_rules()
+    passengers, _ = ingest_entity(landing_passengers(E), "passenger_id", PASSENGER_ORDER, pax_rules,
+                                  dates=["survey_date"])
+    ab = [("record_id_pattern", F.col("experiment_record_id").rlike(r"^ABR-\d{7}$")),
+          ("passenger_id_pattern", F.col("passenger_id").rlike(r"^PAX-\d{4}$"))] + ab_rules()
+    experiment, _ = ingest_entity(landing_experiment(E), "experiment_record_id", EXPERIMENT_ORDER, ab,
+                                  parent=("passenger_id", passengers, "passenger_id"))
+    return {"passengers": passengers, "experiment": experiment}
