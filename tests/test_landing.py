@@ -108,3 +108,12 @@ def test_streaming_multi_trigger_loads_each_key_once(spark):
     keys = streamed.select("trip_id")
     assert keys.exceptAll(batch.select("trip_id")).count() == 0
     assert batch.select("trip_id").exceptAll(keys).count() == 0
+
+
+def test_orphan_report_first_missing_keys(spark):
+    parent = spark.createDataFrame([(k,) for k in range(0, 100, 2)], "pid int")   # even ids exist
+    child = spark.createDataFrame([(k,) for k in range(1, 60)] + [(7,), (7,), (None,)], "pid int")
+    rep = L.orphan_report(child, "pid", parent, "pid", k=3).orderBy("pid").collect()
+    assert [(r.pid, r.orphan_rows) for r in rep] == [(1, 1), (3, 1), (5, 1)]
+    odd = sum(1 for k in range(1, 60) if k % 2) + 2
+    assert {r.total_orphan_rows for r in rep} == {odd}
