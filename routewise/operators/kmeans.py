@@ -164,3 +164,21 @@ def predict(df: DataFrame, cols: list[str], centers: np.ndarray, out: str = "raw
             yield pdf.assign(**{out: D.argmin(1).astype("int32")})
 
     return df.mapInPandas(fn, T.StructType(fields))
+
+
+def predict_many(df: DataFrame, cols: list[str], centers: dict[str, np.ndarray]) -> DataFrame:
+    """Labels for several centre sets in one pass (one column per set)."""
+    bc = df.sparkSession.sparkContext.broadcast(centers)
+    fields = df.schema.fields + [T.StructField(n, T.IntegerType()) for n in centers]
+
+    def fn(it):
+        cs = bc.value
+        for pdf in it:
+            X = pdf[cols].to_numpy(float)
+            out = {}
+            for name, C in cs.items():
+                D = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
+                out[name] = D.argmin(1).astype("int32")
+            yield pdf.assign(**out)
+
+    return df.mapInPandas(fn, T.StructType(fields))

@@ -102,11 +102,9 @@ class Segmentation:
     def silhouette(self, sample_size: int = K.SILHOUETTE_SAMPLE) -> DataFrame:
         sample = seeded_sample(self.X, sample_size, "passenger_id", self.seed)
         sample = sample.withColumn("_sid", F.col("passenger_id").cast("long"))
-        lab_cols = []
-        for k in self.k_range:
-            b = KM.best(self.diagnostics_runs(), k)
-            sample = KM.predict(sample, SCALED, b.centers, f"k{k}")
-            lab_cols.append(f"k{k}")
+        centers = {f"k{k}": KM.best(self.diagnostics_runs(), k).centers for k in self.k_range}
+        sample = KM.predict_many(sample, SCALED, centers)
+        lab_cols = list(centers)
         s = CL.silhouette_on_sample(sample, SCALED, lab_cols)
         return (s.groupBy("labeling").agg(F.avg("s").alias("silhouette_score"))
                  .select(F.expr("cast(substring(labeling, 2) as int)").alias("k"), "silhouette_score"))

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..operators.dims import bounded_broadcast
 from .standin import Entities
 
 LINEAGE = ["_date", "_chunk"]
@@ -55,7 +54,7 @@ def landing_trips(E: Entities) -> DataFrame:
     partition = month of the ship date (the batch that delivered the trip).  Duplicate (order, line) pairs in lineitem become duplicate
     trip keys, which the key rule must resolve."""
     li = E.t("lineitem")
-    s = bounded_broadcast(E.t("supplier").select("s_suppkey", "s_nationkey"))
+    s = E._supplier_route  # size-checked once per entity set
     ln = F.col("l_linenumber")
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
     period = (F.when(rf == "A", " AM_peak").when((rf == "N") & (ls == "O"), "PM_peak ")

@@ -87,6 +87,7 @@ class Entities:
             (F.col("c_acctbal") > 0).alias("is_compliant_puv"),
         )
 
+    @cached_property
     def _supplier_route(self) -> DataFrame:
         # supplier -> route key; small projection (16 bytes/row) broadcast
         # only while its row count is proven bounded.
@@ -94,7 +95,7 @@ class Entities:
 
     def trips(self) -> DataFrame:
         li = self.t("lineitem")
-        s = self._supplier_route()
+        s = self._supplier_route
         ln = F.col("l_linenumber")
         rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
         period = (F.when(rf == "A", "AM_peak")
