@@ -188,7 +188,7 @@ _SEGMENTATIONS: dict = {}
 def _seg(E) -> "G.Segmentation":
     """One fitted segmentation per (session, input), reused across queries
     the way a persisted model artefact (S21) is."""
-    key = (id(E.spark), E.sf_dir)
+    key = (E.spark.sparkContext.applicationId, E.sf_dir)
     if key not in _SEGMENTATIONS:
         _SEGMENTATIONS[key] = G.Segmentation(E)
     return _SEGMENTATIONS[key]
