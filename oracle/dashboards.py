@@ -102,13 +102,15 @@ from mart_route_summary""",
 select route_id, route_name, trip_date, total_passengers,
        {rnum('avg(total_passengers) over (partition by route_id order by trip_date rows between 2 preceding and current row)', 6)} as passengers_smoothed
 from mart_route_summary""",
-    "revenue_series": SUMMARY + f"""
-, d as (select trip_date, cast(sum(cast(total_revenue_php as decimal(18,2))) as double) as revenue
+    "revenue_series": SUMMARY + """
+, d as (select trip_date, cast(sum(cast(total_revenue_php as decimal(18,2))) * 100 as bigint) as rc
         from mart_route_summary group by trip_date),
-s as (select trip_date, avg(revenue) over (order by trip_date rows between 2 preceding and current row) as revenue from d)
-select trip_date, {rnum('revenue', 2)} as revenue,
-       {rnum('avg(revenue) over (order by trip_date rows between 6 preceding and current row)', 2)} as revenue_7d
-from s""",
+s as (select trip_date, sum(rc) over (order by trip_date rows between 2 preceding and current row) as s3,
+             count(*) over (order by trip_date rows between 2 preceding and current row) as n3 from d),
+s2 as (select trip_date, (2 * s3 + n3) // (2 * n3) as sm from s),
+s7 as (select trip_date, sm, sum(sm) over (order by trip_date rows between 6 preceding and current row) as t7,
+              count(*) over (order by trip_date rows between 6 preceding and current row) as n7 from s2)
+select trip_date, sm / 100.0 as revenue, ((2 * t7 + n7) // (2 * n7)) / 100.0 as revenue_7d from s7""",
     "route_weekday_heatmap": SUMMARY + ", hm as (select *, dayname(trip_date) as day_of_week from mart_route_summary) "
         + _pivot("hm", "route_id", "total_passengers"),
     "district_series": DISTRICT + "select trip_date, district, total_boardings from mart_district_ridership",

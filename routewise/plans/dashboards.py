@@ -178,16 +178,19 @@ def route_rolling_series(summary: DataFrame, smooth: int = 3, **flt) -> DataFram
 
 def revenue_series(summary: DataFrame, smooth: int = 3, **flt) -> DataFrame:
     """Global daily revenue, optional n-row mean, then a 7-row mean
-    of that series.  The series is one row per date, so the single-partition
-    window sees dates, not trips."""
+    of that series.  Money stays decimal and each smoothed stage is rounded
+    half-up to cents, so ties (e.g. a 2-row mean ending in .5 cent) round
+    the same way at any magnitude.  One row per date, so the
+    single-partition window sees dates, not trips."""
     f = filter_routes(summary, **flt)
     daily = f.groupBy("trip_date").agg(
-        F.sum(F.col("total_revenue_php").cast("decimal(18,2)")).cast("double").alias("revenue"))
+        F.sum(F.col("total_revenue_php").cast("decimal(18,2)")).alias("revenue"))
     if smooth > 1:
         daily = W.rolling_mean(daily, [], "trip_date", "revenue", smooth, "revenue")
+        daily = daily.withColumn("revenue", F.round("revenue", 2))
     out = W.rolling_mean(daily, [], "trip_date", "revenue", 7, "revenue_7d")
-    return out.select("trip_date", F.round("revenue", 2).alias("revenue"),
-                      F.round("revenue_7d", 2).alias("revenue_7d"))
+    return out.select("trip_date", F.round("revenue", 2).cast("double").alias("revenue"),
+                      F.round("revenue_7d", 2).cast("double").alias("revenue_7d"))
 
 
 def route_weekday_heatmap(summary: DataFrame, **flt) -> DataFrame:
