@@ -1,8 +1,8 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
 Tokens are runs of letters and digits.  Labelled documents give labelled tokens: a
-word of the induced lexicon (frequent in many different contexts of toxic documents,
-rare in clean ones) is toxic inside a toxic document; every other token is clean,
+word of the induced lexicon (words and word beginnings frequent in many different
+contexts of toxic documents, rare in clean ones) is toxic inside a toxic document; every other token is clean,
 lexicon words of clean documents included.  The two-tag chain has a weight for each
 lexicon word, for the strength class of the neighbouring words, for tag changes and
 for the first tag, fitted by gradient steps on the exact log-likelihood.
@@ -37,12 +37,15 @@ from routewise.llm import textblocks as tb
 from routewise.llm.common import held_out, prepare
 
 THRESHOLD = 0.3
-MAX_LABELLED = 10_000
+MAX_LABELLED = 20_000
 MAX_LEXICON = 4096
 TRAIN_TOKENS = 256
 FLOOR = 0.05
 LEAST_ODDS = 2.0
 N_CLASSES = 5
+MAX_KEYS = 1 << 18
+#: Bytes of the word beginnings that the lexicon may hold besides words.
+PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 BLOCK = 64
 
 
@@ -145,51 +148,116 @@ def fit(ids: np.ndarray, begins: np.ndarray, y: np.ndarray, classes: np.ndarray,
 
 
 # ---- lexicon and training tokens -----------------------------------------------------------------
-def _words(docs: DataFrame) -> DataFrame:
-    """(y, doc, w, ctx): distinct words of labelled documents with a hash of the neighbours."""
+def keys_of(buf: np.ndarray, offs: np.ndarray):
+    """Tokens of a buffer as (hash and token index of the words and of their first k
+    bytes for each k of PREFIXES, one array pair a kind), word hashes, starts, ends,
+    row_word.  A prefix's hash is salted with its length."""
+    starts, ends, row_word = tb.word_spans(buf, offs, tb.ALNUM)
+    run = tb.prefix_hash(buf)
+    words = tb.span_hash(run, starts, ends)
+    kinds = [(words, np.arange(len(words)))]
+    for k in PREFIXES:
+        long = np.flatnonzero(ends - starts > k)
+        kinds.append((tb.span_hash(run, starts[long], starts[long] + k) ^ tb.U64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1), long))
+    return kinds, words, starts, ends, row_word
+
+
+def _toxic_keys(docs: DataFrame) -> DataFrame:
+    """(w, ctx): each toxic document's keys, with a hash of the words around the first
+    sighting; documents that copy each other give the same rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
-                h, _, _, row_word = tb.word_hashes(buf, offs, tb.ALNUM)
+                kinds, h, _, _, row_word = keys_of(buf, offs)
+                row = np.repeat(np.arange(hi - lo), np.diff(row_word))
                 ctx = np.append(tb.U64(0), h[:-1]) ^ (np.append(h[1:], tb.U64(0)) * tb.U64(3))
+                for w, at in kinds:
+                    order = np.lexsort((w, row[at]))  # stable: a document's first sighting leads
+                    new = np.ones(len(w), bool)
+                    new[1:] = (w[order][1:] != w[order][:-1]) | (row[at][order][1:] != row[at][order][:-1])
+                    first = order[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(ctx[at[first]].view(np.int64))], names=["w", "ctx"])
+
+    return docs.where("y = 1").select("doc_id", "text").mapInArrow(run, "w long, ctx long")
+
+
+def _clean_counts(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """(w, c): clean documents that hold a key, summed within each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(keys), np.int64)
+        for b in batches:
+            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+                kinds, _, _, _, row_word = keys_of(buf, offs)
                 row = np.repeat(np.arange(hi - lo), np.diff(row_word))
-                order = np.lexsort((h, row))
-                new = np.ones(len(h), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-                at = order[new]
-                y = b.column(2).to_numpy(zero_copy_only=False)[lo:hi][row[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(ctx[at].view(np.int64))], names=["y", "w", "ctx"])
+                for w, at in kinds:
+                    place = find(w, keys)
+                    some = np.flatnonzero(place)
+                    total += np.bincount(np.unique(row[at[some]] * len(keys) + place[some] - 1) % len(keys), minlength=len(keys))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], names=["w", "c"])
 
-    return docs.select("doc_id", "text", "y").mapInArrow(run, "y int, w long, ctx long")
+    return docs.where("y = 0").select("doc_id", "text").mapInArrow(run, "w long, c long")
 
 
 def lexicon(docs: DataFrame, max_lexicon: int) -> list:
-    """(word hash, lower bound of the log odds) of the words that mark toxic documents:
-    seen in at least 5 different contexts of toxic documents (copies share their
-    contexts and count once), and there over-represented.  At most max_lexicon."""
-    spark = docs.sparkSession
+    """(key, lower bound of the log odds) of the words and word beginnings that mark
+    toxic documents: seen in at least 5 different contexts of toxic documents (copies
+    share their contexts and count once), and there over-represented.  At most
+    max_lexicon, out of the MAX_KEYS most frequent in toxic documents."""
     n = {r["y"]: r["n"] for r in docs.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
         return []
     clean, toxic = n.get(0, 0) + 1.0, n[1] + 1.0
     # contexts first, so that a word of a third of all documents is combined before the shuffle
-    per = (_words(docs).groupBy("w", "ctx").agg(F.max("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-           .groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 5"))
+    seen = (_toxic_keys(docs).distinct().groupBy("w").agg(F.count("*").alias("t")).where("t >= 5")
+            .orderBy(F.desc("t"), "w").limit(MAX_KEYS).checkpoint())
+    keys = np.sort(np.array([r["w"] for r in seen.select("w").collect()], np.int64).view(np.uint64))
+    if len(keys) == 0:
+        return []
+    per = seen.join(_clean_counts(docs, keys).groupBy("w").agg(F.sum("c").alias("c")), "w", "left").fillna(0, ["c"])
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     # two standard errors below the estimate, so that a few chance sightings don't count
     odds = F.log(t / F.lit(toxic)) - F.log(c / F.lit(clean)) - 2 * F.sqrt(1 / t + 1 / c)
     return per.select("w", odds.alias("o")).where(F.col("o") > LEAST_ODDS).orderBy(F.desc("o"), "w").limit(max_lexicon).collect()
 
 
-def _sequences(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+def find(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places (1 on, 0 for none) of hashes in the sorted keys."""
+    out = np.zeros(len(h), np.int64)
+    if len(keys):
+        # most are none: a bitmap of the hashes' low bits leaves few to search
+        low = np.zeros(1 << 16, bool)
+        low[keys & tb.U64(0xFFFF)] = True
+        maybe = np.flatnonzero(low[h & tb.U64(0xFFFF)])
+        at = np.searchsorted(keys, h[maybe])
+        at[at == len(keys)] = 0
+        out[maybe] = np.where(keys[at] == h[maybe], at + 1, 0)
+    return out
+
+
+def lookup(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, odds: np.ndarray):
+    """Each token's place in the lexicon: that of the strongest of its keys, 0 for
+    none; row_word, starts, ends."""
+    kinds, words, starts, ends, row_word = keys_of(buf, offs)
+    ids = np.zeros(len(words), np.int64)
+    for h, at in kinds:
+        place = find(h, keys)
+        some = np.flatnonzero(place)
+        tok, new = at[some], place[some]
+        ids[tok] = np.where(odds[new] > odds[ids[tok]], new, ids[tok])
+    return ids, row_word, starts, ends
+
+
+def _sequences(docs: DataFrame, keys: np.ndarray, odds: np.ndarray) -> DataFrame:
     """(doc_id, y, ids): up to TRAIN_TOKENS tokens of each document, those around
     lexicon words first, as lexicon places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
-                ids, row_word = lookup(buf, offs, keys)[:2]
+                ids, row_word = lookup(buf, offs, keys, odds)[:2]
                 out = []
                 for a, z in zip(row_word[:-1], row_word[1:]):
                     x = ids[a:z]
@@ -201,21 +269,6 @@ def _sequences(docs: DataFrame, keys: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids array<int>")
 
 
-def lookup(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray):
-    """Lexicon places (1 on, 0 for none) of all tokens; row_word, starts, ends."""
-    h, starts, ends, row_word = tb.word_hashes(buf, offs, tb.ALNUM)
-    ids = np.zeros(len(h), np.int64)
-    if len(keys):
-        # most words are none: a bitmap of the hashes' low bits leaves few to search
-        low = np.zeros(1 << 16, bool)
-        low[keys & tb.U64(0xFFFF)] = True
-        maybe = np.flatnonzero(low[h & tb.U64(0xFFFF)])
-        at = np.searchsorted(keys, h[maybe])
-        at[at == len(keys)] = 0
-        ids[maybe] = np.where(keys[at] == h[maybe], at + 1, 0)
-    return ids, row_word, starts, ends
-
-
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> dict:
     prepare(docs.sparkSession)
     picked = (labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -226,17 +279,52 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     keys = np.array([w for w, _ in words], np.uint64)
     odds = np.array([0.0] + [o for _, o in words])
     classes = np.minimum(np.ceil(odds), N_CLASSES - 1).astype(np.int64)
-    empty = {"word": np.full(len(odds), -50.0), "left": np.zeros(N_CLASSES), "right": np.zeros(N_CLASSES), "trans": np.zeros(4), "start": np.zeros(2)}
+    empty = {"word": np.full(len(odds), -50.0), "left": np.zeros(N_CLASSES), "right": np.zeros(N_CLASSES), "trans": np.zeros(4), "start": np.zeros(2), "doc": np.zeros(4)}
     if len(keys) == 0:
-        return {"keys": keys, "classes": classes, **empty}
-    rows = sorted(_sequences(sample, keys).collect(), key=lambda r: (r["doc_id"], r["ids"]))
+        return {"keys": keys, "odds": odds, "classes": classes, **empty}
+    rows = sorted(_sequences(sample, keys, odds).collect(), key=lambda r: (r["doc_id"], r["ids"]))
     ids = np.array([i for r in rows for i in r["ids"]], np.int64)
     n = np.array([len(r["ids"]) for r in rows])
     toxic = np.repeat([r["y"] for r in rows], n)
     begins = np.zeros(len(ids), bool)
     begins[(np.cumsum(n) - n)[n > 0]] = True
     y = ((ids > 0) & (toxic == 1)).astype(np.int64)
-    return {"keys": keys, "classes": classes, **fit(ids, begins, y, classes)}
+    model = {"keys": keys, "odds": odds, "classes": classes, **fit(ids, begins, y, classes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+                x = marginals(buf, offs, model)[0]
+                yield pa.RecordBatch.from_arrays([b.column(2).slice(lo, hi - lo), *(pa.array(c) for c in x.T)], names=["y", "a", "b", "c"])
+
+    # bounded by max_labelled rows of four numbers
+    got = np.array(sorted(tuple(r) for r in sample.mapInArrow(run, "y int, a double, b double, c double").collect()), float)
+    return {**model, "doc": fit_documents(got[:, 1:], got[:, 0])}
+
+
+def fit_documents(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+    """Logistic weights, the intercept last."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+    return w
+
+
+def marginals(buf: np.ndarray, offs: np.ndarray, model: dict):
+    """Document features, marginal of each token, its row, begins, starts, ends."""
+    n = len(offs) - 1
+    ids, row_word, starts, ends = lookup(buf, offs, model["keys"], model["odds"])
+    begins = np.zeros(len(ids), bool)
+    begins[row_word[:-1][np.diff(row_word) > 0]] = True
+    row = np.repeat(np.arange(n), np.diff(row_word))
+    m, _ = forward_backward(emissions(ids, begins, model["classes"], model), begins, model["trans"].reshape(2, 2), model["start"])
+    keep = np.flatnonzero(m >= FLOOR)
+    some = np.abs(np.expm1(np.bincount(row[keep], np.log1p(-np.minimum(m[keep], 1 - 1e-12)), minlength=n)))
+    number = np.bincount(row[keep], m[keep], minlength=n)
+    share = 1000 * number / np.maximum(np.diff(row_word), 1)
+    return np.column_stack([some, np.log1p(number), np.log1p(share)]), m, row, begins, starts, ends
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -247,14 +335,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
-                ids, row_word, starts, ends = lookup(buf, offs, model["keys"])
                 n = hi - lo
-                begins = np.zeros(len(ids), bool)
-                begins[row_word[:-1][np.diff(row_word) > 0]] = True
-                row = np.repeat(np.arange(n), np.diff(row_word))
-                m, _ = forward_backward(emissions(ids, begins, model["classes"], model), begins, model["trans"].reshape(2, 2), model["start"])
-                keep = np.flatnonzero(m >= FLOOR)
-                p = np.abs(np.expm1(np.bincount(row[keep], np.log1p(-np.minimum(m[keep], 1 - 1e-12)), minlength=n)))
+                x, m, row, begins, starts, ends = marginals(buf, offs, model)
+                p = np.where(x[:, 0] > 0, 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(n)]) @ model["doc"], -500, 500))), 0.0)
                 hit = np.flatnonzero(m >= 0.5)
                 spans, count = [""] * n, np.zeros(n, np.int64)
                 if len(hit):
