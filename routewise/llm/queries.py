@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewise.llm import pfor_blocks, quality_bt, secret_entropy, toxicity_crf
+from routewise.llm import pfor_blocks, pii_bootstrap, quality_bt, secret_entropy, toxicity_crf
 from routewise.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op2_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_entropy.digest(secret_entropy.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.digest(pii_bootstrap.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_bt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_bt.score(docs, quality_bt.train(docs, table(spark, sf_dir, "labels")))
@@ -34,5 +38,5 @@ def op7_pfor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_blocks.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op5_quality_bt, op7_pfor_blocks)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op3_pii_bootstrap, op5_quality_bt, op7_pfor_blocks)}
 ORACLE_SQL: dict[str, str] = {"op2_secret_entropy": secret_entropy.oracle_sql()}
