@@ -139,7 +139,7 @@ def ngram_hashes(words: np.ndarray, row_word: np.ndarray, n: int):
     if k <= 0:
         z = np.zeros(0, np.int64)
         return z.astype(U64), z, z
-    h = np.full(k, U64(n) * _GOLD)
+    h = np.full(k, n * int(_GOLD) & (1 << 64) - 1, U64)
     for i in range(n):
         h = (h ^ words[i:i + k]) * U64(0xD6E8FEB86659FD93)
         h ^= h >> U64(32)
@@ -148,6 +148,20 @@ def ngram_hashes(words: np.ndarray, row_word: np.ndarray, n: int):
     return mix(h[keep]), row[keep], keep
 
 
+def find(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places (1 on, 0 for none) of hashes in the sorted distinct keys."""
+    out = np.zeros(len(h), np.int64)
+    if len(keys):
+        # most are none: a bitmap of the hashes' low bits leaves few to search
+        low = np.zeros(1 << 16, bool)
+        low[keys & U64(0xFFFF)] = True
+        maybe = np.flatnonzero(low[h & U64(0xFFFF)])
+        at = np.searchsorted(keys, h[maybe])
+        at[at == len(keys)] = 0
+        out[maybe] = np.where(keys[at] == h[maybe], at + 1, 0)
+    return out
+
+
 def char_index(buf: np.ndarray, offs: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Code-point positions within their rows of byte positions."""
     lead = np.zeros(len(buf) + 1, np.int64)

@@ -192,7 +192,7 @@ def _clean_counts(docs: DataFrame, keys: np.ndarray) -> DataFrame:
                 kinds, _, _, _, row_word = keys_of(buf, offs)
                 row = np.repeat(np.arange(hi - lo), np.diff(row_word))
                 for w, at in kinds:
-                    place = find(w, keys)
+                    place = tb.find(w, keys)
                     some = np.flatnonzero(place)
                     total += np.bincount(np.unique(row[at[some]] * len(keys) + place[some] - 1) % len(keys), minlength=len(keys))
         some = np.flatnonzero(total)
@@ -223,27 +223,13 @@ def lexicon(docs: DataFrame, max_lexicon: int) -> list:
     return per.select("w", odds.alias("o")).where(F.col("o") > LEAST_ODDS).orderBy(F.desc("o"), "w").limit(max_lexicon).collect()
 
 
-def find(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places (1 on, 0 for none) of hashes in the sorted keys."""
-    out = np.zeros(len(h), np.int64)
-    if len(keys):
-        # most are none: a bitmap of the hashes' low bits leaves few to search
-        low = np.zeros(1 << 16, bool)
-        low[keys & tb.U64(0xFFFF)] = True
-        maybe = np.flatnonzero(low[h & tb.U64(0xFFFF)])
-        at = np.searchsorted(keys, h[maybe])
-        at[at == len(keys)] = 0
-        out[maybe] = np.where(keys[at] == h[maybe], at + 1, 0)
-    return out
-
-
 def lookup(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, odds: np.ndarray):
     """Each token's place in the lexicon: that of the strongest of its keys, 0 for
     none; row_word, starts, ends."""
     kinds, words, starts, ends, row_word = keys_of(buf, offs)
     ids = np.zeros(len(words), np.int64)
     for h, at in kinds:
-        place = find(h, keys)
+        place = tb.find(h, keys)
         some = np.flatnonzero(place)
         tok, new = at[some], place[some]
         ids[tok] = np.where(odds[new] > odds[ids[tok]], new, ids[tok])
