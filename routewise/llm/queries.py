@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewise.llm import decontam_sw, pfor_blocks, pii_bootstrap, quality_bt, secret_entropy, toxicity_crf
+from routewise.llm import decontam_sw, embed_lsh, pfor_blocks, pii_bootstrap, quality_bt, secret_entropy, toxicity_crf
 from routewise.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,5 +42,9 @@ def op7_pfor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_blocks.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op3_pii_bootstrap, op5_quality_bt, op6_decontam_sw, op7_pfor_blocks)}
+def op9_embed_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op3_pii_bootstrap, op5_quality_bt, op6_decontam_sw, op7_pfor_blocks, op9_embed_lsh)}
 ORACLE_SQL: dict[str, str] = {"op2_secret_entropy": secret_entropy.oracle_sql()}
