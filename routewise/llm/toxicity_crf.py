@@ -16,7 +16,8 @@ in one array, a text's first step forgets what is before it, and the products ru
 blocks, so the work is a few vector operations a token at any mix of text lengths.
 
 The fit takes a bounded sample: max_labelled labelled documents of the learning folds
-with the smallest hash of their id, max_lexicon words, TRAIN_TOKENS tokens a document.
+with the smallest hash of their id, max_lexicon words, and of each document TRAIN_TOKENS
+tokens around lexicon words or, where it has none, PLAIN_TOKENS.
 Word counts are aggregated in Spark; scoring is one pass without a shuffle.
 
 Defined cases: a null or empty text scores 0; repeated ids get a row each; labels that
@@ -39,7 +40,8 @@ from routewise.llm.common import held_out, prepare
 THRESHOLD = 0.3
 MAX_LABELLED = 20_000
 MAX_LEXICON = 4096
-TRAIN_TOKENS = 256
+TRAIN_TOKENS = 48
+PLAIN_TOKENS = 8
 FLOOR = 0.05
 LEAST_ODDS = 2.0
 N_CLASSES = 5
@@ -213,7 +215,7 @@ def lexicon(docs: DataFrame, max_lexicon: int) -> list:
     # contexts first, so that a word of a third of all documents is combined before the shuffle
     seen = (_toxic_keys(docs).distinct().groupBy("w").agg(F.count("*").alias("t")).where("t >= 5")
             .orderBy(F.desc("t"), "w").limit(MAX_KEYS).checkpoint())
-    keys = np.sort(np.array([r["w"] for r in seen.select("w").collect()], np.int64).view(np.uint64))
+    keys = np.sort(seen.select("w").toArrow().column(0).to_numpy().view(np.uint64))
     if len(keys) == 0:
         return []
     per = seen.join(_clean_counts(docs, keys).groupBy("w").agg(F.sum("c").alias("c")), "w", "left").fillna(0, ["c"])
@@ -237,8 +239,8 @@ def lookup(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, odds: np.ndarray
 
 
 def _sequences(docs: DataFrame, keys: np.ndarray, odds: np.ndarray) -> DataFrame:
-    """(doc_id, y, ids): up to TRAIN_TOKENS tokens of each document, those around
-    lexicon words first, as lexicon places."""
+    """(doc_id, y, ids): tokens of each document as lexicon places: TRAIN_TOKENS of
+    those around lexicon words, or PLAIN_TOKENS where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,8 +250,7 @@ def _sequences(docs: DataFrame, keys: np.ndarray, odds: np.ndarray) -> DataFrame
                 for a, z in zip(row_word[:-1], row_word[1:]):
                     x = ids[a:z]
                     near = np.convolve(x > 0, np.ones(9), "same") > 0 if len(x) >= 9 else np.ones(len(x), bool)
-                    x = x[near] if near.any() else x
-                    out.append(x[:TRAIN_TOKENS].tolist())
+                    out.append((x[near][:TRAIN_TOKENS] if (x > 0).any() else x[:PLAIN_TOKENS]).tolist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "y", "ids"])
 
     return docs.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids array<int>")
