@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewise.llm import decontam_sw, embed_lsh, pfor_blocks, pii_bootstrap, quality_bt, secret_entropy, toxicity_crf
+from routewise.llm import decontam_sw, embed_lsh, pfor_blocks, pii_bootstrap, quality_bt, secret_entropy, toxicity_crf, warc_merkle
 from routewise.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,11 @@ def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.digest(pii_bootstrap.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc_merkle.audit(pages, warc_merkle.aged_copy(pages), "page_id", ["url", "html"]).withColumnRenamed("offset", "page_id")
+
+
 def op5_quality_bt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_bt.score(docs, quality_bt.train(docs, table(spark, sf_dir, "labels")))
@@ -46,5 +51,8 @@ def op9_embed_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op3_pii_bootstrap, op5_quality_bt, op6_decontam_sw, op7_pfor_blocks, op9_embed_lsh)}
-ORACLE_SQL: dict[str, str] = {"op2_secret_entropy": secret_entropy.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op3_pii_bootstrap, op4_warc_merkle, op5_quality_bt, op6_decontam_sw, op7_pfor_blocks, op9_embed_lsh)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_entropy": secret_entropy.oracle_sql(),
+    "op4_warc_merkle": warc_merkle.ORACLE,
+}
