@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewise.llm import decontam_sw, embed_lsh, pfair_mix, pfor_blocks, pii_bootstrap, quality_bt, secret_entropy, toxicity_crf, warc_merkle
+from routewise.llm import decontam_sw, embed_lsh, jaccard_join, pfair_mix, pfor_blocks, pii_bootstrap, quality_bt, secret_entropy, toxicity_crf, warc_merkle
 from routewise.llm.common import table
 
 #: Target weights: the largest source is held to a fifth, three get their own, all others share the rest.
@@ -50,6 +50,10 @@ def op7_pfor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_blocks.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_embed_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +63,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.mix(docs, WEIGHTS, REST_WEIGHT).select("doc_id", "source", "mix.block", "mix.slot", "mix.position")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op3_pii_bootstrap, op4_warc_merkle, op5_quality_bt, op6_decontam_sw, op7_pfor_blocks, op9_embed_lsh, op10_pfair_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op3_pii_bootstrap, op4_warc_merkle, op5_quality_bt, op6_decontam_sw, op7_pfor_blocks, op8_jaccard_join, op9_embed_lsh, op10_pfair_mix)}
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_entropy": secret_entropy.oracle_sql(),
     "op4_warc_merkle": warc_merkle.ORACLE,
