@@ -180,49 +180,83 @@ def _windows(key, row, at, row_word, idx):
     return row[begin], item[begin], first[begin], np.maximum.reduceat(last, begin) if len(begin) else last
 
 
+def leaks_of(buf: np.ndarray, offs: np.ndarray, idx: dict, least: float):
+    """(row, item, score, start, end) of the buffer's texts: the best window of each
+    text and item that scores at least so much; None if there is none."""
+    words, starts, ends, row_word = tb.word_hashes(buf, offs, tb.ALNUM)
+    key, row, at = _hits(words, row_word, idx)
+    if not len(key):
+        return None
+    row, item, first, last = _windows(key, row, at, row_word, idx)
+    own = [idx["words"][idx["begin"][i]:idx["begin"][i + 1]] for i in item.tolist()]
+    win = [words[a:z] for a, z in zip(first.tolist(), last.tolist())]
+    best, end = _align_in_batches(own, win)
+    score = best / np.array([len(x) for x in own])
+    # the best window of each pair, the leftmost of equal ones
+    order = np.lexsort((first, -score, item, row))
+    lead = np.ones(len(order), bool)
+    lead[1:] = (row[order][1:] != row[order][:-1]) | (item[order][1:] != item[order][:-1])
+    good = [k for k in order[lead].tolist() if score[k] >= least]
+    if not good:
+        return None
+    # the start: the same alignment backwards from its end
+    back = _align_in_batches([own[k][::-1] for k in good], [win[k][:end[k]][::-1] for k in good])[1]
+    w0 = np.array([first[k] + end[k] - z for k, z in zip(good, back.tolist())])
+    w1 = np.array([first[k] + end[k] - 1 for k in good])
+    r = row[good]
+    return r, item[good], score[good], tb.char_index(buf, offs, starts[w0], r), tb.char_index(buf, offs, ends[w1], r)
+
+
 def search(docs: DataFrame, idx: dict, least: float = LEAST) -> DataFrame:
-    """Rows of SCHEMA for a block's index: the best window of each document and item."""
+    """Rows of SCHEMA for a block's index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
-                words, starts, ends, row_word = tb.word_hashes(buf, offs, tb.ALNUM)
-                key, row, at = _hits(words, row_word, idx)
-                if not len(key):
-                    continue
-                row, item, first, last = _windows(key, row, at, row_word, idx)
-                own = [idx["words"][idx["begin"][i]:idx["begin"][i + 1]] for i in item.tolist()]
-                win = [words[a:z] for a, z in zip(first.tolist(), last.tolist())]
-                best, end = _align_in_batches(own, win)
-                score = best / np.array([len(x) for x in own])
-                # the best window of each pair, the leftmost of equal ones
-                order = np.lexsort((first, -score, item, row))
-                lead = np.ones(len(order), bool)
-                lead[1:] = (row[order][1:] != row[order][:-1]) | (item[order][1:] != item[order][:-1])
-                good = [k for k in order[lead].tolist() if score[k] >= least]
-                if not good:
-                    continue
-                # the start: the same alignment backwards from its end
-                back = _align_in_batches([own[k][::-1] for k in good], [win[k][:end[k]][::-1] for k in good])[1]
-                w0 = np.array([first[k] + end[k] - z for k, z in zip(good, back.tolist())])
-                w1 = np.array([first[k] + end[k] - 1 for k in good])
-                r = row[good]
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array([idx["ids"][item[k]] for k in good], pa.int64()), pa.array(score[good]),
-                    pa.array(tb.char_index(buf, offs, starts[w0], r)), pa.array(tb.char_index(buf, offs, ends[w1], r))], names=["doc_id", "item_id", "score", "start", "end"])
+                got = leaks_of(buf, offs, idx, least)
+                if got:
+                    row, item, score, start, end = got
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array([idx["ids"][i] for i in item.tolist()], pa.int64()),
+                                                      pa.array(score), pa.array(start), pa.array(end)], names=["doc_id", "item_id", "score", "start", "end"])
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[dict]:
+    """The seeds of each block of items; docs has the ids and texts to count in."""
+    for items in blocks(benchmark):
+        idx = index(items)
+        if len(idx["keys"]):
+            yield rare(idx, document_frequency(docs, idx))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score, start, end (code points): documents that hold a copy,
     whole or edited, of a benchmark item."""
     spark = docs.sparkSession
     prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = []
-    for items in blocks(benchmark):
-        idx = index(items)
-        if len(idx["keys"]):
-            found.append(search(d, rare(idx, document_frequency(d, idx)), least))
+    found = [search(d, idx, least) for idx in indexes(d, benchmark)]
     return union_all(found) if found else spark.createDataFrame([], SCHEMA)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The documents that hold no copy of a benchmark item, with all their columns."""
+    prepare(docs.sparkSession)
+    d = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def clean(idx):
+        @F.arrow_udf("boolean")
+        def is_clean(text: pa.Array) -> pa.Array:
+            out = np.ones(len(text), bool)
+            for lo, _, buf, offs in tb.row_chunks(text):
+                got = leaks_of(buf, offs, idx, least)
+                if got:
+                    out[lo + got[0]] = False
+            return pa.array(out)
+
+        return is_clean(F.col(text_col).cast("string"))
+
+    for idx in indexes(d, benchmark):
+        docs = docs.where(clean(idx))
+    return docs

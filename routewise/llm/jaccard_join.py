@@ -320,3 +320,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = low.join(of, "comp").select("cid", "component_id")
     return (rows.join(label, "cid", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The documents that are the smallest id of their component, with all their
+    columns; of rows that repeat both id and text one stays.  Null ids stay."""
+    found = near_duplicates(docs, id_col, text_col, words)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col, text_col])

@@ -171,8 +171,8 @@ class WordEncoder:
         return out, ends_out
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, shard, n, crc, ids): ids little-endian, 2 bytes each where the
+def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: str, text_col: str, order_col: str) -> DataFrame:
+    """(doc_id, ord, shard, n, crc, ids): ids little-endian, 2 bytes each where the
     vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,40 +180,41 @@ def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: s
         kind = np.dtype("<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4")
         edges = np.array(bounds, np.int64)
         for b in batches:
-            doc_ids = b.column(0)
-            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(2)):
                 ids, ends = enc.rows(buf, offs)
                 begins = np.concatenate([[0], ends[:-1]])
                 wide, narrow = memoryview(ids.astype("<u4").tobytes()), ids.astype(kind).tobytes()
                 crc = [zlib.crc32(wide[4 * a:4 * z]) for a, z in zip(begins.tolist(), ends.tolist())]
                 at = (np.concatenate([[0], ends]) * kind.itemsize).astype(np.int32)
-                own = doc_ids.slice(lo, hi - lo)
-                shard = np.searchsorted(edges, own.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
+                own, order = b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
+                shard = np.searchsorted(edges, order.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(shard.astype(np.int32)), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64()),
+                    [own, order, pa.array(shard.astype(np.int32)), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64()),
                      pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(narrow)])],
-                    names=["doc_id", "shard", "n", "crc", "ids"])
+                    names=["doc_id", "ord", "shard", "n", "crc", "ids"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, shard int, n long, crc long, ids binary"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(order_col).cast("long").alias("ord"), F.col(text_col).cast("string").alias("text"))
+            .mapInArrow(run, "doc_id long, ord long, shard int, n long, crc long, ids binary"))
 
 
 # ---- writing and reading -------------------------------------------------------------------------
 CHUNK_SCHEMA = "shard int, chunk int, first long, n long, doc_ids array<long>, doc_lens array<long>, payload binary"
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the chunks of all documents, in ascending id order over shards.  The
-    shards' bounds are quantiles of the ids, read alone beforehand, so the text
-    is read once and only packed ids are shuffled."""
+def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> None:
+    """Write the chunks of all documents, in ascending order (of the ids, if no other
+    column is named) over shards.  The shards' bounds are quantiles of the order
+    column, read alone beforehand, so the text is read once and only packed ids are
+    shuffled."""
     spark = docs.sparkSession
     prepare(spark)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.select(F.col(id_col).cast("long").alias("i")).agg(
+    order_col = order_col or id_col
+    cuts = docs.select(F.col(order_col).cast("long").alias("i")).agg(
         F.percentile_approx("i", [k / shards for k in range(1, shards)] or [0.5], 100 * shards)).first()[0]
     bounds = sorted(set(cuts or []))
-    rows = tokenized(docs, tokenizer_path, bounds, id_col, text_col)
-    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "crc")
+    rows = tokenized(docs, tokenizer_path, bounds, id_col, text_col, order_col)
+    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("ord").asc_nulls_first(), "n", "crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunk, first = None, 0, 0
@@ -233,7 +234,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
             return row
 
         for b in batches:
-            for doc, s, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4)):
+            for doc, s, n, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(5)):
                 if s != shard:
                     if lens:
                         yield flush()
@@ -289,8 +290,8 @@ def read_documents(spark, path: str, with_ids: bool = False) -> DataFrame:
             .select("doc_id", (F.col("place") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])))
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, out: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """Write docs and read the files back; see read_documents()."""
     out = out or new_folder(docs.sparkSession, "pfor")
-    write_tokens(docs, out, tokenizer_path, id_col, text_col)
+    write_tokens(docs, out, tokenizer_path, id_col, text_col, order_col)
     return read_documents(docs.sparkSession, out)
