@@ -7,17 +7,19 @@ documents link when 100 * |A & B| >= 80 * |A | B|.
 1. Equal sets form a class (by a 128-bit digest), which stands for its documents.
 2. Shingles are put in an order, those of frequent hash slots last.  Linked sets share
    a shingle among the first n - ceil(0.8 n) + 1 of each (prefix filter); any order is
-   right, a rare-first one keeps the lists short.  Prefix shingles that only one class
-   has are dropped by a streaming pass over the sorted shuffle; those of frequent slots
-   are salted there instead of counted, so no list of theirs is gathered.
-3. A tile is a prefix shingle with two adjacent size bands (ratio 1.25), which hold all
+   right, a rare-first one keeps the lists short.
+3. A shingle's classes are streamed in order of size.  A class meets those before it
+   that are near enough in size; up to NEAR of them become candidate pairs at once.
+   Classes with more, and those of frequent slots, which are salted and not gathered,
+   go to tiles: a shingle with two adjacent size bands (ratio 1.25), which hold all
    sets that may link to each other by size.
-4. A class is compared to its tiles' pivots before all pairs are: pivot rounds merge
-   most of a group of near copies by one comparison a class.  Then every pair of a
-   tile that is not yet in one component is compared, so the components are exact.
-5. A pair is first bounded from above: bitmaps hold the parity of the hashes by slot,
+4. A pair is first bounded from above: bitmaps hold the parity of the hashes by slot,
    the bits in which they differ are at most |A ^ B|, and a link needs
    |A ^ B| <= (|A| + |B|) / 9.  What passes is intersected exactly, as sorted arrays.
+5. Pairs within one component need no comparison.  So each class is first compared to
+   one candidate, then the pairs still apart; in tiles, classes are first compared to
+   the tile's pivots, which merges most of a group of near copies by one comparison a
+   class, and then every pair of a tile that is still apart.  Components are exact.
 
 Texts are read whole, in vectorised passes; no set is stored.  Two different shingles
 or classes with equal hashes would count as one (chance below n**2 / 2**65 for the n
@@ -50,12 +52,17 @@ SLOTS = 1 << 20
 FLUSH = 1 << 22
 #: Bits of a bitmap signature, as 64-bit words.
 SIGNATURE = 8
-#: Comparisons to pivots before all remaining pairs.
+#: Comparisons to pivots before all remaining pairs of the tiles.
 PIVOT_ROUNDS = 3
+#: Classes before a class in its shingle's list that it is paired with at once.
+NEAR = 8
 #: Classes that a task remembers to have sent already.
 SEEN = 1 << 20
 
 
+SIG = [f"s{i}" for i in range(SIGNATURE)]
+
+
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS):
     """(hashes, cut): the sorted distinct shingle hashes of row i are
     hashes[cut[i]:cut[i + 1]]."""
@@ -99,17 +106,17 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def summaries(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, digest, slot, seen): a row for each document, and rows with a null
-    digest for hash slots that are frequent within a task."""
+    """(doc_id, n, digest, s0 .., slot, seen): a row with the signature of each document,
+    and rows with a null digest for hash slots that are frequent within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size = np.zeros(SLOTS, np.int64), 0
-        names = ["doc_id", "n", "digest", "slot", "seen"]
+        names = ["doc_id", "n", "digest", *SIG, "slot", "seen"]
 
         def flush():
             at = np.flatnonzero(total >= 4 + -(-4 * size // SLOTS))
             return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()),
-                                               pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
+                                               *[pa.nulls(len(at), pa.int64())] * SIGNATURE, pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
 
         for b in batches:
             for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
@@ -119,14 +126,15 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
                 raw = memoryview(h.astype("<u8").tobytes())
                 digest = [hashlib.blake2b(raw[8 * a:8 * z], digest_size=16).digest() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 n = hi - lo
+                bits = signature(h, cut).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(np.diff(cut)), pa.array(digest, pa.binary()),
-                                                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
+                                                  *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SIGNATURE)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
                 if size >= FLUSH:
                     yield flush()
                     total[:], size = 0, 0
         yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, slot int, seen long")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, " + "".join(f"{c} long, " for c in SIG) + "slot int, seen long")
 
 
 def slot_ranks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -176,42 +184,59 @@ def prefix_lists(docs: DataFrame, slots: np.ndarray, ranks: np.ndarray, words: i
     return docs.mapInArrow(run, "token long, salt int, cid long, n int")
 
 
-def shared_tokens(lists: DataFrame) -> DataFrame:
-    """(token, cid, n) without shingles that one class alone has.  Sorted runs of a
-    token stream through; a run's state is its last row."""
+def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
+    """(token, cid, n, other): candidate pairs (other set), and the rows that go to
+    tiles (other null).  A task streams its shingles' lists in order of size and holds
+    near + 1 rows of the last list between batches."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = lists.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "cid")
+    rows = lists.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "n", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held = [np.zeros(0, np.int64)] * 4
+        tiled = np.zeros(0, bool)  # held rows that went to tiles already
         for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest[0], pa.Table.from_batches([b])])
-            kept = rest is not None and rest[1]
-            token, salt, cid = (t.column(i).to_numpy() for i in range(3))
-            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-            again = np.append(False, same & (cid[1:] == cid[:-1]))
-            other = same & (cid[1:] != cid[:-1])
-            # a run's rows are kept once it has two classes; rows that repeat a class go
-            begin = np.append(True, ~same)
-            group = np.cumsum(begin) - 1
-            two = np.zeros(group[-1] + 1, bool)
-            two[group[1:][other]] = True
-            two[group[salt >= 0]] = True
-            two[0] |= kept
-            out = two[group] & ~again
-            out[0] &= not kept  # it went out with the batch before
-            # the last run may go on: its last row stays for the next batch
-            last_kept = bool(two[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(cid[out]), pa.array(t.column(3).to_numpy()[out])], names=["token", "cid", "n"])
-            rest = (t.slice(len(t) - 1), last_kept)
-
-    return rows.mapInArrow(run, "token long, cid long, n int")
-
-
-def payloads(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(cid, n, s0 .., text) of the classes' first documents."""
+            old = len(tiled)
+            token, salt, cid, size = (np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held))
+            went = np.append(tiled, np.zeros(len(token) - old, bool))
+            # rows that repeat a class go
+            keep = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (cid[1:] != cid[:-1])) if len(token) else np.zeros(0, bool)
+            keep[:old] = True
+            token, salt, cid, size, went = (x[keep] for x in (token, salt, cid, size, went))
+            k = len(token)
+            if not k:
+                continue
+            group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+            # the first row of the list that is near enough in size
+            key = group * (1 << 32) + size
+            low = np.searchsorted(key, group * (1 << 32) + -(-NUM * size // DEN))
+            at = np.arange(k)
+            many = (at - low > near) & (salt < 0)
+            out = [[], [], [], []]
+            for d in range(1, near + 1):
+                i = at[max(old, d):]
+                i = i[(i - d >= low[i]) & ~many[i] & (salt[i] < 0)]
+                for x, y in zip(out, (token[i], cid[i], size[i], cid[i - d])):
+                    x.append(y)
+            # rows with many before them meet those in tiles
+            tile = salt >= 0
+            for d in range(near + 2):
+                tile[:k - d] |= (many & (at - d >= low))[d:]
+            tile &= ~went
+            pairs = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "cid", "n", "other"])
+            if len(pairs):
+                yield pairs.set_column(2, "n", pairs.column(2).cast(pa.int32()))
+            if tile.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[tile]), pa.array(cid[tile]), pa.array(size[tile].astype(np.int32)),
+                                                  pa.nulls(int(tile.sum()), pa.int64())], names=["token", "cid", "n", "other"])
+            last = np.flatnonzero(group == group[-1])[-(near + 1):]
+            held, tiled = [x[last] for x in (token, salt, cid, size)], (went | tile)[last]
+
+    return rows.mapInArrow(run, "token long, cid long, n int, other long")
+
+
+def texts_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(cid, text) of the classes' first documents: reps (cid, doc_id)."""
     rows = docs.join(reps.select("doc_id", F.col("cid").alias("want")), "doc_id").select("doc_id", "text", "want")
-    sig = [f"s{i}" for i in range(SIGNATURE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,12 +246,9 @@ def payloads(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 cid = np.array([class_key(hashlib.blake2b(raw[8 * a:8 * z], digest_size=16).digest()) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())], np.int64)
                 # of a repeated id, the document that is in the class
                 keep = np.flatnonzero(cid == b.column(2).slice(lo, hi - lo).to_numpy())
-                s = signature(h, cut)[keep].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), pa.array(np.diff(cut)[keep].astype(np.int32)), *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(SIGNATURE)),
-                                                  b.column(1).slice(lo, hi - lo).take(pa.array(keep))], names=["cid", "n", *sig, "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), b.column(1).slice(lo, hi - lo).take(pa.array(keep))], names=["cid", "text"])
 
-    schema = "cid long, n int, " + ", ".join(f"{s} long" for s in sig) + ", text string"
-    return rows.mapInArrow(run, schema).dropDuplicates(["cid"])
+    return rows.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
 
 
 def may_link(a: str, b: str):
@@ -260,49 +282,64 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int, rounds: int) -> DataFrame:
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(cid, comp) after more links (a, b) between classes."""
+    if comp is not None:
+        # components of components: earlier links are in the labels already
+        for c in ("a", "b"):
+            links = links.join(comp.select(F.col("cid").alias(c), F.col("comp").alias(f"{c}2")), c, "left").withColumn(c, F.coalesce(f"{c}2", c)).drop(f"{c}2")
+    label = component_labels(links)
+    new = label.select(F.col("id").alias("cid"), F.col("label").alias("comp"))
+    if comp is not None:
+        old = comp.join(label, F.col("comp") == F.col("id"), "left").select("cid", F.coalesce("label", "comp").alias("comp"))
+        new = old.unionByName(new.join(comp, "cid", "left_anti"))
+    return new.checkpoint()
+
+
+def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int, rounds: int, near: int) -> DataFrame:
     """(cid, comp) of the classes that link to another one."""
-    shared = stored(shared_tokens(prefix_lists(docs, slots, ranks, words)), "jaccard-shared")
-    key = sums.where("digest is not null and n > 0 and doc_id is not null")
-    reps = (key.join(shared.select(F.col("cid")).distinct(), F.col("k") == F.col("cid"), "left_semi")
-            .groupBy(F.col("k").alias("cid")).agg(F.min("doc_id").alias("doc_id")))
-    texts = stored(payloads(docs, reps, words), "jaccard-texts")
-    sigs = texts.drop("text")
+    met = stored(meetings(prefix_lists(docs, slots, ranks, words), near), "jaccard-met")
+    tiled = met.where("other is null").select("token", "cid", "n").distinct()
+    ours = sums.where("digest is not null and n > 0 and doc_id is not null")
+    classes = (ours.groupBy(F.col("k").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in SIG]))
+    sigs = classes.drop("doc_id")
+    pairs = (met.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct()
+             .join(sigs.alias("x"), F.col("a") == F.col("x.cid")).join(sigs.alias("y"), F.col("b") == F.col("y.cid")).where(may_link("x", "y"))
+             .select("a", "b").checkpoint())
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(tiled.select("cid")).distinct()
+    texts = stored(texts_of(docs, classes.select("cid", "doc_id").join(wanted, "cid", "left_semi"), words), "jaccard-texts")
+    # one candidate of each class, then the pairs still apart
+    comp = merged(None, verified(pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")), texts, words).checkpoint())
+    apart = pairs
+    for c in ("a", "b"):
+        apart = apart.join(comp.select(F.col("cid").alias(c), F.col("comp").alias(f"{c}2")), c, "left").withColumn(f"{c}2", F.coalesce(f"{c}2", c))
+    comp = merged(comp, verified(apart.where("a2 <> b2").select("a", "b"), texts, words).checkpoint())
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
-    tiles = shared.select("token", "cid", "n", F.explode(F.array(band, band + 1)).alias("band"))
-    comp = None
+    tiles = tiled.select("token", "cid", "n", F.explode(F.array(band, band + 1)).alias("band"))
     for r in range(rounds + 1):
-        rows = tiles.withColumn("comp", F.col("cid")) if comp is None else (
-            tiles.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
+        rows = tiles.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         # tiles with more than one component left
         pivot = F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), "cid", "comp")).alias("p")
         open_tiles = rows.groupBy("token", "band").agg(pivot, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        rows = rows.join(open_tiles.select("token", "band", "p"), ["token", "band"])
         if r < rounds:
-            cand = (rows.join(open_tiles.select("token", "band", "p"), ["token", "band"]).where("comp <> p.comp")
-                    .select(F.col("cid").alias("mine"), F.col("p.cid").alias("pivot"), F.col("p.h").alias("h")).distinct())
+            # closed tiles are done
+            rows = rows.checkpoint()
+            tiles = rows.select("token", "cid", "n", "band")
+            cand = (rows.where("comp <> p.comp").select(F.col("cid").alias("mine"), F.col("p.cid").alias("pivot"), F.col("p.h").alias("h")).distinct())
             pairs = (cand.join(sigs.alias("x"), F.col("mine") == F.col("x.cid")).join(sigs.alias("y"), F.col("pivot") == F.col("y.cid")).where(may_link("x", "y"))
                      .groupBy(F.col("mine").alias("a")).agg(F.min_by("pivot", "h").alias("b")))
         else:
-            left = rows.join(open_tiles.select("token", "band"), ["token", "band"]).select("token", "band", "cid", "comp").join(sigs, "cid")
+            left = rows.select("token", "band", "cid", "comp").join(sigs, "cid")
             pairs = (left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
                                           & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
                      .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
-        links = verified(pairs, texts, words).checkpoint()
-        # components of components: earlier links are in the labels already
-        if comp is not None:
-            for c in ("a", "b"):
-                links = links.join(comp.select(F.col("cid").alias(c), F.col("comp").alias(f"{c}2")), c, "left").withColumn(c, F.coalesce(f"{c}2", c)).drop(f"{c}2")
-        label = component_labels(links)
-        if comp is None:
-            comp = label.select(F.col("id").alias("cid"), F.col("label").alias("comp")).checkpoint()
-        else:
-            old = comp.join(label, F.col("comp") == F.col("id"), "left").select("cid", F.coalesce("label", "comp").alias("comp"))
-            new = label.join(comp, F.col("id") == F.col("cid"), "left_anti").select(F.col("id").alias("cid"), F.col("label").alias("comp"))
-            comp = old.unionByName(new).checkpoint()
+        comp = merged(comp, verified(pairs, texts, words).checkpoint())
     return comp
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rounds: int = PIVOT_ROUNDS,
+                    near: int = NEAR) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     prepare(docs.sparkSession)
     d = _slim(docs, id_col, text_col)
@@ -311,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low8 = F.concat(*[F.substring(F.hex("digest"), 2 * i + 1, 2) for i in range(7, -1, -1)])
     # the digest's first 8 bytes as a signed little-endian number, as class_key() has it
     sums = raw.withColumn("k", F.conv(low8, 16, -10).cast("long"))
-    comp = class_components(d, sums, slots, ranks, words, rounds)
+    comp = class_components(d, sums, slots, ranks, words, rounds, near)
     rows = sums.where("digest is not null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("k")).alias("cid"))
     # the smallest id of each class first, so that a class of a third of all rows is one row from here
     low = (rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low")).join(comp, "cid", "left")
