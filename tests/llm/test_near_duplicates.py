@@ -69,9 +69,9 @@ def test_jaccard_equals_brute_force(spark):
 
 
 def test_remaining_pairs_alone_are_exact(spark):
-    """Without pivot rounds, all pairs of the tiles are compared."""
+    """Without pivot rounds, with nearly all in tiles: all their pairs are compared."""
     rows = list(enumerate(planted()))
-    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0).orderBy("doc_id").collect()
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0, near=1).orderBy("doc_id").collect()
     assert [r["component_id"] for r in got] == brute(rows)[1]
 
 
@@ -91,14 +91,30 @@ def test_bitmaps_bound_the_difference():
     assert differ <= len(np.setxor1d(a, b)) and differ > 30
 
 
-def test_runs_go_on_over_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+def test_every_near_enough_pair_meets(spark):
+    """Over batch ends, as a pair at once or in tiles; salted rows always in tiles."""
+    rng = np.random.default_rng(6)
+    rows = [(int(t), -1, int(c), int(5 + c % 23)) for t in range(12) for c in rng.choice(1000, 3 * t + 1, replace=False)]
+    rows += rows[::7] + [(99, 4, 1, 5), (99, 7, 2, 5)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        rows = [(t, -1, c, 5) for t in range(7) for c in range(t)] + [(3, -1, 1, 5), (9, 4, 1, 5)]
-        got = jaccard_join.shared_tokens(spark.createDataFrame(rows, "token long, salt int, cid long, n int")).collect()
+        got = jaccard_join.meetings(spark.createDataFrame(rows, "token long, salt int, cid long, n int"), near=3).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted((r["token"], r["cid"]) for r in got) == sorted([(t, c) for t in range(2, 7) for c in range(t)] + [(9, 1)])
+    pairs = {(r["token"], frozenset((r["cid"], r["other"]))) for r in got if r["other"] is not None}
+    tiles = [(r["token"], r["cid"]) for r in got if r["other"] is None]
+    assert len(pairs) == sum(r["other"] is not None for r in got) and len(tiles) == len(set(tiles))
+    assert {(99, 1), (99, 2)} <= set(tiles)
+    lists = {}
+    for t, salt, c, n in set(rows):
+        lists.setdefault(t, []).append((c, n))
+    for t, members in lists.items():
+        for c, n in members:
+            for d, m in members:
+                if c < d and 5 * min(n, m) >= 4 * max(n, m):
+                    assert (t, frozenset((c, d))) in pairs or {(t, c), (t, d)} <= set(tiles)
+                elif c < d:
+                    assert (t, frozenset((c, d))) not in pairs
 
 
 def test_jaccard_odd_rows(odd, empty):
