@@ -219,7 +219,7 @@ def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
                     x.append(y)
             # rows with many before them meet those in tiles
             tile = salt >= 0
-            for d in range(near + 2):
+            for d in range(min(near + 2, k)):
                 tile[:k - d] |= (many & (at - d >= low))[d:]
             tile &= ~went
             pairs = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "cid", "n", "other"])
