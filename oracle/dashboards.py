@@ -1,7 +1,7 @@
 """Oracle SQL for the dashboard queries (D01-D26, S12/S13, A-/L-/W- operators)."""
 
-from .models import (AB_RESULTS, COMMUTER_CLUSTERS, DAILY_AGG, DISTRICT_CTES, INT_DAILY,
-                     PASSENGER_FEATURES, ROUTE_PERF_CTES, ROUTE_SUMMARY)
+from .models import (AB_RESULTS, COMMUTER_CLUSTERS, DISTRICT_CTES, DAILY_CTES,
+                     PASSENGER_FEATURES, ROUTE_CTES, ROUTE_SUMMARY)
 from .standin import rmean, rnum, rratio, with_clause
 
 FEATURES = ["trips_per_week", "avg_fare_paid_php", "transfers_required",
@@ -9,20 +9,19 @@ FEATURES = ["trips_per_week", "avg_fare_paid_php", "transfers_required",
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 SUMMARY = with_clause("routes", "operators", "stg_trips", "stg_vehicles",
-                      extra=ROUTE_PERF_CTES + [("mart_route_summary", ROUTE_SUMMARY)])
-RECENT_SUMMARY = with_clause("routes", "operators", "stg_trips", "stg_vehicles", extra=ROUTE_PERF_CTES + [
+                      extra=ROUTE_CTES + [("mart_route_summary", ROUTE_SUMMARY)])
+RECENT_SUMMARY = with_clause("routes", "operators", "stg_trips", "stg_vehicles", extra=ROUTE_CTES + [
     ("mart_route_summary", ROUTE_SUMMARY),
     ("recent_summary", """select * from mart_route_summary where trip_date >=
         (select max(trip_date) - interval 30 day from mart_route_summary)""")])
 DISTRICT = with_clause("routes", "stops", "stg_trips", "stg_survey",
-                       extra=[("daily_agg", DAILY_AGG), ("int_daily_ridership", INT_DAILY)]
+                       extra=DAILY_CTES
                        + DISTRICT_CTES)
 RECENT_DISTRICT = with_clause("routes", "stops", "stg_trips", "stg_survey", extra=[
-    ("daily_agg", DAILY_AGG), ("int_daily_ridership", INT_DAILY)] + DISTRICT_CTES + [
+    *DAILY_CTES] + DISTRICT_CTES + [
     ("recent_district", """select * from mart_district_ridership where trip_date >=
         (select max(trip_date) - interval 30 day from mart_district_ridership)""")])
-DAILY = with_clause("routes", "stg_trips", extra=[("daily_agg", DAILY_AGG),
-                                                  ("int_daily_ridership", INT_DAILY)])
+DAILY = with_clause("routes", "stg_trips", extra=DAILY_CTES)
 CLUSTERS = with_clause("routes", "stg_survey", extra=[
     ("int_passenger_features", PASSENGER_FEATURES), ("mart_commuter_clusters", COMMUTER_CLUSTERS)])
 AB = with_clause("routes", "stg_survey", "stg_ab", extra=[

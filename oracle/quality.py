@@ -3,8 +3,8 @@ DuckDB violation count (as a SQL test compiler would)."""
 
 from routewise.plans.quality_suite import BUSINESS_RULES, MART_TESTS, STAGING_TESTS
 
-from .models import (AB_RESULTS, COMMUTER_CLUSTERS, DAILY_AGG, DISTRICT_CTES, INT_DAILY,
-                     PASSENGER_FEATURES, ROUTE_PERF_CTES, ROUTE_SUMMARY)
+from .models import (AB_RESULTS, COMMUTER_CLUSTERS, DISTRICT_CTES, DAILY_CTES,
+                     PASSENGER_FEATURES, ROUTE_CTES, ROUTE_SUMMARY)
 from .standin import rratio, with_clause
 
 ALL = with_clause(
@@ -12,8 +12,8 @@ ALL = with_clause(
     extra=[("stg_routes", "select * from routes"), ("stg_operators", "select * from operators"),
            ("stg_stops", "select * from stops"), ("stg_passenger_survey", "select * from stg_survey"),
            ("stg_ab_experiment", "select * from stg_ab"),
-           ("daily_agg", DAILY_AGG), ("int_daily_ridership", INT_DAILY)]
-    + ROUTE_PERF_CTES + [("mart_route_summary", ROUTE_SUMMARY)] + DISTRICT_CTES
+           *DAILY_CTES]
+    + ROUTE_CTES + [("mart_route_summary", ROUTE_SUMMARY)] + DISTRICT_CTES
     + [("int_passenger_features", PASSENGER_FEATURES),
        ("mart_commuter_clusters", COMMUTER_CLUSTERS), ("mart_ab_test_results", AB_RESULTS)])
 
