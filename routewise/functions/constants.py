@@ -51,6 +51,7 @@ OPTIMAL_K = 5
 RANDOM_STATE = 42
 DIAG_RESTARTS = 10
 FINAL_RESTARTS = 20
+DIAG_MAX_ITER = 300
 FINAL_MAX_ITER = 500
 SILHOUETTE_SAMPLE = 2000
 DBSCAN_EPS = 1.2

@@ -73,8 +73,10 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = (edges.where("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint())
     nodes = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).distinct()
-    before = None
+    before = None if not e.isEmpty() else ()
     for _ in range(max_rounds):
+        if before == ():  # no edges
+            break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour points to the smallest of the star

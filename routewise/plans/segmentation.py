@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import operator
+from functools import cached_property, reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import clustering as CL
-from ..operators import kmeans as KM
 from ..operators.ranking import seeded_sample
 from ..sources.standin import Entities
 from . import intermediate as I
@@ -38,18 +40,8 @@ def feature_matrix(E: Entities, survey: DataFrame | None = None) -> DataFrame:
     return CL.standardize(df, K.FEATURE_COLS)
 
 
-def prototype_scores(c: dict) -> dict[int, float]:
-    """Prototype match scores of one centroid (scaled means)."""
-    g = lambda n: c[f"{n}_scaled"]
-    return {0: g("trips_per_week") - g("avg_fare_paid_php"),
-            1: g("transfers_required") + g("wait_time_min"),
-            2: g("avg_fare_paid_php") + g("satisfaction_score"),
-            3: -g("satisfaction_score") + g("transfers_required"),
-            4: -g("trips_per_week") - g("transfers_required")}
-
-
 def prototype_score_columns() -> dict[str, F.Column]:
-    """K06 as Column expressions over a centroid frame."""
+    """How well a centroid (scaled means) fits each semantic id."""
     g = lambda n: F.col(f"{n}_scaled")
     return {"score_0": g("trips_per_week") - g("avg_fare_paid_php"),
             "score_1": g("transfers_required") + g("wait_time_min"),
@@ -65,47 +57,38 @@ def centroids(labelled: DataFrame, label: str = "raw_cluster") -> DataFrame:
 
 
 class Segmentation:
-    """Fitted segmentation: elbow/silhouette diagnostics, final model,
-    semantic remap; ``assignments`` is the labelled passenger frame.
-    All restarts of a sweep advance together (operators.kmeans)."""
+    """Segmentation of the survey: diagnostics over K, final model, semantic remap and
+    labels.  Each part is fitted when it is first asked for: labels need the final
+    model only."""
 
     def __init__(self, E: Entities, survey: DataFrame | None = None,
                  k_range=K.K_RANGE, diag_restarts: int = K.DIAG_RESTARTS,
                  final_restarts: int = K.FINAL_RESTARTS, seed: int = K.RANDOM_STATE):
-        self.E = E
-        self.X = feature_matrix(E, survey).persist()
+        # written once to the shared checkpoint folder: every fit reads the same rows
+        self.X = feature_matrix(E, survey).checkpoint()
         self.k_range, self.seed = list(k_range), seed
         self.diag_restarts, self.final_restarts = diag_restarts, final_restarts
-        self._diag = None
-        self._final = None
 
-    # Every restart of the sweep and of the final fit, one batch ------
-    def _runs(self):
-        if self._diag is None:
-            diag = [(k, self.seed + r, 300) for k in self.k_range for r in range(self.diag_restarts)]
-            final = [(K.OPTIMAL_K, 1000 + self.seed + r, K.FINAL_MAX_ITER) for r in range(self.final_restarts)]
-            state = KM.fit(self.X, SCALED, "passenger_id", diag + final)
-            self._diag, self._final_runs = state[:len(diag)], state[len(diag):]
-        return self._diag
+    @cached_property
+    def diagnostics(self) -> dict[int, CL.Fit]:
+        """The best fit of each k."""
+        return CL.best_fits(self.X, SCALED, self.k_range, [self.seed + r for r in range(self.diag_restarts)], K.DIAG_MAX_ITER)
 
-    def diagnostics_runs(self):
-        return self._runs()
+    @cached_property
+    def final(self) -> CL.Fit:
+        """The best of the final model's restarts."""
+        return CL.best_fits(self.X, SCALED, [K.OPTIMAL_K], [self.seed + r for r in range(self.final_restarts)], K.FINAL_MAX_ITER)[K.OPTIMAL_K]
 
     def elbow(self) -> DataFrame:
-        rows = []
-        for k in self.k_range:
-            b = KM.best(self.diagnostics_runs(), k)
-            rows.append((k, float(b.cost), b.seed))
+        rows = [(k, f.cost, f.seed) for k, f in self.diagnostics.items()]
         return self.X.sparkSession.createDataFrame(rows, "k int, wss double, seed int")
 
-    # Silhouette ----------------------------------------------------------
+    # Silhouette of a named sample; quality() covers all rows
     def silhouette(self, sample_size: int = K.SILHOUETTE_SAMPLE) -> DataFrame:
         sample = seeded_sample(self.X, sample_size, "passenger_id", self.seed)
         sample = sample.withColumn("_sid", F.col("passenger_id").cast("long"))
-        centers = {f"k{k}": KM.best(self.diagnostics_runs(), k).centers for k in self.k_range}
-        sample = KM.predict_many(sample, SCALED, centers)
-        lab_cols = list(centers)
-        s = CL.silhouette_on_sample(sample, SCALED, lab_cols)
+        sample = sample.withColumns({f"k{k}": CL.nearest(SCALED, f.centers) for k, f in self.diagnostics.items()})
+        s = CL.silhouette_on_sample(sample, SCALED, [f"k{k}" for k in self.diagnostics])
         return (s.groupBy("labeling").agg(F.avg("s").alias("silhouette_score"))
                  .select(F.expr("cast(substring(labeling, 2) as int)").alias("k"), "silhouette_score"))
 
@@ -114,35 +97,40 @@ class Segmentation:
         rows = sorted(self.silhouette().collect(), key=lambda r: (-r.silhouette_score, r.k))
         return rows[0].k
 
-    # K04-K08 ----------------------------------------------------------------------
-    def final_model(self) -> KM.Run:
-        if self._final is None:
-            self._runs()
-            self._final = KM.best(self._final_runs, K.OPTIMAL_K)
-        return self._final
-
+    # K04-K08
     def raw_labels(self) -> DataFrame:
-        return KM.predict(self.X, SCALED, self.final_model().centers)
+        return self.X.withColumn("raw_cluster", CL.nearest(SCALED, self.final.centers))
 
+    @cached_property
     def mapping(self) -> dict[int, int]:
-        cents = {r["raw_cluster"]: r.asDict() for r in centroids(self.raw_labels()).collect()}  # <= k rows
-        return CL.remap_clusters(cents, prototype_scores, K.REMAP_ORDER, K.OPTIMAL_K)
+        scored = centroids(self.raw_labels()).withColumns(prototype_score_columns())
+        return CL.remap_clusters(scored.collect(), K.REMAP_ORDER)  # a row for each cluster
 
     def centers_frame(self) -> DataFrame:
         """S21 (re-aimed): the fitted centres as a small table."""
-        C = self.final_model().centers
-        rows = [(i, *[float(x) for x in C[i]]) for i in range(len(C))]
+        rows = [(i, *c) for i, c in enumerate(self.final.centers)]
         return self.X.sparkSession.createDataFrame(
             rows, "raw_cluster int, " + ", ".join(f"{c} double" for c in SCALED))
 
     def assignments(self) -> DataFrame:
         """S15 shape: passenger_id, cluster_id, cluster_label."""
-        mp = self.X.sparkSession.createDataFrame(list(self.mapping().items()),
-                                                 "raw_cluster int, cluster_id int")
-        out = self.raw_labels().join(F.broadcast(mp), "raw_cluster")
+        out = self.raw_labels().withColumn("cluster_id", C.map_value("raw_cluster", self.mapping))
         return out.select("passenger_id", "cluster_id", C.cluster_label("cluster_id").alias("cluster_label"))
 
 
+def quality(labelled: DataFrame, label: str = "cluster_id") -> DataFrame:
+    """Cluster quality over all rows: per cluster its size, within-cluster sum of squares
+    and between-cluster part (size times squared distance of its centroid from the mean
+    of all rows).  Two aggregations with map-side combining."""
+    total = labelled.agg(*[F.avg(c).alias(f"t_{c}") for c in SCALED])
+    per = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in SCALED],
+                                      *[F.var_pop(c).alias(f"v_{c}") for c in SCALED])
+    add = lambda xs: reduce(operator.add, xs)
+    return per.crossJoin(F.broadcast(total)).select(  # one row
+        label, "n", F.round(F.col("n") * add([F.col(f"v_{c}") for c in SCALED]), 4).alias("within_ss"),
+        F.round(F.col("n") * add([F.pow(F.col(f"m_{c}") - F.col(f"t_{c}"), F.lit(2)) for c in SCALED]), 4).alias("between_ss"))
+
+
 def distribution(assign: DataFrame) -> DataFrame:
     """Passengers per cluster."""
     return assign.groupBy("cluster_id", "cluster_label").agg(F.count(F.lit(1)).alias("passengers"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import constants as K
+from .operators import clustering as CL
 from .operators import quality as QO
 from .operators import ranking as R
 from .operators import validation as V
@@ -182,16 +184,7 @@ REGISTRY.update({
 
 # -- segmentation --------------------------------------------------------------
 
-_SEGMENTATIONS: dict = {}
-
-
-def _seg(E) -> "G.Segmentation":
-    """One fitted segmentation per (session, input), reused across queries
-    the way a persisted model artefact (S21) is."""
-    key = (E.spark.sparkContext.applicationId, E.sf_dir)
-    if key not in _SEGMENTATIONS:
-        _SEGMENTATIONS[key] = G.Segmentation(E)
-    return _SEGMENTATIONS[key]
+_seg = G.Segmentation
 
 
 def _feature_matrix_view(E):
@@ -207,6 +200,18 @@ def _given_label_centroids(E):
                     *[F.round(f"score_{i}", 6).alias(f"score_{i}") for i in range(5)])
 
 
+def _given_label_quality(E):
+    labels = S.stg_passenger_survey(E).select("passenger_id", "cluster_id")
+    return G.quality(G.feature_matrix(E).join(labels, "passenger_id"))
+
+
+def _given_label_remap(E):
+    """K07 on the given labels: raw cluster, semantic id."""
+    fm = G.feature_matrix(E).join(S.stg_passenger_survey(E).select("passenger_id", F.col("cluster_id").alias("raw_cluster")), "passenger_id")
+    scored = G.centroids(fm).withColumns(G.prototype_score_columns()).collect()  # five rows
+    return E.spark.createDataFrame(sorted(CL.remap_clusters(scored, K.REMAP_ORDER).items()), "raw_cluster long, cluster_id int")
+
+
 def _segmented_survey(E):
     return G.write_back(E.survey(), _seg(E).assignments())
 
@@ -214,6 +219,8 @@ def _segmented_survey(E):
 REGISTRY.update({
     "passenger_feature_matrix": _q(_feature_matrix_view),
     "given_label_centroids": _q(_given_label_centroids),
+    "given_label_quality": _q(_given_label_quality),
+    "given_label_remap": _q(_given_label_remap),
     "kmeans_elbow": _q(lambda E: _seg(E).elbow()),
     "kmeans_silhouette": _q(lambda E: _seg(E).silhouette()),
     "kmeans_assignments": _q(lambda E: _seg(E).assignments()),

@@ -21,13 +21,13 @@ def test_exact_median_and_population_scaling(spark):
     assert sorted(sc) == pytest.approx(sorted((v - v.mean()) / v.std()))
 
 
-def test_remap_greedy_order_and_ties():
-    cents = {r: {f"{c}_scaled": 0.0 for c in K.FEATURE_COLS} for r in range(5)}
-    cents[4]["transfers_required_scaled"] = 2.0   # best for 3 (and 1)
-    cents[1]["satisfaction_score_scaled"] = 1.0   # best for 2
-    m = CL.remap_clusters(cents, G.prototype_scores, K.REMAP_ORDER, 5)
-    assert m[4] == 3 and m[1] == 2
-    assert sorted(m.values()) == [0, 1, 2, 3, 4]
+def test_remap_order_and_ties():
+    rows = [{"raw_cluster": r, **{f"score_{i}": 0.0 for i in range(5)}} for r in range(5)]
+    rows[4]["score_3"] = rows[4]["score_1"] = 2.0   # 3 chooses before 1
+    rows[1]["score_2"] = 1.0
+    assert CL.remap_clusters(rows, K.REMAP_ORDER) == {4: 3, 1: 2, 0: 0, 2: 4, 3: 1}
+    with pytest.raises(ValueError):
+        CL.remap_clusters(rows[:4], K.REMAP_ORDER)
 
 
 def test_silhouette_matches_brute_force(spark):
@@ -66,7 +66,7 @@ def test_kmeans_assignment_invariants(spark):
     assert {r.cluster_id for r in a.select("cluster_id").distinct().collect()} <= set(range(5))
     wss = [r.wss for r in seg.elbow().orderBy("k").collect()]
     assert wss[0] >= wss[-1]
-    assert set(seg.mapping().values()) == set(range(5))
+    assert set(seg.mapping.values()) == set(range(5))
 
 
 def test_exact_quantile_matches_numpy(spark):
