@@ -28,9 +28,9 @@ _clean_cols = ", ".join(
        "case when isnan(load_factor) then null else load_factor end as load_factor", "_date", "_chunk"])
 
 RULES = [
-    ("trip_id_pattern", r"regexp_matches(trip_id, '^TRP-\d{7}$')"),
-    ("route_id_pattern", r"regexp_matches(route_id, '^R\d{2}$')"),
-    ("vehicle_id_pattern", r"regexp_matches(vehicle_id, '^VHC-\d{3}$')"),
+    ("trip_id_pattern", r"regexp_matches(trip_id, '^TRP-\d{7,}$')"),
+    ("route_id_pattern", r"regexp_matches(route_id, '^R\d{2,}$')"),
+    ("vehicle_id_pattern", r"regexp_matches(vehicle_id, '^VHC-\d{3,}$')"),
     ("trip_date_present", "trip_date is not null"),
     ("time_period_enum", "time_period in ('AM_peak', 'midday', 'PM_peak', 'off_peak')"),
     ("day_of_week_enum", "day_of_week in ('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday')"),
@@ -122,7 +122,7 @@ _pax_clean = ", ".join([f"nullif(trim({c}), '') as {c}" for c in PAX_STR]
                        + [c for c in PAX_DATA if c not in PAX_STR + ["survey_date", "avg_fare_paid_php"]]
                        + ["case when isnan(avg_fare_paid_php) then null else avg_fare_paid_php end as avg_fare_paid_php",
                           "_date", "_chunk"])
-PAX_RULES = [r"regexp_matches(passenger_id, '^PAX-\d{4}$')", "satisfaction_score between 1 and 5",
+PAX_RULES = [r"regexp_matches(passenger_id, '^PAX-\d{4,}$')", "satisfaction_score between 1 and 5",
              "trips_per_week between 0 and 14", "transfers_required between 0 and 3", "wait_time_min >= 0",
              "travel_time_min > 0", "income_bracket in ('low', 'middle', 'high')",
              "destination_type in ('work', 'school', 'market', 'hospital', 'mall')",
@@ -145,7 +145,7 @@ _ab_clean = ", ".join([f"nullif(trim({c}), '') as {c}" for c in AB_STR]
                       + [c for c in AB_DATA if c not in AB_STR + ["simulated_travel_time_min"]]
                       + ["case when isnan(simulated_travel_time_min) then null else simulated_travel_time_min end "
                          "as simulated_travel_time_min", "_date", "_chunk"])
-AB_RULES_SQL = [r"regexp_matches(experiment_record_id, '^ABR-\d{7}$')", r"regexp_matches(passenger_id, '^PAX-\d{4}$')",
+AB_RULES_SQL = [r"regexp_matches(experiment_record_id, '^ABR-\d{7,}$')", r"regexp_matches(passenger_id, '^PAX-\d{4,}$')",
                 "\"group\" in ('control', 'treatment')", "test_week between 1 and 8",
                 "satisfaction_score between 1 and 5", "transfers_needed between 0 and 3",
                 "(\"group\" = 'control' and route_variant = 'A_current') or (\"group\" = 'treatment' and route_variant = 'B_express')"]
@@ -176,3 +176,17 @@ SQL.update({
     "ingest_passengers": ORDERED + "select * from passengers",
     "ingest_experiment": ORDERED + "select * from experiment",
 })
+
+
+# marts over the loaded trips: one row for each trip key, codes back to ids
+from .models import ROUTE_CTES, ROUTE_SUMMARY  # noqa: E402
+from .standin import ENTITIES, STAGING  # noqa: E402
+
+_number = lambda c, prefix: f"cast(substr({c}, {len(prefix) + 1}) as bigint) as {c}"
+_TRIPS = f"""select {_number('trip_id', 'TRP-')}, {_number('route_id', 'R')}, {_number('vehicle_id', 'VHC-')}, trip_date, time_period, day_of_week,
+  passengers_boarded, cast(revenue_php as decimal(12,2)) as revenue_php, travel_time_min, scheduled_time_min, delay_min, is_on_time,
+  is_rainy_day, cast(load_factor as decimal(4,3)) as load_factor from loaded"""
+SQL["mart_route_summary_ingested"] = _with(
+    ("loaded", _winners("valid")), ("trips", _TRIPS), ("routes", ENTITIES["routes"]), ("operators", ENTITIES["operators"]),
+    ("vehicles", ENTITIES["vehicles"]), ("stg_vehicles", STAGING["stg_vehicles"]), ("stg_trips", STAGING["stg_trips"]),
+    *ROUTE_CTES, ("mart_route_summary", ROUTE_SUMMARY)) + "select * from mart_route_summary"

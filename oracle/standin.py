@@ -25,7 +25,7 @@ select c_custkey as operator_id, c_name as operator_name, c_mktsegment as franch
 from customer""",
     "trips": """
 select l_orderkey * 10 + l_linenumber as trip_id, s_nationkey as route_id, l_suppkey as vehicle_id,
-       cast(date_trunc('month', l_shipdate) as date) as trip_date,
+       cast(l_shipdate as date) as trip_date,
        case when l_returnflag = 'A' then 'AM_peak'
             when l_returnflag = 'N' and l_linestatus = 'O' then 'PM_peak'
             when l_returnflag = 'N' then 'off_peak' else 'midday' end as time_period,

@@ -133,6 +133,8 @@ def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float, min_samples:
         label = new
         if changed == 0:
             break
+    else:
+        raise RuntimeError(f"DBSCAN components did not converge in {max_rounds} rounds")
     label = label.checkpoint()
     # number clusters by first core row (components are few rows)
     comps = label.select("label").distinct()

@@ -1,10 +1,8 @@
-"""Dimension joins with a checked size bound.
+"""Dimension joins.
 
-A broadcast hint bypasses Spark's own size check, so we only hint after
-proving the side is small: ``limit(max_rows + 1).count()`` reads at most a few
-splits.  Beyond the bound the join is left to Catalyst/AQE (sort-merge, or a
-runtime broadcast when the measured shuffle output is under
-``spark.sql.autoBroadcastJoinThreshold``).
+Only dimensions whose size is fixed by their domain are hinted.  For sides that grow
+with the data the join is left to Catalyst and AQE, which compare measured sizes with
+``spark.sql.autoBroadcastJoinThreshold``; no job runs while a query is built.
 """
 
 from __future__ import annotations
@@ -12,19 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_ROWS = 1_000_000
-
-
-def is_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it holds at most ``max_rows`` rows, else ``df``."""
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
-
 
 def fixed_dim(df: DataFrame) -> DataFrame:
-    """Broadcast a dimension whose size is fixed by its domain (e.g. the 25
-    nations / 5 regions, the 5 cluster labels), independent of data volume."""
+    """Broadcast a dimension whose size is fixed by its domain (the 25 nations and 5
+    regions, the 5 cluster labels), independent of data volume."""
     return F.broadcast(df)

@@ -19,11 +19,13 @@ def rule(name: str, valid: Column) -> tuple[str, Column]:
 
 c = F.col
 
+
+# Codes are padded to a least width; ids past it are longer, not invalid.
 def trip_rules() -> list[tuple[str, Column]]:
     return [
-        rule("trip_id_pattern", c("trip_id").rlike(r"^TRP-\d{7}$")),
-        rule("route_id_pattern", c("route_id").rlike(r"^R\d{2}$")),
-        rule("vehicle_id_pattern", c("vehicle_id").rlike(r"^VHC-\d{3}$")),
+        rule("trip_id_pattern", c("trip_id").rlike(r"^TRP-\d{7,}$")),
+        rule("route_id_pattern", c("route_id").rlike(r"^R\d{2,}$")),
+        rule("vehicle_id_pattern", c("vehicle_id").rlike(r"^VHC-\d{3,}$")),
         rule("trip_date_present", c("trip_date").isNotNull()),
         rule("time_period_enum", c("time_period").isin(K.TIME_PERIODS)),
         rule("day_of_week_enum", c("day_of_week").isin(K.WEEKDAYS)),

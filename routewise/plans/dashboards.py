@@ -264,11 +264,12 @@ def stop_table(stops: DataFrame, stop_types=None, districts=None) -> DataFrame:
 
 
 # -- BI slices ---------------------------------------------------------------
-def bi_daily_riders_by_route(summary: DataFrame, limit: int = 10000) -> DataFrame:
-    """SUM(riders) by day and route, row limit of the slice."""
-    return (summary.groupBy(F.to_date(F.date_trunc("day", "trip_date")).alias("day"), "route_id")
+def bi_daily_riders_by_route(summary: DataFrame, limit: int | None = None) -> DataFrame:
+    """SUM(riders) by day and route; a limit is the slice's, if it sets one."""
+    out = (summary.groupBy(F.to_date(F.date_trunc("day", "trip_date")).alias("day"), "route_id")
                    .agg(F.sum("total_passengers").alias("riders"))
-                   .orderBy("day", "route_id").limit(limit))
+                   .orderBy("day", "route_id"))
+    return out if limit is None else out.limit(limit)
 
 
 def bi_mean_by_route(df: DataFrame, measure: str, scale: int, alias: str) -> DataFrame:

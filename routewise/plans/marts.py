@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
-from ..operators.dims import bounded_broadcast
 from ..sources.standin import Entities
 from . import intermediate as I
 from . import staging as S
@@ -70,10 +69,9 @@ def mart_district_ridership(E: Entities, with_audit: bool = False,
         F.sum("peak_passengers").alias("peak_boardings"),
         F.sum("weekend_passengers").alias("weekend_boardings"),
     )
-    # per-district aggregates hold one row per district: broadcast them once
-    # their row count is proven small (Catalyst cannot size an aggregate)
-    out = (dd.join(bounded_broadcast(district_stops(E), 100_000), "district", "left")
-             .join(bounded_broadcast(district_survey(E), 100_000), "district", "left")
+    # per-district aggregates: AQE broadcasts them by their measured size
+    out = (dd.join(district_stops(E), "district", "left")
+             .join(district_survey(E), "district", "left")
              .select("district", "trip_date", "total_boardings", "total_trips_serving",
                      "active_routes", "avg_wait_time_min", "avg_satisfaction",
                      "pct_with_shelter",

@@ -21,6 +21,7 @@ from . import intermediate as I
 from . import marts as M
 from . import quality_suite as Q
 from . import segmentation as G
+from . import staging as S
 
 log = logging.getLogger(__name__)
 
@@ -53,25 +54,20 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         K.write_table(rejected, f"{out}/quarantine/trips")
         # C11: parents before children; the experiment's orphan filter reads
         # the passengers table just written
-        loaded = L.ingest_ordered(E)
-        K.write_table(loaded["passengers"], f"{out}/raw/passengers", ["passenger_id"])
-        pax = rd(f"{out}/raw/passengers")
-        from ..operators.validation import ab_rules
-        ab_all = [("record_id_pattern", F.col("experiment_record_id").rlike(r"^ABR-\d{7}$")),
-                  ("passenger_id_pattern", F.col("passenger_id").rlike(r"^PAX-\d{4}$"))] + ab_rules()
-        exp_rows, _ = L.ingest_entity(L.landing_experiment(E), "experiment_record_id", L.EXPERIMENT_ORDER,
-                                      ab_all, parent=("passenger_id", pax, "passenger_id"))
-        K.write_table(exp_rows, f"{out}/raw/ab_experiment", ["experiment_record_id"])
+        K.write_table(L.ingest_passengers(E), f"{out}/raw/passengers", ["passenger_id"])
+        K.write_table(L.ingest_experiment(E, rd(f"{out}/raw/passengers")), f"{out}/raw/ab_experiment", ["experiment_record_id"])
     step("ingest", land)
     paths["raw_trips"] = f"{out}/raw/trips"
     paths["raw_passengers"] = f"{out}/raw/passengers"
     paths["raw_ab_experiment"] = f"{out}/raw/ab_experiment"
 
-    # 2. marts from the entity views; intermediate M01/M02 feed two marts
+    # 2. marts from the loaded trips; intermediate M01/M02 feed two marts
+    trips = S.stg_trips(E, rd(f"{out}/raw/trips"))
+
     def marts():
-        K.write_table(M.mart_route_summary(E, with_audit=True), f"{out}/marts/route_summary",
+        K.write_table(M.mart_route_summary(E, True, I.int_route_performance(E, trips)), f"{out}/marts/route_summary",
                       ["trip_date", "route_id"])
-        K.write_table(M.mart_district_ridership(E, with_audit=True), f"{out}/marts/district_ridership",
+        K.write_table(M.mart_district_ridership(E, True, I.int_daily_ridership(E, trips)), f"{out}/marts/district_ridership",
                       ["trip_date", "district"])
     step("marts", marts)
     paths["mart_route_summary"] = f"{out}/marts/route_summary"

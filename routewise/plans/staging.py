@@ -27,9 +27,10 @@ def stg_vehicles(E: Entities) -> DataFrame:
         "vehicle_age_years", F.lit(E.as_of_year) - F.col("year_manufactured"))
 
 
-def stg_trips(E: Entities) -> DataFrame:
-    """Peak / weekend / overcrowded flags (NULL -> false)."""
-    return E.trips().withColumns({
+def stg_trips(E: Entities, raw: DataFrame | None = None) -> DataFrame:
+    """Peak / weekend / overcrowded flags (NULL -> false).  raw: the loaded
+    trips, where the view stands on an ingest instead of the entity."""
+    return (E.trips() if raw is None else E.trips_of(raw)).withColumns({
         "is_peak": C.is_peak("time_period"),
         "is_weekend": C.is_weekend("day_of_week"),
         "is_overcrowded": C.is_overcrowded("load_factor"),

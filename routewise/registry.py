@@ -167,7 +167,14 @@ def _range_checks(E):
     return sv.unionByName(lt)
 
 
+def _ingested_summary(E):
+    """M04 over the trips that the ingest loads: repeated trip keys count once."""
+    trips = S.stg_trips(E, L.ingest_trips(L.landing_trips(E))[0])
+    return _summary(E, route_perf=I.int_route_performance(E, trips))
+
+
 REGISTRY.update({
+    "mart_route_summary_ingested": _q(_ingested_summary),
     "landing_trip_validation": _q(lambda E: V.rule_failures(_landed(E), V.trip_rules())),
     "ingest_trips": _q(lambda E: L.ingest_trips(L.landing_trips(E))[0]),
     "ingest_trips_rerun": _q(_rerun),

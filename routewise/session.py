@@ -52,13 +52,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always honoured.
-    Only when it is unset (local tests) do we create a private folder.
+    Only where it is unset and the session is local do we create a private folder;
+    executors on other machines could not read it, so a cluster without it raises.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():          # set from the conf at startup, or earlier
         return sc.getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="routewise-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -54,7 +54,7 @@ def landing_trips(E: Entities) -> DataFrame:
     partition = month of the ship date (the batch that delivered the trip).  Duplicate (order, line) pairs in lineitem become duplicate
     trip keys, which the key rule must resolve."""
     li = E.t("lineitem")
-    s = E._supplier_route  # size-checked once per entity set
+    s = E._supplier_route
     ln = F.col("l_linenumber")
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
     period = (F.when(rf == "A", " AM_peak").when((rf == "N") & (ls == "O"), "PM_peak ")
@@ -156,8 +156,10 @@ def drop_fk_orphans(df: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataF
     keys are dropped too, except that a frame without any non-NULL key is
     returned unchanged."""
     p = parent.select(F.col(pk).alias(fk))
-    has_keys = not df.filter(F.col(fk).isNotNull()).isEmpty()
-    return df.join(p, fk, "left_semi") if has_keys else df
+    # decided inside the plan, by a scalar subquery, so that building it runs no job
+    no_keys = df.agg(F.count(fk).alias("n")).select(F.col("n") == 0).scalar()
+    marked = df.join(p.distinct().withColumn("_known", F.lit(True)), fk, "left")
+    return marked.where(F.coalesce("_known", no_keys)).drop("_known").select(*df.columns)
 
 
 def orphan_report(df: DataFrame, fk: str, parent: DataFrame, pk: str, k: int = 10) -> DataFrame:
@@ -215,9 +217,8 @@ EXPERIMENT_ORDER = ["test_week", "satisfaction_score", "simulated_travel_time_mi
 
 
 def landing_passengers(E: Entities) -> DataFrame:
-    """Survey payloads: PAX codes (4 digits by contract; longer ids fail the
-    pattern rule and are quarantined), ISO dates, padded district names;
-    chunk = id mod 4, landing partition = survey month."""
+    """Survey payloads: PAX codes (4 digits or more), ISO dates, padded district
+    names; chunk = id mod 4, landing partition = survey month."""
     s = E.survey()
     return s.select(
         C.zero_pad("PAX-", F.col("passenger_id"), 4).alias("passenger_id"),
@@ -274,15 +275,23 @@ def ingest_entity(landing: DataFrame, key: str, order: list[str], rules,
     return insert_if_absent(valid, target, key, order), rejected
 
 
+def ingest_passengers(E: Entities) -> DataFrame:
+    """C11, first phase: the parents."""
+    from ..operators.validation import survey_rules
+    rules = [("passenger_id_pattern", F.col("passenger_id").rlike(r"^PAX-\d{4,}$"))] + survey_rules()
+    return ingest_entity(landing_passengers(E), "passenger_id", PASSENGER_ORDER, rules, dates=["survey_date"])[0]
+
+
+def ingest_experiment(E: Entities, passengers: DataFrame) -> DataFrame:
+    """C11, second phase: the orphan filter reads the passengers just loaded."""
+    from ..operators.validation import ab_rules
+    rules = [("record_id_pattern", F.col("experiment_record_id").rlike(r"^ABR-\d{7,}$")),
+             ("passenger_id_pattern", F.col("passenger_id").rlike(r"^PAX-\d{4,}$"))] + ab_rules()
+    return ingest_entity(landing_experiment(E), "experiment_record_id", EXPERIMENT_ORDER, rules,
+                         parent=("passenger_id", passengers, "passenger_id"))[0]
+
+
 def ingest_ordered(E: Entities) -> dict[str, DataFrame]:
-    """C11: parents first, the experiment in a second phase whose orphan
-    filter reads the passengers just loaded."""
-    from ..operators.validation import ab_rules, survey_rules
-    pax_rules = [("passenger_id_pattern", F.col("passenger_id").rlike(r"^PAX-\d{4}$"))] + survey_rules()
-    passengers, _ = ingest_entity(landing_passengers(E), "passenger_id", PASSENGER_ORDER, pax_rules,
-                                  dates=["survey_date"])
-    ab = [("record_id_pattern", F.col("experiment_record_id").rlike(r"^ABR-\d{7}$")),
-          ("passenger_id_pattern", F.col("passenger_id").rlike(r"^PAX-\d{4}$"))] + ab_rules()
-    experiment, _ = ingest_entity(landing_experiment(E), "experiment_record_id", EXPERIMENT_ORDER, ab,
-                                  parent=("passenger_id", passengers, "passenger_id"))
-    return {"passengers": passengers, "experiment": experiment}
+    """C11: parents first, then the children that refer to them."""
+    passengers = ingest_passengers(E)
+    return {"passengers": passengers, "experiment": ingest_experiment(E, passengers)}

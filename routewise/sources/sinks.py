@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dashboards import recent
+from .tables import path_exists
 
 
 def write_table(df: DataFrame, path: str, sort_within: list[str] | None = None,
@@ -60,13 +61,14 @@ def export_recent(mart: DataFrame, path: str, key: str, days: int = 30) -> str:
 
 
 def inventory(spark: SparkSession, outputs: dict[str, str]) -> DataFrame:
-    """Per expected output: present, files, rows (a count job each)."""
+    """Per expected output: present, files, rows (a count job each).  An absent
+    path is a status; one that can't be read raises."""
     rows = []
     for name, path in outputs.items():
-        try:
+        if path_exists(spark, path):
             df = spark.read.parquet(path)
             rows.append((name, path, True, len(df.inputFiles()), df.count()))
-        except Exception:  # noqa: BLE001  (missing output is a status, not an error)
+        else:
             rows.append((name, path, False, 0, None))
     return spark.createDataFrame(rows, "name string, path string, present boolean, files int, rows long")
 
@@ -90,15 +92,14 @@ def export_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def save_model(model, path: str) -> str:
-    """Persist a fitted MLlib model."""
-    model.write().overwrite().save(path)
-    return path
-
-
 def register_table(spark: SparkSession, name: str, path: str, comment: str) -> None:
-    """Expose a written table in the session catalog with a comment
-    (external table: dropping the entry never deletes the data)."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    """Expose a written table in the session catalog with a comment.  An entry of
+    that name is replaced only if it is external (dropping it leaves its files); a
+    managed table or a view is refused."""
+    if spark.catalog.tableExists(name):
+        kind = spark.catalog.getTable(name).tableType
+        if kind != "EXTERNAL":
+            raise ValueError(f"{name} is there already, as {kind}")
+        spark.sql(f"DROP TABLE {name}")
     safe = comment.replace("'", "''")
     spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}' COMMENT '{safe}'")

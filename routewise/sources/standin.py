@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..session import ensure_checkpoint_dir
-from ..operators.dims import bounded_broadcast, fixed_dim
+from ..operators.dims import fixed_dim
 from .tables import read_table
 
 AS_OF_YEAR = 2025          # vehicle age reference year (parameter, P02)
@@ -57,6 +57,17 @@ class Entities:
         ))
 
     # -- dimensions that grow with the data --------------------------------
+    @staticmethod
+    def trips_of(raw: DataFrame) -> DataFrame:
+        """The trips entity from loaded raw rows: codes back to ids, money and load to
+        decimals."""
+        number = lambda c, prefix: F.substring(c, len(prefix) + 1, 20).cast("long")
+        return raw.select(
+            number("trip_id", "TRP-").alias("trip_id"), number("route_id", "R").alias("route_id"),
+            number("vehicle_id", "VHC-").alias("vehicle_id"), "trip_date", "time_period", "day_of_week", "passengers_boarded",
+            F.col("revenue_php").cast("decimal(12,2)").alias("revenue_php"), "travel_time_min", "scheduled_time_min", "delay_min",
+            "is_on_time", "is_rainy_day", F.col("load_factor").cast("decimal(4,3)").alias("load_factor"))
+
     def vehicles(self) -> DataFrame:
         s = self.t("supplier")
         k = F.col("s_suppkey")
@@ -89,9 +100,8 @@ class Entities:
 
     @cached_property
     def _supplier_route(self) -> DataFrame:
-        # supplier -> route key; small projection (16 bytes/row) broadcast
-        # only while its row count is proven bounded.
-        return bounded_broadcast(self.t("supplier").select("s_suppkey", "s_nationkey"))
+        # supplier -> route key, 16 bytes a row; its size decides the join
+        return self.t("supplier").select("s_suppkey", "s_nationkey")
 
     def trips(self) -> DataFrame:
         li = self.t("lineitem")
@@ -106,7 +116,7 @@ class Entities:
             (F.col("l_orderkey") * 10 + ln).alias("trip_id"),
             F.col("s_nationkey").alias("route_id"),
             F.col("l_suppkey").alias("vehicle_id"),
-            F.to_date(F.date_trunc("month", F.col("l_shipdate"))).alias("trip_date"),
+            F.to_date("l_shipdate").alias("trip_date"),
             period.alias("time_period"),
             C.weekday_name("l_shipdate").alias("day_of_week"),
             F.col("l_quantity").cast("int").alias("passengers_boarded"),

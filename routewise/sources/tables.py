@@ -14,6 +14,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of its file system.  Storage errors raise: a store
+    that can't be read is not an absent path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
     """Register every table as a temp view (for SQL users, S22)."""
     for t in TABLES:

@@ -21,14 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import landing as L
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+from ..sources.tables import path_exists
 
 
 def landing_stream(spark: SparkSession, root: str, entity: str, schema: T.StructType,
@@ -46,8 +39,10 @@ def ingest_batch(target: str, quarantine: str | None = None):
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         prior = None
-        if _exists(spark, target):
-            prior = spark.read.parquet(target).filter(F.col("epoch") < epoch_id).drop("epoch")
+        if path_exists(spark, target):
+            # the anti-join needs the keys only
+            prior = (spark.read.schema("trip_id string, epoch long").parquet(target)
+                     .filter(F.col("epoch") < epoch_id).select("trip_id"))
         rows, rejected = L.ingest_trips(batch, prior)
         (rows.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(target))
