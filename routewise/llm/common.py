@@ -7,6 +7,8 @@ import uuid
 import zipfile
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,5 +99,29 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out.select("id", F.coalesce("label", "id").alias("label"))
 
 
+#: Bits of an id filter at most (2 MB).
+MAX_FILTER_BITS = 1 << 24
+
+
+def may_be_among(ids: DataFrame, col: str) -> Column:
+    """A filter for the column col that lets all values of the one-column frame ids pass
+    and few others, before an exact join: a bitmap of hashed ids, 16 bits an id up to
+    MAX_FILTER_BITS in all.  Past that it lets more pass, never less."""
+    ids = ids.toDF("id").where("id is not null")
+    n = ids.count()
+    size = min(MAX_FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+    at = ids.select(F.pmod(F.xxhash64("id"), F.lit(size)).cast("int").alias("at")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(size, bool)
+    bits[at] = True
+    packed = np.packbits(bits, bitorder="little")
+
+    @F.arrow_udf("boolean")
+    def among(at: pa.Array) -> pa.Array:
+        x = at.to_numpy(zero_copy_only=False)
+        return pa.array((packed[x >> 3] >> (x & 7) & 1).astype(bool))
+
+    return among(F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(size)).cast("int"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.llm import textblocks as tb
-from routewise.llm.common import component_labels, prepare, stored
+from routewise.llm.common import component_labels, may_be_among, prepare, stored
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -235,8 +235,9 @@ def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(cid, text) of the classes' first documents: reps (cid, doc_id)."""
-    rows = docs.join(reps.select("doc_id", F.col("cid").alias("want")), "doc_id").select("doc_id", "text", "want")
+    """(cid, text) of the classes' first documents: reps (cid, doc_id).  Other documents'
+    texts are filtered out before the join's shuffle."""
+    rows = docs.where(may_be_among(reps.select("doc_id"), "doc_id")).join(reps.select("doc_id", F.col("cid").alias("want")), "doc_id").select("doc_id", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,7 +308,8 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
              .join(sigs.alias("x"), F.col("a") == F.col("x.cid")).join(sigs.alias("y"), F.col("b") == F.col("y.cid")).where(may_link("x", "y"))
              .select("a", "b").checkpoint())
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(tiled.select("cid")).distinct()
-    texts = stored(texts_of(docs, classes.select("cid", "doc_id").join(wanted, "cid", "left_semi"), words), "jaccard-texts")
+    reps = classes.select("cid", "doc_id").join(wanted, "cid", "left_semi").checkpoint()
+    texts = stored(texts_of(docs, reps, words), "jaccard-texts")
     # one candidate of each class, then the pairs still apart
     comp = merged(None, verified(pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")), texts, words).checkpoint())
     apart = pairs
@@ -361,7 +363,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The documents that are the smallest id of their component, with all their
-    columns; of rows that repeat both id and text one stays.  Null ids stay."""
-    found = near_duplicates(docs, id_col, text_col, words)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col, text_col])
+    columns; of rows that repeat both id and text one stays.  Null ids stay.
+
+    Only documents that may go or repeat are shuffled; the others are passed on."""
+    found = stored(near_duplicates(docs, id_col, text_col, words), "jaccard-components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    asked = F.coalesce(may_be_among(gone.union(again), id_col), F.lit(False))
+    kept = (docs.where(asked).join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
+            .select(*docs.columns).dropDuplicates([id_col, text_col]))
+    return docs.where(~asked).unionByName(kept)
