@@ -41,8 +41,16 @@ BLOCK = 512
 PERCENTILE = 0.95
 CHUNK_IDS = 1 << 16
 END_ID = 1
-#: Distinct words whose ids a task keeps; beyond, it starts a new table.
-CACHE_WORDS = 400_000
+#: Distinct units whose ids a task keeps; beyond, it starts a new table.
+CACHE_UNITS = 1_000_000
+#: Byte classes: letters, single digits, other visible ASCII; 0 for all whose part in a
+#: word takes more than the byte to tell (then the word is left whole): non-ASCII,
+#: control characters, the apostrophe of contractions, and < of special tokens.
+_UNIT = np.zeros(256, np.uint8)
+_UNIT[33:127] = 3
+_UNIT[48:58] = 2
+_UNIT[65:91] = _UNIT[97:123] = 1
+_UNIT[[39, 60]] = 0
 
 
 # ---- codec ---------------------------------------------------------------------------------------
@@ -107,11 +115,41 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 # ---- tokenizing ----------------------------------------------------------------------------------
+def unit_spans(buf: np.ndarray, offs: np.ndarray):
+    """(starts, ends, row_unit): words cut into runs of letters, single digits and runs
+    of other characters, as a word-level pre-tokenizer has them.  Latin-1 letters count
+    as letters; words with other non-ASCII characters stay whole."""
+    starts, ends, _ = tb.word_spans(buf, offs, tb.NOT_SPACE)
+    n = len(buf)
+    if n == 0 or not len(starts):
+        return starts, ends, np.searchsorted(starts, offs)
+    kind = _UNIT[buf]
+    # two-byte letters U+00C0 to U+00FF, without the signs for times and division
+    second = (buf[1:] >= 0x80) & (buf[1:] <= 0xBF) & (buf[1:] != 0x97) & (buf[1:] != 0xB7) & (buf[:-1] == 0xC3)
+    at = np.flatnonzero(second)
+    kind[at] = kind[at + 1] = 1
+    odd = np.concatenate([[0], np.cumsum(kind == 0)])
+    whole = odd[ends] > odd[starts]
+    cut = np.zeros(n, bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    # of whole words only the start counts
+    step = np.zeros(n + 1, np.int32)
+    step[starts[whole]] += 1
+    step[ends[whole]] -= 1
+    cut &= (np.cumsum(step)[:n] == 0) & tb.NOT_SPACE[buf]
+    cut[starts] = True
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], n)
+    # a unit ends with its word
+    last = np.minimum(last, ends[np.searchsorted(starts, first, "right") - 1])
+    return first, last, np.searchsorted(first, offs)
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose result is the joined results of the
-    text's white-space separated words, as with word-level pre-tokenizers that
-    drop white space.  Every distinct word goes to the tokenizer once while the
-    table holds it; texts are then put together by table look-up."""
+    """Ids of texts by a tokenizer whose result is the joined results of the text's
+    units (unit_spans), as with word-level pre-tokenizers that drop white space.  Every
+    distinct unit goes to the tokenizer once while the table holds it; texts are then
+    put together by table look-up."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -146,11 +184,12 @@ class WordEncoder:
 
     def rows(self, buf: np.ndarray, offs: np.ndarray):
         """(ids, ends): the ids of all rows, END_ID after each, and where rows end."""
-        h, starts, ends, row_word = tb.word_hashes(buf, offs, tb.NOT_SPACE)
+        starts, ends, row_word = unit_spans(buf, offs)
+        h = tb.span_hash(tb.prefix_hash(buf), starts, ends)
         keys, first, inv = np.unique(h, return_index=True, return_inverse=True)
         at, known = self._find(keys)
         if not known.all():
-            if len(self.keys) + (~known).sum() > CACHE_WORDS:
+            if len(self.keys) + (~known).sum() > CACHE_UNITS:
                 self.clear()
                 known[:] = False
             miss = np.flatnonzero(~known)
