@@ -60,6 +60,20 @@ def test_outliers_are_exceptions():
     assert len(pfor_blocks.pack(x)) < 1000 and (pfor_blocks.unpack(pfor_blocks.pack(x)) == x).all()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aBzé ÈßŒ×÷'’.,<|>1٣2\u0301\u0085\x1c\t漢sdtm", max_size=25), min_size=1, max_size=4))
+def test_units_encode_like_the_whole(texts):
+    import pyarrow as pa
+
+    from routewise.llm import textblocks as tb
+
+    buf, offs = tb.string_buffer(pa.array(texts, pa.string()))
+    ids, ends = ENCODER.rows(buf, offs)
+    got = [ids[a:z].tolist() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    assert got == [[*ENCODER.tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+ENCODER = pfor_blocks.WordEncoder(tokenizer_path())
 TEXTS = [None, "", "  ", "Hello, WORLD! it's 42", "café ÀÉ ﬁ x y z", "á ́b", "<|endoftext|> <|startoftext|>x", "don't we'll 's", "漢字かな 😀😀", "word " * 5000, "\u0085a\x1cb\x1dc", "İ ẞ"]
 
 
@@ -83,7 +97,7 @@ def test_tokens_equal_the_tokenizers(spark):
 def test_word_encoder_on_real_texts_and_small_cache(documents, monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(pfor_blocks, "CACHE_WORDS", 300)
+    monkeypatch.setattr(pfor_blocks, "CACHE_UNITS", 300)
     texts = [r["text"] for r in documents.limit(60).collect()] + TEXTS
     enc, got, at = pfor_blocks.WordEncoder(tokenizer_path()), [], 0
     from routewise.llm import textblocks as tb
