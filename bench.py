@@ -11,14 +11,13 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from routewise.plans import pipeline  # noqa: E402
 from routewise.registry import REGISTRY  # noqa: E402
-from routewise.session import get_session  # noqa: E402
+from routewise.session import get_session, scratch_path  # noqa: E402
 
 HEADLINE = [
     "int_daily_ridership", "mart_route_summary", "mart_district_ridership",
@@ -49,7 +48,7 @@ def main():
 
     stages: dict = {}
     if not only:
-        out = tempfile.mkdtemp(prefix="routewise-bench-")
+        out = scratch_path(spark, f"bench-{os.getpid()}")  # on the shared folder
         t0 = time.time()
         pipeline.run(spark, sf_dir, out, timings=stages)
         times["pipeline_end_to_end"] = round(time.time() - t0, 3)

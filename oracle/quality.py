@@ -1,8 +1,6 @@
 """Oracle SQL for the quality suites: each declarative test compiled to a
 DuckDB violation count (as a SQL test compiler would)."""
 
-from routewise.plans.quality_suite import BUSINESS_RULES, MART_TESTS, STAGING_TESTS
-
 from .models import (AB_RESULTS, COMMUTER_CLUSTERS, DISTRICT_CTES, DAILY_CTES,
                      PASSENGER_FEATURES, ROUTE_CTES, ROUTE_SUMMARY)
 from .standin import rratio, with_clause
@@ -18,60 +16,73 @@ ALL = with_clause(
        ("mart_commuter_clusters", COMMUTER_CLUSTERS), ("mart_ab_test_results", AB_RESULTS)])
 
 
-def _lit(v):
-    return f"'{v}'" if isinstance(v, str) else str(v)
-
-
-def _q(c):
-    return f'"{c}"'
-
-
-def compile_test(model, t):
-    col = t.column or ",".join(t.columns)
-    head = f"select '{model}' as model, '{t.test_name}' as test, '{col}' as column_name, "
-    c = _q(t.column) if t.column else None
-    if t.kind == "not_null":
-        return head + f"count(*) as failures from {model} where {c} is null"
-    if t.kind == "unique":
-        return head + (f"count(*) as failures from (select {c} from {model} where {c} is not null "
-                       f"group by {c} having count(*) > 1)")
-    if t.kind == "unique_combination":
-        cols = ", ".join(_q(x) for x in t.columns)
-        return head + f"count(*) as failures from (select {cols} from {model} group by {cols} having count(*) > 1)"
-    if t.kind == "accepted_values":
-        vals = ", ".join(_lit(v) for v in t.values)
-        return head + f"count(*) as failures from {model} where {c} not in ({vals})"
-    if t.kind == "accepted_range":
-        conds = []
-        if t.lo is not None:
-            conds.append(f"{c} >= {t.lo}")
-        if t.hi is not None:
-            conds.append(f"{c} <= {t.hi}")
-        w = f"not ({' and '.join(conds)})"
-        if t.where:
-            w += f" and ({t.where})"
-        return head + f"count(*) as failures from {model} where {w}"
-    if t.kind == "positive":
-        return head + f"count(*) as failures from {model} where {c} <= 0"
-    if t.kind == "expression":
-        pred = t.predicate.replace("`", '"')
-        return head + f"count(*) as failures from {model} where {pred}"
-    if t.kind == "relationships":
-        return head + (f"count(*) as failures from {model} ch where ch.{c} is not null and not exists "
-                       f"(select 1 from {t.parent} p where p.{_q(t.parent_col)} = ch.{c})")
-    raise ValueError(t.kind)
-
-
-def compile_suite(suite):
-    return ALL + "\nunion all\n".join(compile_test(m, t) for m, ts in suite.items() for t in ts)
-
-
-def _rules():
-    from routewise.operators.quality import DataTest
-    by = {}
-    for m, name, pred in BUSINESS_RULES:
-        by.setdefault(m, []).append(DataTest("expression", "", predicate=pred, name=name))
-    return by
+#: The declared tests, written here on their own.  One line a model:
+#: nn = not null, u = unique, av = accepted values, ar = accepted range (with a condition
+#: after ?), fk = relationship, uc = unique combination, pos = positive, ex = expression.
+EXPECTED = """
+stg_routes | nn route_id route_name origin destination district_covered route_length_km num_stops base_fare_php peak_frequency_min off_peak_frequency_min is_active | u route_id | ar route_length_km 0 200 | ex headway_order: off_peak_frequency_min < peak_frequency_min
+stg_operators | nn operator_id operator_name franchise_type num_units is_compliant_puv | u operator_id | av franchise_type 'individual','cooperative','corporation'
+stg_stops | nn stop_id stop_name barangay district latitude longitude stop_type has_shelter route_id | u stop_id | av stop_type 'terminal','market','school','hospital','mall','residential' | ar latitude 6.8 7.5 | fk route_id stg_routes route_id
+stg_vehicles | nn vehicle_id plate_number vehicle_type capacity fuel_type year_manufactured route_assigned operator_id is_active | u vehicle_id | u plate_number | av vehicle_type 'traditional','modernized_PUV' | av fuel_type 'diesel','euro4_diesel','electric' | ar capacity 10 30 | fk route_assigned stg_routes route_id | fk operator_id stg_operators operator_id
+stg_trips | nn trip_id route_id vehicle_id trip_date time_period day_of_week passengers_boarded revenue_php is_on_time is_rainy_day load_factor | u trip_id | av time_period 'AM_peak','midday','PM_peak','off_peak' | av day_of_week 'Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday' | ar load_factor 0 1.5 | ar passengers_boarded 1 50 | ar delay_min 0 - ? is_on_time | fk route_id stg_routes route_id | fk vehicle_id stg_vehicles vehicle_id
+stg_passenger_survey | nn passenger_id origin_district destination_type trip_purpose primary_route_used transfers_required satisfaction_score income_bracket | u passenger_id | av destination_type 'work','school','market','hospital','mall' | av trip_purpose 'daily_commute','occasional','weekend_only' | av income_bracket 'low','middle','high' | ar transfers_required 0 3 | ar satisfaction_score 1 5 | ar cluster_id 0 4 | ar trips_per_week 0 14 | fk primary_route_used stg_routes route_id
+stg_ab_experiment | nn experiment_record_id passenger_id cluster_id group route_variant test_week satisfaction_score would_use_again | u experiment_record_id | av cluster_id 3 | av group 'control','treatment' | av route_variant 'A_current','B_express' | ar test_week 1 8 | ar satisfaction_score 1 5 | fk passenger_id stg_passenger_survey passenger_id
+int_daily_ridership | nn route_id trip_date total_trips total_passengers
+int_route_performance | nn route_id trip_date
+int_passenger_features | nn passenger_id
+mart_route_summary | nn route_id trip_date route_name district_covered total_trips total_passengers avg_passengers_per_trip total_revenue_php revenue_per_km_php avg_load_factor avg_travel_time_min avg_delay_min on_time_trips on_time_rate meets_ltfrb_target peak_trips off_peak_trips is_rainy_day | uc route_id,trip_date | ar avg_load_factor 0 1.5 | ar on_time_rate 0 1 | ar peak_trip_ratio 0 1 | pos total_trips
+mart_district_ridership | nn district trip_date total_boardings total_trips_serving active_routes pct_with_shelter peak_boardings weekend_boardings is_rainy_day | uc district,trip_date | ar pct_with_shelter 0 1 | ar avg_satisfaction 1 5
+mart_commuter_clusters | nn passenger_id cluster_id cluster_label satisfaction_score is_ab_test_eligible | u passenger_id | av cluster_id 0,1,2,3,4 | av cluster_label 'Student Commuters','Market Workers','CBD Workers','Underserved Riders','Occasional Riders' | ar satisfaction_score 1 5 | ar underserved_severity_score 0 - ? cluster_id = 3
+mart_ab_test_results | nn experiment_record_id passenger_id group route_variant test_week satisfaction_score | u experiment_record_id | av group 'control','treatment' | av route_variant 'A_current','B_express' | av experiment_phase 'ramp_up','main' | ar test_week 1 8 | ar satisfaction_score 1 5 | ar p_value 0 1
+"""
+RULES = """
+stg_trips | ex on_time_consistency: is_on_time <> (delay_min <= 5) | ex load_factor_range: load_factor not between 0 and 1.5
+stg_ab_experiment | ex group_variant_alignment: route_variant <> case "group" when 'control' then 'A_current' when 'treatment' then 'B_express' end | ex only_cluster_3: cluster_id <> 3
+mart_route_summary | ex on_time_count_lte_total: on_time_trips > total_trips
+mart_district_ridership | ex peak_lte_total: greatest(peak_boardings, weekend_boardings) > total_boardings
+mart_commuter_clusters | ex ab_eligibility: is_ab_test_eligible <> (cluster_id = 3)
+mart_ab_test_results | ex ci_order: confidence_interval_low > confidence_interval_high
+"""
+
+
+def _violations(model: str, spec: str):
+    """(test, column, SQL that counts violations) of one spec."""
+    kind, _, rest = spec.strip().partition(" ")
+    if kind == "nn":
+        for c in rest.split():
+            yield "not_null", c, f'select count(*) from {model} where "{c}" is null'
+        return
+    if kind in ("u", "uc"):
+        cols = ", ".join(f'"{c}"' for c in rest.split(","))
+        some = f"where {cols} is not null" if kind == "u" else ""
+        yield {"u": "unique", "uc": "unique_combination"}[kind], rest, f"select count(*) from (select {cols} from {model} {some} group by {cols} having count(*) > 1)"
+    elif kind == "av":
+        c, values = rest.split(" ", 1)
+        yield "accepted_values", c, f'select count(*) from {model} where "{c}" not in ({values})'
+    elif kind == "ar":
+        span, _, where = rest.partition("?")
+        c, lo, hi = span.split()
+        bad = f"{c} < {lo}" + ("" if hi == "-" else f" or {c} > {hi}")
+        yield "accepted_range", c, f"select count(*) from {model} where ({bad})" + (f" and ({where})" if where else "")
+    elif kind == "pos":
+        yield "assert_column_is_positive", rest, f"select count(*) from {model} where {rest} <= 0"
+    elif kind == "fk":
+        c, parent, pk = rest.split()
+        yield "relationships", c, f"select count(*) from {model} where {c} not in (select {pk} from {parent} where {pk} is not null)"
+    else:
+        name, _, test = rest.partition(": ")
+        yield name, "", f"select count(*) from {model} where {test}"
+
+
+def _models(text: str, layer: str = "") -> dict[str, list[str]]:
+    lines = [line.split(" | ") for line in text.strip().splitlines()]
+    return {m: specs for m, *specs in lines if m.startswith(layer)}
+
+
+def compile_suite(text: str, layer: str = "") -> str:
+    return ALL + "\nunion all\n".join(
+        f"select '{m}' as model, '{test}' as test, '{c}' as column_name, ({sql}) as failures"
+        for m, specs in _models(text, layer).items() for spec in specs for test, c, sql in _violations(m, spec))
 
 
 FEATURE_COLUMNS = [
@@ -90,13 +101,26 @@ _prof = "\nunion all\n".join(
     f"from int_passenger_features" for c in FEATURE_COLUMNS)
 
 SQL = {
-    "dq_staging_tests": compile_suite(STAGING_TESTS),
-    "dq_mart_tests": compile_suite(MART_TESTS),
-    "dq_business_rules": compile_suite(_rules()),
+    "dq_staging_tests": compile_suite(EXPECTED, "stg_"),
+    "dq_intermediate_tests": compile_suite(EXPECTED, "int_"),
+    "dq_mart_tests": compile_suite(EXPECTED, "mart_"),
+    "dq_business_rules": compile_suite(RULES),
+    "dq_stage_gates": ALL + """
+select 'passenger_features' as gate, '{"rows":' || count(*) || '}' as seen, count(*) > 0 as passed from int_passenger_features
+union all
+select 'cluster_assignments', '{"assigned":' || a || ',"written_back":' || s || '}', a >= 2 and a = s
+from (select (select count(distinct cluster_id) from mart_commuter_clusters) as a, (select count(distinct cluster_id) from stg_survey) as s)
+union all
+select 'mart_row_counts', '{"marts":4,"rows":' || n || '}', true from (select (select count(*) from mart_route_summary) + (select count(*) from mart_district_ridership)
+  + (select count(*) from mart_commuter_clusters) + (select count(*) from mart_ab_test_results) as n)
+union all
+select 'cluster_labels', '{"unlabelled":' || count(*) || '}', count(*) = 0 from mart_commuter_clusters where cluster_label is null
+union all
+select 'ab_mart', '{"rows":' || count(*) || ',"passengers":' || count(distinct passenger_id) || '}', count(*) > 0 from mart_ab_test_results""",
     "staging_row_counts": ALL + "\nunion all\n".join(
-        f"select '{m}' as name, count(*) as rows from {m}" for m in STAGING_TESTS),
+        f"select '{m}' as name, count(*) as rows from {m}" for m in _models(EXPECTED, "stg_")),
     "mart_row_counts": ALL + "\nunion all\n".join(
-        f"select '{m}' as name, count(*) as rows from {m}" for m in MART_TESTS),
+        f"select '{m}' as name, count(*) as rows from {m}" for m in _models(EXPECTED, "mart_")),
     "route_coverage": with_clause("routes", "stops") + """
 select r.route_id, r.route_name, coalesce(s.n_stops, 0) as n_stops, s.n_stops is null as has_no_stop
 from routes r left join (select route_id, count(*) as n_stops from stops group by route_id) s

@@ -2,9 +2,9 @@
 
 A test returns its violating rows (pass = zero rows).  ``run_tests``
 evaluates a whole suite for one model as a summary (model, test, column,
-failures): all row-level tests of a model share ONE aggregation pass
-(``count_if`` per test), key tests (unique, combinations) are grouped
-counts with partial aggregation, relationships are left-anti joins.
+failures): all row-level tests of a model and its first key test share ONE
+pass, an aggregation by key; relationships are left-anti joins of the
+distinct keys.
 """
 
 from __future__ import annotations
@@ -79,16 +79,29 @@ def violations(df: DataFrame, t: DataTest, parents: dict[str, DataFrame] | None
 def run_tests(model: str, df: DataFrame, tests: list[DataTest],
               parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """Summary of a suite: one row per test with its failure count."""
+    # Row-level tests and the first key test share one scan: rows are counted and their
+    # violations summed by key (combined map-side), then over all keys.
     parts = []
     row = [t for t in tests if t.kind in ROW_KINDS]
-    if row:
-        agg = df.agg(*[C.count_if(violation(t)).alias(f"_t{i}") for i, t in enumerate(row)])
+    key = next((t for t in tests if t.kind in ("unique", "unique_combination")), None)
+    shared = row + ([key] if key else [])
+    sums = [C.count_if(violation(t)).alias(f"_t{i}") for i, t in enumerate(row)]
+    if key:
+        cols = list(key.columns) or [key.column]
+        per = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), *sums)
+        repeated = F.col("_n") > 1
+        if key.kind == "unique":
+            repeated = repeated & F.col(key.column).isNotNull()
+        agg = per.agg(*[F.coalesce(F.sum(f"_t{i}"), F.lit(0)).alias(f"_t{i}") for i in range(len(row))], C.count_if(repeated).alias(f"_t{len(row)}"))
+    else:
+        agg = df.agg(*sums)
+    if shared:
         recs = F.array(*[F.struct(F.lit(t.test_name).alias("test"),
-                                  F.lit(t.column or "").alias("column_name"),
-                                  F.col(f"_t{i}").alias("failures")) for i, t in enumerate(row)])
+                                  F.lit(t.column or ",".join(t.columns)).alias("column_name"),
+                                  F.col(f"_t{i}").alias("failures")) for i, t in enumerate(shared)])
         parts.append(agg.select(F.inline(recs)))
     for t in tests:
-        if t.kind in ROW_KINDS:
+        if t in shared:
             continue
         col = t.column or ",".join(t.columns)
         parts.append(violations(df, t, parents).agg(F.count(F.lit(1)).alias("failures"))

@@ -33,6 +33,10 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
     E = Entities(spark, sf_dir)
     paths: dict[str, str] = {}
 
+    def gate(df: DataFrame) -> None:
+        """Q16: stop at a gate that doesn't pass."""
+        assert_gate(df, "passed", "stage gate")
+
     def step(name, fn):
         t0 = time.time()
         r = fn()
@@ -46,6 +50,7 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
     def land():
         L.write_landing(L.landing_trips(E), f"{out}/landing", "trips", mode="overwrite",
                         replace_days_only=False)
+        gate(Q.outputs_present("landed_files", K.inventory(spark, {"trips": f"{out}/landing/trips"}), ["trips"]))
         landing = L.read_landing(spark, f"{out}/landing", "trips", L.TRIP_SCHEMA)
         if landing.isEmpty():  # C07: continue without files, as the original does
             log.warning("no landed trips under %s", f"{out}/landing")
@@ -83,9 +88,8 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         K.write_table(Q.staging_tests(E), f"{out}/quality/staging_tests")
         K.write_table(Q.mart_tests(E, written), f"{out}/quality/mart_tests")
         K.write_table(Q.business_rules(E, written), f"{out}/quality/business_rules")
-        assert_gate(rd(f"{out}/quality/business_rules")
-                    .filter(F.col("model").startswith("mart_")), "failures = 0",
-                    "mart business rules failed")
+        K.write_table(Q.intermediate_tests(E), f"{out}/quality/intermediate_tests")
+        assert_gate(rd(f"{out}/quality/business_rules"), "failures = 0", "business rules failed")
     step("quality", quality)
 
     # 4. segmentation and keyed write-back (J09) into a new survey version
@@ -94,12 +98,15 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         def seg():
             s = G.Segmentation(E)
             K.write_table(G.feature_matrix(E), f"{out}/science/passenger_features", ["passenger_id"])
+            gate(Q.not_empty("passenger_features", rd(f"{out}/science/passenger_features")))
             K.write_table(s.assignments(), f"{out}/science/cluster_assignments", ["passenger_id"])
             K.write_table(s.elbow(), f"{out}/science/elbow_scores")
             K.write_table(s.silhouette(), f"{out}/science/silhouette_scores")
             K.write_table(s.centers_frame(), f"{out}/models/kmeans_centers")
             K.write_table(G.write_back(E.survey(), rd(f"{out}/science/cluster_assignments")),
                           f"{out}/raw/survey_v2", ["passenger_id"])
+            gate(Q.clusters_agree(rd(f"{out}/science/cluster_assignments"), rd(f"{out}/raw/survey_v2")))
+            K.write_table(G.dbscan_validation(E), f"{out}/science/dbscan_validation")
         step("segmentation", seg)
         survey = rd(f"{out}/raw/survey_v2")
         paths["cluster_assignments"] = f"{out}/science/cluster_assignments"
@@ -113,6 +120,10 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
                       ["cluster_id", "passenger_id"])
         K.write_table(M.mart_ab_test_results(E, True, feats), f"{out}/marts/ab_test_results",
                       ["test_week", "group", "passenger_id"])
+        written = {n: rd(f"{out}/marts/{n[5:]}") for n in ("mart_route_summary", "mart_district_ridership", "mart_commuter_clusters", "mart_ab_test_results")}
+        for g in (Q.not_empty("int_passenger_features", feats), Q.marts_counted(written),
+                  Q.labels_in_mart(written["mart_commuter_clusters"]), Q.ab_mart_contents(written["mart_ab_test_results"])):
+            gate(g)
     step("label_marts", label_marts)
     paths["mart_commuter_clusters"] = f"{out}/marts/commuter_clusters"
     paths["mart_ab_test_results"] = f"{out}/marts/ab_test_results"
@@ -121,6 +132,10 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
     def stats():
         feats = rd(f"{out}/intermediate/passenger_features")
         K.write_table(X.statistics_table(X.experiment_data(E, feats)), f"{out}/science/ab_test_statistics")
+        gate(Q.enough_tests(rd(f"{out}/science/ab_test_statistics")))
+        if segment:
+            science = {n: f"{out}/science/{n}" for n in ("passenger_features", "cluster_assignments", "ab_test_statistics", "elbow_scores", "silhouette_scores")}
+            gate(Q.outputs_present("science_outputs", K.inventory(spark, science), list(science)))
     step("statistics", stats)
     paths["ab_test_statistics"] = f"{out}/science/ab_test_statistics"
 

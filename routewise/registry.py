@@ -136,7 +136,9 @@ REGISTRY.update({
 
 REGISTRY.update({
     "dq_staging_tests": _q(Q.staging_tests),
+    "dq_intermediate_tests": _q(Q.intermediate_tests),
     "dq_mart_tests": _q(Q.mart_tests),
+    "dq_stage_gates": _q(Q.stage_gates),
     "dq_business_rules": _q(Q.business_rules),
     "staging_row_counts": _q(Q.staging_row_counts),
     "mart_row_counts": _q(Q.mart_row_counts),
