@@ -15,7 +15,9 @@ documents link when 100 * |A & B| >= 80 * |A | B|.
    sets that may link to each other by size.
 4. A pair is first bounded from above: bitmaps hold the parity of the hashes by slot,
    the bits in which they differ are at most |A ^ B|, and a link needs
-   |A ^ B| <= (|A| + |B|) / 9.  What passes is intersected exactly, as sorted arrays.
+   |A ^ B| <= (|A| + |B|) / 9.  A set of n has a bitmap of n to 2 n bits; of two
+   lengths the longer is folded.  A short one of fixed length is compared within the
+   tiles' join.  What passes is intersected exactly, as sorted arrays.
 5. Pairs within one component need no comparison.  So each class is first compared to
    one candidate, then the pairs still apart; in tiles, classes are first compared to
    the tile's pivots, which merges most of a group of near copies by one comparison a
@@ -50,8 +52,9 @@ NUM, DEN = 4, 5
 SLOTS = 1 << 20
 #: Shingles after which a task passes its slot counts on.
 FLUSH = 1 << 22
-#: Bits of a bitmap signature, as 64-bit words.
-SIGNATURE = 8
+#: Length of the short bitmaps, in 64-bit words; least bits of the others.
+SIGNATURE = 4
+LEAST_BITS = 256
 #: Comparisons to pivots before all remaining pairs of the tiles.
 PIVOT_ROUNDS = 3
 #: Classes before a class in its shingle's list that it is paired with at once.
@@ -97,6 +100,29 @@ def signature(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view("<u8")
 
 
+def bitmaps(hashes: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """Parity bitmaps of the sets, each of the least power of two bits that its size
+    does not exceed."""
+    n = np.diff(cut)
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(first[:-1], n) + (tb.mix(hashes) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:z] for a, z in zip((first[:-1] // 8).tolist(), (first[1:] // 8).tolist())]
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    short = 8 * min(len(a), len(b))
+    mask = (1 << short) - 1
+    while x >> short:
+        x = (x & mask) ^ (x >> short)
+    while y >> short:
+        y = (y & mask) ^ (y >> short)
+    return (x ^ y).bit_count()
+
+
 def class_key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
@@ -106,17 +132,17 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def summaries(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, digest, s0 .., slot, seen): a row with the signature of each document,
-    and rows with a null digest for hash slots that are frequent within a task."""
+    """(doc_id, n, digest, s0 .., bits, slot, seen): a row with the bitmaps of each
+    document, and rows with a null digest for hash slots that are frequent within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size = np.zeros(SLOTS, np.int64), 0
-        names = ["doc_id", "n", "digest", *SIG, "slot", "seen"]
+        names = ["doc_id", "n", "digest", *SIG, "bits", "slot", "seen"]
 
         def flush():
             at = np.flatnonzero(total >= 4 + -(-4 * size // SLOTS))
             return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()),
-                                               *[pa.nulls(len(at), pa.int64())] * SIGNATURE, pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
+                                               *[pa.nulls(len(at), pa.int64())] * SIGNATURE, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
 
         for b in batches:
             for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
@@ -126,15 +152,15 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
                 raw = memoryview(h.astype("<u8").tobytes())
                 digest = [hashlib.blake2b(raw[8 * a:8 * z], digest_size=16).digest() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 n = hi - lo
-                bits = signature(h, cut).view(np.int64)
+                short = signature(h, cut).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(np.diff(cut)), pa.array(digest, pa.binary()),
-                                                  *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SIGNATURE)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
+                                                  *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(SIGNATURE)), pa.array(bitmaps(h, cut), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
                 if size >= FLUSH:
                     yield flush()
                     total[:], size = 0, 0
         yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, " + "".join(f"{c} long, " for c in SIG) + "slot int, seen long")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, " + "".join(f"{c} long, " for c in SIG) + "bits binary, slot int, seen long")
 
 
 def slot_ranks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -252,12 +278,28 @@ def texts_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
 
 
-def may_link(a: str, b: str):
-    """Size and bitmap bounds on aliased rows a and b: what fails can't link."""
-    size = (F.col(f"{a}.n") * DEN >= F.col(f"{b}.n") * NUM) & (F.col(f"{b}.n") * DEN >= F.col(f"{a}.n") * NUM)
+def size_fits(a: str, b: str):
+    return (F.col(f"{a}.n") * DEN >= F.col(f"{b}.n") * NUM) & (F.col(f"{b}.n") * DEN >= F.col(f"{a}.n") * NUM)
+
+
+def short_fits(a: str, b: str):
+    """The bound by short bitmaps, in SQL: |A ^ B| = |A| + |B| - 2 |A & B| and
+    |A & B| >= s / (1 + s) (|A| + |B|)."""
     differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SIGNATURE)), F.lit(0))
-    # |A ^ B| = |A| + |B| - 2 |A & B| and |A & B| >= s / (1 + s) (|A| + |B|)
-    return size & (differ * (NUM + DEN) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (DEN - NUM))
+    return differ * (NUM + DEN) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (DEN - NUM)
+
+
+def may_link(pairs: DataFrame, a: str, b: str, sigs: DataFrame) -> DataFrame:
+    """The rows of pairs whose classes in columns a and b pass the bounds."""
+
+    @F.arrow_udf("boolean")
+    def bits_fit(n: pa.Array, bits: pa.Array, m: pa.Array, other: pa.Array) -> pa.Array:
+        return pa.array([differing(x, y) * (NUM + DEN) <= (k + j) * (DEN - NUM)
+                         for k, x, j, y in zip(n.to_pylist(), bits.to_pylist(), m.to_pylist(), other.to_pylist())], pa.bool_())
+
+    got = (pairs.join(sigs.alias("x"), F.col(a) == F.col("x.cid")).join(sigs.alias("y"), F.col(b) == F.col("y.cid"))
+           .where(size_fits("x", "y") & short_fits("x", "y")))
+    return got.where(bits_fit("x.n", "x.bits", "y.n", "y.bits")).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -302,11 +344,9 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
     met = stored(meetings(prefix_lists(docs, slots, ranks, words), near), "jaccard-met")
     tiled = met.where("other is null").select("token", "cid", "n").distinct()
     ours = sums.where("digest is not null and n > 0 and doc_id is not null")
-    classes = (ours.groupBy(F.col("k").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in SIG]))
+    classes = (ours.groupBy(F.col("k").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in SIG], F.min("bits").alias("bits")))
     sigs = classes.drop("doc_id")
-    pairs = (met.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct()
-             .join(sigs.alias("x"), F.col("a") == F.col("x.cid")).join(sigs.alias("y"), F.col("b") == F.col("y.cid")).where(may_link("x", "y"))
-             .select("a", "b").checkpoint())
+    pairs = may_link(met.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct(), "a", "b", sigs).checkpoint()
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(tiled.select("cid")).distinct()
     reps = classes.select("cid", "doc_id").join(wanted, "cid", "left_semi").checkpoint()
     texts = stored(texts_of(docs, reps, words), "jaccard-texts")
@@ -329,13 +369,13 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
             rows = rows.checkpoint()
             tiles = rows.select("token", "cid", "n", "band")
             cand = (rows.where("comp <> p.comp").select(F.col("cid").alias("mine"), F.col("p.cid").alias("pivot"), F.col("p.h").alias("h")).distinct())
-            pairs = (cand.join(sigs.alias("x"), F.col("mine") == F.col("x.cid")).join(sigs.alias("y"), F.col("pivot") == F.col("y.cid")).where(may_link("x", "y"))
-                     .groupBy(F.col("mine").alias("a")).agg(F.min_by("pivot", "h").alias("b")))
+            pairs = may_link(cand, "mine", "pivot", sigs).groupBy(F.col("mine").alias("a")).agg(F.min_by("pivot", "h").alias("b"))
         else:
-            left = rows.select("token", "band", "cid", "comp").join(sigs, "cid")
+            left = rows.select("token", "band", "cid", "comp").join(sigs.drop("bits"), "cid")
             pairs = (left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-                                          & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
+                                          & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & size_fits("x", "y") & short_fits("x", "y"))
                      .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+            pairs = may_link(pairs, "a", "b", sigs)
         comp = merged(comp, verified(pairs, texts, words).checkpoint())
     return comp
 
