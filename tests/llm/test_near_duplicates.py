@@ -89,6 +89,13 @@ def test_bitmaps_bound_the_difference():
     s = jaccard_join.signature(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
     differ = int(np.bitwise_count(s[0] ^ s[1]).sum())
     assert differ <= len(np.setxor1d(a, b)) and differ > 30
+    sets = [a, b, a[:260], a[:1], np.unique(rng.integers(0, 1 << 62, 3000).astype(np.uint64))]
+    bits = jaccard_join.bitmaps(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    assert [8 * len(x) for x in bits] == [512, 512, 512, 256, 4096]
+    for x, p in zip(sets, bits):
+        for y, q in zip(sets, bits):
+            assert jaccard_join.differing(p, q) <= len(np.setxor1d(x, y))
+    assert jaccard_join.differing(bits[0], bits[1]) > 40
 
 
 def test_every_near_enough_pair_meets(spark):
