@@ -7,9 +7,10 @@ exact cosine in double precision; a pair that met in an earlier table is skipped
 so each link counts once.  Per bucket only each class's number of links and its
 component's root leave the task, never the pairs.
 
-With DEPTH 10, WIDTH 1.5 and 28 tables, a pair at cosine 0.93 (distance 0.374) meets
-with probability 0.958, closer pairs with more; tests measure recall against brute
-force.  A bucket of more than TILE classes is cut into chunks by a hash and each pair
+With DEPTH 6, WIDTH 1.5 and 12 tables, a pair at cosine 0.93 (distance 0.374) meets
+with probability 0.97, closer pairs with more; tests measure recall against brute force.
+A vector is shuffled once for each table, in its own precision: few tables with larger
+buckets cost less than many with small ones, as the comparisons are matrix products.  A bucket of more than TILE classes is cut into chunks by a hash and each pair
 of chunks is a tile of its own, so a task holds two chunks at most; every pair of the
 bucket is still compared.
 
@@ -33,8 +34,8 @@ from routewise.llm import textblocks as tb
 from routewise.llm.common import component_labels, prepare, stored
 
 LEAST = 0.93
-DEPTH = 10
-TABLES = 28
+DEPTH = 6
+TABLES = 12
 WIDTH = 1.5
 TILE = 2048
 
@@ -55,13 +56,21 @@ def bucket_keys(x: np.ndarray, tables: int = TABLES, depth: int = DEPTH) -> np.n
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # first by the largest, so that squares don't overflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def precision(df: DataFrame, vector_col: str) -> str:
+    """Numpy type of the stored components: that of the column."""
+    return "<f4" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def read_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(vec_id, label, digest, vec): vec the components as little-endian doubles, null
-    with its digest where the vector links with nothing."""
+    """(vec_id, label, digest, vec): vec the components as little-endian numbers of
+    precision() bytes, null with its digest where the vector links with nothing."""
+    kind = precision(df, vector_col)
+    as_type = "array<float>" if kind == "<f4" else "array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,17 +78,17 @@ def read_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) ->
             for v, label in zip(b.column(2), b.column(1)):
                 x = None
                 if label.is_valid and v.is_valid and len(v.values) and not v.values.null_count:
-                    x = v.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0  # no negative zeros
+                    x = v.values.to_numpy(zero_copy_only=False).astype(kind) + np.dtype(kind).type(0)  # no negative zeros
                     x = x if np.isfinite(x).all() and x.any() else None
                 raw.append(None if x is None else x.tobytes())
                 digest.append(None if x is None else hashlib.blake2b(raw[-1], digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "digest", "vec"])
 
-    return (df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    return (df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(as_type).alias("v"))
             .mapInArrow(run, "vec_id long, label string, digest binary, vec binary"))
 
 
-def _index(classes: DataFrame, tables: int, depth: int) -> DataFrame:
+def _index(classes: DataFrame, kind: str, tables: int, depth: int) -> DataFrame:
     """(label, dim, t, key, cid, weight, vec): a row for each class and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +97,11 @@ def _index(classes: DataFrame, tables: int, depth: int) -> DataFrame:
             size = np.array([len(v) for v in vecs])
             for s in np.unique(size):
                 rows = np.flatnonzero(size == s)
-                x = np.frombuffer(b"".join(vecs[i] for i in rows.tolist()), "<f8").reshape(len(rows), -1)
+                x = np.frombuffer(b"".join(vecs[i] for i in rows.tolist()), kind).reshape(len(rows), -1)
                 part = b.take(pa.array(rows))
                 keys = bucket_keys(unit(x), tables, depth)
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(rows), s // 8, np.int32)), pa.array(np.full(len(rows), t, np.int32)),
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(rows), s // np.dtype(kind).itemsize, np.int32)), pa.array(np.full(len(rows), t, np.int32)),
                                                       pa.array(keys[:, t].view(np.int64)), part.column(1), part.column(2), part.column(3)],
                                                      names=["label", "dim", "t", "key", "cid", "weight", "vec"])
 
@@ -129,10 +138,10 @@ def compare(x: np.ndarray, cid: np.ndarray, weight: np.ndarray, side: np.ndarray
     return some[keep], links[keep].astype(np.int64), root[keep]
 
 
-def links(classes: DataFrame, least: float = LEAST, tables: int = TABLES, depth: int = DEPTH, tile: int = TILE) -> DataFrame:
+def links(classes: DataFrame, kind: str, least: float = LEAST, tables: int = TABLES, depth: int = DEPTH, tile: int = TILE) -> DataFrame:
     """(cid, links, root) for each class and tile in which it has links."""
     spark = classes.sparkSession
-    index = _index(classes, tables, depth)
+    index = _index(classes, kind, tables, depth)
     bucket = ["label", "dim", "t", "key"]
     # few by nature; the join's side is chosen by its measured size
     large = index.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > tile).select(*bucket, F.ceil(F.col("n") / (tile // 2)).cast("int").alias("chunks"))
@@ -159,7 +168,7 @@ def links(classes: DataFrame, least: float = LEAST, tables: int = TABLES, depth:
             vec, out = b.column("vec"), []
             for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
                 if z - a > 1:
-                    x = np.frombuffer(b"".join(vec.slice(a, z - a).to_pylist()), "<f8").reshape(z - a, -1)
+                    x = np.frombuffer(b"".join(vec.slice(a, z - a).to_pylist()), kind).reshape(z - a, -1)
                     got = compare(x, cid[a:z], weight[a:z], side[a:z], int(ids[3][a]), least, tables, depth)
                     if got:
                         out.append((cid[a:z][got[0]], got[1], got[2]))
@@ -191,7 +200,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                .agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.min("vec").alias("vec"))
                # a class's key; ids may be null or repeat in other classes
                .withColumn("cid", F.xxhash64("label", "digest")))
-    found = stored(links(classes, least, tables, depth, tile), "vector-links")
+    found = stored(links(classes, precision(df, vector_col), least, tables, depth, tile), "vector-links")
     per = found.groupBy("cid").agg(F.sum("links").alias("links"))
     label = component_labels(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cid")
     ids = classes.select("cid", "low", "weight").join(label, "cid", "left").select("cid", "low", "weight", F.coalesce("label", "cid").alias("comp"))
