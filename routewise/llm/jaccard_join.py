@@ -413,3 +413,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = (docs.where(asked).join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
             .select(*docs.columns).dropDuplicates([id_col, text_col]))
     return docs.where(~asked).unionByName(kept)
+
+
+#: DuckDB SQL of near_duplicates(documents): all pairs that share a shingle, counted.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda x: x <> '') as ws
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y using (shingle) where x.doc_id <> y.doc_id group by all)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)),
+reach as (select distinct a as id, a as r from links union select reach.id, links.b from reach join links on links.a = reach.r)
+select doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c, doc_id) as component_id
+from documents left join n using (doc_id) left join (select id as doc_id, min(r) as c from reach group by id) using (doc_id)
+"""

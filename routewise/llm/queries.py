@@ -67,4 +67,5 @@ QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_secret_entropy, op3_pii
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_entropy": secret_entropy.oracle_sql(),
     "op4_warc_merkle": warc_merkle.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
 }
