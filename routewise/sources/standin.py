@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from ..operators.dims import fixed_dim
 from .tables import read_table
 
@@ -28,6 +28,7 @@ class Entities:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of_year: int = AS_OF_YEAR):
         self.spark, self.sf_dir, self.as_of_year = spark, sf_dir, as_of_year
         ensure_checkpoint_dir(spark)  # iterative operators cut lineage there
+        ship_package(spark)
 
     def t(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
