@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 from functools import reduce
 
 import numpy as np
@@ -12,25 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routewise.session import ensure_checkpoint_dir, scratch_path
+from routewise.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 
 def prepare(spark: SparkSession) -> None:
     """Make the shared checkpoint folder known and ship this package to the
     executors, whose Python path need not hold it."""
     ensure_checkpoint_dir(spark)
-    sc = spark.sparkContext
-    if getattr(sc, "_routewise_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(sc._temp_dir, "routewise-src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(os.path.join(root, "routewise")):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), root))
-    sc.addPyFile(path)
-    sc._routewise_shipped = True
+    ship_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
