@@ -189,3 +189,6 @@ select origin_district, count(*) as n from mart_commuter_clusters where origin_d
 select route_assigned, count(*) as vehicles, count(*) filter (where vehicle_type = 'modernized_PUV') as modern_vehicles
 from vehicles group by route_assigned""",
 }
+
+SQL["cluster_sample"] = CLUSTERS + """
+select * from mart_commuter_clusters order by md5(passenger_id || ':42'), passenger_id limit 2000"""

@@ -76,3 +76,51 @@ select "group", cast(sum(cast(would_use_again as integer)) as bigint) as yes, co
        {rratio('sum(cast(would_use_again as integer)) * 100', 'count(would_use_again)', 2)} as pct_yes
 from exp group by 1""",
 }
+
+
+# p-values by Simpson's rule over the density from 0 to the statistic
+_STEPS = 4000
+
+
+def _tail(density: str, upper: str) -> str:
+    """1 - 2 * integral of a symmetric density (an expression in x) over [0, upper]."""
+    return (f"(select 1 - 2 * sum(({density}) * case when i in (0, {_STEPS}) then 1 when i % 2 = 1 then 4 else 2 end) * ({upper}) / {_STEPS} / 3 "
+            f"from (select i, i * ({upper}) / {_STEPS} as x from range(0, {_STEPS + 1}) r(i)))")
+
+
+_T, _DF = f"((m_c - m_t) / sqrt({SE2}))", f"({SE2} * {SE2} / (pow(v_c / n_c, 2) / (n_c - 1) + pow(v_t / n_t, 2) / (n_t - 1)))"
+_STUDENT = "exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2 - (df + 1) / 2 * ln(1 + x * x / df))"
+_NORMAL = "exp(-x * x / 2) / sqrt(2 * pi())"
+_COUNTS = SQL["ab_chi_square_counts"][len(EXP):]
+_CHI = _COUNTS[:_COUNTS.index("select 'would_use_again'")].strip().removeprefix(",").rstrip()
+STATISTICS = EXP + MOMENTS + f""", {_CHI},
+s as (select *, {_T} as tv, {_DF} as df, m_t - m_c as diff, sqrt({SE2}) as se, sqrt((v_c + v_t) / 2) as pooled from a),
+sp as (select *, {_tail(_STUDENT, 'abs(tv)')} as p from s),
+c as (select (n_vals - 1) * (n_groups - 1) as dof, case (n_vals - 1) * (n_groups - 1) when 1 then chi_yates else 0.0 end as x2, yes_c, yes_t, n_control, n_treatment from t),
+cp as (select *, case when dof = 0 then 1.0 else {_tail(_NORMAL, 'sqrt(x2)')} end as p from c),
+statistics as (
+  select metric, {rnum('m_c', 4)} as control_mean, {rnum('m_t', 4)} as treatment_mean, {rnum('diff', 4)} as mean_diff, {rnum('tv', 6)} as t_statistic,
+    {rnum('p', 6)} as p_value, p < 0.05 as is_significant, {rnum('case when pooled = 0 then 0.0 else diff / pooled end', 4)} as effect_size,
+    {rnum('diff - 1.96 * se', 4)} as ci_low_95, {rnum('diff + 1.96 * se', 4)} as ci_high_95, n_c as n_control, n_t as n_treatment,
+    null::double as chi2_statistic, null::int as dof, null::double as control_pct_yes, null::double as treatment_pct_yes from sp
+  union all
+  select 'would_use_again', null, null, null, null, {rnum('p', 6)}, p < 0.05, null, null, null, n_control::bigint, n_treatment::bigint,
+    {rnum('x2', 6)}, dof::int, {rnum('yes_c / n_control', 4)}, {rnum('yes_t / n_treatment', 4)} from cp)
+"""
+SQL["ab_test_statistics"] = STATISTICS + "select * from statistics"
+SQL["ab_ci_table"] = STATISTICS + "select metric, mean_diff, ci_low_95, ci_high_95, is_significant from statistics where ci_low_95 is not null"
+SQL["ab_verdict"] = STATISTICS + """
+select metric, p_value, effect_size, is_significant,
+  case when abs(effect_size) < 0.2 then 'negligible' when abs(effect_size) < 0.5 then 'small' when abs(effect_size) < 0.8 then 'medium' else 'large' end as effect_label,
+  case when is_significant then printf('Significant improvement (p=%.4f, d=%.3f): recommend route adoption.', p_value, effect_size)
+       else printf('No significant improvement at alpha=%.2f (p=%.4f): extend trial or adjust design.', 0.05::double, p_value) end as recommendation
+from statistics where metric = 'satisfaction_score'"""
+SQL["ab_lift_by_income"] = EXP + f"""
+, p as (select income_bracket, avg(satisfaction_score) filter (where "group" = 'control') as control,
+               avg(satisfaction_score) filter (where "group" = 'treatment') as treatment from exp group by 1)
+select income_bracket, {rnum('control', 4)} as control, {rnum('treatment', 4)} as treatment, {rnum('treatment - control', 4)} as lift
+from p where control is not null and treatment is not null"""
+SQL["ab_assignment"] = with_clause("stg_survey") + """
+select passenger_id, case when row_number() over (order by md5(passenger_id || ':42'), passenger_id) <= (count(*) over ()) // 2
+                          then 'treatment' else 'control' end as "group"
+from (select distinct passenger_id from stg_survey where cluster_id = 3)"""

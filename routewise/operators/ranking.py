@@ -58,5 +58,5 @@ def argmax(df: DataFrame, key: str, score: str) -> DataFrame:
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Repeatable sample of at most n rows: order by a seeded hash of the
     key, which does not depend on partitioning (``sample`` does)."""
-    return (df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    return (df.withColumn("_h", F.md5(F.concat_ws(":", key, F.lit(seed))))
               .orderBy("_h", key).limit(n).drop("_h"))

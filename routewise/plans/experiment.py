@@ -23,13 +23,17 @@ T_METRICS = ["satisfaction_score", "simulated_travel_time_min"]
 CHI_METRIC = "would_use_again"
 
 
+def experiment_rows(E: Entities) -> DataFrame:
+    """Experiment rows of cluster 3 as generated; the statistics need no more."""
+    return S.stg_ab_experiment(E).filter(F.col("cluster_id") == K.UNDERSERVED_CLUSTER)
+
+
 def experiment_data(E: Entities, features: DataFrame | None = None) -> DataFrame:
-    """Experiment rows of cluster 3 as generated, left-joined to the
-    passenger profile (label, origin, income)."""
+    """Experiment rows left-joined to the passenger profile (label, origin,
+    income), for figures by segment."""
     f = features if features is not None else I.int_passenger_features(E)
     prof = f.select("passenger_id", "cluster_label", "origin_district", "income_bracket")
-    return (S.stg_ab_experiment(E).filter(F.col("cluster_id") == K.UNDERSERVED_CLUSTER)
-            .join(prof, "passenger_id", "left"))
+    return experiment_rows(E).join(prof, "passenger_id", "left")
 
 
 def split_balance(ab: DataFrame) -> DataFrame:
@@ -199,7 +203,7 @@ def assign_groups(passengers: DataFrame, key: str = "passenger_id", seed: int =
     per-partition counts (one row per partition reaches the driver).  The
     first floor(n/2) positions of the global hash order are treatment."""
     ensure_checkpoint_dir(passengers.sparkSession)
-    ids = passengers.select(key).distinct().withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    ids = passengers.select(key).distinct().withColumn("_h", F.md5(F.concat_ws(":", key, F.lit(seed))))
     n_parts = partitions or int(passengers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (ids.repartitionByRange(n_parts, "_h", key).sortWithinPartitions("_h", key)
                  .withColumn("_pid", F.spark_partition_id()))

@@ -130,8 +130,7 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
 
     # 6. experiment statistics
     def stats():
-        feats = rd(f"{out}/intermediate/passenger_features")
-        K.write_table(X.statistics_table(X.experiment_data(E, feats)), f"{out}/science/ab_test_statistics")
+        K.write_table(X.statistics_table(X.experiment_rows(E)), f"{out}/science/ab_test_statistics")
         gate(Q.enough_tests(rd(f"{out}/science/ab_test_statistics")))
         if segment:
             science = {n: f"{out}/science/{n}" for n in ("passenger_features", "cluster_assignments", "ab_test_statistics", "elbow_scores", "silhouette_scores")}

@@ -116,7 +116,7 @@ REGISTRY.update({
 
 
 def _exp(E):
-    return X.experiment_data(E)
+    return X.experiment_rows(E)
 
 
 REGISTRY.update({
@@ -126,6 +126,7 @@ REGISTRY.update({
     "ab_test_statistics": _q(lambda E: X.statistics_table(_exp(E))),
     "ab_weekly_band": _q(lambda E: X.weekly_band(_exp(E))),
     "ab_lift_by_origin": _q(lambda E: X.lift_by(_ab(E), "origin_district")),
+    "ab_lift_by_income": _q(lambda E: X.lift_by(X.experiment_data(E), "income_bracket")),
     "ab_retention": _q(lambda E: X.retention(_exp(E))),
     "ab_verdict": _q(lambda E: X.verdict(X.statistics_table(_exp(E)))),
     "ab_assignment": _q(lambda E: X.assign_groups(S.stg_passenger_survey(E).filter("cluster_id = 3"))),
