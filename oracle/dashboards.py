@@ -192,3 +192,19 @@ from vehicles group by route_assigned""",
 
 SQL["cluster_sample"] = CLUSTERS + """
 select * from mart_commuter_clusters order by md5(passenger_id || ':42'), passenger_id limit 2000"""
+
+_SELECTED = "mart_route_summary where route_id in (1, 4, 9, 16) and trip_date between date '1995-01-01' and date '1996-12-31'"
+SQL["trend_kpis_filtered"] = SUMMARY + f"""
+select cast(sum(total_passengers) as bigint) as total_passengers, count(distinct trip_date) as days_of_data,
+       {rmean('cast(avg_load_factor as decimal(18,3))', 6)} as avg_load_factor,
+       cast(sum(cast(total_revenue_php as decimal(18,2))) as double) as total_revenue_php
+from {_SELECTED}"""
+SQL["route_weekday_heatmap_filtered"] = (SUMMARY + f", hm as (select *, dayname(trip_date) as day_of_week from {_SELECTED}) "
+                                         + _pivot("hm", "route_id", "total_passengers"))
+SQL["district_series_filtered"] = DISTRICT + """select trip_date, district, total_boardings from mart_district_ridership
+where trip_date between date '1995-01-01' and date '1996-12-31'"""
+SQL["stop_table_filtered"] = SQL["stop_table"] + " where stop_type in ('terminal', 'market') and district in ('ASIA', 'EUROPE')"
+for _name, _column in (("purpose", "trip_purpose"), ("income", "income_bracket")):
+    SQL[f"filter_options_{_name}"] = CLUSTERS + f"select {_column}, count(*) as n from mart_commuter_clusters where {_column} is not null group by 1"
+    SQL[f"cluster_by_{_name}"] = CLUSTERS + f"select cluster_label, {_column}, count(*) as passengers from mart_commuter_clusters group by 1, 2"
+SQL["filter_options_stop_type"] = with_clause("stops") + "select stop_type, count(*) as n from stops where stop_type is not null group by 1"

@@ -161,7 +161,7 @@ def trend_kpis(summary: DataFrame, **flt) -> DataFrame:
     f = filter_routes(summary, **flt)
     return f.agg(F.sum("total_passengers").alias("total_passengers"),
                  F.countDistinct("trip_date").alias("days_of_data"),
-                 F.round(F.avg(F.col("avg_load_factor").cast("decimal(18,3)")), 6).cast("double")
+                 F.round(F.avg(F.col("avg_load_factor").cast("decimal(18,3)").cast("decimal(28,10)")), 6).cast("double")
                   .alias("avg_load_factor"),
                  F.round(F.sum(F.col("total_revenue_php").cast("decimal(18,2)")), 2).cast("double")
                   .alias("total_revenue_php"))
@@ -349,6 +349,11 @@ def option_counts(df: DataFrame, column: str) -> DataFrame:
         F.count(F.lit(1)).alias("n")).orderBy(column)
 
 
+def cluster_split(clusters: DataFrame, column: str) -> DataFrame:
+    """Passengers by cluster and one attribute."""
+    return clusters.groupBy("cluster_label", column).agg(F.count(F.lit(1)).alias("passengers"))
+
+
 def bounds(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"))
 

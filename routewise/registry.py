@@ -112,6 +112,23 @@ REGISTRY.update({
 })
 
 
+# The dashboards' filters in use: a route set with a date range, stop types with
+# districts, and the option lists of the selectors.
+_SELECTED = {"route_ids": [1, 4, 9, 16], "start": "1995-01-01", "end": "1996-12-31"}
+
+REGISTRY.update({
+    "trend_kpis_filtered": _q(lambda E: D.trend_kpis(_summary(E), **_SELECTED)),
+    "route_weekday_heatmap_filtered": _q(lambda E: D.route_weekday_heatmap(_summary(E), **_SELECTED)),
+    "district_series_filtered": _q(lambda E: D.district_series(_district(E), "1995-01-01", "1996-12-31")),
+    "stop_table_filtered": _q(lambda E: D.stop_table(S.stg_stops(E), ["terminal", "market"], ["ASIA", "EUROPE"])),
+    "filter_options_purpose": _q(lambda E: D.option_counts(_clusters(E), "trip_purpose")),
+    "filter_options_income": _q(lambda E: D.option_counts(_clusters(E), "income_bracket")),
+    "filter_options_stop_type": _q(lambda E: D.option_counts(S.stg_stops(E), "stop_type")),
+    "cluster_by_income": _q(lambda E: D.cluster_split(_clusters(E), "income_bracket")),
+    "cluster_by_purpose": _q(lambda E: D.cluster_split(_clusters(E), "trip_purpose")),
+})
+
+
 # -- experiment statistics ---------------------------------------------------
 
 
