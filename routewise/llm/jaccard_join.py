@@ -11,17 +11,18 @@ documents link when 100 * |A & B| >= 80 * |A | B|.
 3. A shingle's classes are streamed in order of size.  A class meets those before it
    that are near enough in size; up to NEAR of them become candidate pairs at once.
    Classes with more, and those of frequent slots, which are salted and not gathered,
-   go to tiles: a shingle with two adjacent size bands (ratio 1.25), which hold all
+   are paired with the one before them and go to tiles: a shingle with two adjacent size bands (ratio 1.25), which hold all
    sets that may link to each other by size.
 4. A pair is first bounded from above: bitmaps hold the parity of the hashes by slot,
    the bits in which they differ are at most |A ^ B|, and a link needs
    |A ^ B| <= (|A| + |B|) / 9.  A set of n has a bitmap of n to 2 n bits; of two
    lengths the longer is folded.  A short one of fixed length is compared within the
    tiles' join.  What passes is intersected exactly, as sorted arrays.
-5. Pairs within one component need no comparison.  So each class is first compared to
-   one candidate, then the pairs still apart; in tiles, classes are first compared to
-   the tile's pivots, which merges most of a group of near copies by one comparison a
-   class, and then every pair of a tile that is still apart.  Components are exact.
+5. Pairs within one component need no comparison.  The candidate pairs merge most of a
+   group of near copies, as a class has another predecessor in each list.  In tiles
+   with more than one component left, classes are compared to the tile's pivot, and
+   then those outside the tile's largest component to all of the tile that are apart
+   from them.  Components are exact.
 
 Texts are read whole, in vectorised passes; no set is stored.  Two different shingles
 or classes with equal hashes would count as one (chance below n**2 / 2**65 for the n
@@ -56,7 +57,7 @@ FLUSH = 1 << 22
 SIGNATURE = 4
 LEAST_BITS = 256
 #: Comparisons to pivots before all remaining pairs of the tiles.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 #: Classes before a class in its shingle's list that it is paired with at once.
 NEAR = 8
 #: Classes that a task remembers to have sent already.
@@ -240,10 +241,10 @@ def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
             out = [[], [], [], []]
             for d in range(1, near + 1):
                 i = at[max(old, d):]
-                i = i[(i - d >= low[i]) & ~many[i] & (salt[i] < 0)]
+                i = i[(i - d >= low[i]) & ((d == 1) | (~many[i] & (salt[i] < 0)))]
                 for x, y in zip(out, (token[i], cid[i], size[i], cid[i - d])):
                     x.append(y)
-            # rows with many before them meet those in tiles
+            # rows with many before them meet the others of those in tiles
             tile = salt >= 0
             for d in range(min(near + 2, k)):
                 tile[:k - d] |= (many & (at - d >= low))[d:]
@@ -275,7 +276,7 @@ def texts_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 keep = np.flatnonzero(cid == b.column(2).slice(lo, hi - lo).to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), b.column(1).slice(lo, hi - lo).take(pa.array(keep))], names=["cid", "text"])
 
-    return rows.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
+    return rows.mapInArrow(run, "cid long, text string")
 
 
 def size_fits(a: str, b: str):
@@ -327,6 +328,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """(cid, comp) after more links (a, b) between classes."""
+    if comp is not None and links.isEmpty():
+        return comp
     if comp is not None:
         # components of components: earlier links are in the labels already
         for c in ("a", "b"):
@@ -342,41 +345,48 @@ def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int, rounds: int, near: int) -> DataFrame:
     """(cid, comp) of the classes that link to another one."""
     met = stored(meetings(prefix_lists(docs, slots, ranks, words), near), "jaccard-met")
-    tiled = met.where("other is null").select("token", "cid", "n").distinct()
+    pairs = met.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct().checkpoint()
+    tiled = met.where("other is null").select("token", "cid", "n").distinct().checkpoint()
+    in_tiles = tiled.select("cid").distinct()
     ours = sums.where("digest is not null and n > 0 and doc_id is not null")
-    classes = (ours.groupBy(F.col("k").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in SIG], F.min("bits").alias("bits")))
+    classes = (ours.groupBy(F.col("k").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in SIG], F.min("bits").alias("bits"))
+               .join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(in_tiles).distinct(), "cid", "left_semi").checkpoint())
     sigs = classes.drop("doc_id")
-    pairs = may_link(met.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct(), "a", "b", sigs).checkpoint()
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(tiled.select("cid")).distinct()
+    pairs = may_link(pairs, "a", "b", sigs).checkpoint()
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(in_tiles).distinct()
     reps = classes.select("cid", "doc_id").join(wanted, "cid", "left_semi").checkpoint()
     texts = stored(texts_of(docs, reps, words), "jaccard-texts")
-    # one candidate of each class, then the pairs still apart
-    comp = merged(None, verified(pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")), texts, words).checkpoint())
-    apart = pairs
-    for c in ("a", "b"):
-        apart = apart.join(comp.select(F.col("cid").alias(c), F.col("comp").alias(f"{c}2")), c, "left").withColumn(f"{c}2", F.coalesce(f"{c}2", c))
-    comp = merged(comp, verified(apart.where("a2 <> b2").select("a", "b"), texts, words).checkpoint())
+    comp = merged(None, verified(pairs, texts, words).checkpoint())
+    if tiled.isEmpty():
+        return comp
+    sigs = sigs.join(in_tiles, "cid", "left_semi").checkpoint()
+    # whole lists first: most are within one component by now
+    rows = tiled.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    open_lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
-    tiles = tiled.select("token", "cid", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    tiles = rows.join(open_lists, "token", "left_semi").select("token", "cid", "n", F.explode(F.array(band, band + 1)).alias("band")).checkpoint()
+    key = ["token", "band"]
     for r in range(rounds + 1):
         rows = tiles.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        # tiles with more than one component left
-        pivot = F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), "cid", "comp")).alias("p")
-        open_tiles = rows.groupBy("token", "band").agg(pivot, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        rows = rows.join(open_tiles.select("token", "band", "p"), ["token", "band"])
+        # by component first, so that a large one is a row of its tile
+        parts = rows.groupBy(*key, "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), "cid")).alias("p"))
+        open_tiles = (parts.groupBy(*key).agg(F.max(F.struct("k", "comp")).alias("most"), F.min(F.struct("p", "comp")).alias("low"), F.count("*").alias("parts"))
+                      .where("parts > 1").select(*key, F.col("most.comp").alias("major"), F.col("low.p.cid").alias("pivot"), F.col("low.p.h").alias("h"), F.col("low.comp").alias("pivot_comp")))
+        rows = rows.join(open_tiles, key).checkpoint()
+        if rows.isEmpty():
+            break  # all tiles are closed
         if r < rounds:
-            # closed tiles are done
-            rows = rows.checkpoint()
+            cand = rows.where("comp <> pivot_comp").select(F.col("cid").alias("mine"), "pivot", "h").distinct()
+            found = may_link(cand, "mine", "pivot", sigs).groupBy(F.col("mine").alias("a")).agg(F.min_by("pivot", "h").alias("b"))
             tiles = rows.select("token", "cid", "n", "band")
-            cand = (rows.where("comp <> p.comp").select(F.col("cid").alias("mine"), F.col("p.cid").alias("pivot"), F.col("p.h").alias("h")).distinct())
-            pairs = may_link(cand, "mine", "pivot", sigs).groupBy(F.col("mine").alias("a")).agg(F.min_by("pivot", "h").alias("b"))
         else:
-            left = rows.select("token", "band", "cid", "comp").join(sigs.drop("bits"), "cid")
-            pairs = (left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-                                          & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & size_fits("x", "y") & short_fits("x", "y"))
+            sized = rows.select(*key, "cid", "comp", (F.col("comp") != F.col("major")).alias("minor")).join(sigs.drop("bits"), "cid")
+            found = (sized.where("minor").alias("x").join(sized.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
+                                                        & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.minor") | (F.col("x.cid") < F.col("y.cid")))
+                                                        & size_fits("x", "y") & short_fits("x", "y"))
                      .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
-            pairs = may_link(pairs, "a", "b", sigs)
-        comp = merged(comp, verified(pairs, texts, words).checkpoint())
+            found = may_link(found, "a", "b", sigs)
+        comp = merged(comp, verified(found, texts, words).checkpoint())
     return comp
 
 
