@@ -1,21 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Benchmark items are the query set; all documents are searched.  Words are runs of
-letters and digits, ASCII-lower-cased.  Each item's seeds are its SEED-word n-grams of
-at most its own median document frequency in the corpus, so an item keeps its rarer
-half however often it was copied.  A seed found in a document gives a window around
-the place where the item would lie; overlapping windows of an item merge.  Item and
+letters and digits, ASCII-lower-cased.  An item's seeds are all its SEED-word n-grams,
+however frequent they are and whichever of them an edit has left.  A seed found in a
+document gives a window around the place where the item would lie, if the item's words
+there and the seeds around can make up the least score (a bound that loses no alignment,
+see _promising); overlapping windows of an item merge.  Item and
 window words are aligned locally (match +1, mismatch -1, gap -1); the score is the
 best alignment's divided by the item's length.  Documents with a score of at least
 LEAST are reported with the aligned span.
 
-Items go to the tasks in blocks of about BLOCK_BYTES of text, one pair of passes over
-the documents for each block (counting, then searching), so what a task holds is
-bounded whatever the benchmark's size.  Documents are never shuffled; only counts by
-seed are.  Alignments of a batch run together, one numpy row step for all windows.
+Items go to the tasks in blocks of about BLOCK_BYTES of text, one pass over the
+documents for each block, so what a task holds is bounded whatever the benchmark's
+size.  Nothing is shuffled.  Alignments of a batch run together, one numpy row step for
+all windows.
 
 Defined cases: items and documents that are null, empty or without words match
-nothing; items shorter than SEED words are their own seed; repeated items and
+nothing; items shorter than SEED words are their own seed; a document with no SEED
+unbroken words of an item does not match it; repeated items and
 documents each get their rows; other columns are ignored, whatever their names; empty
 tables give an empty result.
 """
@@ -35,6 +37,8 @@ from routewise.llm.common import prepare, union_all
 SEED = 3
 LEAST = 0.5
 BLOCK_BYTES = 4 << 20
+#: Hits, and words of windows, that are looked at together.
+CELLS = 1 << 20
 SCHEMA = "doc_id long, item_id long, score double, start long, end long"
 
 
@@ -65,7 +69,10 @@ def index(items: list) -> dict:
     h, item, pos = (np.concatenate(x) for x in (grams, item, pos))
     keys, inv = np.unique(h, return_inverse=True)
     order = np.argsort(inv, kind="stable")
-    return {"ids": [r["item_id"] for r in items], "words": words, "begin": row_word, "keys": keys, "item": item[order], "pos": pos[order],
+    # the words of each item, as item * (words + 1) + place in vocab, and how often
+    vocab = np.unique(words)
+    item_word, times = np.unique(np.repeat(np.arange(len(items)), n) * (len(vocab) + 1) + tb.find(words, vocab), return_counts=True)
+    return {"vocab": vocab, "item_word": item_word, "times": times, "ids": [r["item_id"] for r in items], "words": words, "begin": row_word, "keys": keys, "item": item[order], "pos": pos[order],
             "at": np.searchsorted(inv[order], np.arange(len(keys) + 1)), "sizes": [k for k in range(1, SEED + 1) if len(grams[k - 1])]}
 
 
@@ -80,43 +87,6 @@ def _hits(words, row_word, idx):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def document_frequency(docs: DataFrame, idx: dict) -> np.ndarray:
-    """Documents that hold each key; summed in the task, then over tasks."""
-    n = len(idx["keys"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
-        for b in batches:
-            for _, _, buf, offs in tb.row_chunks(b.column(1)):
-                words, _, _, row_word = tb.word_hashes(buf, offs, tb.ALNUM)
-                key, row, _ = _hits(words, row_word, idx)
-                total += np.bincount(np.unique(row * n + key) % n, minlength=n)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "n"])
-
-    # a row for each seed of the block, bounded with it
-    got = docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(n, np.int64)
-    for r in got:
-        df[r["k"]] = r["n"]
-    return df
-
-
-def rare(idx: dict, df: np.ndarray) -> dict:
-    """The index with the seeds only: an item's n-grams up to its median frequency."""
-    key = np.repeat(np.arange(len(idx["keys"])), np.diff(idx["at"]))
-    order = np.lexsort((df[key], idx["item"]))
-    item, f = idx["item"][order], df[key[order]]
-    first = np.searchsorted(item, np.arange(len(idx["ids"])))
-    last = np.searchsorted(item, np.arange(len(idx["ids"])), "right")
-    has = last > first
-    median = np.zeros(len(idx["ids"]), np.int64)
-    median[has] = f[(first + (last - first) // 2)[has]]
-    keep = df[key] <= median[idx["item"]]
-    used, inv = np.unique(key[keep], return_inverse=True)
-    return {**idx, "keys": idx["keys"][used], "item": idx["item"][keep], "pos": idx["pos"][keep], "at": np.searchsorted(inv, np.arange(len(used) + 1))}
-
-
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of each (item, window) pair and the window word it
     ends before.  Pairs are padded to common lengths; pads match nothing."""
@@ -158,17 +128,72 @@ def _align_in_batches(items, windows, cells: int = 1 << 20):
     return best, end
 
 
-def _windows(key, row, at, row_word, idx):
+def _pad(length, least: float):
+    """Words that an alignment of the least score can reach past its item's length: with
+    m <= length matches it has at most m - least * length gaps and mismatches."""
+    return np.maximum(length // 2, np.ceil((1 - least) * length).astype(np.int64)) + 2
+
+
+def _promising(row, item, diagonal, words, row_word, idx, least):
+    """Which hits, sorted by row, item and diagonal, an alignment of at least the least
+    score can go through.
+
+    Runs of SEED matches or more consist of hits, whose diagonals differ by at most the
+    pad; let them hold a matches.  All other runs are shorter and cost an error each, so
+    a SEED - 1 of their matches count for SEED - 2 at most.  With m words of the item in
+    the window, the score is at most a + (m - a) * (SEED - 2) / (SEED - 1): no alignment
+    of the least score is lost."""
+    length = idx["begin"][item + 1] - idx["begin"][item]
+    pad = _pad(length, least)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    # hits of the same pair at most the pad away: diagonals are set apart by pair
+    apart = (np.cumsum(new) - 1) * (1 << 42) + diagonal
+    near = np.searchsorted(apart, apart + pad, "right") - np.searchsorted(apart, apart - pad)
+    a = np.minimum(SEED * near, length)
+    need = np.ceil(((SEED - 1) * least * length - a) / (SEED - 2) - 1e-9)
+    # a window for each diagonal of a pair
+    lead = new.copy()
+    lead[1:] |= diagonal[1:] != diagonal[:-1]
+    begin = np.flatnonzero(lead)
+    first = np.maximum(diagonal - pad, row_word[row])[begin]
+    size = np.minimum(diagonal + length + pad, row_word[row + 1])[begin] - first
+    good = np.zeros(len(begin), bool)
+    n_words, n_pairs = len(idx["vocab"]) + 1, len(idx["item_word"])
+    reach = np.cumsum(size)
+    lo = 0
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] + CELLS, "right")))
+        n = size[lo:hi]
+        w = np.repeat(np.arange(hi - lo), n)
+        at = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lo:hi], n)
+        key = item[begin[lo:hi]][w] * n_words + words[at]
+        slot = np.minimum(np.searchsorted(idx["item_word"], key), n_pairs - 1)
+        held = idx["item_word"][slot] == key
+        # words of the item in the window; then the item's words that are there, each once
+        some = np.bincount(w[held], minlength=hi - lo) >= need[begin[lo:hi]]
+        held &= some[w]
+        pair = np.unique(w[held] * n_pairs + slot[held])
+        m = np.bincount(pair // n_pairs, idx["times"][pair % n_pairs], minlength=hi - lo)
+        good[lo:hi] = some & (m >= need[begin[lo:hi]])
+        lo = hi
+    return good[np.cumsum(lead) - 1]
+
+
+def _windows(key, row, at, words, row_word, idx, least):
     """Merged (row, item, first word, end word) windows around the hits."""
     n = idx["at"][key + 1] - idx["at"][key]
     k = np.repeat(idx["at"][key], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    item, pos, row, at = idx["item"][k], idx["pos"][k], np.repeat(row, n), np.repeat(at, n)
+    item, row = idx["item"][k], np.repeat(row, n)
+    diagonal = np.repeat(at, n) - idx["pos"][k]
+    order = np.lexsort((diagonal, item, row))
+    row, item, diagonal = row[order], item[order], diagonal[order]
+    keep = _promising(row, item, diagonal, words, row_word, idx, least)
+    row, item, diagonal = row[keep], item[keep], diagonal[keep]
     length = idx["begin"][item + 1] - idx["begin"][item]
-    pad = length // 2 + 2
-    first = np.maximum(at - pos - pad, row_word[row])
-    last = np.minimum(at - pos + length + pad, row_word[row + 1])
-    order = np.lexsort((first, item, row))
-    row, item, first, last = row[order], item[order], first[order], last[order]
+    pad = _pad(length, least)
+    first = np.maximum(diagonal - pad, row_word[row])
+    last = np.minimum(diagonal + length + pad, row_word[row + 1])
     # of a sorted run, a window starts anew where it lies after all before it
     same = np.zeros(len(row), bool)
     same[1:] = (row[1:] == row[:-1]) & (item[1:] == item[:-1])
@@ -180,6 +205,24 @@ def _windows(key, row, at, row_word, idx):
     return row[begin], item[begin], first[begin], np.maximum.reduceat(last, begin) if len(begin) else last
 
 
+def _windows_by_rows(key, row, at, words, row_word, idx, least):
+    """_windows() over ranges of rows with a bounded number of (hit, item) pairs, one row
+    at least."""
+    ids = tb.find(words, idx["vocab"])
+    order = np.argsort(row, kind="stable")
+    key, row, at = key[order], row[order], at[order]
+    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    ends = np.r_[begin[1:], len(row)]
+    pairs = np.cumsum(idx["at"][key + 1] - idx["at"][key])[ends - 1]
+    out, lo, done = [], 0, 0
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(pairs, done + CELLS, "right")))
+        part = slice(begin[lo], ends[hi - 1])
+        out.append(_windows(key[part], row[part], at[part], ids, row_word, idx, least))
+        lo, done = hi, pairs[hi - 1]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def leaks_of(buf: np.ndarray, offs: np.ndarray, idx: dict, least: float):
     """(row, item, score, start, end) of the buffer's texts: the best window of each
     text and item that scores at least so much; None if there is none."""
@@ -187,7 +230,9 @@ def leaks_of(buf: np.ndarray, offs: np.ndarray, idx: dict, least: float):
     key, row, at = _hits(words, row_word, idx)
     if not len(key):
         return None
-    row, item, first, last = _windows(key, row, at, row_word, idx)
+    row, item, first, last = _windows_by_rows(key, row, at, words, row_word, idx, least)
+    if not len(row):
+        return None
     own = [idx["words"][idx["begin"][i]:idx["begin"][i + 1]] for i in item.tolist()]
     win = [words[a:z] for a, z in zip(first.tolist(), last.tolist())]
     best, end = _align_in_batches(own, win)
@@ -222,12 +267,12 @@ def search(docs: DataFrame, idx: dict, least: float = LEAST) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[dict]:
-    """The seeds of each block of items; docs has the ids and texts to count in."""
+def indexes(benchmark: DataFrame) -> Iterator[dict]:
+    """The seeds of each block of items."""
     for items in blocks(benchmark):
         idx = index(items)
         if len(idx["keys"]):
-            yield rare(idx, document_frequency(docs, idx))
+            yield idx
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -236,14 +281,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = [search(d, idx, least) for idx in indexes(d, benchmark)]
+    found = [search(d, idx, least) for idx in indexes(benchmark)]
     return union_all(found) if found else spark.createDataFrame([], SCHEMA)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The documents that hold no copy of a benchmark item, with all their columns."""
     prepare(docs.sparkSession)
-    d = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def clean(idx):
         @F.arrow_udf("boolean")
@@ -257,6 +301,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return is_clean(F.col(text_col).cast("string"))
 
-    for idx in indexes(d, benchmark):
+    for idx in indexes(benchmark):
         docs = docs.where(clean(idx))
     return docs

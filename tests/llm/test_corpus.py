@@ -59,6 +59,50 @@ def test_copies_and_edits_are_found_and_clean_texts_left(spark, bench):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 8, 9, 10]
 
 
+@pytest.mark.parametrize("n, copies", [(20, 0), (36, 0), (57, 0), (36, 3000)])
+def test_edits_are_found_alone_and_beside_copies(spark, n, copies):
+    """Every fifth word edited: most 3-grams occur nowhere, or only in exact copies."""
+    w = [f"w{i}" for i in range(n)]
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    edited = [f"e{i}" if i % 5 == 4 else x for i, x in enumerate(w)]
+    filler = " ".join(f"f{i}" for i in range(80))
+    rows = [(1, f"{filler} {' '.join(edited)} {filler}"), (2, filler), (3, f"{' '.join(w[:4])} {filler}")] + [(10 + i, " ".join(w)) for i in range(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam_sw.find_leaks(docs, bench).collect()}
+    assert set(got) == {1} | {10 + i for i in range(copies)}
+    assert got[1] == smith_waterman(w, edited)[0] / n
+    assert sorted(r["doc_id"] for r in decontam_sw.without_leaks(docs, bench).collect()) == [2, 3]
+
+
+def test_no_window_is_lost_before_alignment():
+    """Few words, so that seeds are frequent: every pair that shares a seed and scores at
+    least so much is found, with that score."""
+    rng = np.random.default_rng(1)
+    items = [" ".join(rng.choice(list("abcdefgh"), rng.integers(3, 24))) for _ in range(30)]
+    docs = []
+    for k in range(120):
+        w = items[k % 30].split()
+        for _ in range(rng.integers(0, len(w) // 2 + 1)):
+            at = rng.integers(0, len(w) + 1)
+            w[at:at + rng.integers(0, 2)] = list(rng.choice(list("abcxyz"), rng.integers(0, 2)))
+        docs.append(" ".join(list(rng.choice(list("abcxyz"), rng.integers(0, 40))) + w + list(rng.choice(list("abcxyz"), rng.integers(0, 40)))))
+    buf, offs = decontam_sw.tb.string_buffer(decontam_sw.pa.array(docs))
+    seeds = lambda w: {tuple(w[i:i + 3]) for i in range(len(w) - 2)}
+    idx = decontam_sw.index([{"item_id": i, "text": x} for i, x in enumerate(items)])
+    for least in (0.5, 0.7, 0.4):
+        want = {}
+        for d, x in enumerate(docs):
+            for i, y in enumerate(items):
+                score = smith_waterman(y.split(), x.split())[0] / len(y.split())
+                if score >= least and seeds(x.split()) & seeds(y.split()):
+                    want[d, i] = score
+        row, item, score, _, _ = decontam_sw.leaks_of(buf, offs, idx, least)
+        got = {(r, idx["ids"][i]): s for r, i, s in zip(row.tolist(), item.tolist(), score.tolist())}
+        # short items can score by words that hold no seed, beside a seed elsewhere
+        far = {k for k in want if k not in got and len(items[k[1]].split()) > 6}
+        assert not far and got.items() <= want.items()
+
+
 def test_leaks_equal_full_search(spark, documents):
     """Every document against every item by plain alignment, on texts that hold an
     item's words at all."""
