@@ -1,20 +1,26 @@
 """Personal data by patterns, widened by bootstrapped contextual extraction.
 
 Base spans come from four patterns (email, ip, card, phone).  Their strings are the
-seed entities.  A lexical pattern is the word before an identifier-like token together
-with the token's shape (letters and digits by class, runs collapsed to their length);
-an instance is such a token's string.  The pattern-instance graph of the corpus is
-scored iteratively in Spark: a pattern's confidence is the mean confidence of its
-distinct instances, discounted for few seeds; an instance's is 1 for seeds, else the
-noisy-or of its patterns' confidences.  Patterns of at least CONFIDENT, backed by at
-least SUPPORT distinct seeds, mark all tokens that they fit as spans of kind ctx,
-unless a base span covers them.
-
-Candidate tokens hold a digit or an @, so the graph is far smaller than the corpus; it
+seed entities.  A candidate is an identifier-like token, or digit groups set apart by
+single spaces or parentheses, after a word; an instance is its string.  It fits four
+lexical patterns, from strict to loose: the word before with the shape (characters by
+class, runs with their length), the word before with the shape of collapsed runs, the
+words before and after, and the word before alone.  The last two take any form, so that
+forms the base patterns don't know are found where seeds stand.
+
+The pattern-instance graph of the corpus is scored iteratively in Spark: a pattern's
+confidence is the mean confidence of its distinct instances, discounted for little
+support; an instance's is 1 for seeds, else the noisy-or of its confident patterns'.
+Support is the number of distinct instances of at least CONFIDENT, seeds or found in an
+earlier round, so a pattern can stand on what others have found.  Patterns of at least
+CONFIDENT with a support of at least SUPPORT mark all candidates that they fit as spans
+of kind ctx, unless a base span covers them.
+
+Candidates hold a digit or an @, so the graph is far smaller than the corpus; it
 is aggregated to distinct (pattern, instance) pairs with their seed flag.  Each
 iteration is two joins and two aggregations of that graph by pattern and by instance,
-with map-side combining.  The confident patterns are joined back to the candidate
-tokens, which are kept by row key, so no pattern list is held in memory.
+with map-side combining.  The confident patterns are joined back to the candidates,
+which are kept by row key, so no pattern list is held in memory.
 
 Defined cases: a null or empty text has no spans; repeated ids get a row each; other
 columns are ignored; empty tables give an empty result.
@@ -43,6 +49,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 CANDIDATE = re.compile(r"[^\s,;!?\"'()\[\]{}<>|]*[0-9@][^\s,;!?\"'()\[\]{}<>|]*")
 WORD_BEFORE = re.compile(r"([^\W\d_]+)[\s:=#\"'(]*$")
+WORD_AFTER = re.compile(r"[\s:=#\"'().,;!?]*([^\W\d_]+)")
+#: Groups of digits, and what may stand between two groups of one identifier.
+GROUP = re.compile(r"\+?[0-9][0-9.-]*")
+BETWEEN = frozenset((" ", " (", ") ", ")"))
 CONFIDENT = 0.9
 SUPPORT = 4
 ROUNDS = 3
@@ -89,31 +99,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Classes of characters, runs with their length: ab12-3 -> a2d2-1d1."""
-    kinds = "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
-    return "".join(f"{m[1]}{len(m[0])}" for m in re.finditer(r"(.)\1*", kinds))
+    return "".join(f"{m[1]}{len(m[0])}" for m in re.finditer(r"(.)\1*", _classes(token)))
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool, bool]]:
-    """(start, end, pattern, instance, is a seed, is covered): identifier-like tokens
-    with a word before them."""
+def _classes(token: str) -> str:
+    return "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
+
+
+def patterns(before: str, after: str, token: str) -> list[str]:
+    """The lexical patterns that a token between two words fits, strict ones first."""
+    loose = re.sub(r"(.)\1+", r"\1", _classes(token))
+    return [f"{before}\x01{shape(token)}", f"{before}\x02{loose}", f"{before}\x03{after}", f"{before}\x04"]
+
+
+def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, end, is a base span): base spans that hold tokens, other tokens, and groups
+    of digits that belong together as one."""
     out, covered = [], sorted((s, e) for _, s, e in spans)
-    i = 0
+    i, whole = 0, False
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         while e > s and text[e - 1] in ".:-":
             e -= 1
-        if e - s < 5:
-            continue
         while i < len(covered) and covered[i][1] <= s:
             i += 1
-        hit = i < len(covered) and covered[i][0] < e
-        if hit:
+        if i < len(covered) and covered[i][0] < e:
             # a base span, whole, is the seed entity
-            s, e = covered[i]
+            if e - s >= 5:
+                out.append((*covered[i], True))
+            whole = False
+            continue
+        group = GROUP.fullmatch(text, s, e) is not None
+        between = text[out[-1][1]:s] if whole and group and text[s] != "+" else ""
+        if between in BETWEEN:
+            first = out[-1][0]
+            # the parenthesis that is closed between the groups
+            if between[0] == ")" and "(" not in text[first:out[-1][1]] and text[first - 1:first] == "(":
+                first -= 1
+            out[-1] = (first, e, False)
+        else:
+            out.append((s, e, False))
+        whole = group and e == m.end()
+    return [x for x in out if x[1] - x[0] >= 5]
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], str, bool]]:
+    """(start, end, patterns, instance, is a seed): identifier-like tokens with a word
+    before them."""
+    out = []
+    for s, e, seed in tokens(text, spans):
         before = WORD_BEFORE.search(text, max(0, s - 48), s)
         if before:
-            token = text[s:e]
-            out.append((s, e, f"{before[1].lower()}\x01{shape(token)}", token, hit, hit))
+            after = WORD_AFTER.match(text, e)
+            out.append((s, e, patterns(before[1].lower(), after[1].lower() if after else "", text[s:e]), text[s:e], seed))
     return out
 
 
@@ -123,7 +161,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digit = re.compile("[0-9@]")
         spans_t = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        cands_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_())]))
+        cands_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string())), ("instance", pa.string()), ("seed", pa.bool_())]))
         for b in batches:
             spans, cands = [], []
             for x in b.column(1):
@@ -134,22 +172,22 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 found = base_spans(text)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                cands.append([{"start": s, "end": e, "pattern": p, "instance": t, "seed": seed} for s, e, p, t, seed, _ in candidates(text, found)])
+                cands.append([{"start": s, "end": e, "patterns": p, "instance": t, "seed": seed} for s, e, p, t, seed in candidates(text, found)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, spans_t), pa.array(cands, cands_t)], names=["doc_id", "spans", "cands"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .mapInArrow(run, "doc_id long, spans array<struct<kind:int,start:int,end:int>>, "
-                        "cands array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean>>"))
+                        "cands array<struct<start:int,end:int,patterns:array<string>,instance:string,seed:boolean>>"))
 
 
 def score_patterns(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, confidence, support) from distinct (pattern, instance, seed) pairs.
 
-    confidence = mean instance confidence * seeds / (seeds + 0.25)."""
+    confidence = mean instance confidence * support / (support + 0.25)."""
     inst = pairs.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("conf"))
     for i in range(rounds):
         scored = pairs.join(inst, "instance")
-        support = F.sum(F.col("seed").cast("long"))
+        support = F.sum((F.col("conf") >= CONFIDENT).cast("long"))
         pattern = scored.groupBy("pattern").agg((F.avg("conf") * support / (support + 0.25)).alias("confidence"), support.alias("support"))
         if i == rounds - 1:
             return pattern
@@ -168,6 +206,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # a row key for repeated ids; stored, so that it stays the same
     rows = stored(_found(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii")
     cands = rows.where(F.size("cands") > 0).select("row", F.explode("cands").alias("c")).select("row", "c.*")
+    cands = cands.select("row", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
     pairs = cands.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).checkpoint()
     good = score_patterns(pairs).where((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern")
     extra = (cands.where(~F.col("seed")).join(good, "pattern").groupBy("row")

@@ -109,6 +109,24 @@ def test_confident_contexts_find_unseen_identifiers(spark):
     assert got[5] == "card:17:33" and got[100] == "ctx:17:33" and got[101] == ""
 
 
+def test_other_forms_are_found_where_seeds_stand_and_lend_support(spark):
+    local = [f"555-{i:03d}-4567" for i in range(14)]
+    account = "(12) 345 678/9X"
+    rows = [(i, f"my phone +1 (706) 555-{3000 + i} is on") for i in range(300)]
+    rows += [(1000 + i, f"my phone {x} is on") for i, x in enumerate(local)] + [(1500, "my phone 77 1234 99 is on"), (1501, "my phone (555) 765 4321 is on")]
+    # round two: this context has no base match of its own
+    rows += [(2000 + i, f"please dial {x} then") for i, x in enumerate(local)] + [(2500, "please dial 555-999-4567 then")]
+    rows += [(3000, "on page 555-888-4567 then"), (3001, f"box {account}")] + [(3100 + i, f"page {10000 + i} then") for i in range(20)]
+    texts = dict(rows)
+    found = {r["doc_id"]: r["spans"] for r in pii_bootstrap.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ctx = {d: [texts[d][x["start"]:x["end"]] for x in xs if x["kind"] == 4] for d, xs in found.items()}
+    assert all([x["kind"] for x in found[i]] == [3] for i in range(300))
+    assert [ctx[1000 + i] for i in range(14)] == [[x] for x in local]
+    assert ctx[1500] == ["77 1234 99"] and ctx[1501] == ["(555) 765 4321"]
+    assert [ctx[2000 + i] for i in range(14)] == [[x] for x in local] and ctx[2500] == ["555-999-4567"]
+    assert not any(xs for d, xs in ctx.items() if d >= 3000)
+
+
 @pytest.mark.parametrize("scan, digest", [(secret_entropy.scan, secret_entropy.digest), (pii_bootstrap.scan, pii_bootstrap.digest)])
 def test_odd_rows(odd, empty, scan, digest):
     rows = digest(scan(odd)).collect()
