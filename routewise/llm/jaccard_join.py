@@ -390,9 +390,9 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
     return comp
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rounds: int = PIVOT_ROUNDS,
-                    near: int = NEAR) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, rounds: int, near: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cid) of every row, the class null where it links with nothing; and (cid,
+    low, comp) of every class, low its smallest id."""
     prepare(docs.sparkSession)
     d = _slim(docs, id_col, text_col)
     raw = stored(summaries(d, words), "jaccard-sets")
@@ -405,23 +405,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the smallest id of each class first, so that a class of a third of all rows is one row from here
     low = (rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low")).join(comp, "cid", "left")
            .withColumn("comp", F.coalesce("comp", "cid")))
+    return rows, low
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rounds: int = PIVOT_ROUNDS,
+                    near: int = NEAR) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, low = _components(docs, id_col, text_col, words, rounds, near)
     of = low.groupBy("comp").agg(F.min("low").alias("component_id"))
     label = low.join(of, "comp").select("cid", "component_id")
     return (rows.join(label, "cid", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The documents that are the smallest id of their component, with all their
-    columns; of rows that repeat both id and text one stays.  Null ids stay.
+def class_of(words: int):
+    """The class key of a text, null for an empty set."""
+
+    @F.arrow_udf("long")
+    def key(text: pa.Array) -> pa.Array:
+        out = []
+        for _, _, buf, offs in tb.row_chunks(text):
+            h, cut = shingle_sets(buf, offs, words)
+            raw = memoryview(h.astype("<u8").tobytes())
+            out += [class_key(hashlib.blake2b(raw[8 * a:8 * z], digest_size=16).digest()) if z > a else None for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        return pa.array(out, pa.int64())
 
-    Only documents that may go or repeat are shuffled; the others are passed on."""
-    found = stored(near_duplicates(docs, id_col, text_col, words), "jaccard-components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return key
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row for each component, of its smallest id, with all its columns; of several
+    with that id one of the smallest class.  Of rows without shingles that repeat both id
+    and text one stays.  Null ids stay.
+
+    Rows are told apart by id and class, so rows that share an id but not their text are
+    decided each on its own.  Only documents that may go or repeat are shuffled; the
+    others are passed on."""
+    rows, low = _components(docs, id_col, text_col, words, PIVOT_ROUNDS, NEAR)
+    lead = low.groupBy("comp").agg(F.min(F.struct("low", "cid")).alias("lead"))
+    label = low.join(lead, "comp").select("cid", F.col("lead.low").alias("lead_id"), F.col("lead.cid").alias("lead_cid"))
+    found = stored(rows.join(label, "cid", "left").select("doc_id", "cid", F.expr("cid is not null and (cid <> lead_cid or doc_id <> lead_id)").alias("goes")), "jaccard-components")
+    gone = found.where("goes").select("doc_id", "cid").distinct()
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    asked = F.coalesce(may_be_among(gone.union(again), id_col), F.lit(False))
-    kept = (docs.where(asked).join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
-            .select(*docs.columns).dropDuplicates([id_col, text_col]))
+    asked = F.coalesce(may_be_among(gone.select("doc_id").union(again), id_col), F.lit(False))
+    cid, same = "class of one_of_each", "what repeats in one_of_each"
+    kept = (docs.where(asked).withColumn(cid, class_of(words)(F.col(text_col).cast("string")))
+            .join(gone.select(F.col("doc_id").alias(id_col), F.col("cid").alias(cid)), [id_col, cid], "left_anti")
+            .withColumn(same, F.when(F.col(cid).isNull(), F.col(text_col).cast("string"))).dropDuplicates([id_col, cid, same]).select(*docs.columns))
     return docs.where(~asked).unionByName(kept)
 
 

@@ -138,6 +138,15 @@ def test_one_of_each_keeps_one(odd):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted((i is None, i) for i in (1, 2, 3, 4, 5, 7, 8, None))
 
 
+def test_one_of_each_decides_rows_that_share_an_id_by_their_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (7, f"{a} more"), (7, b), (9, f"{b} more"),  # one row of 7 goes with 3, the other leads its own
+            (2, c), (2, f"{c} more"), (4, c), (4, ""), (4, ""), (4, None)]  # near copies that share the smallest id
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["text"] is None, (r["text"] or "")[:2]) for r in kept)
+    assert got == [(2, False, "c0"), (3, False, "a0"), (4, False, ""), (4, True, ""), (7, False, "b0")]
+
+
 # ---- embeddings ----------------------------------------------------------------------------------
 def brute_vectors(rows, least=embed_lsh.LEAST):
     ok = [i for i, (_, v, label) in enumerate(rows) if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
