@@ -48,7 +48,9 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 CANDIDATE = re.compile(r"[^\s,;!?\"'()\[\]{}<>|]*[0-9@][^\s,;!?\"'()\[\]{}<>|]*")
-WORD_BEFORE = re.compile(r"([^\W\d_]+)[\s:=#\"'(]*$")
+#: Besides white space, what may stand between a word and the token after it.
+AFTER_WORD = frozenset(":=#\"'(")
+LETTER = re.compile(r"[^\W\d_]")
 WORD_AFTER = re.compile(r"[\s:=#\"'().,;!?]*([^\W\d_]+)")
 #: Groups of digits, and what may stand between two groups of one identifier.
 GROUP = re.compile(r"\+?[0-9][0-9.-]*")
@@ -143,15 +145,26 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return [x for x in out if x[1] - x[0] >= 5]
 
 
+def word_before(text: str, at: int) -> str:
+    """The whole word before a position, however far the separators reach; empty if there
+    is none.  It never walks past another token, so a text is walked once at most."""
+    while at > 0 and (text[at - 1].isspace() or text[at - 1] in AFTER_WORD):
+        at -= 1
+    start = at
+    while start > 0 and LETTER.match(text[start - 1]):
+        start -= 1
+    return text[start:at]
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], str, bool]]:
     """(start, end, patterns, instance, is a seed): identifier-like tokens with a word
     before them."""
     out = []
     for s, e, seed in tokens(text, spans):
-        before = WORD_BEFORE.search(text, max(0, s - 48), s)
+        before = word_before(text, s)
         if before:
             after = WORD_AFTER.match(text, e)
-            out.append((s, e, patterns(before[1].lower(), after[1].lower() if after else "", text[s:e]), text[s:e], seed))
+            out.append((s, e, patterns(before.lower(), after[1].lower() if after else "", text[s:e]), text[s:e], seed))
     return out
 
 

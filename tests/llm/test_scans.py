@@ -109,6 +109,13 @@ def test_confident_contexts_find_unseen_identifiers(spark):
     assert got[5] == "card:17:33" and got[100] == "ctx:17:33" and got[101] == ""
 
 
+@pytest.mark.parametrize("word, gap", [("phone", " " * 100), ("phone", ' "' * 40), ("p" + "h" * 90 + "one", ": ")])
+def test_word_before_is_whole_at_any_distance(word, gap):
+    text = f"my {word}{gap}12345-678 now"
+    (s, e, patterns, token, seed), = pii_bootstrap.candidates(text, [])
+    assert (text[s:e], token, seed) == ("12345-678", "12345-678", False) and patterns[-1] == f"{word}\x04"
+
+
 def test_other_forms_are_found_where_seeds_stand_and_lend_support(spark):
     local = [f"555-{i:03d}-4567" for i in range(14)]
     account = "(12) 345 678/9X"
