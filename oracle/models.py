@@ -45,7 +45,7 @@ FLEET = [
     ("electric_vehicles", "count(*) filter (where first_run and fuel_type = 'electric')"),
     ("avg_vehicle_capacity", rmean("capacity", 1)),
     ("avg_fleet_age_years", rmean("vehicle_age_years", 1)),
-    ("pct_compliant_operators", rratio("len(list_distinct(list(holder) filter (where is_compliant_puv)))", "len(list_distinct(list(holder)))", 3)),
+    ("pct_compliant_operators", rratio("coalesce(len(list_distinct(list(holder) filter (where is_compliant_puv))), 0)", "len(list_distinct(list(holder)))", 3)),
     ("total_fuel_cost_php", "coalesce(sum(avg_fuel_cost_daily_php) filter (where first_run), 0)::double"),
 ]
 
