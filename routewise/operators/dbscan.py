@@ -1,153 +1,169 @@
-"""DBSCAN (K09) as Spark jobs.
-
-1. Identical vectors are collapsed to one weighted node (survey answers
-   repeat a lot), keeping the smallest row index per node.
-2. Blocking: each node gets a grid cell on ``grid_dims`` dimensions (side =
-   eps).  Any eps-neighbour lies in one of the 3^d adjacent cells, so each
-   node is sent as a *guest* to those cells.  A cell's *home* nodes are
-   split into chunks of at most ``block`` nodes (salting), so a hot cell is
-   spread over many tasks; guests are replicated to every chunk of their
-   target cell.
-3. ``applyInPandas`` per (cell, chunk) computes exact distances home x guests
-   with numpy in bounded slices and emits only per-node results: weighted
-   neighbour counts (pass 1) and, once core flags are known, the eps-edges
-   between core nodes plus each border node's core neighbours (pass 2).
-   No candidate pairs ever become rows.
-4. Connected components of core nodes by min-label propagation over the
-   edge list (a join + aggregate per round), cut with ``checkpoint()``
-   every few rounds (reliable, in ``spark.checkpoint.dir``).
-5. Numbering follows the sequential algorithm: clusters are numbered by
-   their first core row; a border row joins the lowest-numbered cluster
-   among its core neighbours; the rest is noise (-1).
+"""DBSCAN (K09) over a graph of cells.
+
+1. Identical vectors are collapsed to one weighted node (survey answers repeat a lot),
+   with the smallest row id.
+2. Space is cut into cells of side eps / sqrt(d), so any two nodes of a cell are
+   neighbours.  A cell that weighs min_samples or more has core nodes only, and its
+   nodes need no count; the core nodes of a cell are one vertex of the cluster graph.
+3. Only nodes of lighter cells count their neighbours.
+4. Two cells are linked if any core node of one is a neighbour of one of the other.  A
+   task compares a cell with those that are not yet in one set with it, so it sends a
+   spanning forest of its cells and never pairs of nodes; a cell of m nodes costs no
+   edges of its own, whatever m.
+5. Components of the cells; clusters are numbered by their first core row, and a border
+   row takes the lowest number among its core neighbours, as the sequential algorithm
+   has it; the rest is noise (-1).
+
+Comparisons are dealt by blocks of side eps on ``grid_dims`` dimensions: a node's
+neighbours lie in the adjacent blocks, to which it is sent as a guest.  A block's home
+and guest nodes are both cut into chunks of about ``block`` nodes, and a task has one
+chunk of each, so a block that holds a third of all nodes is spread over many tasks of
+bounded size.  Distances are taken in numpy, in slices; only counts, cell links and
+cluster numbers leave a task.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from .graph import connected_components, numbered
 
 
-def _nodes(df: DataFrame, id_col: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    nodes = df.groupBy(*cols).agg(F.min(id_col).alias("node"), F.count(F.lit(1)).alias("w"))
+def cells(df: DataFrame, id_col: str, cols: list[str], eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, w, cols, cell, dense), cell the smallest node of its cell; and the
+    rows' nodes (id_col, node)."""
+    nodes = df.groupBy(*cols).agg(F.min(id_col).cast("long").alias("node"), F.count(F.lit(1)).alias("w"))
     members = df.join(nodes.select(*cols, "node"), cols).select(id_col, "node")
-    return nodes, members
-
-
-def _blocks(nodes: DataFrame, cols: list[str], eps: float, grid_dims: int, block: int):
-    g = cols[:grid_dims]
-    cell = F.array(*[F.floor(F.col(c) / eps).cast("long") for c in g])
-    nodes = nodes.withColumn("cell", cell)
-    # home chunking: chunks per cell from the (small) per-cell counts
-    per_cell = nodes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    per_cell = per_cell.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int"))
-    home = (nodes.join(per_cell.select("cell", "chunks"), "cell")
-                 .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-                 .withColumn("is_home", F.lit(True)))
-    offsets = [list(o) for o in itertools.product([-1, 0, 1], repeat=len(g))]
-    off = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
-    guest = (nodes.withColumn("o", F.explode(off))
-                  .withColumn("cell", F.zip_with("cell", "o", lambda a, b: a + b))
-                  .drop("o")
-                  .join(per_cell.select("cell", "chunks"), "cell")  # only non-empty cells
-                  .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-                  .withColumn("is_home", F.lit(False)))
-    return home.unionByName(guest)
-
-
-def _neighbour_fn(cols, eps, slice_rows, mode):
-    eps2 = eps * eps
+    side = eps / math.sqrt(len(cols)) * (1 - 1e-9)  # a hair less, for rounding
+    box = F.array(*[F.floor(F.col(c) / side).cast("long") for c in cols])
+    nodes = nodes.withColumn("_box", box)
+    light = nodes.groupBy("_box").agg(F.min("node").alias("cell"), (F.sum("w") >= min_samples).alias("dense"))
+    return nodes.join(light, "_box").drop("_box"), members
+
+
+def dealt(home: DataFrame, guest: DataFrame, cols: list[str], eps: float, grid_dims: int, block: int) -> DataFrame:
+    """Rows of home and guest by (block, hc, gc), with is_home; every home node meets all
+    guests of its own and the adjacent blocks."""
+    dims = cols[:grid_dims]
+    at = F.array(*[F.floor(F.col(c) / eps).cast("long") for c in dims])
+    steps = F.array(*[F.array(*[F.lit(x) for x in o]) for o in itertools.product([-1, 0, 1], repeat=len(dims))])
+    # chunks from counts by block, never from the nodes themselves
+    homes = home.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    guests = (guest.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("m")).withColumn("s", F.explode(steps))
+              .groupBy(F.zip_with("at", "s", lambda a, b: a + b).alias("at")).agg(F.sum("m").alias("m")))
+    size = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
+    plan = homes.join(guests, "at").select("at", size("n").alias("h"), size("m").alias("g"))
+    chunk = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = home.withColumn("at", at).join(plan, "at").withColumn("hc", chunk("h")).withColumn("gc", every("g")).withColumn("is_home", F.lit(True))
+    other = (guest.withColumn("s", F.explode(steps)).withColumn("at", F.zip_with(at, "s", lambda a, b: a + b)).drop("s").join(plan, "at")
+             .withColumn("gc", chunk("g")).withColumn("hc", every("h")).withColumn("is_home", F.lit(False)))
+    return mine.drop("h", "g").unionByName(other.drop("h", "g"), allowMissingColumns=True)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, by differences, so equal rows are exactly 0 apart."""
+    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
+
+
+def count_neighbours(cols: list[str], eps: float, rows: int):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        home, guest = pdf[pdf.is_home], pdf[~pdf.is_home]
+        x, y, w = home[cols].to_numpy(float), guest[cols].to_numpy(float), guest["w"].to_numpy()
+        n = [((distances(x[i:i + rows], y) <= eps * eps) * w).sum(1) for i in range(0, len(x), rows)]
+        return pd.DataFrame({"node": home["node"].to_numpy(), "n": np.concatenate(n) if n else np.zeros(0, np.int64)}).astype({"n": "int64"})
+
+    return fn
+
+
+def link_cells(cols: list[str], eps: float, rows: int):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        home, guest = (x.sort_values("cell", kind="stable") for x in (pdf[pdf.is_home], pdf[~pdf.is_home]))
+        names, code = np.unique(np.concatenate([home["cell"].to_numpy(), guest["cell"].to_numpy()]), return_inverse=True)
+        mine, other = code[:len(home)], code[len(home):]
+        x, y = home[cols].to_numpy(float), guest[cols].to_numpy(float)
+        top, out = np.arange(len(names)), []
+        if not len(mine) or not len(other):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        start = np.flatnonzero(np.append(True, other[1:] != other[:-1]))
+        cell = other[start]
+        low, high = np.minimum.reduceat(y, start), np.maximum.reduceat(y, start)
+        size = np.diff(np.append(start, len(other)))
+        for c in np.unique(mine).tolist():
+            part = x[mine == c]
+            for i in range(0, len(part), rows):
+                p = part[i:i + rows]
+                # cells whose box is near, but for those already in one set with this cell
+                gap = np.maximum(np.maximum(low - p.max(0), p.min(0) - high), 0)
+                ask = np.flatnonzero(((gap * gap).sum(1) <= eps * eps) & (top[cell] != top[c]))
+                if not len(ask):
+                    continue
+                at = np.repeat(start[ask], size[ask]) + np.arange(size[ask].sum()) - np.repeat(np.cumsum(size[ask]) - size[ask], size[ask])
+                for j in range(0, len(at), 16 * rows):
+                    some = at[j:j + 16 * rows]
+                    near = (distances(p, y[some]) <= eps * eps).any(0)
+                    for d in np.unique(other[some[near]]).tolist():
+                        if top[d] != top[c]:
+                            top[top == top[d]] = top[c]
+                            out.append((names[c], names[d]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return fn
+
 
+def lowest_cluster(cols: list[str], eps: float, rows: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        home = pdf[pdf.is_home]
-        guest = pdf[~pdf.is_home]
-        if home.empty:
-            return pd.DataFrame(columns=["node", "other", "n"]).astype({"node": "int64", "other": "int64", "n": "int64"})
-        G = guest[cols].to_numpy(float)
-        gid = guest["node"].to_numpy()
-        gw = guest["w"].to_numpy()
-        gcore = guest["core"].to_numpy() if mode == "edges" else None
-        out = []
-        H = home[cols].to_numpy(float)
-        hid = home["node"].to_numpy()
-        hcore = home["core"].to_numpy() if mode == "edges" else None
-        for s in range(0, len(H), slice_rows):
-            d2 = ((H[s:s + slice_rows, None, :] - G[None, :, :]) ** 2).sum(-1)
-            near = d2 <= eps2
-            if mode == "count":
-                cnt = (near * gw[None, :]).sum(1)
-                out.append(pd.DataFrame({"node": hid[s:s + slice_rows], "other": hid[s:s + slice_rows],
-                                         "n": cnt.astype("int64")}))
-            else:
-                hi, gi = np.nonzero(near & gcore[None, :])
-                a, b = hid[s:s + slice_rows][hi], gid[gi]
-                hc = hcore[s:s + slice_rows][hi]
-                keep = (a != b) & (~hc | (b < a))   # core-core edges once; border -> all core nbrs
-                out.append(pd.DataFrame({"node": a[keep], "other": b[keep],
-                                         "n": hc[keep].astype("int64")}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["node", "other", "n"])
+        home, guest = pdf[pdf.is_home], pdf[~pdf.is_home].sort_values("cluster", kind="stable")
+        x, y, number = home[cols].to_numpy(float), guest[cols].to_numpy(float), guest["cluster"].to_numpy()
+        nodes, got = [], []
+        for i in range(0, len(x) if len(y) else 0, rows):
+            near = distances(x[i:i + rows], y) <= eps * eps
+            any_ = near.any(1)
+            nodes.append(home["node"].to_numpy()[i:i + rows][any_])
+            got.append(number[near.argmax(1)[any_]])  # the first is the lowest
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"node": np.concatenate(nodes or none), "cluster": np.concatenate(got or none)}).astype("int64")
 
     return fn
 
 
 def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float, min_samples: int,
-           grid_dims: int = 3, block: int = 2000, slice_rows: int = 256,
-           checkpoint_every: int = 4, max_rounds: int = 1000) -> DataFrame:
+           grid_dims: int = 3, block: int = 2000, slice_rows: int = 256) -> DataFrame:
     """Label every row: ``dbscan_label`` (-1 = noise) and ``is_core``.
     ``id_col`` gives the row order used for numbering (smallest first)."""
     ensure_checkpoint_dir(df.sparkSession)
-    nodes, members = _nodes(df, id_col, cols)
+    nodes, members = cells(df, id_col, cols, eps, min_samples)
     nodes = nodes.checkpoint()
-    blocks = _blocks(nodes, cols, eps, grid_dims, block).checkpoint()
-    sch = "node long, other long, n long"
-
-    # pass 1: weighted neighbour counts (self included) -> core flag
-    counts = (blocks.withColumn("core", F.lit(False)).groupBy("cell", "chunk")
-                    .applyInPandas(_neighbour_fn(cols, eps, slice_rows, "count"), sch))
-    core = counts.groupBy("node").agg(F.sum("n").alias("nbrs")).withColumn(
-        "core", F.col("nbrs") >= min_samples).checkpoint()
-
-    # pass 2: core-core edges and border -> core links
-    flagged = blocks.join(core.select("node", "core"), "node")
-    links = (flagged.groupBy("cell", "chunk")
-                    .applyInPandas(_neighbour_fn(cols, eps, slice_rows, "edges"), sch)).checkpoint()
-    edges = links.filter(F.col("n") == 1).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-
-    # connected components: min-label propagation
-    label = core.filter("core").select("node", F.col("node").alias("label"))
-    for i in range(max_rounds):
-        nbr = (und.join(label.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b")
-                  .groupBy("a").agg(F.min("lb").alias("lb")))
-        new = (label.join(nbr.withColumnRenamed("a", "node"), "node", "left")
-                    .select("node", F.least("label", F.coalesce("lb", "label")).alias("label")))
-        if (i + 1) % checkpoint_every == 0:
-            new = new.checkpoint()
-        changed = new.join(label.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
-        label = new
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError(f"DBSCAN components did not converge in {max_rounds} rounds")
-    label = label.checkpoint()
-    # number clusters by first core row (components are few rows)
-    comps = label.select("label").distinct()
-    comps = comps.withColumn("cluster", F.dense_rank().over(Window.orderBy("label")) - 1)
-    core_lab = label.join(comps, "label").select("node", "cluster")
-    border = (links.filter(F.col("n") == 0).select(F.col("node"), F.col("other").alias("c"))
-                   .join(core_lab.withColumnRenamed("node", "c"), "c")
-                   .groupBy("node").agg(F.min("cluster").alias("cluster")))
-    node_lab = core_lab.unionByName(border)
-    out = (members.join(node_lab, "node", "left").join(core.select("node", "core"), "node")
-                  .select(id_col, F.coalesce("cluster", F.lit(-1)).alias("dbscan_label"),
-                          F.col("core").alias("is_core")))
-    return out
+    task = ["at", "hc", "gc"]
+    coords = ["node", *cols]
+
+    def compared(home: DataFrame, guest: DataFrame, fn, schema: str) -> DataFrame:
+        return dealt(home, guest, cols, eps, grid_dims, block).groupBy(*task).applyInPandas(fn, schema)
+
+    light = nodes.where("not dense")
+    counts = compared(light.select(*coords, "w"), nodes.select(*coords, "w"), count_neighbours(cols, eps, slice_rows), "node long, n long")
+    enough = counts.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("node", F.lit(True).alias("_enough"))
+    nodes = nodes.join(enough, "node", "left").withColumn("core", F.col("dense") | F.coalesce("_enough", F.lit(False))).drop("_enough").checkpoint()
+
+    core = nodes.where("core").select(*coords, "cell")
+    links = compared(core, core, link_cells(cols, eps, slice_rows), "a long, b long")
+    own = core.select(F.col("cell").alias("a"), F.col("cell").alias("b"))  # cells without a link
+    comp = connected_components(links.unionByName(own).distinct().checkpoint()).select(F.col("node").alias("cell"), "root")
+    core = core.join(comp, "cell")
+    first = numbered(core.groupBy("root").agg(F.min("node").alias("first")), "first", "cluster")
+    core = core.join(first.select("root", "cluster"), "root").select(*coords, "cluster").checkpoint()
+
+    border = compared(nodes.where("not core").select(*coords), core, lowest_cluster(cols, eps, slice_rows), "node long, cluster long")
+    labels = core.select("node", "cluster").unionByName(border.groupBy("node").agg(F.min("cluster").alias("cluster")))
+    return (members.join(nodes.select("node", "core"), "node").join(labels, "node", "left")
+            .select(id_col, F.coalesce("cluster", F.lit(-1)).alias("dbscan_label"), F.col("core").alias("is_core")))
 
 
 def summary(labels: DataFrame) -> DataFrame:
