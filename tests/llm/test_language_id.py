@@ -9,6 +9,7 @@ from tests.llm.conftest import SF
 
 VOCAB = L.Vocabulary([b"ab", b"a", b"abc", b"x9", "é".encode()], [b"bc", b"ab", b"b", b"cab", "éa".encode()])
 
+
 def segmentations(unit: bytes, p, vocab):
     """(pieces) of every segmentation of a unit, by trying all cuts."""
     by_hash = dict(zip(vocab.keys.tolist(), vocab.ids.tolist()))
