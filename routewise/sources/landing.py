@@ -199,12 +199,16 @@ def insert_if_absent(batch: DataFrame, target: DataFrame | None, key: str,
 def ingest_trips(landing: DataFrame, target: DataFrame | None = None,
                  rules=None) -> tuple[DataFrame, DataFrame]:
     """C12 for trips: (rows to append, quarantined rows with failed rules)."""
-    from ..operators.validation import split_valid, trip_rules
-    cleaned = clean_trips(drop_full_duplicates(landing))
-    valid, rejected = split_valid(cleaned, rules or trip_rules())
+    valid, rejected = valid_trips(landing, rules)
     return insert_if_absent(valid, target, "trip_id", TRIP_ORDER), rejected
 
 
+def valid_trips(landing: DataFrame, rules=None) -> tuple[DataFrame, DataFrame]:
+    """Deduped, cleaned trips: (valid, rejected rows with failed rules)."""
+    from ..operators.validation import split_valid, trip_rules
+    return split_valid(clean_trips(drop_full_duplicates(landing)), rules or trip_rules())
+
+
 def ingest_receipt(landing: DataFrame, entity: str) -> DataFrame:
     """Rows landed per partition date (entity, date, rows)."""
     return landing.groupBy(F.col("_date").alias("partition_date")).agg(

@@ -1,27 +1,33 @@
-"""Incremental arrival of landing files.
-
-A file-source stream (explicit schema, ``date`` partition discovered from
-the path) processes whatever files have arrived (``trigger(availableNow)``),
-and each micro-batch runs the same ingest as the batch job (C12): dedupe,
-clean, validate, first writer per key, anti-join with what earlier batches
-loaded.  State is the target table itself (its keys), so a late file is
-simply a later load and the first writer wins.
-
-Exactly-once: every batch writes into its own ``epoch=<id>`` partition with
-dynamic partition overwrite.  A retried epoch overwrites only its own
-output, and the anti-join reads only earlier epochs, so a retry never
-double-inserts nor hides its own rows.
+"""Incremental arrival of landing files, with a state for each key.
+
+A file-source stream (explicit schema, ``date`` partition discovered from the path)
+processes whatever files have arrived (``trigger(availableNow)``).  Rows are cleaned and
+validated as in the batch job (C12); then ``transformWithState`` keeps one value for each
+key that was loaded.  The first trigger that has valid rows of a key emits the first of
+them by (date, chunk, order); later ones find the value and emit nothing, so a late file
+or a file that arrives twice adds no row to a loaded key.  A trigger shuffles its own
+rows only and reads nothing of what earlier triggers wrote.
+
+Exactly-once: state and offsets commit together in the checkpoint; each micro-batch
+writes its loaded and its rejected rows into its own ``epoch=<id>`` partition, which a
+retry overwrites.  The number of state partitions is that of shuffle partitions at the
+first start of a checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators.validation import split_valid, trip_rules
 from ..sources import landing as L
-from ..sources.tables import path_exists
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def landing_stream(spark: SparkSession, root: str, entity: str, schema: T.StructType,
@@ -33,32 +39,69 @@ def landing_stream(spark: SparkSession, root: str, entity: str, schema: T.Struct
     return r.parquet(f"{root.rstrip('/')}/{entity}").withColumnRenamed("date", "_date")
 
 
-def ingest_batch(target: str, quarantine: str | None = None):
-    """foreachBatch function: the batch ingest applied to one micro-batch."""
+class FirstWriter(StatefulProcessor):
+    """Emits the first row, by the columns ``order``, of the first trigger that has rows
+    of a key.  A key's rows of a trigger pass one by one; one is held."""
+
+    def __init__(self, order: list[str]):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.loaded = handle.getValueState("loaded", "is_loaded boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.loaded.exists():
+            for _ in rows:  # a late or repeated row
+                pass
+            return
+        first, least = None, None
+        for row in rows:
+            rank = tuple((row[c] is not None, row[c]) for c in self.order)  # nulls first, as min_by has it
+            if first is None or rank < least:
+                first, least = row, rank
+        self.loaded.update((True,))
+        yield first
+
+    def close(self) -> None:
+        pass
+
+
+def first_writers(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The streaming first_writer_wins: one row a key over the whole stream."""
+    return rows.groupBy(key).transformWithState(FirstWriter([*L.LINEAGE, *order]), rows.schema, "Append", "None")
+
+
+def write_epoch(target: str, quarantine: str | None):
+    """foreachBatch function: the loaded and the rejected rows of one micro-batch."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        prior = None
-        if path_exists(spark, target):
-            # the anti-join needs the keys only
-            prior = (spark.read.schema("trip_id string, epoch long").parquet(target)
-                     .filter(F.col("epoch") < epoch_id).select("trip_id"))
-        rows, rejected = L.ingest_trips(batch, prior)
-        (rows.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(target))
-        if quarantine:
-            (rejected.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
-                     .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(quarantine))
+        batch.persist()  # two sinks, one evaluation: state moves once
+        try:
+            for path, part in ((target, batch.where("failed_rules is null").drop("failed_rules")), (quarantine, batch.where("failed_rules is not null"))):
+                if path:
+                    (part.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
+                         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+        finally:
+            batch.unpersist()
 
     return run
 
 
 def start_trip_ingest(spark: SparkSession, landing_root: str, target: str, checkpoint: str,
                       quarantine: str | None = None, max_files: int | None = None) -> StreamingQuery:
-    src = landing_stream(spark, landing_root, "trips", L.TRIP_SCHEMA, max_files)
-    return (src.writeStream.foreachBatch(ingest_batch(target, quarantine))
-               .option("checkpointLocation", checkpoint)
-               .trigger(availableNow=True).start())
+    cleaned = L.clean_trips(landing_stream(spark, landing_root, "trips", L.TRIP_SCHEMA, max_files))
+    valid, rejected = split_valid(cleaned, trip_rules())
+    rows = first_writers(valid, "trip_id", L.TRIP_ORDER).withColumn("failed_rules", F.lit(None).cast("array<string>"))
+    if quarantine:
+        rows = rows.unionByName(rejected)
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # taken over by the query when it starts
+    try:
+        return (rows.writeStream.foreachBatch(write_epoch(target, quarantine))
+                .option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def run_trip_ingest(spark: SparkSession, landing_root: str, target: str, checkpoint: str,

@@ -3,11 +3,11 @@ insert-if-absent, partition overwrite, streaming equals batch."""
 
 import contextlib
 import io
-import tempfile
 
 from pyspark.sql import functions as F
 
 from routewise.sources import landing as L
+from routewise.sources.keyed import KeyedTable, load_in_deliveries
 from routewise.sources.standin import Entities
 from routewise.streaming.incremental import run_trip_ingest
 from tests.conftest import SF_SMALL
@@ -48,8 +48,8 @@ def test_orphan_filter_null_rules(spark):
     assert L.drop_fk_orphans(only_null, "pid", parent, "pid").count() == 2
 
 
-def test_dynamic_partition_overwrite_replaces_only_batch_days(spark):
-    root = tempfile.mkdtemp(prefix="rw-land-")
+def test_dynamic_partition_overwrite_replaces_only_batch_days(spark, tmp_path):
+    root = str(tmp_path)
     df = _fixture(spark)
     L.write_landing(df, root, "t", mode="overwrite")
     L.write_landing(df.filter("_date = '2024-01-01'").limit(1), root, "t", mode="overwrite")
@@ -58,9 +58,9 @@ def test_dynamic_partition_overwrite_replaces_only_batch_days(spark):
     assert by_day == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-03": 2}
 
 
-def test_streaming_ingest_equals_batch(spark):
+def test_streaming_ingest_equals_batch(spark, tmp_path):
     E = Entities(spark, SF_SMALL)
-    root = tempfile.mkdtemp(prefix="rw-stream-")
+    root = str(tmp_path)
     L.write_landing(L.landing_trips(E), root, "trips", mode="overwrite")
     landing = L.read_landing(spark, root, "trips", L.TRIP_SCHEMA).drop("_file")
     batch, _ = L.ingest_trips(landing)
@@ -94,20 +94,85 @@ def test_hot_key_dedupe_is_an_aggregate(spark):
     assert out.count() == 1 + (n - n // 3)
 
 
-def test_streaming_multi_trigger_loads_each_key_once(spark):
-    """Files arrive in several micro-batches: later batches skip keys that
-    earlier epochs loaded (first writer wins across batches)."""
+def test_streaming_over_many_triggers_equals_batch(spark, tmp_path):
+    """Files arrive delivery by delivery, in order of date: the table equals the batch
+    load.  With triggers of some files each, which need not be in that order, each key is
+    loaded once."""
     E = Entities(spark, SF_SMALL)
-    root = tempfile.mkdtemp(prefix="rw-stream2-")
-    L.write_landing(L.landing_trips(E), root, "trips", mode="overwrite")
-    landing = L.read_landing(spark, root, "trips", L.TRIP_SCHEMA).drop("_file")
-    batch, _ = L.ingest_trips(landing)
-    streamed = run_trip_ingest(spark, root, f"{root}/_target", f"{root}/_ckpt", max_files=20)
-    assert spark.read.parquet(f"{root}/_target").select("epoch").distinct().count() > 1
-    assert streamed.count() == streamed.select("trip_id").distinct().count()
-    keys = streamed.select("trip_id")
-    assert keys.exceptAll(batch.select("trip_id")).count() == 0
-    assert batch.select("trip_id").exceptAll(keys).count() == 0
+    root = str(tmp_path)
+    trips = L.landing_trips(E)
+    for lo, hi in (("1900-01-01", "1996-06-01"), ("1996-06-01", "1997-06-01"), ("1997-06-01", "2100-01-01")):
+        L.write_landing(trips.where(f"_date >= date'{lo}' and _date < date'{hi}'"), root, "trips")
+        streamed = run_trip_ingest(spark, root, f"{root}/_target", f"{root}/_ckpt")
+    batch, _ = L.ingest_trips(L.read_landing(spark, root, "trips", L.TRIP_SCHEMA).drop("_file"))
+    cols = sorted(batch.columns)
+    assert spark.read.parquet(f"{root}/_target").select("epoch").distinct().count() == 3
+    assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
+    assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
+    some = run_trip_ingest(spark, root, f"{root}/_target2", f"{root}/_ckpt2", max_files=40)
+    assert spark.read.parquet(f"{root}/_target2").select("epoch").distinct().count() > 1
+    keys, want = some.select("trip_id"), batch.select("trip_id")
+    assert keys.exceptAll(want).count() == 0 and want.exceptAll(keys).count() == 0
+
+
+def _trip(i, passengers, date, chunk=1):
+    return (f"TRP-{i:07d}", "R01", "VHC-001", date, "midday", "Monday", passengers, 10.0, 30, 30, 0, True, False, 0.5, chunk, date)
+
+
+def _land(spark, rows, root):
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in L.TRIP_SCHEMA.fields) + ", _date string"
+    L.write_landing(spark.createDataFrame(rows, schema).withColumn("_date", F.to_date("_date")), root, "trips")
+
+
+def test_late_and_repeated_files(spark, tmp_path):
+    """A late file adds new keys only, a repeated one nothing; a key whose first rows were
+    invalid is still free; rejected rows are quarantined by epoch."""
+    root, out = str(tmp_path / "in"), str(tmp_path)
+    run = lambda: run_trip_ingest(spark, root, f"{out}/t", f"{out}/c", quarantine=f"{out}/q")
+    _land(spark, [_trip(1, 10, "2024-01-05"), _trip(1, 9, "2024-01-05", 0), _trip(2, 20, "2024-01-05"), _trip(3, 999, "2024-01-05")], root)
+    got = {r.trip_id[-1]: r.passengers_boarded for r in run().collect()}
+    assert got == {"1": 9, "2": 20}  # the earlier chunk; 999 is out of range
+    _land(spark, [_trip(1, 5, "2024-01-01"), _trip(3, 33, "2024-01-01"), _trip(4, 40, "2024-01-01")], root)  # late: an earlier date
+    _land(spark, [_trip(2, 20, "2024-01-05")], root)  # again
+    got = {r.trip_id[-1]: r.passengers_boarded for r in run().collect()}
+    assert got == {"1": 9, "2": 20, "3": 33, "4": 40}
+    assert run().count() == 4
+    rejected = spark.read.parquet(f"{out}/q").collect()
+    assert [(r.trip_id[-1], r.failed_rules) for r in rejected] == [("3", ["passengers_range"])]
+
+
+def _plan(df):
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+def test_keyed_table_loads_each_key_once_and_stays_where_it_is(spark, tmp_path):
+    batches = [[("K1", "a", 1), ("K1", "b", 0), ("K2", "c", 5)], [("K2", "late", 0), ("K3", "d", 1)], [("K1", "again", 0), ("K3", "again", 0)]]
+    frames = [spark.createDataFrame([(k, v, n, 1) for k, v, n in b], "trip_id string, v string, n int, _chunk int").withColumn("_date", F.lit("2024-01-01").cast("date")) for b in batches]
+    table = KeyedTable(spark, str(tmp_path), "trip_id", 8)
+    assert table.frame() is None
+    for f in frames:
+        table.insert(f, ["n"])
+    want = {"K1": "b", "K2": "c", "K3": "d"}
+    assert {r.trip_id: r.v for r in table.frame().collect()} == want and table.frame().count() == 3
+    table.close()
+    # opened again by its path; the plan moves the batch only
+    again = KeyedTable(spark, str(tmp_path), "trip_id", 8)
+    assert {r.trip_id: r.v for r in again.frame().collect()} == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        absent = again.absent(frames[0].unionByName(frames[1].withColumn("trip_id", F.lit("K9"))), ["n"])
+        plan = _plan(absent)
+        assert [r.trip_id for r in absent.collect()] == ["K9"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    target = plan[plan.index("SortMergeJoin"):].split("Bucketed: true")[0]
+    last = target[target.rindex("Exchange"):]
+    assert "SelectedBucketsCount: 8 out of 8" in plan and "partial_min_by" in last  # the last exchange before the target's scan is the batch's
+    again.close()
 
 
 def test_orphan_report_first_missing_keys(spark):
@@ -117,3 +182,13 @@ def test_orphan_report_first_missing_keys(spark):
     assert [(r.pid, r.orphan_rows) for r in rep] == [(1, 1), (3, 1), (5, 1)]
     odd = sum(1 for k in range(1, 60) if k % 2) + 2
     assert {r.total_orphan_rows for r in rep} == {odd}
+
+
+def test_deliveries_equal_one_load(spark, tmp_path):
+    E = Entities(spark, SF_SMALL)
+    trips = L.landing_trips(E)
+    valid = lambda df: L.valid_trips(df)[0]
+    got = load_in_deliveries(trips, str(tmp_path), "trip_id", L.TRIP_ORDER, valid, ["1996-06-01", "1997-06-01"], 8)
+    want, _ = L.ingest_trips(trips)
+    cols = sorted(want.columns)
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0 and got.count() == want.count()
