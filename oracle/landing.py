@@ -65,6 +65,8 @@ SQL = {
         f"select '{n}' as rule, count(*) filter (where not coalesce({p}, false)) as failures from cleaned"
         for n, p in RULES),
     "ingest_trips": _with() + _winners("valid"),
+    "ingest_trips_deliveries": _with(("winners", _winners("valid"))) + f"select {_data} from winners",
+    "ingest_trips_streamed": _with(("winners", _winners("valid"))) + f"select {_data} from winners",
     "ingest_trips_rerun": _with(
         ("valid_first", "select * from valid where _date < DATE '1997-01-01'"),
         ("first_dedup", "select l.* from (select * from landing where _date < DATE '1997-01-01') l"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,12 @@ from .plans import marts as M
 from .plans import quality_suite as Q
 from .plans import segmentation as G
 from .plans import staging as S
+from .session import scratch_path
 from .sources import landing as L
+from .sources.keyed import load_in_deliveries
 from .sources.standin import Entities
 from .sources.tables import query_parquet
+from .streaming.incremental import run_trip_ingest
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,7 +197,36 @@ def _ingested_summary(E):
     return _summary(E, route_perf=I.int_route_performance(E, trips))
 
 
+def _fresh(E, name):
+    """A folder of its own in the shared checkpoint folder."""
+    return scratch_path(E.spark, f"{name}-{uuid.uuid4().hex}")
+
+
+#: Landing dates that split the trips into deliveries.
+_DELIVERIES = ["1996-06-01", "1997-06-01"]
+
+
+def _deliveries(E):
+    """S05 into a keyed table, delivery by delivery."""
+    return load_in_deliveries(L.landing_trips(E), _fresh(E, "deliveries"), "trip_id", L.TRIP_ORDER, lambda df: L.valid_trips(df)[0], _DELIVERIES).drop(*L.LINEAGE)
+
+
+def _streamed(E):
+    """The same deliveries as files, each followed by a run of the stream."""
+    root = _fresh(E, "stream")
+    trips = L.landing_trips(E)
+    bounds = ["0001-01-01", *_DELIVERIES, "9999-01-01"]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        part = trips.where(f"_date >= date'{lo}' and _date < date'{hi}'")
+        if not part.isEmpty():
+            L.write_landing(part, f"{root}/landing", "trips")
+            out = run_trip_ingest(E.spark, f"{root}/landing", f"{root}/trips", f"{root}/state")
+    return out.drop(*L.LINEAGE)
+
+
 REGISTRY.update({
+    "ingest_trips_deliveries": _q(_deliveries),
+    "ingest_trips_streamed": _q(_streamed),
     "mart_route_summary_ingested": _q(_ingested_summary),
     "landing_trip_validation": _q(lambda E: V.rule_failures(_landed(E), V.trip_rules())),
     "ingest_trips": _q(lambda E: L.ingest_trips(L.landing_trips(E))[0]),
