@@ -32,3 +32,7 @@ SQL.update(_SEG)
 from .audits import SQL as _AUD  # noqa: E402
 
 SQL.update(_AUD)
+
+from .entities import SQL as _ENT  # noqa: E402
+
+SQL.update(_ENT)

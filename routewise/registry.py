@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from .plans import segmentation as G
 from .plans import staging as S
 from .session import scratch_path
 from .sources import landing as L
+from .sources.constraints import SPECS, ancestors, load
+from .sources.deliveries import landed
 from .sources.keyed import load_in_deliveries
 from .sources.standin import Entities
 from .sources.tables import query_parquet
@@ -242,6 +245,28 @@ REGISTRY.update({
 })
 
 
+# -- all seven landing entities, by the constraint graph -----------------------------
+
+
+def _loaded(name):
+    def query(E):
+        rows = load(landed(E, ancestors(SPECS, name) | {name}))[name][0]
+        return rows.drop(*L.LINEAGE)
+
+    return _q(query)
+
+
+def _quarantine(E):
+    """Quarantined rows by entity and broken rule."""
+    parts = [rejected.select(F.lit(n).alias("entity"), F.explode("failed_rules").alias("rule")).groupBy("entity", "rule").agg(F.count(F.lit(1)).alias("failures"))
+             for n, (_, rejected) in load(landed(E), root=_fresh(E, "entities")).items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+REGISTRY.update({f"load_{name}": _loaded(name) for name in SPECS})
+REGISTRY["load_quarantine"] = _q(_quarantine)
+
+
 # -- segmentation --------------------------------------------------------------
 
 _seg = G.Segmentation
