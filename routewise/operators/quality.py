@@ -2,16 +2,16 @@
 
 A test returns its violating rows (pass = zero rows).  ``run_tests``
 evaluates a whole suite for one model as a summary (model, test, column,
-failures): all row-level tests of a model and its first key test share ONE
-pass, an aggregation by key; relationships are left-anti joins of the
-distinct keys.
+failures) in one scan of it; ``Watch`` takes the row tests of a model while it is
+written.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -76,41 +76,79 @@ def violations(df: DataFrame, t: DataTest, parents: dict[str, DataFrame] | None
     raise ValueError(t.kind)
 
 
+KEY_KINDS = {"unique", "unique_combination", "relationships"}
+
+
+def _column_name(t: DataTest) -> str:
+    return t.column or ",".join(t.columns)
+
+
+def _failures(model: str, agg: DataFrame, tests: list[DataTest]) -> DataFrame:
+    """One row per test from the one row of agg with columns _t0, _t1, .."""
+    recs = F.array(*[F.struct(F.lit(t.test_name).alias("test"), F.lit(_column_name(t)).alias("column_name"), F.coalesce(f"_t{i}", F.lit(0)).cast("long").alias("failures"))
+                     for i, t in enumerate(tests)])
+    return agg.select(F.inline(recs)).select(F.lit(model).alias("model"), "test", "column_name", "failures")
+
+
+def _key_of(t: DataTest) -> Column:
+    if t.kind == "unique_combination":  # a NULL is a value there
+        return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in t.columns])
+    return F.col(t.column).cast("string")
+
+
 def run_tests(model: str, df: DataFrame, tests: list[DataTest],
               parents: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Summary of a suite: one row per test with its failure count."""
-    # Row-level tests and the first key test share one scan: rows are counted and their
-    # violations summed by key (combined map-side), then over all keys.
-    parts = []
+    """Summary of a suite: one row per test with its failure count.
+
+    The model is scanned once, whatever the number of tests.  Each row gives a record
+    (test, key) for each test on keys; the first also carries the row tests' violations.
+    Parents give their keys as records of the same tests.  One aggregation by (test, key)
+    with map-side combining then decides uniqueness and parents, and its sums are the
+    row tests' failures."""
     row = [t for t in tests if t.kind in ROW_KINDS]
-    key = next((t for t in tests if t.kind in ("unique", "unique_combination")), None)
-    shared = row + ([key] if key else [])
-    sums = [C.count_if(violation(t)).alias(f"_t{i}") for i, t in enumerate(row)]
-    if key:
-        cols = list(key.columns) or [key.column]
-        per = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), *sums)
-        repeated = F.col("_n") > 1
-        if key.kind == "unique":
-            repeated = repeated & F.col(key.column).isNotNull()
-        agg = per.agg(*[F.coalesce(F.sum(f"_t{i}"), F.lit(0)).alias(f"_t{i}") for i in range(len(row))], C.count_if(repeated).alias(f"_t{len(row)}"))
-    else:
-        agg = df.agg(*sums)
-    if shared:
-        recs = F.array(*[F.struct(F.lit(t.test_name).alias("test"),
-                                  F.lit(t.column or ",".join(t.columns)).alias("column_name"),
-                                  F.col(f"_t{i}").alias("failures")) for i, t in enumerate(shared)])
-        parts.append(agg.select(F.inline(recs)))
-    for t in tests:
-        if t in shared:
-            continue
-        col = t.column or ",".join(t.columns)
-        parts.append(violations(df, t, parents).agg(F.count(F.lit(1)).alias("failures"))
-                     .select(F.lit(t.test_name).alias("test"), F.lit(col).alias("column_name"),
-                             "failures"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.lit(model).alias("model"), "test", "column_name", "failures")
+    keyed = [t for t in tests if t.kind in KEY_KINDS]
+    broken = [F.coalesce(violation(t), F.lit(False)).cast("long") for t in row]
+    if not keyed:
+        return _failures(model, df.agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(broken)]), row)
+    carried = [f"_t{i}" for i in range(len(row))]
+    none = [F.lit(0).cast("long").alias(c) for c in carried]
+    record = lambda j, key, n, parent, flags: [F.lit(j).alias("_test"), key.alias("_key"), F.lit(n).cast("long").alias("_n"), F.lit(parent).alias("_parent"), *flags]
+    rows = df.select(F.inline(F.array(*[F.struct(*record(j, _key_of(t), 1, 0, [v.alias(c) for v, c in zip(broken, carried)] if j == 0 else none)) for j, t in enumerate(keyed)])))
+    for j, t in enumerate(keyed):
+        if t.kind == "relationships":
+            rows = rows.unionByName(parents[t.parent].select(*record(j, F.col(t.parent_col).cast("string"), 0, 1, none)))
+    per = rows.groupBy("_test", "_key").agg(F.sum("_n").alias("_n"), F.max("_parent").alias("_parent"), *[F.sum(c).alias(c) for c in carried])
+    totals = [F.sum(c).alias(c) for c in carried]
+    for j, t in enumerate(keyed):
+        here = F.col("_test") == j
+        if t.kind != "unique_combination":
+            here = here & F.col("_key").isNotNull()
+        bad = F.when(here & (F.col("_parent") == 0), F.col("_n")) if t.kind == "relationships" else F.when(here & (F.col("_n") > 1), 1)
+        totals.append(F.sum(bad).alias(f"_t{len(row) + j}"))
+    return _failures(model, per.agg(*totals), row + keyed)
+
+
+class Watch:
+    """Row tests and the row count of a model as metrics that Spark observes while the
+    model is written: they cost no scan of their own."""
+
+    def __init__(self, model: str, tests: list[DataTest]):
+        self.model, self.tests = model, [t for t in tests if t.kind in ROW_KINDS]
+        self._seen = Observation(f"{model}-{uuid.uuid4().hex}")
+
+    def on(self, df: DataFrame) -> DataFrame:
+        sums = [F.sum(F.coalesce(violation(t), F.lit(False)).cast("long")).alias(f"_t{i}") for i, t in enumerate(self.tests)]
+        return df.observe(self._seen, F.count(F.lit(1)).alias("rows"), *sums)
+
+    @property
+    def rows(self) -> int:
+        """Rows written; waits for the write."""
+        return self._seen.get["rows"]
+
+    def failures(self, spark: SparkSession) -> DataFrame:
+        got = self._seen.get
+        rows = [(self.model, t.test_name, _column_name(t), int(got[f"_t{i}"] or 0)) for i, t in enumerate(self.tests)]
+        return spark.createDataFrame(rows, "model string, test string, column_name string, failures long")
 
 
 def null_profile(df: DataFrame, threshold: float = 0.20) -> DataFrame:

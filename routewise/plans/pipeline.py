@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import logging
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quality import assert_gate
+from ..operators.quality import KEY_KINDS, Watch, assert_gate, run_tests
 from ..sources import landing as L
 from ..sources import sinks as K
+from ..sources.constraints import SPECS, load
+from ..sources.deliveries import landed
+from ..sources.loaded import LoadedEntities
 from ..sources.standin import Entities
 from . import experiment as X
 from . import intermediate as I
@@ -30,13 +34,19 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         timings: dict | None = None) -> dict[str, str]:
     t = timings if timings is not None else {}
     out = out.rstrip("/")
-    E = Entities(spark, sf_dir)
+    source = Entities(spark, sf_dir)
+    E = LoadedEntities(spark, sf_dir, out)
     paths: dict[str, str] = {}
 
     def gate(df: DataFrame) -> None:
         """Q16: stop at a gate that doesn't pass."""
         assert_gate(df, "passed", "stage gate")
 
+    def tested(name: str, results: DataFrame) -> None:
+        """Q16: keep a layer's test results and stop at a failure."""
+        K.write_table(results, f"{out}/quality/{name}")
+        assert_gate(rd(f"{out}/quality/{name}"), "failures = 0", f"{name} failed")
+
     def step(name, fn):
         t0 = time.time()
         r = fn()
@@ -46,87 +56,88 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
     def rd(p) -> DataFrame:
         return spark.read.parquet(p)
 
-    # 1. landing files (S02) and ingest (S01, C*, V*, S05)
+    # 1. landing files (S02), then parents before children (C11): dedupe, cleaning, rules,
+    # orphan filter, first writers; a table for each entity and one of its quarantined rows
     def land():
-        L.write_landing(L.landing_trips(E), f"{out}/landing", "trips", mode="overwrite",
-                        replace_days_only=False)
-        gate(Q.outputs_present("landed_files", K.inventory(spark, {"trips": f"{out}/landing/trips"}), ["trips"]))
-        landing = L.read_landing(spark, f"{out}/landing", "trips", L.TRIP_SCHEMA)
-        if landing.isEmpty():  # C07: continue without files, as the original does
-            log.warning("no landed trips under %s", f"{out}/landing")
-        rows, rejected = L.ingest_trips(landing)
-        K.write_table(rows, f"{out}/raw/trips", ["trip_id"])
-        K.write_table(rejected, f"{out}/quarantine/trips")
-        # C11: parents before children; the experiment's orphan filter reads
-        # the passengers table just written
-        K.write_table(L.ingest_passengers(E), f"{out}/raw/passengers", ["passenger_id"])
-        K.write_table(L.ingest_experiment(E, rd(f"{out}/raw/passengers")), f"{out}/raw/ab_experiment", ["experiment_record_id"])
+        landings = {}
+        for name, df in landed(source).items():
+            L.write_landing(df, f"{out}/landing", name, mode="overwrite", replace_days_only=False)
+            landings[name] = L.read_landing(spark, f"{out}/landing", name, SPECS[name].landing_schema())
+        gate(Q.outputs_present("landed_files", K.inventory(spark, {n: f"{out}/landing/{n}" for n in landings}), list(landings)))
+        for name, df in landings.items():
+            if df.isEmpty():  # C07: continue without files, as the original does
+                log.warning("no landed %s under %s", name, f"{out}/landing")
+        load(landings, root=out)
     step("ingest", land)
-    paths["raw_trips"] = f"{out}/raw/trips"
-    paths["raw_passengers"] = f"{out}/raw/passengers"
-    paths["raw_ab_experiment"] = f"{out}/raw/ab_experiment"
-
-    # 2. marts from the loaded trips; intermediate M01/M02 feed two marts
-    trips = S.stg_trips(E, rd(f"{out}/raw/trips"))
-
-    def marts():
-        K.write_table(M.mart_route_summary(E, True, I.int_route_performance(E, trips)), f"{out}/marts/route_summary",
-                      ["trip_date", "route_id"])
-        K.write_table(M.mart_district_ridership(E, True, I.int_daily_ridership(E, trips)), f"{out}/marts/district_ridership",
-                      ["trip_date", "district"])
-    step("marts", marts)
-    paths["mart_route_summary"] = f"{out}/marts/route_summary"
-    paths["mart_district_ridership"] = f"{out}/marts/district_ridership"
-
-    # 3. declarative tests and gates (Q01-Q17): staging views are tested in
-    # place, marts on the written tables (not recomputed)
-    def quality():
-        written = {"mart_route_summary": rd(paths["mart_route_summary"]),
-                   "mart_district_ridership": rd(paths["mart_district_ridership"]),
-                   "mart_commuter_clusters": M.mart_commuter_clusters(E),
-                   "mart_ab_test_results": M.mart_ab_test_results(E)}
-        K.write_table(Q.staging_tests(E), f"{out}/quality/staging_tests")
-        K.write_table(Q.mart_tests(E, written), f"{out}/quality/mart_tests")
-        K.write_table(Q.business_rules(E, written), f"{out}/quality/business_rules")
-        K.write_table(Q.intermediate_tests(E), f"{out}/quality/intermediate_tests")
-        assert_gate(rd(f"{out}/quality/business_rules"), "failures = 0", "business rules failed")
-    step("quality", quality)
+    for raw, name in (("raw_trips", "trips"), ("raw_passengers", "passengers"), ("raw_ab_experiment", "experiment")):
+        paths[raw] = f"{out}/raw/{name}"
+
+    # 2. staging tests, one scan a model, gate what is built on the loaded tables
+    step("staging_tests", lambda: tested("staging_tests", Q.staging_tests(E)))
+
+    watched: dict[str, Watch] = {}
+    marts: dict[str, DataFrame] = {}
+
+    def deliver(name: str, df: DataFrame, order: list[str]) -> None:
+        """Write a mart; its row tests and its rows are observed on the way."""
+        w = watched[name] = Watch(name, Q.MART_TESTS[name])
+        paths[name] = f"{out}/marts/{name[5:]}"
+        K.write_table(w.on(df), paths[name], order)
+        marts[name] = rd(paths[name])
+
+    # 3. marts from the loaded trips; intermediate M01/M02 feed two marts
+    def trip_marts():
+        trips = S.stg_trips(E)
+        K.write_table(I.int_daily_ridership(E, trips), f"{out}/intermediate/daily_ridership", ["trip_date", "route_id"])
+        K.write_table(I.int_route_performance(E, trips), f"{out}/intermediate/route_performance", ["trip_date", "route_id"])
+        daily, perf = rd(f"{out}/intermediate/daily_ridership"), rd(f"{out}/intermediate/route_performance")
+        tested("intermediate_tests", Q.intermediate_tests(E, {"int_daily_ridership": daily, "int_route_performance": perf}))
+        deliver("mart_route_summary", M.mart_route_summary(E, True, perf), ["trip_date", "route_id"])
+        deliver("mart_district_ridership", M.mart_district_ridership(E, True, daily), ["trip_date", "district"])
+    step("marts", trip_marts)
 
     # 4. segmentation and keyed write-back (J09) into a new survey version
-    survey = None
-    if segment:
-        def seg():
-            s = G.Segmentation(E)
-            K.write_table(G.feature_matrix(E), f"{out}/science/passenger_features", ["passenger_id"])
-            gate(Q.not_empty("passenger_features", rd(f"{out}/science/passenger_features")))
-            K.write_table(s.assignments(), f"{out}/science/cluster_assignments", ["passenger_id"])
-            K.write_table(s.elbow(), f"{out}/science/elbow_scores")
-            K.write_table(s.silhouette(), f"{out}/science/silhouette_scores")
-            K.write_table(s.centers_frame(), f"{out}/models/kmeans_centers")
-            K.write_table(G.write_back(E.survey(), rd(f"{out}/science/cluster_assignments")),
-                          f"{out}/raw/survey_v2", ["passenger_id"])
-            gate(Q.clusters_agree(rd(f"{out}/science/cluster_assignments"), rd(f"{out}/raw/survey_v2")))
-            K.write_table(G.dbscan_validation(E), f"{out}/science/dbscan_validation")
-        step("segmentation", seg)
-        survey = rd(f"{out}/raw/survey_v2")
+    def seg():
+        if not segment:  # the given labels
+            labels = source.survey().select("passenger_id", "cluster_id", "cluster_label")
+            K.write_table(G.write_back(E.survey(), labels), f"{out}/raw/survey_v2", ["passenger_id"])
+            return
+        K.write_table(G.feature_matrix(E), f"{out}/science/passenger_features", ["passenger_id"])
+        matrix = rd(f"{out}/science/passenger_features")
+        gate(Q.not_empty("passenger_features", matrix))
+        s = G.Segmentation(E, matrix=matrix)
+        K.write_table(s.assignments(), f"{out}/science/cluster_assignments", ["passenger_id"])
+        K.write_table(s.elbow(), f"{out}/science/elbow_scores")
+        K.write_table(s.silhouette(), f"{out}/science/silhouette_scores")
+        K.write_table(s.centers_frame(), f"{out}/models/kmeans_centers")
+        K.write_table(G.write_back(E.survey(), rd(f"{out}/science/cluster_assignments")),
+                      f"{out}/raw/survey_v2", ["passenger_id"])
+        gate(Q.clusters_agree(rd(f"{out}/science/cluster_assignments"), rd(f"{out}/raw/survey_v2")))
+        K.write_table(G.dbscan_validation(E, matrix=matrix), f"{out}/science/dbscan_validation")
         paths["cluster_assignments"] = f"{out}/science/cluster_assignments"
+    step("segmentation", seg)
+    survey = rd(f"{out}/raw/survey_v2")
 
-    # 5. features (materialised, M03) and label-dependent marts
+    # 5. features (materialised, M03) and label-dependent marts; then the tests of all marts:
+    # row tests as observed, key tests by one scan of the written keys
     def label_marts():
         K.write_table(I.int_passenger_features(E, survey), f"{out}/intermediate/passenger_features",
                       ["passenger_id"])
         feats = rd(f"{out}/intermediate/passenger_features")
-        K.write_table(M.mart_commuter_clusters(E, True, feats), f"{out}/marts/commuter_clusters",
-                      ["cluster_id", "passenger_id"])
-        K.write_table(M.mart_ab_test_results(E, True, feats), f"{out}/marts/ab_test_results",
-                      ["test_week", "group", "passenger_id"])
-        written = {n: rd(f"{out}/marts/{n[5:]}") for n in ("mart_route_summary", "mart_district_ridership", "mart_commuter_clusters", "mart_ab_test_results")}
-        for g in (Q.not_empty("int_passenger_features", feats), Q.marts_counted(written),
-                  Q.labels_in_mart(written["mart_commuter_clusters"]), Q.ab_mart_contents(written["mart_ab_test_results"])):
-            gate(g)
+        gate(Q.not_empty("int_passenger_features", feats))
+        deliver("mart_commuter_clusters", M.mart_commuter_clusters(E, True, feats), ["cluster_id", "passenger_id"])
+        deliver("mart_ab_test_results", M.mart_ab_test_results(E, True, feats), ["test_week", "group", "passenger_id"])
     step("label_marts", label_marts)
-    paths["mart_commuter_clusters"] = f"{out}/marts/commuter_clusters"
-    paths["mart_ab_test_results"] = f"{out}/marts/ab_test_results"
+
+    def quality():
+        results = [w.failures(spark) for w in watched.values()]
+        results += [run_tests(n, marts[n], [x for x in ts if x.kind in KEY_KINDS], marts) for n, ts in Q.MART_TESTS.items()]
+        tested("mart_tests", reduce(DataFrame.unionByName, results))
+        tested("business_rules", Q.business_rules(E, marts))
+        for g in (Q.rows_observed("mart_rows", {n: w.rows for n, w in watched.items()}, spark),
+                  Q.labels_in_mart(marts["mart_commuter_clusters"]), Q.ab_mart_contents(marts["mart_ab_test_results"])):
+            gate(g)
+    step("quality", quality)
 
     # 6. experiment statistics
     def stats():

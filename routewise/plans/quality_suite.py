@@ -160,10 +160,11 @@ def staging_tests(E: Entities) -> DataFrame:
     return _union([run_tests(m, models[m], ts, models) for m, ts in STAGING_TESTS.items()])
 
 
-def intermediate_tests(E: Entities) -> DataFrame:
-    models = {"int_daily_ridership": I.int_daily_ridership(E), "int_route_performance": I.int_route_performance(E),
-              "int_passenger_features": I.int_passenger_features(E)}
-    return _union([run_tests(m, models[m], ts) for m, ts in INTERMEDIATE_TESTS.items()])
+def intermediate_tests(E: Entities, models: dict[str, DataFrame] | None = None) -> DataFrame:
+    """models: written tables to test instead of recomputing all."""
+    models = models or {"int_daily_ridership": I.int_daily_ridership(E), "int_route_performance": I.int_route_performance(E),
+                        "int_passenger_features": I.int_passenger_features(E)}
+    return _union([run_tests(m, df, INTERMEDIATE_TESTS[m]) for m, df in models.items()])
 
 
 def mart_tests(E: Entities, marts: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -236,6 +237,11 @@ def marts_counted(marts: dict[str, DataFrame]) -> DataFrame:
     return _gate("mart_row_counts", row_counts(marts), marts=F.count("rows"), rows=F.sum("rows"), ok=f"marts = {len(marts)}")
 
 
+def rows_observed(name: str, rows: dict[str, int], spark) -> DataFrame:
+    """Every written table has rows, as counted while it was written."""
+    return _gate(name, spark.createDataFrame(sorted(rows.items()), "name string, rows long"), tables=F.count("rows"), least=F.min("rows"), ok="least > 0")
+
+
 def labels_in_mart(clusters: DataFrame) -> DataFrame:
     return _gate("cluster_labels", clusters, unlabelled=F.count_if(F.col("cluster_label").isNull()), ok="unlabelled = 0")
 

@@ -63,9 +63,9 @@ class Segmentation:
 
     def __init__(self, E: Entities, survey: DataFrame | None = None,
                  k_range=K.K_RANGE, diag_restarts: int = K.DIAG_RESTARTS,
-                 final_restarts: int = K.FINAL_RESTARTS, seed: int = K.RANDOM_STATE):
-        # written once to the shared checkpoint folder: every fit reads the same rows
-        self.X = feature_matrix(E, survey).checkpoint()
+                 final_restarts: int = K.FINAL_RESTARTS, seed: int = K.RANDOM_STATE, matrix: DataFrame | None = None):
+        # every fit reads the same rows: a written matrix, or one in the checkpoint folder
+        self.X = feature_matrix(E, survey).checkpoint() if matrix is None else matrix
         self.k_range, self.seed = list(k_range), seed
         self.diag_restarts, self.final_restarts = diag_restarts, final_restarts
 
@@ -148,14 +148,14 @@ def write_back(survey: DataFrame, assign: DataFrame) -> DataFrame:
                   .drop("_new_id", "_new_label"))
 
 
-def dbscan_labels(E: Entities, survey: DataFrame | None = None) -> DataFrame:
+def dbscan_labels(E: Entities, survey: DataFrame | None = None, matrix: DataFrame | None = None) -> DataFrame:
     """DBSCAN (eps 1.2, min 15, self included) on the scaled features."""
     from ..operators.dbscan import dbscan
-    fm = feature_matrix(E, survey)
+    fm = feature_matrix(E, survey) if matrix is None else matrix
     return dbscan(fm, "passenger_id", SCALED, K.DBSCAN_EPS, K.DBSCAN_MIN_SAMPLES)
 
 
-def dbscan_validation(E: Entities, survey: DataFrame | None = None) -> DataFrame:
+def dbscan_validation(E: Entities, survey: DataFrame | None = None, matrix: DataFrame | None = None) -> DataFrame:
     """K09 summary: cluster count, noise count and share."""
     from ..operators.dbscan import summary
-    return summary(dbscan_labels(E, survey))
+    return summary(dbscan_labels(E, survey, matrix))
