@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,11 +14,17 @@ from pyspark.sql import functions as F
 from routewise.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make the shared checkpoint folder known and ship this package to the
-    executors, whose Python path need not hold it."""
+    """Make the shared checkpoint folder known, ship this package to the executors, whose
+    Python path need not hold it, and bound the Arrow batches by bytes: a batch of texts
+    is held by the JVM and by Python at once."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,25 +54,60 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task may hold.
+TASK_EDGES = 1 << 18
+
+
+def _forest(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges (a, b), b < a, of a spanning forest of what each of so many tasks holds: a
+    node and the smallest one of its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+        if not got:
+            return
+        names, code = np.unique(np.concatenate([x for pair in zip(*got) for x in pair]), return_inverse=True)
+        n = sum(len(x) for x, _ in got)
+        a, b = code[:n], code[n:]
+        top = np.arange(len(names))
+        while True:  # each edge hooks the larger top to the smaller, then tops are followed to their ends
+            x, y = top[a], top[b]
+            if (x == y).all():
+                break
+            np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+            while (top[top] != top).any():
+                top = top[top]
+        low = np.flatnonzero(top != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[low]), pa.array(names[top[low]])], names=["a", "b"])
+
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
+def component_labels(edges: DataFrame, max_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """Connected components of an undirected graph: edges (a long, b long) to
     (id, label), label the smallest id of its component; ids without an edge are
     absent.
 
-    Alternating large-star and small-star rounds: each round is two aggregations
-    by node with map-side combining and two joins that AQE may split, so a node
-    that touches a third of all edges is no single task.  Rounds grow with the
-    logarithm of the component sizes; the edge list is checkpointed each round.
-    Raises if it has not converged after max_rounds.
+    Tasks of at most task_edges edges reduce theirs to spanning forests; a graph that
+    fits in one is done then.  A larger one goes on in alternating large-star and
+    small-star rounds: each is two aggregations by node with map-side combining and two
+    joins that AQE may split, so a node that touches a third of all edges is no single
+    task.  Rounds grow with the logarithm of the component sizes; the edge list is
+    checkpointed each round.  Raises if it has not converged after max_rounds.
     """
-    spark = edges.sparkSession
-    e = (edges.where("a is not null and b is not null and a <> b")
-         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint())
-    nodes = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).distinct()
-    before = None if not e.isEmpty() else ()
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    n = e.count()
+    e = _forest(e, max(1, -(-n // task_edges))).checkpoint()
+    if n > task_edges:
+        e = _stars(e, max_rounds)
+    low = e.groupBy("a").agg(F.min("b").alias("label"))
+    return low.withColumnRenamed("a", "id").union(low.select(F.col("label").alias("id"), "label").distinct())
+
+
+def _stars(e: DataFrame, max_rounds: int) -> DataFrame:
+    """Edges (node, smallest node of its component) from edges (a, b), b < a."""
+    before = None
     for _ in range(max_rounds):
-        if before == ():  # no edges
-            break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour points to the smallest of the star
@@ -78,12 +120,9 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
              .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct().checkpoint())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return e
         before = now
-    else:
-        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    out = nodes.join(e.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id"), "id", "left")
-    return out.select("id", F.coalesce("label", "id").alias("label"))
+    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
 #: Bits of an id filter at most (2 MB).

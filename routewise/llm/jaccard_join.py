@@ -298,13 +298,22 @@ def may_link(pairs: DataFrame, a: str, b: str, sigs: DataFrame) -> DataFrame:
         return pa.array([differing(x, y) * (NUM + DEN) <= (k + j) * (DEN - NUM)
                          for k, x, j, y in zip(n.to_pylist(), bits.to_pylist(), m.to_pylist(), other.to_pylist())], pa.bool_())
 
-    got = (pairs.join(sigs.alias("x"), F.col(a) == F.col("x.cid")).join(sigs.alias("y"), F.col(b) == F.col("y.cid"))
-           .where(size_fits("x", "y") & short_fits("x", "y")))
-    return got.where(bits_fit("x.n", "x.bits", "y.n", "y.bits")).select(*pairs.columns)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection."""
+    short = sigs.drop("bits")
+    got = (pairs.join(short.alias("x"), F.col(a) == F.col("x.cid")).join(short.alias("y"), F.col(b) == F.col("y.cid"))
+           .where(size_fits("x", "y") & short_fits("x", "y")).select(*[pairs[c] for c in pairs.columns], F.col("x.n").alias("_n"), F.col("y.n").alias("_m")))
+    # the long bitmaps travel only with pairs that passed the short ones
+    long = sigs.select("cid", "bits")
+    got = got.join(long.alias("x"), F.col(a) == F.col("x.cid")).join(long.alias("y"), F.col(b) == F.col("y.cid"))
+    return got.where(bits_fit("_n", "x.bits", "_m", "y.bits")).select(*pairs.columns)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection.  Only the texts of their classes
+    are fetched."""
+    pairs = pairs.select("a", "b").checkpoint()
+    ask = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    wanted = reps.join(ask, "cid", "left_semi").checkpoint()
+    texts = stored(texts_of(docs, wanted, words), "jaccard-texts")
     rows = (pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -351,12 +360,8 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
     ours = sums.where("digest is not null and n > 0 and doc_id is not null")
     classes = (ours.groupBy(F.col("k").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in SIG], F.min("bits").alias("bits"))
                .join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(in_tiles).distinct(), "cid", "left_semi").checkpoint())
-    sigs = classes.drop("doc_id")
-    pairs = may_link(pairs, "a", "b", sigs).checkpoint()
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(in_tiles).distinct()
-    reps = classes.select("cid", "doc_id").join(wanted, "cid", "left_semi").checkpoint()
-    texts = stored(texts_of(docs, reps, words), "jaccard-texts")
-    comp = merged(None, verified(pairs, texts, words).checkpoint())
+    sigs, reps = classes.drop("doc_id"), classes.select("cid", "doc_id")
+    comp = merged(None, verified(may_link(pairs, "a", "b", sigs), docs, reps, words).checkpoint())
     if tiled.isEmpty():
         return comp
     sigs = sigs.join(in_tiles, "cid", "left_semi").checkpoint()
@@ -386,7 +391,7 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
                                                         & size_fits("x", "y") & short_fits("x", "y"))
                      .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
             found = may_link(found, "a", "b", sigs)
-        comp = merged(comp, verified(found, texts, words).checkpoint())
+        comp = merged(comp, verified(found, docs, reps, words).checkpoint())
     return comp
 
 

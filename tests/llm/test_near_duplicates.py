@@ -192,3 +192,16 @@ def test_embeddings_table(spark):
     n, comp = brute_vectors(rows)
     assert sum(r["n_links"] for r in got) >= 0.9 * sum(n) and len(got) == len(rows)
     assert embed_lsh.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1 << 18, 20])
+def test_component_labels_in_one_and_in_many_tasks(spark, size):
+    from routewise.llm.common import component_labels
+
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1080)] + [(5, 5), (None, 1)]
+    names = sorted({x for a, b in pairs if a is not None and a != b for x in (a, b)})
+    at = {x: i for i, x in enumerate(names)}
+    want = smallest(len(names), [(at[a], at[b]) for a, b in pairs if a is not None and a != b], names)
+    got = {r["id"]: r["label"] for r in component_labels(spark.createDataFrame(pairs, "a long, b long").repartition(4), task_edges=size).collect()}
+    assert got == dict(zip(names, want))
