@@ -72,3 +72,14 @@ select s_nationkey as route_id, cast(year(l_shipdate) as integer) as ship_year,
 from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2""",
     "sql_parquet_regions": "select * from region where r_regionkey >= 0",
 })
+
+_TIMED = with_clause("routes", "stg_trips", extra=[("timed", """
+  select t.*, r.route_length_km, (trip_id // 10 * 7919 + trip_id % 10 * 61) % 86400 as dep,
+         (dep + travel_time_min * 60 + case when trip_id // 10 % 997 = 0 then 60 else 0 end) % 86400 as arr,
+         passengers_boarded * (case route_id when 11 then 15.00 else 13.00 end + 1.50 * greatest(0, r.route_length_km - 4)) as due
+  from stg_trips t join routes r using (route_id)""")])
+SQL["trip_time_audit"] = _TIMED + _rules("timed", [
+    ("arrival_is_departure_plus_travel", "arr = (dep + travel_time_min * 60) % 86400"),
+    ("seconds_are_kept", "arr % 60 = dep % 60"),
+    ("earlier_only_past_midnight", "(arr < dep) = (dep + travel_time_min * 60 >= 86400)"),
+    ("revenue_covers_the_route_fare", "revenue_php >= due")])

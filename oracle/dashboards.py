@@ -208,3 +208,21 @@ for _name, _column in (("purpose", "trip_purpose"), ("income", "income_bracket")
     SQL[f"filter_options_{_name}"] = CLUSTERS + f"select {_column}, count(*) as n from mart_commuter_clusters where {_column} is not null group by 1"
     SQL[f"cluster_by_{_name}"] = CLUSTERS + f"select cluster_label, {_column}, count(*) as passengers from mart_commuter_clusters group by 1, 2"
 SQL["filter_options_stop_type"] = with_clause("stops") + "select stop_type, count(*) as n from stops where stop_type is not null group by 1"
+
+#: A16 boxes with whiskers and violins over the experiment mart.
+_RAW = AB + """, v as (select "group", simulated_travel_time_min::double as v from mart_ab where simulated_travel_time_min is not null),
+q as (select "group", count(*) as n, min(v) as lo, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as med, quantile_cont(v, 0.75) as q3, max(v) as hi from v group by 1),
+f as (select *, q1 - 1.5 * (q3 - q1) as low, q3 + 1.5 * (q3 - q1) as high from q)"""
+SQL["ab_travel_box"] = _RAW + f"""
+select f."group", any_value(n) as n, {rnum('any_value(lo)', 6)} as min, {rnum('min(v) filter (where v between low and high)', 6)} as whisker_low, {rnum('any_value(q1)', 6)} as q1,
+       {rnum('any_value(med)', 6)} as median, {rnum('any_value(q3)', 6)} as q3, {rnum('max(v) filter (where v between low and high)', 6)} as whisker_high, {rnum('any_value(hi)', 6)} as max,
+       count(*) filter (where v not between low and high) as outliers
+from f join v using ("group") group by 1"""
+SQL["ab_fare_violin"] = AB + f""", v as (select "group", simulated_fare_php::double as v from mart_ab where simulated_fare_php is not null),
+s as (select "group", count(*) as n, min(v) as lo, max(v) as hi, stddev_samp(v) as s from v group by 1 having stddev_samp(v) > 0),
+b as (select "group", least(floor((v - lo) / ((hi - lo) / 128)), 127) as b, count(*) as c from v join s using ("group") group by 1, 2),
+p as (select *, unnest(range(64)) as point, 1.06 * s * pow(n, -0.2) as h from s),
+x as (select *, lo + (hi - lo) * point / 63 as x from p)
+select "group", point::int as point, {rnum('any_value(x)', 6)} as x, {rnum("sum(c * exp(-pow((x - (lo + (b + 0.5) * ((hi - lo) / 128))) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi()))", 6)} as density
+from x join b using ("group") group by 1, 2"""
+SQL["route_summary_recent_months"] = SQL["route_summary_recent"]

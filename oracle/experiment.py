@@ -124,3 +124,8 @@ SQL["ab_assignment"] = with_clause("stg_survey") + """
 select passenger_id, case when row_number() over (order by md5(passenger_id || ':42'), passenger_id) <= (count(*) over ()) // 2
                           then 'treatment' else 'control' end as "group"
 from (select distinct passenger_id from stg_survey where cluster_id = 3)"""
+SQL["ab_verdict_detail"] = STATISTICS + """
+select metric, control_mean, treatment_mean, mean_diff, ci_low_95, ci_high_95, p_value, is_significant,
+  case when abs(effect_size) < 0.2 then 'negligible' when abs(effect_size) < 0.5 then 'small' when abs(effect_size) < 0.8 then 'medium' else 'large' end as effect_label,
+  case metric when 'simulated_travel_time_min' then mean_diff < 0 else mean_diff > 0 end as favours_treatment
+from statistics where metric in ('satisfaction_score', 'simulated_travel_time_min')"""

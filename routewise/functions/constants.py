@@ -76,6 +76,8 @@ SEVERITY_WEIGHTS = {"transfers": 0.35, "wait": 0.01, "inv_score": 0.30, "travel"
 
 # Fare and period rules of the trip generator (re-aimed as audit expressions)
 FARE_BASE_KM = 4
+BASE_FARE = 13.0
+ROUTE_BASE_FARE = {11: 15.0}  # routes with a base fare of their own
 FARE_PER_KM = 1.50
 PERIOD_HOURS = [(6, 9, "AM_peak"), (9, 17, "midday"), (17, 20, "PM_peak")]
 

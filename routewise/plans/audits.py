@@ -35,6 +35,33 @@ def trip_audit(E: Entities) -> DataFrame:
     return V.rule_failures(j, rules)
 
 
+def timed_trips(E: Entities) -> DataFrame:
+    """Trips with times of day in seconds, by rules on the keys: departures at any second,
+    arrivals by travel time past midnight if need be, a minute late on every 997th order."""
+    day = 24 * 3600
+    order, line = F.floor(F.col("trip_id") / 10), F.col("trip_id") % 10
+    dep = (order * 7919 + line * 61) % day
+    late = F.when(order % 997 == 0, 60).otherwise(0)
+    return S.stg_trips(E).withColumn("departure_s", dep).withColumn("arrival_s", (F.col("departure_s") + F.col("travel_time_min") * 60 + late) % day)
+
+
+def trip_time_audit(E: Entities) -> DataFrame:
+    """Arrival is departure plus travel time, on a clock that wraps at midnight with
+    the seconds kept; a trip's fare from its revenue is its route's, where the base fare of
+    some routes overrides the common one; trips past midnight arrive earlier than they left."""
+    base = C.map_value("route_id", K.ROUTE_BASE_FARE)
+    r = S.stg_routes(E).select("route_id", "route_length_km")
+    fare = F.coalesce(base, F.lit(K.BASE_FARE)).cast("decimal(10,2)") + F.lit(K.FARE_PER_KM).cast("decimal(4,2)") * F.greatest(F.lit(0), F.col("route_length_km") - K.FARE_BASE_KM).cast("decimal(10,2)")
+    wraps = F.col("departure_s") + F.col("travel_time_min") * 60 >= 24 * 3600
+    rules = [
+        ("arrival_is_departure_plus_travel", F.col("arrival_s") == (F.col("departure_s") + F.col("travel_time_min") * 60) % (24 * 3600)),
+        ("seconds_are_kept", F.col("arrival_s") % 60 == F.col("departure_s") % 60),
+        ("earlier_only_past_midnight", (F.col("arrival_s") < F.col("departure_s")) == wraps),
+        ("revenue_covers_the_route_fare", F.col("revenue_php") >= F.col("passengers_boarded") * fare),
+    ]
+    return V.rule_failures(timed_trips(E).join(r, "route_id"), rules)
+
+
 def events_by_period(E: Entities) -> DataFrame:
     """Experiment events bucketed by time-of-day period."""
     e = E.t("events")

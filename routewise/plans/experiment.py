@@ -187,6 +187,13 @@ def verdict(stats: DataFrame, primary: str = "satisfaction_score") -> DataFrame:
             F.lit(K.ALPHA), F.col("p_value"))).alias("recommendation"))
 
 
+def verdict_detail(stats: DataFrame) -> DataFrame:
+    """The compared means behind the verdict, for the score and the travel time."""
+    return stats.filter(F.col("metric").isin(T_METRICS)).select(
+        "metric", "control_mean", "treatment_mean", "mean_diff", "ci_low_95", "ci_high_95", "p_value", "is_significant", C.effect_label("effect_size").alias("effect_label"),
+        F.when(F.col("metric") == "simulated_travel_time_min", F.col("mean_diff") < 0).otherwise(F.col("mean_diff") > 0).alias("favours_treatment"))
+
+
 def ci_table(stats: DataFrame) -> DataFrame:
     """The CI presentation shape (t-test metrics only)."""
     return stats.filter(F.col("ci_low_95").isNotNull()).select(

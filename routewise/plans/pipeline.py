@@ -19,6 +19,7 @@ from ..sources import sinks as K
 from ..sources.constraints import SPECS, load
 from ..sources.deliveries import landed
 from ..sources.loaded import LoadedEntities
+from ..sources.months import MONTH, read_months, write_by_month
 from ..sources.standin import Entities
 from . import experiment as X
 from . import intermediate as I
@@ -64,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
             L.write_landing(df, f"{out}/landing", name, mode="overwrite", replace_days_only=False)
             landings[name] = L.read_landing(spark, f"{out}/landing", name, SPECS[name].landing_schema())
         gate(Q.outputs_present("landed_files", K.inventory(spark, {n: f"{out}/landing/{n}" for n in landings}), list(landings)))
+        K.write_table(reduce(DataFrame.unionByName, [L.receipt_of_files(spark, f"{out}/landing", n) for n in landings]), f"{out}/quality/receipts")
         for name, df in landings.items():
             if df.isEmpty():  # C07: continue without files, as the original does
                 log.warning("no landed %s under %s", name, f"{out}/landing")
@@ -79,11 +81,16 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
     marts: dict[str, DataFrame] = {}
 
     def deliver(name: str, df: DataFrame, order: list[str]) -> None:
-        """Write a mart; its row tests and its rows are observed on the way."""
+        """Write a mart, by month if it has days; its row tests and its rows are observed on
+        the way."""
         w = watched[name] = Watch(name, Q.MART_TESTS[name])
         paths[name] = f"{out}/marts/{name[5:]}"
-        K.write_table(w.on(df), paths[name], order)
-        marts[name] = rd(paths[name])
+        if order[0] == "trip_date":
+            write_by_month(w.on(df), paths[name], order[0], order[1:])
+            marts[name] = read_months(spark, paths[name]).drop(MONTH)
+        else:
+            K.write_table(w.on(df), paths[name], order)
+            marts[name] = rd(paths[name])
 
     # 3. marts from the loaded trips; intermediate M01/M02 feed two marts
     def trip_marts():
@@ -110,6 +117,7 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         K.write_table(s.elbow(), f"{out}/science/elbow_scores")
         K.write_table(s.silhouette(), f"{out}/science/silhouette_scores")
         K.write_table(s.centers_frame(), f"{out}/models/kmeans_centers")
+        s.save(f"{out}/models/segmentation")
         K.write_table(G.write_back(E.survey(), rd(f"{out}/science/cluster_assignments")),
                       f"{out}/raw/survey_v2", ["passenger_id"])
         gate(Q.clusters_agree(rd(f"{out}/science/cluster_assignments"), rd(f"{out}/raw/survey_v2")))
@@ -154,8 +162,8 @@ def run(spark: SparkSession, sf_dir: str, out: str, segment: bool = True,
         ex = f"{out}/exports"
         K.export_commuter_clusters(rd(paths["mart_commuter_clusters"]), f"{ex}/mart_commuter_clusters")
         K.export_ab_results(rd(paths["mart_ab_test_results"]), f"{ex}/mart_ab_test_results")
-        K.export_recent(rd(paths["mart_route_summary"]), f"{ex}/mart_route_summary_recent", "route_id")
-        K.export_recent(rd(paths["mart_district_ridership"]), f"{ex}/mart_district_ridership_recent",
+        K.export_recent(spark, paths["mart_route_summary"], f"{ex}/mart_route_summary_recent", "route_id")
+        K.export_recent(spark, paths["mart_district_ridership"], f"{ex}/mart_district_ridership_recent",
                         "district")
         names = ["mart_commuter_clusters", "mart_ab_test_results", "mart_route_summary_recent",
                  "mart_district_ridership_recent"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import operator
 from functools import cached_property, reduce
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import clustering as CL
 from ..operators.ranking import seeded_sample
+from ..operators.scaling import PopulationScaler
 from ..sources.standin import Entities
 from . import intermediate as I
 
@@ -86,9 +89,8 @@ class Segmentation:
     # Silhouette of a named sample; quality() covers all rows
     def silhouette(self, sample_size: int = K.SILHOUETTE_SAMPLE) -> DataFrame:
         sample = seeded_sample(self.X, sample_size, "passenger_id", self.seed)
-        sample = sample.withColumn("_sid", F.col("passenger_id").cast("long"))
         sample = sample.withColumns({f"k{k}": CL.nearest(SCALED, f.centers) for k, f in self.diagnostics.items()})
-        s = CL.silhouette_on_sample(sample, SCALED, [f"k{k}" for k in self.diagnostics])
+        s = CL.silhouette(sample, "passenger_id", SCALED, [f"k{k}" for k in self.diagnostics])
         return (s.groupBy("labeling").agg(F.avg("s").alias("silhouette_score"))
                  .select(F.expr("cast(substring(labeling, 2) as int)").alias("k"), "silhouette_score"))
 
@@ -106,6 +108,17 @@ class Segmentation:
         scored = centroids(self.raw_labels()).withColumns(prototype_score_columns())
         return CL.remap_clusters(scored.collect(), K.REMAP_ORDER)  # a row for each cluster
 
+    @cached_property
+    def model(self) -> PipelineModel:
+        """Scaler, vectors and final K-Means as one model over the raw features."""
+        scaler = PopulationScaler(K.FEATURE_COLS).fit(self.X)
+        return PipelineModel([scaler, VectorAssembler(inputCols=SCALED, outputCol="features"), self.final.model])
+
+    def save(self, path: str) -> str:
+        """Write the model; ``apply_model`` labels with it in another session."""
+        self.model.write().overwrite().save(path)
+        return path
+
     def centers_frame(self) -> DataFrame:
         """S21 (re-aimed): the fitted centres as a small table."""
         rows = [(i, *c) for i, c in enumerate(self.final.centers)]
@@ -118,6 +131,12 @@ class Segmentation:
         return out.select("passenger_id", "cluster_id", C.cluster_label("cluster_id").alias("cluster_label"))
 
 
+def apply_model(path: str, features: DataFrame) -> DataFrame:
+    """features with raw_cluster by a saved model."""
+    raw = features.drop(*SCALED, "features")
+    return PipelineModel.load(path).transform(raw).withColumnRenamed("prediction", "raw_cluster").drop("features")
+
+
 def quality(labelled: DataFrame, label: str = "cluster_id") -> DataFrame:
     """Cluster quality over all rows: per cluster its size, within-cluster sum of squares
     and between-cluster part (size times squared distance of its centroid from the mean

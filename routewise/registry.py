@@ -13,6 +13,7 @@ from .functions import constants as K
 from .operators import clustering as CL
 from .operators import quality as QO
 from .operators import ranking as R
+from .operators import reshape as RS
 from .operators import validation as V
 from .plans import analyses as A
 from .plans import audits as AU
@@ -28,6 +29,7 @@ from .sources import landing as L
 from .sources.constraints import SPECS, ancestors, load
 from .sources.deliveries import landed
 from .sources.keyed import load_in_deliveries
+from .sources.months import recent_by_month, write_by_month
 from .sources.standin import Entities
 from .sources.tables import query_parquet
 from .streaming.incremental import run_trip_ingest
@@ -314,7 +316,16 @@ REGISTRY.update({
         E, M.mart_commuter_clusters(E, features=I.int_passenger_features(E, _segmented_survey(E))))),
 })
 
+def _given_label_silhouette(E):
+    """K02 over all rows, for the given labels."""
+    labels = S.stg_passenger_survey(E).select("passenger_id", "cluster_id")
+    rows = G.feature_matrix(E).join(labels, "passenger_id")
+    s = CL.silhouette(rows, "passenger_id", G.SCALED, ["cluster_id"]).join(labels, "passenger_id")
+    return s.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("passengers"), F.round(F.avg("s"), 6).alias("silhouette_score"))
+
+
 REGISTRY.update({
+    "given_label_silhouette": _q(_given_label_silhouette),
     "dbscan_validation": _q(G.dbscan_validation),
 })
 
@@ -337,6 +348,26 @@ REGISTRY.update({
 })
 
 
+# -- A16 on the experiment, S12 by partitions ---------------------------------------
+
+
+def _recent_months(E):
+    """S12 from a mart in partitions by month."""
+    path = _fresh(E, "summary-by-month")
+    write_by_month(_summary(E), path, "trip_date", ["route_id"])
+    return recent_by_month(E.spark, path, "trip_date", K.RECENT_DAYS)
+
+
+REGISTRY.update({
+    "ab_travel_box": _q(lambda E: RS.box(_ab(E), ["group"], "simulated_travel_time_min", exact=True)),
+    "ab_travel_box_sketch": _q(lambda E: RS.box(_exp(E), ["group"], "simulated_travel_time_min")),
+    "ab_fare_violin": _q(lambda E: RS.violin(_ab(E), ["group"], "simulated_fare_php")),
+    "route_summary_recent_months": _q(_recent_months),
+    "trip_time_audit": _q(AU.trip_time_audit),
+    "ab_verdict_detail": _q(lambda E: X.verdict_detail(X.statistics_table(_exp(E)))),
+})
+
+
 # -- S22: SQL over a parquet path ----------------------------------------------
 
 

@@ -112,8 +112,8 @@ def read_landing(spark: SparkSession, root: str, entity: str, schema: T.StructTy
     path = f"{root.rstrip('/')}/{entity}"
     full = T.StructType(list(schema.fields) + [T.StructField("date", T.DateType())])
     return (spark.read.schema(full).parquet(path)
-            .withColumnRenamed("date", "_date")
-            .withColumn("_file", F.input_file_name()))
+            .withColumn("_file", F.col("_metadata.file_path"))
+            .withColumnRenamed("date", "_date"))
 
 
 # -- C01-C05: cleaning ------------------------------------------------------------
@@ -215,6 +215,16 @@ def ingest_receipt(landing: DataFrame, entity: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows_written")).select(F.lit(entity).alias("entity"), "*")
 
 
+def receipt_of_files(spark: SparkSession, root: str, entity: str) -> DataFrame:
+    """What was landed, by partition date: path, files, bytes, rows and the newest
+    change, as the store has them."""
+    from .sinks import files_of
+    path = f"{root.rstrip('/')}/{entity}"
+    files = files_of(spark.read.parquet(path), F.col("date").cast("date").alias("partition_date"))
+    return files.groupBy("partition_date").agg(F.min(F.regexp_replace("path", "/[^/]*$", "")).alias("path"), F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
+                                               F.sum("rows").alias("rows_written"), F.max("modified").alias("modified")).select(F.lit(entity).alias("entity"), "*")
+
+
 # -- other entities: passengers (parent) and experiment rows (child) -----------
 PASSENGER_ORDER = ["survey_date", "origin_district", "satisfaction_score"]
 EXPERIMENT_ORDER = ["test_week", "satisfaction_score", "simulated_travel_time_min"]

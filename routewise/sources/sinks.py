@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.dashboards import recent
+from .months import recent_by_month
 from .tables import path_exists
 
 
@@ -55,22 +56,33 @@ def export_ab_results(mart: DataFrame, path: str) -> str:
     return write_sorted(mart.select(*AB_EXPORT), path, ["passenger_id", "test_week"])
 
 
-def export_recent(mart: DataFrame, path: str, key: str, days: int = 30) -> str:
-    """Last ``days`` days (inclusive of max - days), newest first."""
-    return write_sorted(recent(mart, "trip_date", days), path, [F.desc("trip_date"), key])
+def export_recent(spark: SparkSession, mart_path: str, path: str, key: str, days: int = 30) -> str:
+    """Last ``days`` days (inclusive of max - days), newest first, of a mart in
+    partitions by month: only the months that they reach into are read."""
+    return write_sorted(recent_by_month(spark, mart_path, "trip_date", days), path, [F.desc("trip_date"), key])
+
+
+def files_of(df: DataFrame, *by) -> DataFrame:
+    """(by.., path, bytes, modified, rows) of each file behind a file scan, from the hidden
+    ``_metadata`` column; no data column is read."""
+    m = F.col("_metadata")
+    return (df.select(*by, m["file_path"].alias("path"), m["file_size"].alias("bytes"), m["file_modification_time"].alias("modified"))
+            .groupBy(*[c for c in df.select(*by).columns], "path").agg(F.max("bytes").alias("bytes"), F.max("modified").alias("modified"), F.count(F.lit(1)).alias("rows")))
 
 
 def inventory(spark: SparkSession, outputs: dict[str, str]) -> DataFrame:
-    """Per expected output: present, files, rows (a count job each).  An absent
+    """Per expected output: present, files, bytes, rows, newest change.  One plan over
+    all outputs, with no job while it is built; files without rows don't count.  An absent
     path is a status; one that can't be read raises."""
-    rows = []
-    for name, path in outputs.items():
-        if path_exists(spark, path):
-            df = spark.read.parquet(path)
-            rows.append((name, path, True, len(df.inputFiles()), df.count()))
-        else:
-            rows.append((name, path, False, 0, None))
-    return spark.createDataFrame(rows, "name string, path string, present boolean, files int, rows long")
+    schema = "name string, path string, present boolean"
+    there = {n: p for n, p in outputs.items() if path_exists(spark, p)}
+    out = spark.createDataFrame([(n, p, n in there) for n, p in outputs.items()], schema)
+    found = [files_of(spark.read.parquet(p), F.lit(n).alias("name")) for n, p in there.items()]
+    if not found:
+        return out.select("*", F.lit(0).cast("long").alias("files"), *[F.lit(None).cast(t).alias(c) for c, t in (("bytes", "long"), ("rows", "long"), ("modified", "timestamp"))])
+    per = reduce(DataFrame.unionByName, found).groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.max("modified").alias("modified"))
+    zero = lambda c: F.when(F.col("present"), F.coalesce(c, F.lit(0))).alias(c)
+    return out.join(per, "name", "left").select("name", "path", "present", F.coalesce("files", F.lit(0)).alias("files"), zero("bytes"), zero("rows"), "modified")
 
 
 def write_manifest(spark: SparkSession, path: str, outputs: dict[str, str]) -> dict:

@@ -30,14 +30,16 @@ def test_remap_order_and_ties():
         CL.remap_clusters(rows[:4], K.REMAP_ORDER)
 
 
-def test_silhouette_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [2000, 9])
+def test_silhouette_matches_brute_force(spark, block):
+    """In one block, and in many."""
     rng = np.random.default_rng(3)
     pts = np.vstack([rng.normal(0, 1, (30, 2)), rng.normal(5, 1, (30, 2)), rng.normal((0, 6), 1, (5, 2))])
     lab = np.array([0] * 30 + [1] * 30 + [2] * 5)
     lab2 = (pts[:, 0] > 2.5).astype(int)
     rows = [(i, float(p[0]), float(p[1]), int(a), int(b)) for i, (p, a, b) in enumerate(zip(pts, lab, lab2))]
     df = spark.createDataFrame(rows, "_sid long, x double, y double, l1 int, l2 int")
-    got = {r.labeling: r.s for r in CL.silhouette_on_sample(df, ["x", "y"], ["l1", "l2"])
+    got = {r.labeling: r.s for r in CL.silhouette(df, "_sid", ["x", "y"], ["l1", "l2"], block=block)
            .groupBy("labeling").agg(F.avg("s").alias("s")).collect()}
 
     def brute(L):
@@ -84,3 +86,26 @@ def test_exact_quantile_with_hot_value(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
     for q in (0.25, 0.5, 0.75):
         assert CL.exact_quantile(df, "x", q) == pytest.approx(float(np.quantile(vals, q)))
+
+
+def test_saved_model_labels_as_the_fitted_one(spark, tmp_path):
+    from routewise.plans import segmentation as G
+    from routewise.sources.standin import Entities
+    from tests.conftest import SF_SMALL
+
+    s = G.Segmentation(Entities(spark, SF_SMALL), final_restarts=2)
+    path = s.save(str(tmp_path / "model"))
+    got = {r.passenger_id: r.raw_cluster for r in G.apply_model(path, s.X).select("passenger_id", "raw_cluster").collect()}
+    want = {r.passenger_id: r.raw_cluster for r in s.raw_labels().select("passenger_id", "raw_cluster").collect()}
+    assert got == want and len(set(got.values())) == K.OPTIMAL_K
+
+
+def test_scaler_round_trip_with_a_constant_column(spark, tmp_path):
+    from routewise.operators.scaling import PopulationScaler, PopulationScalerModel
+
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (6.0, 5.0)], "a double, b double")
+    model = PopulationScaler(["a", "b"]).fit(df)
+    model.write().overwrite().save(str(tmp_path / "s"))
+    got = PopulationScalerModel.load(str(tmp_path / "s")).transform(df).orderBy("a").collect()
+    assert [r.b_scaled for r in got] == [0, 0, 0]
+    assert [r.a_scaled for r in got] == pytest.approx([(x - 3) / np.std([1, 2, 6]) for x in (1, 2, 6)])
