@@ -146,7 +146,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
                                                *[pa.nulls(len(at), pa.int64())] * SIGNATURE, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
 
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(1), tb.SMALL_CHUNK_BYTES):
                 h, cut = shingle_sets(buf, offs, words)
                 total += np.bincount((h & tb.U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
                 size += len(h)
@@ -173,20 +173,20 @@ def slot_ranks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_lists(docs: DataFrame, slots: np.ndarray, ranks: np.ndarray, words: int) -> DataFrame:
-    """(token, salt, cid, n): prefix shingles of each class; salt -1, or 0 on for
-    shingles of frequent slots."""
+    """(token, salt, cid, n, pos): prefix shingles of each class, with their places in its
+    order; salt -1, or 0 on for shingles of frequent slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = np.zeros(SLOTS, np.uint8)
         rank_of[slots] = ranks
         sent: set[int] = set()
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(1), tb.SMALL_CHUNK_BYTES):
                 h, cut = shingle_sets(buf, offs, words)
                 rank = rank_of[(h & tb.U64(SLOTS - 1)).astype(np.int64)]
                 raw = memoryview(h.astype("<u8").tobytes())
                 ids = b.column(0).slice(lo, hi - lo).is_valid().to_pylist()
-                picks, cids, sizes = [], [], []
+                picks, cids, sizes, places = [], [], [], []
                 for ok, a, z in zip(ids, cut[:-1].tolist(), cut[1:].tolist()):
                     if z == a or not ok:
                         continue
@@ -203,32 +203,34 @@ def prefix_lists(docs: DataFrame, slots: np.ndarray, ranks: np.ndarray, words: i
                     picks.append(a + (np.argsort(r, kind="stable")[:k] if r.any() else np.arange(k)))
                     cids.append(np.full(k, cid, np.int64))
                     sizes.append(np.full(k, n, np.int32))
+                    places.append(np.arange(k, dtype=np.int32))
                 if picks:
                     at, cid = np.concatenate(picks), np.concatenate(cids)
                     salt = np.where(rank[at] > 0, (cid.view(np.uint64) >> tb.U64(7)).astype(np.int64) % 256, -1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(salt), pa.array(cid), pa.array(np.concatenate(sizes))], names=["token", "salt", "cid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(salt), pa.array(cid), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
+                                                     names=["token", "salt", "cid", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, salt int, cid long, n int")
+    return docs.mapInArrow(run, "token long, salt int, cid long, n int, pos int")
 
 
 def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
-    """(token, cid, n, other): candidate pairs (other set), and the rows that go to
+    """(token, cid, n, pos, other): candidate pairs (other set), and the rows that go to
     tiles (other null).  A task streams its shingles' lists in order of size and holds
     near + 1 rows of the last list between batches."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lists.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "n", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         tiled = np.zeros(0, bool)  # held rows that went to tiles already
         for b in batches:
             old = len(tiled)
-            token, salt, cid, size = (np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held))
+            token, salt, cid, size, pos = (np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held))
             went = np.append(tiled, np.zeros(len(token) - old, bool))
             # rows that repeat a class go
             keep = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (cid[1:] != cid[:-1])) if len(token) else np.zeros(0, bool)
             keep[:old] = True
-            token, salt, cid, size, went = (x[keep] for x in (token, salt, cid, size, went))
+            token, salt, cid, size, pos, went = (x[keep] for x in (token, salt, cid, size, pos, went))
             k = len(token)
             if not k:
                 continue
@@ -238,10 +240,13 @@ def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
             low = np.searchsorted(key, group * (1 << 32) + -(-NUM * size // DEN))
             at = np.arange(k)
             many = (at - low > near) & (salt < 0)
+            rest = size - pos
             out = [[], [], [], []]
             for d in range(1, near + 1):
                 i = at[max(old, d):]
                 i = i[(i - d >= low[i]) & ((d == 1) | (~many[i] & (salt[i] < 0)))]
+                # a shingle that comes too late in one of the sets can't be their first in common
+                i = i[(NUM + DEN) * np.minimum(rest[i], rest[i - d]) >= NUM * (size[i] + size[i - d])]
                 for x, y in zip(out, (token[i], cid[i], size[i], cid[i - d])):
                     x.append(y)
             # rows with many before them meet the others of those in tiles
@@ -249,16 +254,17 @@ def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
             for d in range(min(near + 2, k)):
                 tile[:k - d] |= (many & (at - d >= low))[d:]
             tile &= ~went
-            pairs = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "cid", "n", "other"])
-            if len(pairs):
-                yield pairs.set_column(2, "n", pairs.column(2).cast(pa.int32()))
+            names = ["token", "cid", "n", "pos", "other"]
+            a, b_, c, d_ = (np.concatenate(x) for x in out)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b_), pa.array(c.astype(np.int32)), pa.nulls(len(a), pa.int32()), pa.array(d_)], names=names)
             if tile.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[tile]), pa.array(cid[tile]), pa.array(size[tile].astype(np.int32)),
-                                                  pa.nulls(int(tile.sum()), pa.int64())], names=["token", "cid", "n", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[tile]), pa.array(cid[tile]), pa.array(size[tile].astype(np.int32)), pa.array(pos[tile].astype(np.int32)),
+                                                  pa.nulls(int(tile.sum()), pa.int64())], names=names)
             last = np.flatnonzero(group == group[-1])[-(near + 1):]
-            held, tiled = [x[last] for x in (token, salt, cid, size)], (went | tile)[last]
+            held, tiled = [x[last] for x in (token, salt, cid, size, pos)], (went | tile)[last]
 
-    return rows.mapInArrow(run, "token long, cid long, n int, other long")
+    return rows.mapInArrow(run, "token long, cid long, n int, pos int, other long")
 
 
 def texts_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -268,7 +274,7 @@ def texts_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(1), tb.SMALL_CHUNK_BYTES):
                 h, cut = shingle_sets(buf, offs, words)
                 raw = memoryview(h.astype("<u8").tobytes())
                 cid = np.array([class_key(hashlib.blake2b(raw[8 * a:8 * z], digest_size=16).digest()) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())], np.int64)
@@ -283,6 +289,12 @@ def size_fits(a: str, b: str):
     return (F.col(f"{a}.n") * DEN >= F.col(f"{b}.n") * NUM) & (F.col(f"{b}.n") * DEN >= F.col(f"{a}.n") * NUM)
 
 
+def place_fits(a: str, b: str):
+    """Whether a shingle can be the first in common, in the shared order, of two sets that
+    link: all they share comes from there on, at least s / (1 + s) (|A| + |B|)."""
+    return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) * (NUM + DEN) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * NUM
+
+
 def short_fits(a: str, b: str):
     """The bound by short bitmaps, in SQL: |A ^ B| = |A| + |B| - 2 |A & B| and
     |A & B| >= s / (1 + s) (|A| + |B|)."""
@@ -319,7 +331,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(2)):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(2), tb.SMALL_CHUNK_BYTES):
                 ha, ca = shingle_sets(buf, offs, words)
                 hb, cb = shingle_sets(*tb.string_buffer(b.column(3).slice(lo, hi - lo)), words)
                 keep = []
@@ -355,7 +367,7 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
     """(cid, comp) of the classes that link to another one."""
     met = stored(meetings(prefix_lists(docs, slots, ranks, words), near), "jaccard-met")
     pairs = met.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")).distinct().checkpoint()
-    tiled = met.where("other is null").select("token", "cid", "n").distinct().checkpoint()
+    tiled = met.where("other is null").select("token", "cid", "n", "pos").distinct().checkpoint()
     in_tiles = tiled.select("cid").distinct()
     ours = sums.where("digest is not null and n > 0 and doc_id is not null")
     classes = (ours.groupBy(F.col("k").alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in SIG], F.min("bits").alias("bits"))
@@ -369,26 +381,27 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
     rows = tiled.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
-    tiles = rows.join(open_lists, "token", "left_semi").select("token", "cid", "n", F.explode(F.array(band, band + 1)).alias("band")).checkpoint()
+    tiles = rows.join(open_lists, "token", "left_semi").select("token", "cid", "n", "pos", F.explode(F.array(band, band + 1)).alias("band")).checkpoint()
     key = ["token", "band"]
     for r in range(rounds + 1):
         rows = tiles.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         # by component first, so that a large one is a row of its tile
-        parts = rows.groupBy(*key, "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), "cid")).alias("p"))
+        parts = rows.groupBy(*key, "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), "cid", "n", "pos")).alias("p"))
         open_tiles = (parts.groupBy(*key).agg(F.max(F.struct("k", "comp")).alias("most"), F.min(F.struct("p", "comp")).alias("low"), F.count("*").alias("parts"))
-                      .where("parts > 1").select(*key, F.col("most.comp").alias("major"), F.col("low.p.cid").alias("pivot"), F.col("low.p.h").alias("h"), F.col("low.comp").alias("pivot_comp")))
+                      .where("parts > 1").select(*key, F.col("most.comp").alias("major"), F.col("low.p").alias("p"), F.col("low.comp").alias("pivot_comp")))
         rows = rows.join(open_tiles, key).checkpoint()
         if rows.isEmpty():
             break  # all tiles are closed
         if r < rounds:
-            cand = rows.where("comp <> pivot_comp").select(F.col("cid").alias("mine"), "pivot", "h").distinct()
+            cand = (rows.select(F.struct("n", "pos").alias("x"), "p", "cid", "comp", "pivot_comp").where((F.col("comp") != F.col("pivot_comp")) & place_fits("x", "p"))
+                    .select(F.col("cid").alias("mine"), F.col("p.cid").alias("pivot"), F.col("p.h").alias("h")).distinct())
             found = may_link(cand, "mine", "pivot", sigs).groupBy(F.col("mine").alias("a")).agg(F.min_by("pivot", "h").alias("b"))
-            tiles = rows.select("token", "cid", "n", "band")
+            tiles = rows.select("token", "cid", "n", "pos", "band")
         else:
-            sized = rows.select(*key, "cid", "comp", (F.col("comp") != F.col("major")).alias("minor")).join(sigs.drop("bits"), "cid")
+            sized = rows.select(*key, "cid", "comp", "pos", (F.col("comp") != F.col("major")).alias("minor")).join(sigs.drop("bits"), "cid")
             found = (sized.where("minor").alias("x").join(sized.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
                                                         & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.minor") | (F.col("x.cid") < F.col("y.cid")))
-                                                        & size_fits("x", "y") & short_fits("x", "y"))
+                                                        & size_fits("x", "y") & place_fits("x", "y") & short_fits("x", "y"))
                      .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
             found = may_link(found, "a", "b", sigs)
         comp = merged(comp, verified(found, docs, reps, words).checkpoint())
@@ -429,7 +442,7 @@ def class_of(words: int):
     @F.arrow_udf("long")
     def key(text: pa.Array) -> pa.Array:
         out = []
-        for _, _, buf, offs in tb.row_chunks(text):
+        for _, _, buf, offs in tb.row_chunks(text, tb.SMALL_CHUNK_BYTES):
             h, cut = shingle_sets(buf, offs, words)
             raw = memoryview(h.astype("<u8").tobytes())
             out += [class_key(hashlib.blake2b(raw[8 * a:8 * z], digest_size=16).digest()) if z > a else None for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]

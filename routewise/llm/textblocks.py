@@ -18,6 +18,9 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+#: For stages that pass whole rows on beside the work in Python: the arrays of a chunk take
+#: some 60 times its bytes.
+SMALL_CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 
