@@ -4,12 +4,15 @@ Each source's documents, in id order, form blocks.  A source of weight w (the sh
 the stream it should have) gets for its block k the release time floor(k / w) and the
 deadline ceil((k + 1) / w) in slots; each slot goes to the released block with the
 earliest deadline (ties: order of listing).  While all sources last, the number of
-blocks of a source in any first t slots is within one of w * t.
+blocks of a source in any first t slots is less than one block from w * t.
 
-Weights are rounded to whole shares of QUANTUM, so the schedule repeats after at most
-QUANTUM slots and is worked out for one period only; a block's slot then is arithmetic
-on its number.  When a source runs out, a new phase begins with the weights of the
-others; no document is dropped or repeated.
+Weights are exact: fractions as given, or a float's nearest fraction with a denominator up
+to DENOMINATOR.  In whole shares without common factor they add up to the period after
+which the schedule repeats, so it is worked out for one period only, and a block's slot
+then is arithmetic on its number.  A period of more than MAX_PERIOD slots raises
+ValueError; nothing is rounded.  When a source runs out, a new phase begins with the
+weights of the others, and the same bound from its first slot on; no document is dropped
+or repeated.
 
 Named sources are bounded by the weights given; all others, null included, share the
 weight REST as one source.  Ranking within a source needs no window over it: sources
@@ -18,14 +21,17 @@ holds a third of all rows fills a third of the partitions; a row's rank is its r
 offset plus its place in the sorted range.  Only counts by range reach the driver.
 
 Defined cases: null ids come first in their source; repeated ids keep all their rows;
-texts don't matter; a column named like the result is replaced, other columns are kept
-as they are; an empty table gives an empty result.
+texts don't matter; all columns are kept as they are, and a column named like the result
+raises ValueError (free_name gives one that is not taken); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import gcd
+from fractions import Fraction
+from heapq import heappop, heappush
+from math import gcd, lcm
 
 import numpy as np
 import pandas as pd
@@ -34,21 +40,24 @@ from pyspark.sql import functions as F
 
 from routewise.llm.common import prepare
 
-QUANTUM = 100
+#: Of the fraction that a float is read as, at most; slots after which a schedule repeats, at most.
+DENOMINATOR = 10**6
+MAX_PERIOD = 1 << 20
 BLOCK_DOCS = 16
 #: Source 0 of a schedule: all that have no weight of their own.
 REST = 0
 
 
-def whole_weights(weights: list[float], quantum: int = QUANTUM) -> list[int]:
-    """Whole shares in proportion, by largest remainder, each at least 1, without
-    common factor."""
-    total = sum(weights)
-    exact = [quantum * w / total for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    for i in sorted(range(len(exact)), key=lambda i: int(exact[i]) - exact[i])[:max(0, quantum - sum(out))]:
-        out[i] += 1
+def whole_weights(weights: list, denominator: int = DENOMINATOR) -> list[int]:
+    """Whole shares in exactly the proportion of the weights, without common factor."""
+    exact = [w if isinstance(w, Fraction) else Fraction(w).limit_denominator(denominator) for w in weights]
+    if min(exact) <= 0:
+        raise ValueError("weights must be positive")
+    scale = lcm(*(w.denominator for w in exact))
+    out = [int(w * scale) for w in exact]
     k = gcd(*out)
+    if sum(out) // k > MAX_PERIOD:
+        raise ValueError(f"weights {weights} repeat after {sum(out) // k} slots, more than {MAX_PERIOD}")
     return [x // k for x in out]
 
 
@@ -56,21 +65,27 @@ def period(shares: list[int]) -> list[int]:
     """The source of each slot of one period: earliest deadline first among released
     blocks."""
     total, given, out = sum(shares), [0] * len(shares), []
+    # release floor(k * total / share), deadline ceil((k + 1) * total / share)
+    waiting = [(0, i) for i in range(len(shares))]
+    ready: list[tuple[int, int]] = []
     for t in range(total):
-        # release floor(k * total / share) <= t; deadline ceil((k + 1) * total / share)
-        ready = [(-(-(g + 1) * total // s), i) for i, (g, s) in enumerate(zip(given, shares)) if g < s and g * total // s <= t]
-        i = min(ready)[1]
+        while waiting and waiting[0][0] <= t:
+            i = heappop(waiting)[1]
+            heappush(ready, (-(-(given[i] + 1) * total // shares[i]), i))
+        i = heappop(ready)[1]
         given[i] += 1
+        if given[i] < shares[i]:
+            heappush(waiting, (given[i] * total // shares[i], i))
         out.append(i)
     return out
 
 
-def phases(blocks: list[int], weights: list[float], quantum: int = QUANTUM) -> list[dict]:
+def phases(blocks: list[int], weights: list) -> list[dict]:
     """The schedule of sources with so many blocks: for each phase its first slot,
     period, and by source the blocks before, blocks within and slots in a period."""
     done, slot, out = [0] * len(blocks), 0, []
     while active := [i for i, n in enumerate(blocks) if done[i] < n]:
-        shares = whole_weights([weights[i] for i in active], quantum)
+        shares = whole_weights([weights[i] for i in active])
         order = [active[i] for i in period(shares)]
         share = dict(zip(active, shares))
         full = min((blocks[i] - done[i]) // share[i] for i in active)
@@ -102,6 +117,13 @@ def slots(schedule: list[dict], source: int, block: np.ndarray) -> np.ndarray:
     return out
 
 
+def free_name(docs: DataFrame, name: str = "mix") -> str:
+    """name, with as many underscores as make it no column of docs."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def mix(docs: DataFrame, weights: dict[str, float], rest: float, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id",
         source_col: str = "source", out_col: str = "mix") -> DataFrame:
     """docs with a column out_col: struct<source int, block long, slot long, position long>;
@@ -112,6 +134,8 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float, block_docs: int
     share = [rest, *weights.values()]
     if min(share) <= 0:
         raise ValueError("weights must be positive")
+    if out_col in docs.columns:
+        raise ValueError(f"the documents have a column {out_col}")
     source = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), F.col(source_col).cast("string")), F.lit(0)).cast("int") if names else F.lit(0)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     slim = docs.select(source.alias("s"), key.alias("k"))
@@ -159,8 +183,7 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float, block_docs: int
             position = slot * block_docs + rank % block_docs - short_by[np.searchsorted(short_at, slot, "left")]
             yield pd.DataFrame({"block": block, "slot": slot, "position": position})
 
-    columns = [c for c in docs.columns if c != out_col]
-    rows = docs.select(F.struct(*columns).alias("row"), source.alias("s"), key.alias("k")).withColumn("r", range_of("s", "k"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), source.alias("s"), key.alias("k")).withColumn("r", range_of("s", "k"))
     # the other columns order rows of a repeated id
     rows = rows.repartitionById(n_ranges, "r").sortWithinPartitions("r", "k", F.xxhash64("row"))
     rows = rows.withColumn("local", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))

@@ -140,12 +140,13 @@ def test_decontam_odd_rows(odd, empty, bench):
 
 
 # ---- mixing --------------------------------------------------------------------------------------
-def simulate(blocks, weights, quantum):
-    """Slot by slot: the blocks in order as (source, number)."""
+def simulate(blocks, weights):
+    """The stream (source, block) slot by slot, by the windows of the exact weights; each
+    prefix of a phase is less than a block from them."""
     done, out = [0] * len(blocks), []
     while active := [i for i, n in enumerate(blocks) if done[i] < n]:
-        share = dict(zip(active, pfair_mix.whole_weights([weights[i] for i in active], quantum)))
-        rate = {i: Fraction(s, sum(share.values())) for i, s in share.items()}
+        exact = {i: Fraction(str(weights[i])) for i in active}
+        rate = {i: w / sum(exact.values()) for i, w in exact.items()}
         given, t = {i: 0 for i in active}, 0
         while True:
             i = min((-((-(given[i] + 1) / rate[i]) // 1), i) for i in active if (given[i] / rate[i]) // 1 <= t)[1]
@@ -159,10 +160,12 @@ def simulate(blocks, weights, quantum):
     return out
 
 
-@pytest.mark.parametrize("blocks, weights", [([5, 9, 40], [0.5, 0.3, 0.2]), ([1, 1, 1], [1, 1, 1]), ([100, 3], [0.01, 0.99]), ([0, 7, 2], [1, 2, 3]), ([37, 41, 5, 60], [0.55, 0.2, 0.2, 0.05])])
+@pytest.mark.parametrize("blocks, weights", [([5, 9, 40], [0.5, 0.3, 0.2]), ([1, 1, 1], [1, 1, 1]), ([100, 3], [0.01, 0.99]), ([0, 7, 2], [1, 2, 3]), ([37, 41, 5, 60], [0.55, 0.2, 0.2, 0.05]),
+                                             ([400, 300, 500], [1, 1, 1]), ([300, 900], [0.125, 0.875]), ([3, 2500], [0.001, 0.999]), ([900, 300, 150, 150, 20], [0.55, 0.2, 0.1, 0.1, 0.05]), ([60, 60], [0.1234, 0.8766])])
 def test_schedule_equals_simulation(blocks, weights):
-    want = simulate(blocks, weights, 20)
-    schedule = pfair_mix.phases(blocks, weights, 20)
+    """Also with weights that are no whole percents, and after sources have run out."""
+    want = simulate(blocks, weights)
+    schedule = pfair_mix.phases(blocks, weights)
     got = {}
     for i, n in enumerate(blocks):
         for k, slot in enumerate(pfair_mix.slots(schedule, i, np.arange(n)).tolist()):
@@ -170,6 +173,14 @@ def test_schedule_equals_simulation(blocks, weights):
     assert [got[s] for s in range(sum(blocks))] == want
 
 
+def test_weights_are_exact_or_refused():
+    assert pfair_mix.whole_weights([1 / 3, 1 / 3, 1 / 3]) == [1, 1, 1] and pfair_mix.whole_weights([0.1 + 0.2, 0.7]) == [3, 7]
+    assert pfair_mix.whole_weights([Fraction(1, 7), Fraction(2, 11)]) == [11, 14]
+    for bad in ([1 / 7, 0.123457], [0, 1], [-1, 2]):
+        with pytest.raises(ValueError):
+            pfair_mix.whole_weights(bad)
+
+
 def test_mix_is_a_whole_stream(spark):
     rows = [(i, "a" if i % 3 else ("b" if i % 2 else None)) for i in range(500)] + [(7, "a"), (7, "a"), (None, "b")]
     df = spark.createDataFrame(rows, "doc_id long, source string").repartition(4)
@@ -178,19 +189,23 @@ def test_mix_is_a_whole_stream(spark):
     by = {s: sorted([i for i, x in rows if x == s], key=lambda i: (i is not None, i)) for s in ("a", "b", None)}
     number = {0: None, 1: "a", 2: "b"}
     want = []
-    for s, k in simulate([-(-len(by[number[s]]) // 8) for s in range(3)], [0.25, 0.5, 0.25], pfair_mix.QUANTUM):
+    for s, k in simulate([-(-len(by[number[s]]) // 8) for s in range(3)], [0.25, 0.5, 0.25]):
         want += [(i, number[s]) for i in by[number[s]][8 * k:8 * k + 8]]
     assert [(r["doc_id"], r["source"] if r["source"] else None) for r in got] == want
 
 
 def test_mix_odd_rows(odd, empty):
-    m = pfair_mix.mix(odd, {"z": 1.0}, 1.0)
-    assert sorted(r["position"] for r in m.select("mix.position").collect()) == list(range(odd.count()))
-    assert pfair_mix.mix(empty, WEIGHTS, REST_WEIGHT).count() == 0
+    assert pfair_mix.free_name(odd) == "mix_"
+    m = pfair_mix.mix(odd, {"z": 1.0}, 1.0, out_col="mix_")
+    assert sorted(r["position"] for r in m.select("mix_.position").collect()) == list(range(odd.count()))
+    assert {r["mix"] for r in m.collect()} == {"z"}  # a column of the documents' own
+    assert pfair_mix.mix(empty, WEIGHTS, REST_WEIGHT, out_col="mix_").count() == 0
+    with pytest.raises(ValueError):
+        pfair_mix.mix(odd, {"z": 1.0}, 1.0)
     back = pfair_mix.in_order(pfair_mix.mix(odd.drop("mix"), WEIGHTS, REST_WEIGHT))
     assert back.columns == odd.drop("mix").columns and back.count() == odd.count()
     with pytest.raises(ValueError):
-        pfair_mix.mix(odd, {"z": 0.0}, 1.0)
+        pfair_mix.mix(odd, {"z": 0.0}, 1.0, out_col="mix_")
 
 
 # ---- pipeline ------------------------------------------------------------------------------------
@@ -217,7 +232,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     by = [[r for r in rows if (r[2] if r[2] in WEIGHTS else None) == s] for s in names]
     have = [k for k in range(len(names)) if by[k]]
     stream = []
-    for s, k in simulate([-(-len(by[i]) // pfair_mix.BLOCK_DOCS) for i in have], [[REST_WEIGHT, *WEIGHTS.values()][i] for i in have], pfair_mix.QUANTUM):
+    for s, k in simulate([-(-len(by[i]) // pfair_mix.BLOCK_DOCS) for i in have], [[REST_WEIGHT, *WEIGHTS.values()][i] for i in have]):
         stream += by[have[s]][pfair_mix.BLOCK_DOCS * k:pfair_mix.BLOCK_DOCS * (k + 1)]
     tok, at, want = Tokenizer.from_file(tokenizer_path()), 0, []
     for i, text, _ in stream:
@@ -234,5 +249,6 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd, empty):
         docs = df.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars"), F.lit("e").alias("mix"))
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, SF)
-            assert set(docs.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}, name
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix"], name
+            assert {r["mix"] for r in docs.collect()} <= {"e"}, name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
