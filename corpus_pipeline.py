@@ -34,11 +34,13 @@ def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pfair_mix.in_order(pfair_mix.mix(docs, WEIGHTS, REST_WEIGHT))
+    col = pfair_mix.free_name(docs)
+    return pfair_mix.in_order(pfair_mix.mix(docs, WEIGHTS, REST_WEIGHT, out_col=col), col)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = pfair_mix.mix(docs, WEIGHTS, REST_WEIGHT).selectExpr("doc_id", "text", "mix.position as position")
+    col = pfair_mix.free_name(docs)
+    placed = pfair_mix.mix(docs, WEIGHTS, REST_WEIGHT, out_col=col).selectExpr("doc_id", "text", f"{col}.position as position")
     return pfor_blocks.encode_documents(placed, tokenizer_path(), order_col="position")
 
 
