@@ -226,3 +226,10 @@ x as (select *, lo + (hi - lo) * point / 63 as x from p)
 select "group", point::int as point, {rnum('any_value(x)', 6)} as x, {rnum("sum(c * exp(-pow((x - (lo + (b + 0.5) * ((hi - lo) / 128))) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi()))", 6)} as density
 from x join b using ("group") group by 1, 2"""
 SQL["route_summary_recent_months"] = SQL["route_summary_recent"]
+SQL["bi_ab_significance"] = AB + """
+select experiment_record_id, experiment_id, "group", p_value, is_significant, effect_size, confidence_interval_low, confidence_interval_high from mart_ab order by experiment_record_id limit 20"""
+SQL["bi_daily_riders_limited"] = "select * from (" + SQL["bi_daily_riders_by_route"] + ") order by day, route_id limit 1000"
+SQL["cluster_kpis_filtered"] = CLUSTERS + f"""
+select count(*) as total_passengers, count(distinct cluster_id) as clusters_shown, {rmean('satisfaction_score', 2)} as avg_satisfaction, {rmean('transfers_required', 2)} as avg_transfers,
+       {rmean('wait_time_min', 1)} as avg_wait_min
+from mart_commuter_clusters where cluster_id in (0, 3) and origin_district in ('ASIA', 'EUROPE') and trip_purpose in ('daily_commute', 'weekend_only') and income_bracket in ('low', 'high')"""

@@ -129,3 +129,11 @@ select metric, control_mean, treatment_mean, mean_diff, ci_low_95, ci_high_95, p
   case when abs(effect_size) < 0.2 then 'negligible' when abs(effect_size) < 0.5 then 'small' when abs(effect_size) < 0.8 then 'medium' else 'large' end as effect_label,
   case metric when 'simulated_travel_time_min' then mean_diff < 0 else mean_diff > 0 end as favours_treatment
 from statistics where metric in ('satisfaction_score', 'simulated_travel_time_min')"""
+SQL["ab_statistics_presented"] = STATISTICS + f"""
+select case metric when 'satisfaction_score' then 'Satisfaction Score' when 'simulated_travel_time_min' then 'Travel Time (min)' else 'Would Use Again' end as metric,
+  case metric when 'would_use_again' then 'Chi-Square' else 'Welch''s t-test' end as test,
+  case metric when 'would_use_again' then {rnum('control_pct_yes * 100', 1)} else {rnum('control_mean', 3)} end as control,
+  case metric when 'would_use_again' then {rnum('treatment_pct_yes * 100', 1)} else {rnum('treatment_mean', 3)} end as treatment,
+  {rnum('coalesce(chi2_statistic, t_statistic)', 3)} as statistic, {rnum('p_value', 4)} as p_value, case when is_significant then 'Yes' else 'No' end as significant,
+  case when metric <> 'would_use_again' then case when abs(effect_size) < 0.2 then 'negligible' when abs(effect_size) < 0.5 then 'small' when abs(effect_size) < 0.8 then 'medium' else 'large' end end as effect_label
+from statistics"""

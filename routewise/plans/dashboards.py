@@ -342,6 +342,12 @@ def bi_ab_weekly_score(ab: DataFrame) -> DataFrame:
     return ab.groupBy("test_week", "group").agg(C.round_mean("satisfaction_score", 4).alias("avg_satisfaction"))
 
 
+def bi_ab_significance(ab: DataFrame, limit: int = 20) -> DataFrame:
+    """The slice's first rows of the mart's statistics columns, in order of record."""
+    return ab.orderBy("experiment_record_id").limit(limit).select(
+        "experiment_record_id", "experiment_id", "group", "p_value", "is_significant", "effect_size", "confidence_interval_low", "confidence_interval_high")
+
+
 # -- Filter options and bounds (D26) --------------------------------------------
 def option_counts(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values with counts."""

@@ -187,6 +187,20 @@ def verdict(stats: DataFrame, primary: str = "satisfaction_score") -> DataFrame:
             F.lit(K.ALPHA), F.col("p_value"))).alias("recommendation"))
 
 
+METRIC_LABELS = {"satisfaction_score": "Satisfaction Score", "simulated_travel_time_min": "Travel Time (min)", "would_use_again": "Would Use Again"}
+
+
+def presentation(stats: DataFrame) -> DataFrame:
+    """The statistics as they are shown: one row per metric with its test, both arms
+    (means, or percent of yes), the statistic, p, and the size of the effect of means."""
+    share = F.col("metric") == CHI_METRIC
+    arm = lambda g: F.when(share, F.round(F.col(f"{g}_pct_yes") * 100, 1)).otherwise(F.round(f"{g}_mean", 3))
+    return stats.select(
+        C.map_value("metric", METRIC_LABELS).alias("metric"), F.when(share, "Chi-Square").otherwise("Welch's t-test").alias("test"), arm("control").alias("control"), arm("treatment").alias("treatment"),
+        F.round(F.coalesce("chi2_statistic", "t_statistic"), 3).alias("statistic"), F.round("p_value", 4).alias("p_value"), F.when(F.col("is_significant"), "Yes").otherwise("No").alias("significant"),
+        F.when(~share, C.effect_label("effect_size")).alias("effect_label"))
+
+
 def verdict_detail(stats: DataFrame) -> DataFrame:
     """The compared means behind the verdict, for the score and the travel time."""
     return stats.filter(F.col("metric").isin(T_METRICS)).select(

@@ -167,11 +167,11 @@ def write_back(survey: DataFrame, assign: DataFrame) -> DataFrame:
                   .drop("_new_id", "_new_label"))
 
 
-def dbscan_labels(E: Entities, survey: DataFrame | None = None, matrix: DataFrame | None = None) -> DataFrame:
+def dbscan_labels(E: Entities, survey: DataFrame | None = None, matrix: DataFrame | None = None, min_samples: int = K.DBSCAN_MIN_SAMPLES) -> DataFrame:
     """DBSCAN (eps 1.2, min 15, self included) on the scaled features."""
     from ..operators.dbscan import dbscan
     fm = feature_matrix(E, survey) if matrix is None else matrix
-    return dbscan(fm, "passenger_id", SCALED, K.DBSCAN_EPS, K.DBSCAN_MIN_SAMPLES)
+    return dbscan(fm, "passenger_id", SCALED, K.DBSCAN_EPS, min_samples)
 
 
 def dbscan_validation(E: Entities, survey: DataFrame | None = None, matrix: DataFrame | None = None) -> DataFrame:

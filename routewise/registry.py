@@ -324,7 +324,14 @@ def _given_label_silhouette(E):
     return s.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("passengers"), F.round(F.avg("s"), 6).alias("silhouette_score"))
 
 
+def _density_clusters(E):
+    """Rows by density cluster, noise (ids below 0) left out; with five neighbours, as
+    the given rows are too sparse for any cluster of fifteen."""
+    return G.dbscan_labels(E, min_samples=5).where("dbscan_label >= 0").groupBy("dbscan_label").agg(F.count(F.lit(1)).alias("passengers"), F.count_if("is_core").alias("core_passengers"))
+
+
 REGISTRY.update({
+    "dbscan_cluster_sizes": _q(_density_clusters),
     "given_label_silhouette": _q(_given_label_silhouette),
     "dbscan_validation": _q(G.dbscan_validation),
 })
@@ -364,6 +371,10 @@ REGISTRY.update({
     "ab_fare_violin": _q(lambda E: RS.violin(_ab(E), ["group"], "simulated_fare_php")),
     "route_summary_recent_months": _q(_recent_months),
     "trip_time_audit": _q(AU.trip_time_audit),
+    "ab_statistics_presented": _q(lambda E: X.presentation(X.statistics_table(_exp(E)))),
+    "bi_ab_significance": _q(lambda E: D.bi_ab_significance(_ab(E))),
+    "bi_daily_riders_limited": _q(lambda E: D.bi_daily_riders_by_route(_summary(E), 1000)),
+    "cluster_kpis_filtered": _q(lambda E: D.cluster_kpis(_clusters(E), cluster_ids=[0, 3], districts=["ASIA", "EUROPE"], purposes=["daily_commute", "weekend_only"], incomes=["low", "high"])),
     "ab_verdict_detail": _q(lambda E: X.verdict_detail(X.statistics_table(_exp(E)))),
 })
 
