@@ -40,14 +40,17 @@ from routewise.llm.common import prepare, stored
 
 #: The base patterns, in order of listing.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match can only start where a run of digits does, and takes its runs whole
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 #: Characters that an email's part before the @ may have.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-CANDIDATE = re.compile(r"[^\s,;!?\"'()\[\]{}<>|]*[0-9@][^\s,;!?\"'()\[\]{}<>|]*")
+TOKEN = re.compile(r"[^\s,;!?\"'()\[\]{}<>|]+")
+#: What makes a token a candidate.
+MARK = re.compile(r"[0-9@]")
 #: Besides white space, what may stand between a word and the token after it.
 AFTER_WORD = frozenset(":=#\"'(")
 LETTER = re.compile(r"[^\W\d_]")
@@ -57,7 +60,6 @@ GROUP = re.compile(r"\+?[0-9][0-9.-]*")
 BETWEEN = frozenset((" ", " (", ") ", ")"))
 CONFIDENT = 0.9
 SUPPORT = 4
-ROUNDS = 3
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = [(0, *s) for s in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -119,8 +121,10 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
     of digits that belong together as one."""
     out, covered = [], sorted((s, e) for _, s, e in spans)
     i, whole = 0, False
-    for m in CANDIDATE.finditer(text):
+    for m in TOKEN.finditer(text):
         s, e = m.span()
+        if not MARK.search(text, s, e):
+            continue
         while e > s and text[e - 1] in ".:-":
             e -= 1
         while i < len(covered) and covered[i][1] <= s:
@@ -172,14 +176,13 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, spans, cands): base spans and candidates of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digit = re.compile("[0-9@]")
         spans_t = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         cands_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string())), ("instance", pa.string()), ("seed", pa.bool_())]))
         for b in batches:
             spans, cands = [], []
             for x in b.column(1):
                 text = x.as_py() or ""
-                if not digit.search(text):
+                if not MARK.search(text):
                     spans.append([])
                     cands.append([])
                     continue
@@ -193,23 +196,29 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         "cands array<struct<start:int,end:int,patterns:array<string>,instance:string,seed:boolean>>"))
 
 
-def score_patterns(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_patterns(pairs: DataFrame) -> DataFrame:
     """(pattern, confidence, support) from distinct (pattern, instance, seed) pairs.
 
-    confidence = mean instance confidence * support / (support + 0.25)."""
+    confidence = mean instance confidence * support / (support + 0.25).  Rounds go on until
+    no further pattern is confident: confidences only grow from round to round, so the
+    confident patterns do too, and there are as many rounds as links from the seeds to the
+    last pattern that they lead to."""
     inst = pairs.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("conf"))
-    for i in range(rounds):
+    before = -1
+    while True:
         scored = pairs.join(inst, "instance")
         support = F.sum((F.col("conf") >= CONFIDENT).cast("long"))
-        pattern = scored.groupBy("pattern").agg((F.avg("conf") * support / (support + 0.25)).alias("confidence"), support.alias("support"))
-        if i == rounds - 1:
+        pattern = scored.groupBy("pattern").agg((F.avg("conf") * support / (support + 0.25)).alias("confidence"), support.alias("support")).checkpoint()
+        sure = (F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)
+        now = pattern.where(sure).count()
+        if now == before:
             return pattern
+        before = now
         # a pattern below the bar lends nothing, so noise doesn't add up
-        lent = F.when((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT), F.col("confidence")).otherwise(0.0)
+        lent = F.when(sure, F.col("confidence")).otherwise(0.0)
         inst = (pairs.join(pattern.select("pattern", lent.alias("lent")), "pattern").groupBy("instance")
                 .agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum(F.log(1 - F.least("lent", F.lit(0.999)))))).alias("conf")))
         inst = inst.checkpoint()
-    return pattern
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

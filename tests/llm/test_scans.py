@@ -141,3 +141,39 @@ def test_odd_rows(odd, empty, scan, digest):
     none = hashlib.sha256(b"").hexdigest()
     assert all(r["base_sha256"] == none and r["spans"] == "" for r in rows if r["doc_id"] in (1, 2, 3, 4))
     assert digest(scan(empty)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "7" * 200_000, "1." * 100_000, "0" * 6000 + ".1.2.3", "漢" * 200_000, "a1" * 100_000, "+1(" * 70_000, "x@" * 100_000])
+def test_long_runs_take_linear_time(text):
+    """Each would take minutes if every start were tried to the end of the run."""
+    import time
+
+    began = time.time()
+    spans = pii_bootstrap.base_spans("id " + text)
+    pii_bootstrap.candidates("id " + text, spans)
+    assert time.time() - began < 20
+    if text.startswith("0"):
+        assert spans == [(1, 3, 3 + len(text))]
+
+
+def test_pattern_scores_equal_brute_force(spark):
+    """Chains of patterns that lend each other support: all rounds are taken."""
+    seeds = {f"s{i}" for i in range(8)}
+    pairs = {(f"p{k}", f"s{i}") for k in range(2) for i in range(4 * k, 4 * k + 4)}
+    for k in range(2, 8):  # each stands on what the two before it have found
+        pairs |= {(f"p{j}", f"x{k}_{i}") for i in range(6) for j in (k - 2, k)}
+    pairs |= {("noise", "s0"), ("noise", "y"), ("weak", "y"), ("weak", "z")}
+
+    conf = {i: float(i in seeds) for _, i in pairs}
+    for _ in range(100):
+        score = {}
+        for p in {p for p, _ in pairs}:
+            c = [conf[i] for q, i in pairs if q == p]
+            n = sum(x >= pii_bootstrap.CONFIDENT for x in c)
+            score[p] = (sum(c) / len(c) * n / (n + 0.25), n)
+        lent = {p: c if c >= pii_bootstrap.CONFIDENT and n >= pii_bootstrap.SUPPORT else 0 for p, (c, n) in score.items()}
+        conf = {i: 1.0 if i in seeds else 1 - math.prod(1 - min(lent[p], 0.999) for p, j in pairs if j == i) for i in conf}
+    want = {p for p, (c, n) in score.items() if c >= pii_bootstrap.CONFIDENT and n >= pii_bootstrap.SUPPORT}
+    rows = spark.createDataFrame([(p, i, i in seeds) for p, i in sorted(pairs)], "pattern string, instance string, seed boolean")
+    got = pii_bootstrap.score_patterns(rows)
+    assert {r["pattern"] for r in got.collect() if r["confidence"] >= pii_bootstrap.CONFIDENT and r["support"] >= pii_bootstrap.SUPPORT} == want
