@@ -158,6 +158,18 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.clear()
 
+    def fits(self) -> bool:
+        """Whether the tokenizer is of the kind that units serve: it takes capitals as small
+        letters, as units' hashes do, and a text's ids are its units' joined."""
+        ids = lambda x: self.tok.encode(x, add_special_tokens=False).ids
+        letters = "".join(map(chr, range(65, 91)))
+        if any(ids(x) != ids(x.lower()) for x in (letters, *letters, "The Quick-BROWN fOX")):
+            return False
+        text = "The quick  Brown\tfox, jumps over 13 d0gs!\n\"It's\" \u00dcber-na\u00efve caf\u00e9 #tags: a_b+c=d; x@y.example \u6f22\u5b57 e\u0301 end. "
+        raw = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _ = unit_spans(raw, np.array([0, len(raw)]))
+        return ids(text) == [i for a, z in zip(starts.tolist(), ends.tolist()) for i in ids(raw[a:z].tobytes().decode())]
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)   # sorted word hashes
         self.slot = np.zeros(0, np.int64)    # their place in starts
@@ -210,12 +222,29 @@ class WordEncoder:
         return out, ends_out
 
 
+class TextEncoder:
+    """Ids of whole texts, for any other tokenizer."""
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def rows(self, buf: np.ndarray, offs: np.ndarray):
+        raw, at = buf.tobytes(), offs.tolist()
+        got = [[*e.ids, END_ID] for e in self.tok.encode_batch_fast([raw[a:z].decode("utf-8", "replace") for a, z in zip(at[:-1], at[1:])], add_special_tokens=False)]
+        return np.fromiter((i for x in got for i in x), np.uint32), np.cumsum([len(x) for x in got], dtype=np.int64)
+
+
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    words = WordEncoder(path)
+    return words if words.fits() else TextEncoder(words.tok)
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: str, text_col: str, order_col: str) -> DataFrame:
     """(doc_id, ord, shard, n, crc, ids): ids little-endian, 2 bytes each where the
     vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(tokenizer_path)
+        enc = encoder(tokenizer_path)
         kind = np.dtype("<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4")
         edges = np.array(bounds, np.int64)
         for b in batches:

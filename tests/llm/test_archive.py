@@ -116,3 +116,20 @@ def test_odd_rows_tokens(odd, empty):
     assert {r["start"] for r in rows} - ends == {0}
     assert min(rows, key=lambda r: r["start"])["doc_id"] is None
     assert pfor_blocks.encode_documents(empty, tokenizer_path()).count() == 0
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    """A cased tokenizer that keeps white space: units would give wrong ids."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert isinstance(pfor_blocks.encoder(tokenizer_path()), pfor_blocks.WordEncoder)
+    assert isinstance(pfor_blocks.encoder(path), pfor_blocks.TextEncoder)
+    texts = ["The the THE  quick\n\nfox", None, "", "Über x1 漢字", "the The"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pfor_blocks.encode_documents(df, path).orderBy("doc_id").collect()
+    tok, at = Tokenizer.from_file(path), 0
+    for r, text in zip(got, texts):
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
