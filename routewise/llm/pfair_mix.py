@@ -28,13 +28,12 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heappop, heappush
 from math import gcd, lcm
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,14 +149,14 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float, block_docs: int
         first[r["s"]] = sum(len(cuts[s]) + 1 for s in first)
     n_ranges = sum(len(c) + 1 for c in cuts.values()) or 1
 
-    @F.pandas_udf("int")
-    def range_of(s: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, k in s:
-            out = np.zeros(len(a), np.int32)
-            for x in np.unique(a):
-                at = (a == x).to_numpy()
-                out[at] = first[x] + np.searchsorted(cuts[x], k.to_numpy()[at], "left")
-            yield pd.Series(out)
+    @F.arrow_udf("int")
+    def range_of(s: pa.Array, k: pa.Array) -> pa.Array:
+        s, k = s.to_numpy(zero_copy_only=False), k.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(s), np.int32)
+        for x in np.unique(s).tolist():
+            at = s == x
+            out[at] = first[x] + np.searchsorted(cuts[x], k[at], "left")
+        return pa.array(out)
 
     per = {r["r"]: r["n"] for r in slim.select(range_of("s", "k").alias("r")).groupBy("r").agg(F.count("*").alias("n")).collect()}
     offset, number = np.zeros(n_ranges, np.int64), {}
@@ -172,16 +171,15 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float, block_docs: int
     short = sorted((int(slots(schedule, place[s], np.array([-(-number[s] // block_docs) - 1]))[0]), -number[s] % block_docs) for s in sources)
     short_at, short_by = np.array([a for a, _ in short]), np.cumsum([0, *(n for _, n in short)])
 
-    @F.pandas_udf("struct<block long, slot long, position long>")
-    def scheduled(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for s, r, local in it:
-            rank = offset[r.to_numpy()] + local.to_numpy()
-            block, slot = rank // block_docs, np.zeros(len(rank), np.int64)
-            for x in np.unique(s):
-                at = (s == x).to_numpy()
-                slot[at] = slots(schedule, place[x], block[at])
-            position = slot * block_docs + rank % block_docs - short_by[np.searchsorted(short_at, slot, "left")]
-            yield pd.DataFrame({"block": block, "slot": slot, "position": position})
+    @F.arrow_udf("struct<block long, slot long, position long>")
+    def scheduled(s: pa.Array, r: pa.Array, local: pa.Array) -> pa.Array:
+        s, rank = s.to_numpy(zero_copy_only=False), offset[r.to_numpy(zero_copy_only=False)] + local.to_numpy(zero_copy_only=False)
+        block, slot = rank // block_docs, np.zeros(len(rank), np.int64)
+        for x in np.unique(s).tolist():
+            at = s == x
+            slot[at] = slots(schedule, place[x], block[at])
+        position = slot * block_docs + rank % block_docs - short_by[np.searchsorted(short_at, slot, "left")]
+        return pa.StructArray.from_arrays([pa.array(x) for x in (block, slot, position)], names=["block", "slot", "position"])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), source.alias("s"), key.alias("k")).withColumn("r", range_of("s", "k"))
     # the other columns order rows of a repeated id

@@ -185,9 +185,8 @@ class WordEncoder:
         slots = len(self.starts) - 1 + np.arange(len(new))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
         self.ids = np.concatenate([self.ids, flat])
-        keys_all = np.concatenate([self.keys, keys])
-        order = np.argsort(keys_all, kind="stable")
-        self.keys, self.slot = keys_all[order], np.concatenate([self.slot, slots])[order]
+        at = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
 
     def _find(self, keys):
         at = np.searchsorted(self.keys, keys)
@@ -248,7 +247,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: s
         kind = np.dtype("<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4")
         edges = np.array(bounds, np.int64)
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(2)):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(2), tb.SMALL_CHUNK_BYTES):
                 ids, ends = enc.rows(buf, offs)
                 begins = np.concatenate([[0], ends[:-1]])
                 wide, narrow = memoryview(ids.astype("<u4").tobytes()), ids.astype(kind).tobytes()
