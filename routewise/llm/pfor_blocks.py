@@ -238,7 +238,7 @@ def encoder(path: str) -> WordEncoder | TextEncoder:
     return words if words.fits() else TextEncoder(words.tok)
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: str, text_col: str, order_col: str) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: str, text_col: str, order_col: str, chunk_bytes: int = tb.CHUNK_BYTES) -> DataFrame:
     """(doc_id, ord, shard, n, crc, ids): ids little-endian, 2 bytes each where the
     vocabulary allows."""
 
@@ -247,7 +247,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: s
         kind = np.dtype("<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4")
         edges = np.array(bounds, np.int64)
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(2), tb.SMALL_CHUNK_BYTES):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(2), chunk_bytes):
                 ids, ends = enc.rows(buf, offs)
                 begins = np.concatenate([[0], ends[:-1]])
                 wide, narrow = memoryview(ids.astype("<u4").tobytes()), ids.astype(kind).tobytes()
@@ -268,7 +268,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: s
 CHUNK_SCHEMA = "shard int, chunk int, first long, n long, doc_ids array<long>, doc_lens array<long>, payload binary"
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, chunk_bytes: int = tb.CHUNK_BYTES) -> None:
     """Write the chunks of all documents, in ascending order (of the ids, if no other
     column is named) over shards.  The shards' bounds are quantiles of the order
     column, read alone beforehand, so the text is read once and only packed ids are
@@ -280,7 +280,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
     cuts = docs.select(F.col(order_col).cast("long").alias("i")).agg(
         F.percentile_approx("i", [k / shards for k in range(1, shards)] or [0.5], 100 * shards)).first()[0]
     bounds = sorted(set(cuts or []))
-    rows = tokenized(docs, tokenizer_path, bounds, id_col, text_col, order_col)
+    rows = tokenized(docs, tokenizer_path, bounds, id_col, text_col, order_col, chunk_bytes)
     rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("ord").asc_nulls_first(), "n", "crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,8 +357,8 @@ def read_documents(spark, path: str, with_ids: bool = False) -> DataFrame:
             .select("doc_id", (F.col("place") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])))
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, chunk_bytes: int = tb.CHUNK_BYTES) -> DataFrame:
     """Write docs and read the files back; see read_documents()."""
     out = out or new_folder(docs.sparkSession, "pfor")
-    write_tokens(docs, out, tokenizer_path, id_col, text_col, order_col)
+    write_tokens(docs, out, tokenizer_path, id_col, text_col, order_col, chunk_bytes=chunk_bytes)
     return read_documents(docs.sparkSession, out)
