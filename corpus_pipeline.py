@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from routewise.llm import decontam_sw, jaccard_join, pfair_mix, pfor_blocks, quality_bt
 from routewise.llm.common import stored, table
+from routewise.llm.textblocks import SMALL_CHUNK_BYTES
 from routewise.llm.queries import REST_WEIGHT, WEIGHTS, tokenizer_path
 
 
@@ -41,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     col = pfair_mix.free_name(docs)
     placed = pfair_mix.mix(docs, WEIGHTS, REST_WEIGHT, out_col=col).selectExpr("doc_id", "text", f"{col}.position as position")
-    return pfor_blocks.encode_documents(placed, tokenizer_path(), order_col="position")
+    return pfor_blocks.encode_documents(placed, tokenizer_path(), order_col="position", chunk_bytes=SMALL_CHUNK_BYTES)
 
 
 STAGES = [("quality", quality), ("dedupe", dedupe), ("decontam", decontam), ("mix", mix), ("tokens", tokens)]
