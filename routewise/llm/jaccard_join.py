@@ -20,9 +20,9 @@ documents link when 100 * |A & B| >= 80 * |A | B|.
    tiles' join.  What passes is intersected exactly, as sorted arrays.
 5. Pairs within one component need no comparison.  The candidate pairs merge most of a
    group of near copies, as a class has another predecessor in each list.  In tiles
-   with more than one component left, classes are compared to the tile's pivot, and
-   then those outside the tile's largest component to all of the tile that are apart
-   from them.  Components are exact.
+   with more than one component left, classes are compared to a few pivots of the tile,
+   round by round while that finds links, and then those outside the tile's largest
+   component to all of the tile that are apart from them.  Components are exact.
 
 Texts are read whole, in vectorised passes; no set is stored.  Two different shingles
 or classes with equal hashes would count as one (chance below n**2 / 2**65 for the n
@@ -54,10 +54,12 @@ SLOTS = 1 << 20
 #: Shingles after which a task passes its slot counts on.
 FLUSH = 1 << 22
 #: Length of the short bitmaps, in 64-bit words; least bits of the others.
-SIGNATURE = 4
+SIGNATURE = 8
 LEAST_BITS = 256
-#: Comparisons to pivots before all remaining pairs of the tiles.
-PIVOT_ROUNDS = 1
+#: Rounds of comparisons to pivots, at most, before all remaining pairs of the tiles, and
+#: pivots of a tile in a round.
+PIVOT_ROUNDS = 2
+PIVOTS = 8
 #: Classes before a class in its shingle's list that it is paired with at once.
 NEAR = 8
 #: Classes that a task remembers to have sent already.
@@ -218,6 +220,8 @@ def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
     tiles (other null).  A task streams its shingles' lists in order of size and holds
     near + 1 rows of the last list between batches."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if "pos" not in lists.columns:  # without places, any shingle may be the first in common
+        lists = lists.withColumn("pos", F.lit(0))
     rows = lists.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "n", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,20 +387,22 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
     tiles = rows.join(open_lists, "token", "left_semi").select("token", "cid", "n", "pos", F.explode(F.array(band, band + 1)).alias("band")).checkpoint()
     key = ["token", "band"]
-    for r in range(rounds + 1):
+    r = 0
+    while True:
         rows = tiles.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         # by component first, so that a large one is a row of its tile
-        parts = rows.groupBy(*key, "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), "cid", "n", "pos")).alias("p"))
-        open_tiles = (parts.groupBy(*key).agg(F.max(F.struct("k", "comp")).alias("most"), F.min(F.struct("p", "comp")).alias("low"), F.count("*").alias("parts"))
-                      .where("parts > 1").select(*key, F.col("most.comp").alias("major"), F.col("low.p").alias("p"), F.col("low.comp").alias("pivot_comp")))
+        seeds = [r * PIVOTS + i for i in range(PIVOTS)] if r < rounds else []
+        parts = rows.groupBy(*key, "comp").agg(F.count("*").alias("k"), *[F.min(F.struct(F.xxhash64("cid", F.lit(x)).alias("h"), "cid", "n", "pos", "comp")).alias(f"p{x}") for x in seeds])
+        open_tiles = (parts.groupBy(*key).agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("parts"), *[F.min(f"p{x}").alias(f"p{x}") for x in seeds])
+                      .where("parts > 1").select(*key, F.col("most.comp").alias("major"), *[f"p{x}" for x in seeds]))
         rows = rows.join(open_tiles, key).checkpoint()
         if rows.isEmpty():
-            break  # all tiles are closed
+            return comp  # all tiles are closed
+        tiles = rows.select("token", "cid", "n", "pos", "band")
         if r < rounds:
-            cand = (rows.select(F.struct("n", "pos").alias("x"), "p", "cid", "comp", "pivot_comp").where((F.col("comp") != F.col("pivot_comp")) & place_fits("x", "p"))
-                    .select(F.col("cid").alias("mine"), F.col("p.cid").alias("pivot"), F.col("p.h").alias("h")).distinct())
-            found = may_link(cand, "mine", "pivot", sigs).groupBy(F.col("mine").alias("a")).agg(F.min_by("pivot", "h").alias("b"))
-            tiles = rows.select("token", "cid", "n", "pos", "band")
+            cand = (rows.select(F.struct("n", "pos").alias("x"), "cid", "comp", F.explode(F.array(*[f"p{x}" for x in seeds])).alias("p")).where((F.col("comp") != F.col("p.comp")) & place_fits("x", "p"))
+                    .select(F.col("cid").alias("mine"), F.col("p.cid").alias("pivot")).distinct())
+            found = may_link(cand, "mine", "pivot", sigs).select(F.least("mine", "pivot").alias("a"), F.greatest("mine", "pivot").alias("b")).distinct()
         else:
             sized = rows.select(*key, "cid", "comp", "pos", (F.col("comp") != F.col("major")).alias("minor")).join(sigs.drop("bits"), "cid")
             found = (sized.where("minor").alias("x").join(sized.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
@@ -404,8 +410,12 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
                                                         & size_fits("x", "y") & place_fits("x", "y") & short_fits("x", "y"))
                      .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
             found = may_link(found, "a", "b", sigs)
-        comp = merged(comp, verified(found, docs, reps, words).checkpoint())
-    return comp
+        links = verified(found, docs, reps, words).checkpoint()
+        comp = merged(comp, links)
+        if r >= rounds:
+            return comp
+        # pivots that link to nothing any more leave the rest to all pairs
+        r = rounds if links.isEmpty() else r + 1
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, rounds: int, near: int) -> tuple[DataFrame, DataFrame]:
