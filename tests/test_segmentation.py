@@ -71,6 +71,31 @@ def test_kmeans_assignment_invariants(spark):
     assert set(seg.mapping.values()) == set(range(5))
 
 
+def test_fits_run_in_partitions_and_equal_mllib(spark, monkeypatch):
+    """Few passes over many partitions, with the centres and costs of MLlib's own fits."""
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(4)
+    pts = np.vstack([rng.normal(c, 1, (60, 2)) for c in ((0, 0), (6, 1), (3, 7))])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pts], "x double, y double").coalesce(1).checkpoint()
+    got = CL.best_fits(df, ["x", "y"], [2, 3], [1, 2, 3], 50)
+    X = CL.assemble(df.repartition(1), ["x", "y"])
+    for k, fit in got.items():
+        cost = min(KMeans(k=k, seed=s, maxIter=50).fit(X.select("features")).summary.trainingCost for s in (1, 2, 3))
+        assert fit.cost == pytest.approx(cost) and len(fit.centers) == k
+    passes = []
+    monkeypatch.setattr(CL, "PART_ROWS", 20)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, _run=type(df).mapInArrow: passes.append(self.rdd.getNumPartitions()) or _run(self, *a))
+    CL.best_fits(df, ["x", "y"], [2, 3], [1, 2, 3], 50)
+    assert min(passes) == 9 and len(passes) <= 50
+
+
+def test_silhouette_of_equal_rows_is_zero(spark):
+    """Distances of equal rows are exactly 0, in one block and between blocks."""
+    df = spark.createDataFrame([(i, 0.1, 1e3, i % 2) for i in range(60)], "id long, x double, y double, l int")
+    assert {r.s for r in CL.silhouette(df, "id", ["x", "y"], ["l"], block=16).collect()} == {0.0}
+
+
 def test_exact_quantile_matches_numpy(spark):
     rng = np.random.default_rng(5)
     vals = rng.normal(size=1001).round(3)
