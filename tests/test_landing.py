@@ -192,3 +192,12 @@ def test_deliveries_equal_one_load(spark, tmp_path):
     want, _ = L.ingest_trips(trips)
     cols = sorted(want.columns)
     assert got.select(cols).exceptAll(want.select(cols)).count() == 0 and got.count() == want.count()
+
+
+def test_streamed_first_writers_need_no_call_for_each_key(spark, tmp_path):
+    """State is an aggregation of Spark's, combined before the shuffle."""
+    from routewise.streaming.incremental import first_writers, landing_stream
+
+    _land(spark, [_trip(1, 10, "2024-01-05")], str(tmp_path))
+    plan = _plan(first_writers(landing_stream(spark, str(tmp_path), "trips", L.TRIP_SCHEMA), "trip_id", L.TRIP_ORDER))
+    assert "Python" not in plan and "Pandas" not in plan and "partial_min" in plan
