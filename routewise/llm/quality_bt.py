@@ -7,9 +7,11 @@ is the logistic of the strength relative to a threshold, which is the quantile o
 training documents' strengths at their share of bad labels; it maps to THRESHOLD, so
 predicted = score >= THRESHOLD cuts at that quantile.
 
-The fit takes a bounded sample: max_labelled labelled documents of the learning folds,
-those with the smallest hash of their id, and PAIRS_PER_BAD partners for each bad one.
-Scoring covers every document whole, in vectorised passes over Arrow buffers, without
+The fit takes all labelled documents of the learning folds: means and deviations are
+aggregations, the threshold is an exact quantile, and each document of the more frequent
+label is paired with PARTNERS of the other, which take turns.  Documents meet in bounded
+groups by a hash of the id; the Newton steps are sums over the groups, so the driver
+holds a gradient and a matrix of features by features.  Scoring covers every document whole, in vectorised passes over Arrow buffers, without
 a shuffle.
 
 Defined cases: a null or empty text has the zero feature vector (its score follows from
@@ -28,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.llm import textblocks as tb
-from routewise.llm.common import held_out, prepare
+from routewise.llm.common import held_out, may_be_among, prepare, stored
+from routewise.operators.clustering import exact_quantile
 
 THRESHOLD = 0.7
-MAX_LABELLED = 20_000
-PAIRS_PER_BAD = 20
+PARTNERS = 20
+#: Documents of a group, about, and of the rarer label in it at least, on average.
+GROUP = 4096
+RARE = 64
 
 _CLASS = np.full(256, 0)          # letters a-z
 _CLASS[65:91] = 1                 # A-Z
@@ -108,41 +113,90 @@ def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             .mapInArrow(run, "doc_id long, x array<double>"))
 
 
-def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs_per_bad: int = PAIRS_PER_BAD, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights of least mean logistic loss over good-minus-bad differences, by Newton steps."""
-    rng = np.random.default_rng(7)
-    pick = rng.integers(0, len(good), (len(bad), pairs_per_bad))
-    d = (good[pick] - bad[:, None, :]).reshape(-1, good.shape[1])
-    w = np.zeros(d.shape[1])
-    for _ in range(steps):
+def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray, partners: int) -> np.ndarray:
+    """Gradient, Hessian and number of the logistic losses of a group's pairs, as one row."""
+    many, few, sign = (good, bad, 1) if len(good) >= len(bad) else (bad, good, -1)
+    m, out = len(w), np.zeros(len(w) * (len(w) + 1) + 1)
+    if not len(few):
+        return out
+    for lo in range(0, len(many), GROUP):
+        at = np.arange(lo, min(lo + GROUP, len(many)))
+        # partners take turns, so that each of the few is in pairs
+        pick = (at[:, None] * partners + np.arange(partners)) % len(few)
+        d = sign * (many[at, None, :] - few[pick]).reshape(-1, m)
         p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))       # chance of the wrong order
-        grad = ridge * w - d.T @ p / len(d)
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+        out += np.concatenate([-d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel(), [len(d)]])
+    return out
+
+
+def fit_pairs(groups: DataFrame, mean: np.ndarray, sd: np.ndarray, partners: int = PARTNERS, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights of least mean logistic loss over good-minus-bad differences in the groups
+    (good binary, bad binary), by Newton steps."""
+    m = len(mean)
+    w = np.zeros(m)
+    for _ in range(steps):
+        def run(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(m * (m + 1) + 1)
+            for b in batches:
+                for good, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    total += pair_sums(*(np.clip((np.frombuffer(x).reshape(-1, m) - mean) / sd, -8, 8) for x in (good, bad)), w, partners)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
+
+        got = groups.select("good", "bad").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow()
+        v = got.column("v").to_numpy()
+        grad = ridge * w + v[:m] / max(v[-1], 1)
+        hess = v[m:-1].reshape(m, m) / max(v[-1], 1) + ridge * np.eye(m)
         step = np.linalg.solve(hess, grad)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> dict:
-    """Model from at most max_labelled labelled documents of the learning folds."""
-    picked = (labels.select(F.col("doc_id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-              .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    # bounded by max_labelled rows of two numbers
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = featurize(chosen).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    y = np.array([r["y"] for r in rows], int)
-    if len(set(y.tolist())) < 2:
+def grouped(rows: DataFrame, n: int, good: int, size: int = GROUP, rare: int = RARE) -> DataFrame:
+    """(good binary, bad binary): the feature rows (doc_id, y, x) in groups of about size.
+    Where the rarer label is too rare for so many, its rows go to several groups."""
+    few = min(good, n - good)
+    deals = max(1, min(-(-n // size), few // rare))
+    copies = max(1, -(-n // (size * deals)))
+    h = F.xxhash64("doc_id")
+    is_few = F.col("y") == (1 if few == good else 0)
+    part = F.when(is_few, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(copies)).cast("int")))
+    dealt = rows.select("y", "x", h.alias("h"), F.pmod(h, F.lit(deals)).cast("int").alias("deal"), F.explode(part).alias("part")).repartition(min(deals * copies, 4096), "deal", "part")
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("h")
+        y = t.column("y").to_numpy()
+        x = np.array(t.column("x").to_pylist(), float)
+        return pa.table({"good": pa.array([x[y == 1].tobytes()], pa.binary()), "bad": pa.array([x[y == 0].tobytes()], pa.binary())})
+
+    return dealt.groupBy("deal", "part").applyInArrow(pack, "good binary, bad binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
+    """Model from all labelled documents of the learning folds."""
+    picked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+              .groupBy("doc_id").agg(F.max("y").alias("y")))
+    # texts are filtered and read where they lie; only features are shuffled
+    chosen = docs.where(~held_out() & may_be_among(picked.select("doc_id"), "doc_id")).select("doc_id", "text")
+    rows = stored(featurize(chosen).join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")), "quality-features")
+    dims = range(len(NAMES))
+    of = rows.agg(F.count("*").alias("n"), F.sum("y").alias("good"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in dims], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in dims]).first()
+    n, good = of["n"], of["good"] or 0
+    if not 0 < good < n:
         return {"mean": [0.0] * len(NAMES), "w": [0.0] * len(NAMES), "cut": 0.0, "scale": 1.0}
-    x = np.array([r["x"] for r in rows])
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.clip((x - mean) / sd, -8, 8)
-    w = fit_pairs(z[y == 1], z[y == 0])
-    s = z @ w
-    cut = float(np.quantile(s, (y == 0).mean()))
-    return {"mean": mean.tolist(), "sd": sd.tolist(), "w": w.tolist(), "cut": cut, "scale": float(s.std() / 4 + 1e-9)}
+    mean, sd = np.array([of[f"m{i}"] for i in dims]), np.array([of[f"s{i}"] for i in dims]) + 1e-6
+    w = fit_pairs(stored(grouped(rows, n, good), "quality-groups"), mean, sd)
+    model = {"mean": mean.tolist(), "sd": sd.tolist(), "w": w.tolist()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(0).flatten().to_numpy().reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([pa.array(strength(x, model))], names=["s"])
+
+    s = stored(rows.select("x").mapInArrow(run, "s double"), "quality-strengths")
+    spread = s.agg(F.stddev_pop("s")).first()[0]
+    return {**model, "cut": exact_quantile(s, "s", 1 - good / n), "scale": float(spread / 4 + 1e-9)}
 
 
 def strength(x: np.ndarray, model: dict) -> np.ndarray:

@@ -91,3 +91,18 @@ def test_odd_rows(spark, odd, empty, documents, labels, op):
 def test_accepted_keeps_columns(odd, documents, labels):
     kept = quality_bt.accepted(odd, quality_bt.train(documents, labels))
     assert kept.columns == odd.columns and kept.count() <= odd.count()
+
+
+def test_quality_fit_takes_every_label(spark):
+    """Each labelled row is in a group, rare labels in several; all of them are in pairs."""
+    import inspect
+
+    assert "max_labelled" not in inspect.signature(quality_bt.train).parameters
+    m = len(quality_bt.NAMES)
+    rows = spark.createDataFrame([(i, int(i % 100 > 0), [float(i)] * m) for i in range(3000)], "doc_id long, y int, x array<double>")
+    got = quality_bt.grouped(rows, 3000, 2970, size=256, rare=8).collect()
+    good, bad = ([set(np.frombuffer(r[c]).reshape(-1, m)[:, 0].astype(int).tolist()) for r in got] for c in ("good", "bad"))
+    assert len(got) >= 3000 // 256 and sum(map(len, good)) == 2970 == len(set().union(*good))
+    assert set().union(*bad) == set(range(0, 3000, 100)) and sum(map(len, bad)) > 30
+    one, other = np.random.default_rng(0).normal(size=(2, 70, m))
+    assert quality_bt.pair_sums(one, other[:7], np.zeros(m), 20)[-1] == 1400 == quality_bt.pair_sums(other[:7], one, np.zeros(m), 20)[-1]
