@@ -129,24 +129,40 @@ def _stars(e: DataFrame, max_rounds: int) -> DataFrame:
 MAX_FILTER_BITS = 1 << 24
 
 
-def may_be_among(ids: DataFrame, col: str) -> Column:
-    """A filter for the column col that lets all values of the one-column frame ids pass
-    and few others, before an exact join: a bitmap of hashed ids, 16 bits an id up to
-    MAX_FILTER_BITS in all.  Past that it lets more pass, never less."""
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """Packed bits of the hashed ids of a one-column frame, 16 bits an id up to
+    MAX_FILTER_BITS in all."""
     ids = ids.toDF("id").where("id is not null")
     n = ids.count()
     size = min(MAX_FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
     at = ids.select(F.pmod(F.xxhash64("id"), F.lit(size)).cast("int").alias("at")).distinct().toArrow().column(0).to_numpy()
     bits = np.zeros(size, bool)
     bits[at] = True
-    packed = np.packbits(bits, bitorder="little")
+    return np.packbits(bits, bitorder="little")
+
+
+def bitmap_place(col: str, packed: np.ndarray) -> Column:
+    """The place of the ids of a column in a bitmap of id_bitmap."""
+    return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(8 * len(packed))).cast("int")
+
+
+def in_bitmap(at: pa.Array, packed: np.ndarray) -> np.ndarray:
+    x = at.to_numpy(zero_copy_only=False)
+    return (packed[x >> 3] >> (x & 7) & 1).astype(bool)
+
+
+def may_be_among(ids: DataFrame, col: str) -> Column:
+    """A filter for the column col that lets all values of the one-column frame ids pass
+    and few others, before an exact join: a bitmap of hashed ids.  Past MAX_FILTER_BITS it
+    lets more pass, never less.  It runs in Python workers of its own: a Python step over
+    the same rows asks in_bitmap itself and has one worker a task, not two."""
+    packed = id_bitmap(ids)
 
     @F.arrow_udf("boolean")
     def among(at: pa.Array) -> pa.Array:
-        x = at.to_numpy(zero_copy_only=False)
-        return pa.array((packed[x >> 3] >> (x & 7) & 1).astype(bool))
+        return pa.array(in_bitmap(at, packed))
 
-    return among(F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(size)).cast("int"))
+    return among(bitmap_place(col, packed))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.llm import textblocks as tb
-from routewise.llm.common import held_out, may_be_among, prepare, stored
+from routewise.llm.common import bitmap_place, held_out, id_bitmap, in_bitmap, prepare, stored
 from routewise.operators.clustering import exact_quantile
 
 THRESHOLD = 0.7
@@ -99,17 +99,21 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x array<double>) of every document."""
+def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", among: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, x array<double>) of every document; with a bitmap (common.id_bitmap), of
+    those whose ids it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+            if among is not None:
+                b = b.filter(pa.array(in_bitmap(b.column(2), among)))
+            for lo, hi, buf, offs in tb.row_chunks(b.column(1), tb.SMALL_CHUNK_BYTES):
                 x = features(buf, offs)
                 cut = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    place = [] if among is None else [bitmap_place(id_col, among).alias("at")]
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *place)
             .mapInArrow(run, "doc_id long, x array<double>"))
 
 
@@ -177,9 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """Model from all labelled documents of the learning folds."""
     picked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
               .groupBy("doc_id").agg(F.max("y").alias("y")))
-    # texts are filtered and read where they lie; only features are shuffled
-    chosen = docs.where(~held_out() & may_be_among(picked.select("doc_id"), "doc_id")).select("doc_id", "text")
-    rows = stored(featurize(chosen).join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")), "quality-features")
+    # texts are filtered and read where they lie, by one Python worker a task; only features are shuffled
+    chosen = featurize(docs.where(~held_out()).select("doc_id", "text"), among=id_bitmap(picked.select("doc_id")))
+    rows = stored(chosen.join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")), "quality-features")
     dims = range(len(NAMES))
     of = rows.agg(F.count("*").alias("n"), F.sum("y").alias("good"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in dims], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in dims]).first()
     n, good = of["n"], of["good"] or 0
@@ -215,7 +219,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(1), tb.SMALL_CHUNK_BYTES):
                 s = strength(features(buf, offs), model)
                 p = to_score(s, model)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p), pa.array((s >= model["cut"]).astype(np.int32))], names=["doc_id", "score", "predicted"])

@@ -106,3 +106,16 @@ def test_quality_fit_takes_every_label(spark):
     assert set().union(*bad) == set(range(0, 3000, 100)) and sum(map(len, bad)) > 30
     one, other = np.random.default_rng(0).normal(size=(2, 70, m))
     assert quality_bt.pair_sums(one, other[:7], np.zeros(m), 20)[-1] == 1400 == quality_bt.pair_sums(other[:7], one, np.zeros(m), 20)[-1]
+
+
+def test_quality_features_of_labelled_rows_take_one_python_step(spark, documents, labels):
+    """The id filter runs in the step that reads the texts: a task has one Python worker."""
+    from routewise.llm.common import id_bitmap
+
+    ids = labels.select("doc_id").where("doc_id % 3 = 0")
+    got = quality_bt.featurize(documents, among=id_bitmap(ids))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    want = {r["doc_id"]: r["x"] for r in quality_bt.featurize(documents).join(ids, "doc_id", "left_semi").collect()}
+    got = {r["doc_id"]: r["x"] for r in got.collect()}
+    assert want and want.items() <= got.items() and len(got) < documents.count()
