@@ -252,12 +252,23 @@ def leaks_of(buf: np.ndarray, offs: np.ndarray, idx: dict, least: float):
     return r, item[good], score[good], tb.char_index(buf, offs, starts[w0], r), tb.char_index(buf, offs, ends[w1], r)
 
 
+def clean_rows(text: pa.Array, idx: dict, least: float = LEAST) -> np.ndarray:
+    """Which texts hold no copy of an item.  It goes over them in small chunks, so that it
+    takes a few megabytes beside the texts."""
+    out = np.ones(len(text), bool)
+    for lo, _, buf, offs in tb.row_chunks(text, tb.SMALL_CHUNK_BYTES):
+        got = leaks_of(buf, offs, idx, least)
+        if got:
+            out[lo + got[0]] = False
+    return out
+
+
 def search(docs: DataFrame, idx: dict, least: float = LEAST) -> DataFrame:
     """Rows of SCHEMA for a block's index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tb.row_chunks(b.column(1)):
+            for lo, hi, buf, offs in tb.row_chunks(b.column(1), tb.SMALL_CHUNK_BYTES):
                 got = leaks_of(buf, offs, idx, least)
                 if got:
                     row, item, score, start, end = got
@@ -292,12 +303,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def clean(idx):
         @F.arrow_udf("boolean")
         def is_clean(text: pa.Array) -> pa.Array:
-            out = np.ones(len(text), bool)
-            for lo, _, buf, offs in tb.row_chunks(text):
-                got = leaks_of(buf, offs, idx, least)
-                if got:
-                    out[lo + got[0]] = False
-            return pa.array(out)
+            return pa.array(clean_rows(text, idx, least))
 
         return is_clean(F.col(text_col).cast("string"))
 

@@ -468,7 +468,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are told apart by id and class, so rows that share an id but not their text are
     decided each on its own.  Only documents that may go or repeat are shuffled; the
-    others are passed on."""
+    others are passed on.  They are written first: the id filter and the classes each ask
+    Python, and a stage that holds both has two workers a task, which stay."""
     rows, low = _components(docs, id_col, text_col, words, PIVOT_ROUNDS, NEAR)
     lead = low.groupBy("comp").agg(F.min(F.struct("low", "cid")).alias("lead"))
     label = low.join(lead, "comp").select("cid", F.col("lead.low").alias("lead_id"), F.col("lead.cid").alias("lead_cid"))
@@ -477,7 +478,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     asked = F.coalesce(may_be_among(gone.select("doc_id").union(again), id_col), F.lit(False))
     cid, same = "class of one_of_each", "what repeats in one_of_each"
-    kept = (docs.where(asked).withColumn(cid, class_of(words)(F.col(text_col).cast("string")))
+    kept = (stored(docs.where(asked), "jaccard-asked").withColumn(cid, class_of(words)(F.col(text_col).cast("string")))
             .join(gone.select(F.col("doc_id").alias(id_col), F.col("cid").alias(cid)), [id_col, cid], "left_anti")
             .withColumn(same, F.when(F.col(cid).isNull(), F.col(text_col).cast("string"))).dropDuplicates([id_col, cid, same]).select(*docs.columns))
     return docs.where(~asked).unionByName(kept)

@@ -19,8 +19,8 @@ import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
 #: For stages that pass whole rows on beside the work in Python: the arrays of a chunk take
-#: some 60 times its bytes.
-SMALL_CHUNK_BYTES = 1 << 19
+#: some 60 times its bytes, and at this size they stay in a core's cache.
+SMALL_CHUNK_BYTES = 1 << 17
 
 U64 = np.uint64
 

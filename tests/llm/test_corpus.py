@@ -1,8 +1,10 @@
 """Decontamination (6), mixing (10) and the pipeline."""
 
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +254,16 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd, empty):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix"], name
             assert {r["mix"] for r in docs.collect()} <= {"e"}, name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_texts_are_searched_in_a_few_megabytes():
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 5000, 500)) for _ in range(1400)])
+    idx = decontam_sw.index([{"item_id": 1, "text": texts[7].as_py()[:400]}])
+    assert texts.nbytes > 3 << 20
+    tracemalloc.start()
+    clean = decontam_sw.clean_rows(texts, idx)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.flatnonzero(~clean).tolist() == [7]
+    assert peak < 16 << 20

@@ -106,6 +106,12 @@ def test_exact_quantile_matches_numpy(spark):
     assert CL.exact_quantile(even, "x") == 3.0
 
 
+def test_exact_quantile_sends_no_rows_through_python(spark, monkeypatch):
+    df = spark.range(9).selectExpr("double(id) as x")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert CL.exact_quantile(df, "x") == 4.0
+
+
 def test_exact_quantile_with_hot_value(spark):
     vals = [5.0] * 400 + [float(i) for i in range(800)]
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
