@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,15 +17,38 @@ from routewise.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: Bytes of an Arrow batch that goes to Python.
 BATCH_BYTES = 4 << 20
+#: For operators that look at small chunks anyway.  The JVM's Arrow buffers are at most twice
+#: as large, so they come from its pool; larger ones are allocated anew for each batch, and
+#: what is free again stays scattered over the process.
+SMALL_BATCH_BYTES = 1 << 20
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Make the shared checkpoint folder known, ship this package to the executors, whose
     Python path need not hold it, and bound the Arrow batches by bytes: a batch of texts
     is held by the JVM and by Python at once."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+
+
+def release_memory() -> None:
+    """Give back what the allocators of this process hold for later use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with release_memory() at the task's end: Spark keeps the workers
+    of earlier stages beside those that work."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.llm import textblocks as tb
-from routewise.llm.common import prepare, union_all
+from routewise.llm.common import SMALL_BATCH_BYTES, prepare, releasing, union_all
 
 SEED = 3
 LEAST = 0.5
@@ -275,7 +275,7 @@ def search(docs: DataFrame, idx: dict, least: float = LEAST) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array([idx["ids"][i] for i in item.tolist()], pa.int64()),
                                                       pa.array(score), pa.array(start), pa.array(end)], names=["doc_id", "item_id", "score", "start", "end"])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(releasing(run), SCHEMA)
 
 
 def indexes(benchmark: DataFrame) -> Iterator[dict]:
@@ -290,7 +290,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, item_id, score, start, end (code points): documents that hold a copy,
     whole or edited, of a benchmark item."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, SMALL_BATCH_BYTES)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = [search(d, idx, least) for idx in indexes(benchmark)]
     return union_all(found) if found else spark.createDataFrame([], SCHEMA)
@@ -298,7 +298,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The documents that hold no copy of a benchmark item, with all their columns."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH_BYTES)
 
     def clean(idx):
         @F.arrow_udf("boolean")

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.llm import textblocks as tb
-from routewise.llm.common import component_labels, may_be_among, prepare, stored
+from routewise.llm.common import SMALL_BATCH_BYTES, component_labels, may_be_among, prepare, releasing, stored
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -163,7 +163,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
                     total[:], size = 0, 0
         yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, " + "".join(f"{c} long, " for c in SIG) + "bits binary, slot int, seen long")
+    return docs.mapInArrow(releasing(run), "doc_id long, n long, digest binary, " + "".join(f"{c} long, " for c in SIG) + "bits binary, slot int, seen long")
 
 
 def slot_ranks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +212,7 @@ def prefix_lists(docs: DataFrame, slots: np.ndarray, ranks: np.ndarray, words: i
                     yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(salt), pa.array(cid), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
                                                      names=["token", "salt", "cid", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, salt int, cid long, n int, pos int")
+    return docs.mapInArrow(releasing(run), "token long, salt int, cid long, n int, pos int")
 
 
 def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
@@ -268,7 +268,7 @@ def meetings(lists: DataFrame, near: int = NEAR) -> DataFrame:
             last = np.flatnonzero(group == group[-1])[-(near + 1):]
             held, tiled = [x[last] for x in (token, salt, cid, size, pos)], (went | tile)[last]
 
-    return rows.mapInArrow(run, "token long, cid long, n int, pos int, other long")
+    return rows.mapInArrow(releasing(run), "token long, cid long, n int, pos int, other long")
 
 
 def texts_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -286,7 +286,7 @@ def texts_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 keep = np.flatnonzero(cid == b.column(2).slice(lo, hi - lo).to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), b.column(1).slice(lo, hi - lo).take(pa.array(keep))], names=["cid", "text"])
 
-    return rows.mapInArrow(run, "cid long, text string")
+    return rows.mapInArrow(releasing(run), "cid long, text string")
 
 
 def size_fits(a: str, b: str):
@@ -348,7 +348,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int) ->
                 at = pa.array(np.flatnonzero(keep))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(at), b.column(1).slice(lo, hi - lo).take(at)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(releasing(run), "a long, b long")
 
 
 def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -421,7 +421,7 @@ def class_components(docs: DataFrame, sums: DataFrame, slots, ranks, words: int,
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, rounds: int, near: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cid) of every row, the class null where it links with nothing; and (cid,
     low, comp) of every class, low its smallest id."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH_BYTES)
     d = _slim(docs, id_col, text_col)
     raw = stored(summaries(d, words), "jaccard-sets")
     slots, ranks = slot_ranks(raw)

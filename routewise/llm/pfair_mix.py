@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routewise.llm.common import prepare
+from routewise.llm.common import SMALL_BATCH_BYTES, prepare
 
 #: Of the fraction that a float is read as, at most; slots after which a schedule repeats, at most.
 DENOMINATOR = 10**6
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float, block_docs: int
     """docs with a column out_col: struct<source int, block long, slot long, position long>;
     position is the row's place in the mixed stream."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, SMALL_BATCH_BYTES)
     names = list(weights)
     share = [rest, *weights.values()]
     if min(share) <= 0:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.llm import textblocks as tb
-from routewise.llm.common import new_folder, prepare
+from routewise.llm.common import SMALL_BATCH_BYTES, new_folder, prepare, releasing
 
 BLOCK = 512
 PERCENTILE = 0.95
@@ -261,7 +261,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, bounds: list[int], id_col: s
                     names=["doc_id", "ord", "shard", "n", "crc", "ids"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(order_col).cast("long").alias("ord"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, ord long, shard int, n long, crc long, ids binary"))
+            .mapInArrow(releasing(run), "doc_id long, ord long, shard int, n long, crc long, ids binary"))
 
 
 # ---- writing and reading -------------------------------------------------------------------------
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
     column, read alone beforehand, so the text is read once and only packed ids are
     shuffled."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, max(SMALL_BATCH_BYTES, 2 * chunk_bytes))
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order_col = order_col or id_col
     cuts = docs.select(F.col(order_col).cast("long").alias("i")).agg(
@@ -317,7 +317,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
         if lens:
             yield flush()
 
-    rows.mapInArrow(run, CHUNK_SCHEMA).write.parquet(out)
+    rows.mapInArrow(releasing(run), CHUNK_SCHEMA).write.parquet(out)
 
 
 def read_chunks(spark, path: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise.llm import textblocks as tb
-from routewise.llm.common import bitmap_place, held_out, id_bitmap, in_bitmap, prepare, stored
+from routewise.llm.common import SMALL_BATCH_BYTES, bitmap_place, held_out, id_bitmap, in_bitmap, prepare, releasing, stored
 from routewise.operators.clustering import exact_quantile
 
 THRESHOLD = 0.7
@@ -114,7 +114,7 @@ def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
 
     place = [] if among is None else [bitmap_place(id_col, among).alias("at")]
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *place)
-            .mapInArrow(run, "doc_id long, x array<double>"))
+            .mapInArrow(releasing(run), "doc_id long, x array<double>"))
 
 
 def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray, partners: int) -> np.ndarray:
@@ -179,6 +179,7 @@ def grouped(rows: DataFrame, n: int, good: int, size: int = GROUP, rare: int = R
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """Model from all labelled documents of the learning folds."""
+    prepare(docs.sparkSession, SMALL_BATCH_BYTES)
     picked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
               .groupBy("doc_id").agg(F.max("y").alias("y")))
     # texts are filtered and read where they lie, by one Python worker a task; only features are shuffled
@@ -215,7 +216,7 @@ def to_score(s: np.ndarray, model: dict) -> np.ndarray:
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,7 +225,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 p = to_score(s, model)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p), pa.array((s >= model["cut"]).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), "doc_id long, score double, predicted int")
     # at the cut itself, rounding must not take the score below the threshold
     s = F.when(F.col("predicted") == 1, F.greatest("score", F.lit(THRESHOLD))).otherwise(F.least("score", F.lit(float(np.nextafter(THRESHOLD, 0)))))
     return rows.select("doc_id", held_out().alias("held_out"), s.alias("score"), "predicted")
@@ -232,7 +233,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
     """The documents at or above the threshold, with all their columns."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH_BYTES)
 
     @F.arrow_udf("boolean")
     def good(text: pa.Array) -> pa.Array:

@@ -3,7 +3,9 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from routewise.llm import decontam_sw, pfair_mix, quality_bt
 from routewise.llm import textblocks as tb
+from routewise.llm.common import prepare, releasing
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aAbZ é漢 \t\n.1", max_size=40)), max_size=8)
 
@@ -47,3 +49,16 @@ def test_slices_and_code_points():
     s, _, rw = tb.word_spans(buf, offs, tb.NOT_SPACE)
     row = np.repeat(np.arange(2), np.diff(rw))
     assert tb.char_index(buf, offs, s, row).tolist() == [0, 3, 0]
+
+
+def test_batches_of_the_pipelines_operators_are_small(spark, documents):
+    docs, set_to = documents.limit(20), lambda: int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    for f in (lambda: quality_bt.accepted(docs, {}), lambda: decontam_sw.without_leaks(docs, docs.limit(0).withColumnRenamed("doc_id", "item_id")), lambda: pfair_mix.mix(docs, {}, 1.0)):
+        prepare(spark)
+        f()
+        assert set_to() <= 1 << 20
+
+
+def test_released_memory_loses_no_batch():
+    batches = [pa.record_batch({"x": [i]}) for i in range(3)]
+    assert list(releasing(iter)(iter(batches))) == batches
