@@ -90,6 +90,60 @@ def test_fits_run_in_partitions_and_equal_mllib(spark, monkeypatch):
     assert min(passes) == 9 and len(passes) <= 50
 
 
+def _lloyd(x, c, max_iter):
+    """Steps one by one over all rows: centres, cost, steps."""
+    for step in range(1, max_iter + 1):
+        d = ((x[:, None] - c[None]) ** 2).sum(2)
+        near, cost, old = d.argmin(1), d.min(1).sum(), c
+        c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
+        if np.sqrt(((c - old) ** 2).sum(1)).max() <= CL.TOLERANCE:
+            break
+    return c, cost, step
+
+
+@pytest.mark.parametrize("room, most", [(10_000, 10), (400, 50)])
+def test_fits_take_many_exact_steps_a_pass(spark, monkeypatch, room, most):
+    """Fits that need many steps take fewer passes over the rows, whether a fit's
+    task has room for all rows or only for those near a border, and end where steps over
+    all rows end."""
+    x = np.random.default_rng(8).uniform(size=(3000, 2)) * 4
+    df = spark.createDataFrame([tuple(map(float, p)) for p in x], "x double, y double").checkpoint()
+    passes, starts = [], []
+    monkeypatch.setattr(CL, "NEAR_ROWS", room)
+    monkeypatch.setattr(CL, "LEAST_REACH", 2)
+    monkeypatch.setattr(CL, "_starts", lambda *a, _run=CL._starts: starts.extend(_run(*a)) or starts)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, _run=type(df).mapInArrow: passes.append(1) or _run(self, *a))
+    got = CL.best_fits(df, ["x", "y"], [6, 9], [1, 2], 300)
+    want = [_lloyd(x, c, 300) for c in starts]
+    for i, k in enumerate((6, 9)):
+        centers, cost, _ = min(want[2 * i:2 * i + 2], key=lambda w: w[1])
+        assert got[k].cost == pytest.approx(cost) and np.allclose(got[k].centers, centers, atol=1e-6)
+    assert max(w[2] for w in want) > 50 and len(passes) <= most
+
+
+def test_starts_of_all_fits_are_those_of_mllib(spark):
+    """Drawn for all runs in the same passes, over several partitions, one of them empty."""
+    from pyspark.ml.clustering import KMeans
+
+    x = np.random.default_rng(6).normal(size=(4000, 3))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "i long, a double, b double, c double").repartitionById(5, F.expr("int(i % 4)")).drop("i").checkpoint()
+    runs = [(k, seed) for k in (2, 5, 9) for seed in (42, 43, -7)]
+    got = CL._starts(CL._packed(df, ["a", "b", "c"]).persist(), 3, runs)
+    for (k, seed), centers in zip(runs, got):
+        assert np.allclose(centers, KMeans(k=k, seed=seed, maxIter=0).fit(CL.assemble(df, ["a", "b", "c"]).select("features")).clusterCenters())
+
+
+def test_ties_and_equal_rows_in_fits(spark):
+    """A row between two centres counts once; fewer different rows than centres end as the centres."""
+    ones = np.array([[0.0, 1.0, 2.0, 1.0], [1.0] * 4])
+    c = np.array([[[0.0]], [[2.0]], [[0.0]]])
+    assert CL._totals(ones, c)[:, 0].tolist() == [[2.0, 3.0], [2.0, 1.0], [0.0, 0.0]]
+    assert CL._assign(ones, c, np.ones((3, 1)))[0].tolist() == [[0, 0, 1, 0]]
+    df = spark.createDataFrame([(float(i % 2), 1.0) for i in range(50)], "x double, y double")
+    fit = CL.best_fits(df, ["x", "y"], [4], [1, 2], 20)[4]
+    assert fit.cost == 0 and sorted(map(tuple, fit.centers)) == [(0.0, 1.0), (1.0, 1.0)]
+
+
 def test_silhouette_of_equal_rows_is_zero(spark):
     """Distances of equal rows are exactly 0, in one block and between blocks."""
     df = spark.createDataFrame([(i, 0.1, 1e3, i % 2) for i in range(60)], "id long, x double, y double, l int")
